@@ -271,7 +271,159 @@ def q_anti_not_exists(spark, d):
     return anti_filter(L.read("customer"), big, [("c_custkey", "o_custkey")]).select("c_custkey")
 
 
+# -- stage 4: geometry -----------------------------------------------------------------
+def _geo():
+    from featurespark.functions import geometry as G
+    from featurespark.operators import features as FT
+    from featurespark.operators import spatial as SP
+
+    return G, FT, SP
+
+
+def q_spatial_join_points(spark, d):
+    G, FT, SP = _geo()
+    L = layers(spark, d)
+    return SP.points_in_polygons(L.read("sites"), L.read("parcels"), ["site_id"], ["parcel_id"])
+
+
+def q_st_contains_point(spark, d):
+    G, FT, SP = _geo()
+    L = layers(spark, d)
+    pairs = SP.points_in_polygons(L.read("sites"), L.read("zones"), ["site_id"], ["zone_id"])
+    return pairs.groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
+def q_identify_point(spark, d):
+    G, FT, SP = _geo()
+    L = layers(spark, d)
+    return SP.identify(L.read("sites"), [("zones", L.read("zones"), "zone_id"),
+                                         ("parcels", L.read("parcels"), "parcel_id")], ["site_id"])
+
+
+def _decoded(spark, d, layer):
+    G, FT, SP = _geo()
+    return FT.with_decoded(layers(spark, d).read(layer), "geometry", "g")
+
+
+def q_st_area(spark, d):
+    G, FT, SP = _geo()
+    return _decoded(spark, d, "parcels").select("parcel_id", F.round(G.area("g"), 15).alias("area"),
+                                                F.round(G.perimeter("g"), 12).alias("perimeter"))
+
+
+def q_st_length(spark, d):
+    G, FT, SP = _geo()
+    z = _decoded(spark, d, "zones")
+    line = F.struct(F.lit(2).alias("gtype"), F.col("g.zm").alias("zm"), F.array(F.struct(
+        F.lit(2).alias("ptype"), F.array(F.col("g.parts")[0]["rings"][0]).alias("rings"))).alias("parts"))
+    return z.select("zone_id", F.round(G.length(line), 12).alias("length"))
+
+
+def q_st_distance(spark, d):
+    G, FT, SP = _geo()
+    s = _decoded(spark, d, "sites")
+    return s.select("site_id", F.round(G.distance_point_point(
+        G.point_x("g"), G.point_y("g"), F.lit(144.5), F.lit(-38.0)), 12).alias("distance"))
+
+
+def q_st_centroid(spark, d):
+    G, FT, SP = _geo()
+    c = _decoded(spark, d, "parcels").select("parcel_id", G.centroid("g").alias("c"))
+    return c.select("parcel_id", F.round("c.x", 12).alias("cx"), F.round("c.y", 12).alias("cy"))
+
+
+def q_st_accessors(spark, d):
+    G, FT, SP = _geo()
+    s = _decoded(spark, d, "sites")
+    return s.select("site_id", G.point_x("g").alias("x"), G.point_y("g").alias("y"),
+                    G.num_points("g").alias("n_points"))
+
+
+def q_geometry_extent(spark, d):
+    G, FT, SP = _geo()
+    z = SP.geometry_extents(layers(spark, d).read("zones"))
+    return z.select("zone_id", "extent.xmin", "extent.ymin", "extent.xmax", "extent.ymax")
+
+
+def q_st_intersects_box(spark, d):
+    return layers(spark, d).filter(
+        "parcels", "ST_Intersects(geometry, ST_MakeEnvelope(144.2, -38.4, 144.5, -38.1))").select("parcel_id")
+
+
+def q_st_constructors(spark, d):
+    G, FT, SP = _geo()
+    e = layers(spark, d).read("events")
+    from featurespark.sources.samples import SITE_X, SITE_Y
+
+    pt = G.make_point(F.expr(SITE_X), F.expr(SITE_Y))
+    return e.select(F.col("event_id").alias("site_id"), G.geojson(pt).alias("geometry"))
+
+
+def q_wkb_decode(spark, d):
+    G, FT, SP = _geo()
+    p = _decoded(spark, d, "parcels")
+    return p.select("parcel_id", F.col("g.gtype").alias("gtype"), F.col("g.zm").alias("zm"),
+                    F.size("g.parts").alias("n_parts"), F.size(F.col("g.parts")[0]["rings"]).alias("n_rings"),
+                    G.num_points("g").alias("n_points"))
+
+
+def q_geojson_geometry(spark, d):
+    G, FT, SP = _geo()
+    return _decoded(spark, d, "parcels").select("parcel_id", G.geojson("g").alias("geometry"))
+
+
+def q_geojson_feature(spark, d):
+    G, FT, SP = _geo()
+    L = layers(spark, d)
+    p = L.read("parcels")
+    f = FT.features(p, "geometry", L.attribute_names("parcels"))
+    return f.select(F.get_json_object("properties", "$.parcel_id").cast("long").alias("parcel_id"),
+                    FT.feature_text().alias("feature"))
+
+
+GEO_PAGE = dict(f="geojson", where="segment = 'BUILDING'", order_by="acctbal DESC, parcel_id",
+                offset=10, count=50)
+
+
+def q_query_geojson(spark, d):
+    return layers(spark, d).query("parcels", **GEO_PAGE).positioned()
+
+
+def q_feature_collection(spark, d):
+    G, FT, SP = _geo()
+    r = layers(spark, d).query("parcels", **GEO_PAGE)
+    return FT.feature_collection(r.df, r.offset)
+
+
+def q_layer_extent(spark, d):
+    G, FT, SP = _geo()
+    return SP.extent(layers(spark, d).read("parcels"))
+
+
+def q_query_extent(spark, d):
+    G, FT, SP = _geo()
+    return SP.extent(layers(spark, d).filter("parcels", "segment = 'BUILDING'"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "spatial_join_points": q_spatial_join_points,
+    "st_contains_point": q_st_contains_point,
+    "identify_point": q_identify_point,
+    "st_area": q_st_area,
+    "st_length": q_st_length,
+    "st_distance": q_st_distance,
+    "st_centroid": q_st_centroid,
+    "st_accessors": q_st_accessors,
+    "geometry_extent": q_geometry_extent,
+    "st_intersects_box": q_st_intersects_box,
+    "st_constructors": q_st_constructors,
+    "wkb_decode": q_wkb_decode,
+    "geojson_geometry": q_geojson_geometry,
+    "geojson_feature": q_geojson_feature,
+    "query_geojson": q_query_geojson,
+    "feature_collection": q_feature_collection,
+    "layer_extent": q_layer_extent,
+    "query_extent": q_query_extent,
     "query_flagship": q_flagship,
     "scan_layer": q_scan_layer,
     "query_all_attributes": q_query_all_attributes,
@@ -441,5 +593,80 @@ for _k, (_layer, _w, _out) in WHERE_CASES.items():
     _ORACLE[_k] = f"SELECT {', '.join(_out)} FROM {_src} WHERE ({_w})"
 
 
+# geometry oracles: the same coordinate arithmetic as ``featurespark.sources.samples``
+_PX = "(144e0 + (c_custkey * 37 % 1000) / 1000e0)"
+_PY = "(-38.5e0 + (c_custkey * 91 % 1000) / 1000e0)"
+_PS = "((1 + c_custkey % 4) / 2000e0)"
+_SX = "(144e0 + (event_id * 53 % 1000) / 1000e0 + 0.0003e0)"
+_SY = "(-38.5e0 + (event_id * 29 % 1000) / 1000e0 + 0.0004e0)"
+_ZX = "(144e0 + (n_nationkey % 5) * 0.2e0)"
+_ZY = "(-38.5e0 + floor(n_nationkey / 5) * 0.2e0)"
+
+
+def _v(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+def _pos(x: str, y: str) -> str:
+    return f"'[' || {_v(x)} || ',' || {_v(y)} || ']'"
+
+
+_PARCEL_RING = (f"{_pos(_PX, _PY)} || ',' || {_pos(f'{_PX} + {_PS}', _PY)} || ',' || "
+                f"{_pos(f'{_PX} + {_PS}', f'{_PY} + {_PS}')} || ',' || {_pos(_PX, f'{_PY} + {_PS}')} "
+                f"|| ',' || {_pos(_PX, _PY)}")
+_PARCEL_GEOJSON = (f"ST_AsGeoJSON(ST_GeomFromGeoJSON('{{\"type\":\"Polygon\",\"coordinates\":[[' || "
+                   f"{_PARCEL_RING} || ']]}}'))")
+_PARCEL_PROPS = (f"to_json(struct_pack(parcel_id := c_custkey, name := c_name, segment := c_mktsegment, "
+                 f"acctbal := c_acctbal, bbox := struct_pack(xmin := {_PX}, ymin := {_PY}, "
+                 f"xmax := {_PX} + {_PS}, ymax := {_PY} + {_PS})))")
+_PARCEL_FEATURE = (f"'{{\"type\":\"Feature\",\"geometry\":' || {_PARCEL_GEOJSON} || ',\"properties\":' "
+                   f"|| {_PARCEL_PROPS} || '}}'")
+_SITE_IN_PARCEL = (f"{_SX} > {_PX} AND {_SX} < {_PX} + {_PS} AND {_SY} > {_PY} AND {_SY} < {_PY} + {_PS}")
+_SITE_IN_ZONE = f"{_SX} > {_ZX} AND {_SY} > {_ZY} AND ({_SX} - {_ZX}) + ({_SY} - {_ZY}) < 0.2e0"
+_GEO_PAGE_SQL = (f"SELECT 'Feature' AS type, {_PARCEL_GEOJSON} AS geometry, {_PARCEL_PROPS} AS properties, "
+                 f"{_PARCEL_FEATURE} AS feature, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, "
+                 f"c_custkey) + 10 AS pos FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' "
+                 f"ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 10) t")
+
+_ORACLE.update({
+    "spatial_join_points": f"SELECT event_id AS site_id, c_custkey AS parcel_id FROM events, customer "
+                           f"WHERE {_SITE_IN_PARCEL}",
+    "st_contains_point": f"SELECT n_nationkey AS zone_id, count(*) AS n_sites FROM events, nation "
+                         f"WHERE {_SITE_IN_ZONE} GROUP BY n_nationkey",
+    "identify_point": "SELECT site_id, layer, feature_id FROM (SELECT site_id, layer, feature_id, row_number() "
+                      "OVER (PARTITION BY site_id ORDER BY ord DESC, feature_id) AS rn FROM ("
+                      f"SELECT event_id AS site_id, 'parcels' AS layer, 1 AS ord, CAST(c_custkey AS VARCHAR) AS "
+                      f"feature_id FROM events, customer WHERE {_SITE_IN_PARCEL} UNION ALL "
+                      f"SELECT event_id, 'zones', 0, CAST(n_nationkey AS VARCHAR) FROM events, nation "
+                      f"WHERE {_SITE_IN_ZONE}) u) r WHERE rn = 1",
+    "st_area": f"SELECT c_custkey AS parcel_id, round({_PS} * {_PS}, 15) AS area, "
+               f"round(4 * {_PS}, 12) AS perimeter FROM customer",
+    "st_length": "SELECT n_nationkey AS zone_id, round(0.4e0 + sqrt(0.08e0), 12) AS length FROM nation",
+    "st_distance": f"SELECT event_id AS site_id, round(sqrt(({_SX} - 144.5e0) * ({_SX} - 144.5e0) + "
+                   f"({_SY} + 38e0) * ({_SY} + 38e0)), 12) AS distance FROM events",
+    "st_centroid": f"SELECT c_custkey AS parcel_id, round({_PX} + {_PS} / 2, 12) AS cx, "
+                   f"round({_PY} + {_PS} / 2, 12) AS cy FROM customer",
+    "st_accessors": f"SELECT event_id AS site_id, {_SX} AS x, {_SY} AS y, 1 AS n_points FROM events",
+    "geometry_extent": f"SELECT n_nationkey AS zone_id, {_ZX} AS xmin, {_ZY} AS ymin, {_ZX} + 0.2e0 AS xmax, "
+                       f"{_ZY} + 0.2e0 AS ymax FROM nation",
+    "st_intersects_box": f"SELECT c_custkey AS parcel_id FROM customer WHERE {_PX} <= 144.5e0 AND "
+                         f"{_PX} + {_PS} >= 144.2e0 AND {_PY} <= -38.1e0 AND {_PY} + {_PS} >= -38.4e0",
+    "st_constructors": f"SELECT event_id AS site_id, ST_AsGeoJSON(ST_GeomFromGeoJSON('{{\"type\":\"Point\","
+                       f"\"coordinates\":' || {_pos(_SX, _SY)} || '}}')) AS geometry FROM events",
+    "wkb_decode": "SELECT c_custkey AS parcel_id, 3 AS gtype, 0 AS zm, 1 AS n_parts, 1 AS n_rings, "
+                  "5 AS n_points FROM customer",
+    "geojson_geometry": f"SELECT c_custkey AS parcel_id, {_PARCEL_GEOJSON} AS geometry FROM customer",
+    "geojson_feature": f"SELECT c_custkey AS parcel_id, {_PARCEL_FEATURE} AS feature FROM customer",
+    "query_geojson": f"SELECT type, geometry, properties, pos FROM ({_GEO_PAGE_SQL}) q",
+    "feature_collection": "SELECT '{\"type\":\"FeatureCollection\",\"features\":[' || "
+                          f"string_agg(feature, ',' ORDER BY pos) || ']}}' AS collection, count(*) AS count "
+                          f"FROM ({_GEO_PAGE_SQL}) q",
+    "layer_extent": f"SELECT min({_PX}) AS xmin, min({_PY}) AS ymin, max({_PX} + {_PS}) AS xmax, "
+                    f"max({_PY} + {_PS}) AS ymax FROM customer",
+    "query_extent": f"SELECT min({_PX}) AS xmin, min({_PY}) AS ymin, max({_PX} + {_PS}) AS xmax, "
+                    f"max({_PY} + {_PS}) AS ymax FROM customer WHERE c_mktsegment = 'BUILDING'",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _ORACLE.items() if v is not None and k in _QUERIES}

@@ -250,3 +250,18 @@ def wkb_decode(c: Column | str) -> Column:
 def wkb_encode(c: Column | str) -> Column:
     """Decoded geometry struct -> little-endian ISO WKB bytes."""
     return wkb_encode_udf(F.col(c) if isinstance(c, str) else c)
+
+
+# -- per-row parse (small helper for the SQL functions usable inside ``where``) ----
+def parse_one(v: bytes):
+    """WKB -> ``(gtype, zm, [(ptype, [ring (n, d) ndarray ...]) ...])``; None for NULL."""
+    if v is None:
+        return None
+    b = _Builder()
+    _, gtype, zm = _read_geometry(memoryview(v), 0, b)
+    dims = _dims(zm)
+    coords = np.concatenate(b.coords) if b.coords else np.zeros(0)
+    rings = [coords[b.pos_off[b.ring_off[i]]:b.pos_off[b.ring_off[i + 1]]].reshape(-1, dims)
+             for i in range(len(b.ring_off) - 1)]
+    parts = [(b.part_types[k], rings[b.part_off[k]:b.part_off[k + 1]]) for k in range(len(b.part_types))]
+    return gtype, zm, parts
