@@ -468,6 +468,203 @@ for _k, (_layer, _w, _out) in WHERE_CASES.items():
     _QUERIES[_k] = _where(_layer, _w, _out)
 
 
+# -- stages 5-7: ingest, registry, reprojection, tiles, streaming -------------------------
+_runs: dict[tuple, dict] = {}
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from featurespark.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/featurespark-{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _uploads(spark, d) -> str:
+    """An upload tree written from the tables (kept: listing/discovery keys read it)."""
+    key = ("uploads", id(spark), d)
+    if key not in _runs:
+        from featurespark.sources.samples import write_upload_tree
+
+        _runs[key] = {"up": write_upload_tree(layers(spark, d), _scratch(spark, "uploads"))}
+    return _runs[key]["up"]
+
+
+def _ingested(spark, d) -> dict:
+    """One full ingest run (tiles on, sources deleted) over its own upload tree."""
+    key = ("ingest", id(spark), d)
+    if key not in _runs:
+        from featurespark.sources.ingest import IngestOptions, run_ingest
+        from featurespark.sources.samples import write_upload_tree
+
+        root = _scratch(spark, "ingest")
+        up = write_upload_tree(layers(spark, d), root)
+        opts = IngestOptions(uploads=up, output=f"{root}/out", source_epsg=7844,
+                             tile_args={"zmin": 8, "zmax": 11, "cap": 50})
+        summary = run_ingest(spark, opts)
+        _runs[key] = {"root": root, "up": up, "out": opts.output, "summary": summary.collect(),
+                      "schema": summary.schema}
+    return _runs[key]
+
+
+def q_ingest_listing(spark, d):
+    from featurespark.sources.ingest import list_uploads
+
+    return list_uploads(layers(spark, d).spark, _uploads(spark, d))
+
+
+def q_ingest_datasets(spark, d):
+    from featurespark.sources.ingest import find_datasets, list_uploads
+
+    return find_datasets(list_uploads(layers(spark, d).spark, _uploads(spark, d))).select("dataset")
+
+
+def q_ingest_spatial_layers(spark, d):
+    from featurespark.sources.ingest import find_datasets, layer_files, list_uploads, spatial_layers
+
+    s = layers(spark, d).spark
+    listing = list_uploads(s, _uploads(spark, d))
+    return spatial_layers(s, layer_files(listing, find_datasets(listing))).select(
+        "dataset", "layer", "format", "has_geometry")
+
+
+def q_ingest_summary(spark, d):
+    run = _ingested(spark, d)
+    s = layers(spark, d).spark
+    return s.createDataFrame(run["summary"], run["schema"]).select("dataset", "layer", "rows", "status")
+
+
+def q_ingest_layer_roundtrip(spark, d):
+    G, FT, SP = _geo()
+    out = Layers(spark, _ingested(spark, d)["out"])
+    p = FT.with_decoded(out.read("parcels"), "geometry", "g")
+    return p.select("parcel_id", "name", "segment", "acctbal", "bbox.xmin", "bbox.ymin", "bbox.xmax",
+                    "bbox.ymax", G.geojson("g").alias("geometry"))
+
+
+def q_export_geojson(spark, d):
+    s = layers(spark, d).spark
+    t = s.read.text(f"{_ingested(spark, d)['out']}/geojson/parcels")
+    return t.select(F.get_json_object("value", "$.properties.parcel_id").cast("long").alias("parcel_id"),
+                    F.regexp_extract("value", r'^\{"type":"Feature","geometry":(.*),"properties":', 1)
+                    .alias("geometry"))
+
+
+def _registry(spark, d):
+    from featurespark.sources.ingest import read_registry
+
+    return read_registry(layers(spark, d).spark, f"{_ingested(spark, d)['out']}/config.json")
+
+
+def q_layer_registry(spark, d):
+    return _registry(spark, d)
+
+
+def q_registry_check(spark, d):
+    from featurespark.sources.ingest import registry_check
+
+    return registry_check(_registry(spark, d), Layers(spark, _ingested(spark, d)["out"]).list())
+
+
+def q_registry_visible(spark, d):
+    from featurespark.sources.ingest import visible_layers
+
+    return visible_layers(_registry(spark, d)).select("pos", "id")
+
+
+def _site_xy(spark, d):
+    from featurespark.sources.samples import SITE_X, SITE_Y
+
+    e = layers(spark, d).read("events")
+    return e.select(F.col("event_id").alias("site_id"), F.expr(SITE_X).alias("lon"), F.expr(SITE_Y).alias("lat"))
+
+
+def _roundtrip(spark, d, epsg):
+    from featurespark.functions import crs
+    from featurespark.functions.geometry import make_point
+
+    s = _site_xy(spark, d)
+    if epsg == 3857:
+        x, y = crs.forward_mercator(F.col("lon"), F.col("lat"))
+    else:
+        zone, south, fl = crs._tm_params(epsg)
+        x, y = crs.forward_tm(F.col("lon"), F.col("lat"), zone, south, fl)
+    g = crs.to_4326(make_point(x, y), epsg)
+    p = g["parts"][0]["rings"][0][0]
+    return s.select("site_id", F.round(p[0], 9).alias("lon"), F.round(p[1], 9).alias("lat"))
+
+
+def q_reproject_3857_4326(spark, d):
+    return _roundtrip(spark, d, 3857)
+
+
+def q_reproject_tm(spark, d):
+    return _roundtrip(spark, d, 7855)
+
+
+def _parcel_boxes(spark, d):
+    return layers(spark, d).read("parcels").select("parcel_id", F.col("bbox").alias("__bb"))
+
+
+def q_tile_assign(spark, d):
+    from featurespark.operators.tiles import assign_tiles
+
+    return assign_tiles(_parcel_boxes(spark, d), ["parcel_id"], 10, 12).select("parcel_id", "z", "x", "y")
+
+
+def q_tile_density(spark, d):
+    from featurespark.operators.tiles import assign_tiles, tile_density
+
+    return tile_density(assign_tiles(_parcel_boxes(spark, d), ["parcel_id"], 12, 12))
+
+
+def q_tile_zoom_guess(spark, d):
+    from featurespark.operators.tiles import guess_max_zoom
+
+    return guess_max_zoom(_parcel_boxes(spark, d), cap=8)
+
+
+def q_tile_thin(spark, d):
+    from featurespark.operators.tiles import assign_tiles, thin_tiles
+
+    t = assign_tiles(_parcel_boxes(spark, d), ["parcel_id"], 10, 10)
+    return thin_tiles(t, "parcel_id", cap=3)
+
+
+def q_stream_ingest(spark, d):
+    from featurespark.sources.ingest import IngestOptions
+    from featurespark.sources.samples import write_upload_tree
+    from featurespark.streaming.arrival import ingest_on_arrival, log_path
+
+    s = layers(spark, d).spark
+    root = _scratch(spark, "stream")
+    up = write_upload_tree(layers(spark, d), root)
+    opts = IngestOptions(uploads=up, output=f"{root}/out", make_tiles=False)
+    q = ingest_on_arrival(s, opts, f"{root}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return s.read.parquet(log_path(opts)).select("dataset", "layer", "rows", "status")
+
+
+_QUERIES.update({
+    "ingest_listing": q_ingest_listing,
+    "ingest_datasets": q_ingest_datasets,
+    "ingest_spatial_layers": q_ingest_spatial_layers,
+    "ingest_summary": q_ingest_summary,
+    "ingest_layer_roundtrip": q_ingest_layer_roundtrip,
+    "export_geojson": q_export_geojson,
+    "layer_registry": q_layer_registry,
+    "registry_check": q_registry_check,
+    "registry_visible": q_registry_visible,
+    "reproject_3857_4326": q_reproject_3857_4326,
+    "reproject_tm": q_reproject_tm,
+    "tile_assign": q_tile_assign,
+    "tile_density": q_tile_density,
+    "tile_zoom_guess": q_tile_zoom_guess,
+    "tile_thin": q_tile_thin,
+    "stream_ingest": q_stream_ingest,
+})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -668,5 +865,63 @@ _ORACLE.update({
 })
 
 
+def _tx(lon: str, z: str) -> str:
+    return f"CAST(least(greatest(floor(({lon} + 180e0) / 360e0 * pow(2e0, {z})), 0), pow(2e0, {z}) - 1) AS BIGINT)"
+
+
+def _ty(lat: str, z: str) -> str:
+    return (f"CAST(least(greatest(floor((1e0 - asinh(tan(radians({lat}))) / pi()) / 2e0 * pow(2e0, {z})), 0), "
+            f"pow(2e0, {z}) - 1) AS BIGINT)")
+
+
+def _tiles_sql(z0: int, z1: int) -> str:
+    boxes = (f"SELECT c_custkey AS parcel_id, {_PX} AS xmin, {_PY} AS ymin, {_PX} + {_PS} AS xmax, "
+             f"{_PY} + {_PS} AS ymax FROM customer")
+    zs = f"SELECT b.*, CAST(z.z AS INTEGER) AS z FROM ({boxes}) b, range({z0}, {z1 + 1}) z(z)"
+    xr = (f"SELECT parcel_id, z, unnest(generate_series({_tx('xmin', 'z')}, {_tx('xmax', 'z')})) AS x, "
+          f"{_ty('ymax', 'z')} AS y0, {_ty('ymin', 'z')} AS y1, (xmin + xmax) / 2 AS cx, "
+          f"(ymin + ymax) / 2 AS cy FROM ({zs}) q")
+    return f"SELECT parcel_id, z, x, unnest(generate_series(y0, y1)) AS y, cx, cy FROM ({xr}) r"
+
+
+_REGISTRY_SQL = (
+    "SELECT CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS pos, id, label, visibleByDefault, opacity, color "
+    "FROM (SELECT DISTINCT 'parcels_' || lower(c_mktsegment) AS id, c_mktsegment AS label, "
+    "c_mktsegment < 'H' AS visibleByDefault, 0.4e0 AS opacity, '#ef6c00' AS color FROM customer) s "
+    "UNION ALL SELECT (SELECT count(DISTINCT c_mktsegment) FROM customer) + 1, 'parcels', 'Parcels', true, "
+    "0.15e0, '#ef6c00' UNION ALL SELECT (SELECT count(DISTINCT c_mktsegment) FROM customer) + 2, 'sites', "
+    "'Sites', false, 1.0e0, '#1976d2'")
+
+_ORACLE.update({
+    "ingest_datasets": "SELECT 'parcels_ds' AS dataset UNION ALL SELECT 'sites_ds'",
+    "ingest_spatial_layers": "SELECT * FROM (VALUES ('parcels_ds', 'parcels', 'geojsonl', true), "
+                             "('parcels_ds', 'nations', 'geojsonl', false), ('sites_ds', 'sites', 'parquet', true)) "
+                             "v(dataset, layer, format, has_geometry)",
+    "ingest_summary": "SELECT 'parcels_ds' AS dataset, 'parcels' AS layer, (SELECT count(*) FROM customer) AS rows, "
+                      "'ok' AS status UNION ALL SELECT 'sites_ds', 'sites', (SELECT count(*) FROM events), 'ok' "
+                      "UNION ALL SELECT 'parcels_ds', 'nations', 0, 'skipped: no geometry'",
+    "ingest_layer_roundtrip": f"SELECT c_custkey AS parcel_id, c_name AS name, c_mktsegment AS segment, "
+                              f"c_acctbal AS acctbal, {_PX} AS xmin, {_PY} AS ymin, {_PX} + {_PS} AS xmax, "
+                              f"{_PY} + {_PS} AS ymax, {_PARCEL_GEOJSON} AS geometry FROM customer",
+    "export_geojson": f"SELECT c_custkey AS parcel_id, {_PARCEL_GEOJSON} AS geometry FROM customer",
+    "layer_registry": _REGISTRY_SQL,
+    "registry_check": f"SELECT pos, id, id IN ('parcels', 'sites') AS has_layer FROM ({_REGISTRY_SQL}) r",
+    "registry_visible": f"SELECT pos, id FROM ({_REGISTRY_SQL}) r WHERE visibleByDefault",
+    "reproject_3857_4326": f"SELECT event_id AS site_id, round({_SX}, 9) AS lon, round({_SY}, 9) AS lat FROM events",
+    "reproject_tm": f"SELECT event_id AS site_id, round({_SX}, 9) AS lon, round({_SY}, 9) AS lat FROM events",
+    "tile_assign": f"SELECT parcel_id, z, x, y FROM ({_tiles_sql(10, 12)}) t",
+    "tile_density": f"SELECT z, x, y, count(*) AS n FROM ({_tiles_sql(12, 12)}) t GROUP BY z, x, y",
+    "tile_zoom_guess": (
+        "SELECT CAST(coalesce(min(z), 14) AS INTEGER) AS zoom FROM (SELECT z, median(n) AS m FROM ("
+        f"SELECT z, {_tx('cx', 'z')} AS x, {_ty('cy', 'z')} AS y, count(*) AS n FROM (SELECT "
+        f"{_PX} + {_PS} / 2 AS cx, {_PY} + {_PS} / 2 AS cy, CAST(z.z AS INTEGER) AS z FROM customer, range(0, 15) z(z)) c "
+        "GROUP BY ALL) t GROUP BY z) s WHERE m <= 2"),
+    "tile_thin": (
+        "SELECT parcel_id, z, x, y, dens FROM (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY dens, "
+        "parcel_id) AS r FROM (SELECT *, count(*) OVER (PARTITION BY z, sx, sy) AS dens FROM (SELECT *, "
+        f"{_tx('cx', 'z + 4')} AS sx, {_ty('cy', 'z + 4')} AS sy FROM ({_tiles_sql(10, 10)}) t) u) v) w WHERE r <= 3"),
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _ORACLE.items() if v is not None and k in _QUERIES}

@@ -21,6 +21,15 @@ def _g(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a one-element transform).
+
+    Expression trees repeat a sub-expression each time it is referenced; this
+    binds it to a lambda variable instead, keeping generated code small.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def geojson(g: Column | str) -> Column:
     """H8: decoded geometry -> GeoJSON geometry text (XY, or XYZ when Z present)."""
     g = _g(g)
@@ -55,12 +64,14 @@ def positions(g: Column | str) -> Column:
 
 def extent(g: Column | str) -> Column:
     """D5 per row: ``struct(xmin, ymin, xmax, ymax)``; NULL for NULL/empty."""
-    pos = positions(g)
-    xs = F.transform(pos, lambda c: c[0])
-    ys = F.transform(pos, lambda c: c[1])
-    box = F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"),
-                   F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
-    return F.when(F.size(pos) > 0, box)
+    def box(pos):
+        xs = F.transform(pos, lambda c: c[0])
+        ys = F.transform(pos, lambda c: c[1])
+        b = F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"),
+                     F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+        return F.when(F.size(pos) > 0, b)
+
+    return _let(positions(g), box)
 
 
 def _ring_area2(r: Column) -> Column:
@@ -166,22 +177,26 @@ def centroid(g: Column | str) -> Column:
                         (t["cy"] / 6.0 + a * y0).alias("my"))
 
     def oriented(p):
-        # shell counts positive, holes negative, regardless of ring orientation
-        return F.transform(p["rings"], lambda r, i: F.when(
-            (i == 0) == (ring_terms(r)["a"] >= 0), ring_terms(r)).otherwise(F.struct(
-                (-ring_terms(r)["a"]).alias("a"), (-ring_terms(r)["mx"]).alias("mx"),
-                (-ring_terms(r)["my"]).alias("my"))))
+        # shell counts positive, holes negative, regardless of ring orientation:
+        # multiply each ring's terms by sign(+1 shell / -1 hole) * sign(area)
+        raw = F.transform(p["rings"], ring_terms)
+        return F.transform(raw, lambda t, i: F.struct(
+            (F.abs(t["a"]) * F.when(i == 0, 1.0).otherwise(-1.0)).alias("a"),
+            (t["mx"] * F.when((i == 0) == (t["a"] >= 0), 1.0).otherwise(-1.0)).alias("mx"),
+            (t["my"] * F.when((i == 0) == (t["a"] >= 0), 1.0).otherwise(-1.0)).alias("my")))
 
     terms = F.flatten(F.transform(F.filter(g["parts"], lambda p: p["ptype"] == 3), oriented))
     tot = F.aggregate(terms, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my")),
                       lambda acc, t: F.struct((acc["a"] + t["a"]).alias("a"), (acc["mx"] + t["mx"]).alias("mx"),
                                               (acc["my"] + t["my"]).alias("my")))
-    pos = positions(g)
-    n = F.size(pos)
-    mean = F.struct((F.aggregate(pos, F.lit(0.0), lambda a, c: a + c[0]) / n).alias("x"),
-                    (F.aggregate(pos, F.lit(0.0), lambda a, c: a + c[1]) / n).alias("y"))
-    poly = F.struct((tot["mx"] / tot["a"]).alias("x"), (tot["my"] / tot["a"]).alias("y"))
-    return F.when(tot["a"] != 0, poly).when(n > 0, mean)
+    def finish(t, pos):
+        n = F.size(pos)
+        mean = F.struct((F.aggregate(pos, F.lit(0.0), lambda a, c: a + c[0]) / n).alias("x"),
+                        (F.aggregate(pos, F.lit(0.0), lambda a, c: a + c[1]) / n).alias("y"))
+        poly = F.struct((t["mx"] / t["a"]).alias("x"), (t["my"] / t["a"]).alias("y"))
+        return F.when(t["a"] != 0, poly).when(n > 0, mean)
+
+    return _let(tot, lambda t: _let(positions(g), lambda pos: finish(t, pos)))
 
 
 def distance_point_point(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -57,8 +57,18 @@ def geometry_extents(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     return dec.withColumn("extent", G.extent(F.col(DECODED))).drop(DECODED)
 
 
-def point_xy(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
-    """Add ``__x``/``__y`` of point features (decoded once, natively read)."""
+def point_xy(df: DataFrame, geom_col: str = "geometry", bbox_col: str = "bbox") -> DataFrame:
+    """Add ``__x``/``__y`` of point features.
+
+    With a stored covering column the coordinates are read from it (a point's
+    extent is the point itself; rows whose extent is not degenerate are not
+    points and get NULL) — no geometry decode at all. Otherwise the WKB is
+    decoded once.
+    """
+    if bbox_col in df.columns:
+        b = F.col(bbox_col)
+        is_pt = (b["xmin"] == b["xmax"]) & (b["ymin"] == b["ymax"])
+        return df.withColumn("__x", F.when(is_pt, b["xmin"])).withColumn("__y", F.when(is_pt, b["ymin"]))
     dec = with_decoded(df, geom_col, "__pt")
     return dec.withColumn("__x", G.point_x(F.col("__pt"))) \
               .withColumn("__y", G.point_y(F.col("__pt"))).drop("__pt")
@@ -109,7 +119,10 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[
                                                  F.floor(F.col("__ymax") / F.col("__cs")))).alias("__cy")) \
                .drop("__ymin", "__ymax", "__cs")
 
-    pts = point_xy(points, point_geom).where(F.col("__x").isNotNull())
+    # NULL coordinates drop out at the equi-join (NULL keys never match); an
+    # explicit filter here would be pushed below the projection and make Spark
+    # evaluate the decode twice.
+    pts = point_xy(points, point_geom, bbox_col)
     lv = F.explode(F.array(*[F.lit(v) for v in levels])).alias("__lvl")
     pts = pts.select(*[F.col(f"`{c}`") for c in point_cols], "__x", "__y", lv)
     pcs = _cell_size(F.col("__lvl"), base)

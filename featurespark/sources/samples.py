@@ -68,6 +68,46 @@ def zones(nation: DataFrame) -> DataFrame:
         _bbox(x, y, x + leg, y + leg).alias("bbox"), wkb_encode(G.make_polygon(ring)).alias("geometry"))
 
 
+def registry_entries(customer: DataFrame) -> DataFrame:
+    """Layer registry rows derived from the data: one per customer segment."""
+    seg = customer.select(F.col("c_mktsegment").alias("segment")).distinct()
+    return seg.select(F.concat(F.lit("parcels_"), F.lower("segment")).alias("id"),
+                      F.col("segment").alias("label"), (F.col("segment") < F.lit("H")).alias("visibleByDefault"),
+                      F.lit(0.4).alias("opacity"), F.lit("#ef6c00").alias("color"))
+
+
+def write_upload_tree(layers, root: str) -> str:
+    """An upload tree Spark writes from the driver tables, for ingest jobs.
+
+    ``parcels_ds.gdb/parcels.geojsonl`` (polygons), ``parcels_ds.gdb/nations.geojsonl``
+    (no geometry), ``sites_ds.gdb/sites.parquet`` (points, WKB) and ``config.json``
+    (registry from the parcel segments plus the ``parcels`` and ``sites`` layers).
+    """
+    import json
+
+    from featurespark.operators.features import feature_text, features
+
+    spark = layers.spark
+    up = f"{root.rstrip('/')}/uploads"
+    p = layers.read("parcels").drop("bbox")
+    features(p, "geometry", [c for c in p.columns if c != "geometry"]) \
+        .select(feature_text().alias("value")).write.mode("overwrite").text(f"{up}/parcels_ds.gdb/parcels.geojsonl")
+    n = layers.read("nation")
+    n.select(F.concat(F.lit('{"type":"Feature","geometry":null,"properties":'), F.to_json(F.struct(*n.columns)),
+                      F.lit("}")).alias("value")).write.mode("overwrite").text(f"{up}/parcels_ds.gdb/nations.geojsonl")
+    layers.read("sites").drop("bbox").write.mode("overwrite").parquet(f"{up}/sites_ds.gdb/sites.parquet")
+    entries = [r.asDict() for r in registry_entries(layers.read("customer")).orderBy("id").collect()]
+    entries += [{"id": "parcels", "label": "Parcels", "visibleByDefault": True, "opacity": 0.15, "color": "#ef6c00"},
+                {"id": "sites", "label": "Sites", "visibleByDefault": False, "opacity": 1.0, "color": "#1976d2"}]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{up}/config.json")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(json.dumps({"layers": entries}, indent=2).encode("utf-8")))
+    out.close()
+    return up
+
+
 def with_samples(layers):
     """Register the derived layers on a ``Layers`` catalogue built over driver tables."""
     names = set(layers.names())
