@@ -129,19 +129,19 @@ def q_query_page_count(spark, d):
 
 # -- stage 1: catalogue ------------------------------------------------------------
 def q_list_layers(spark, d):
-    return Layers(spark, d).list()
+    return Layers.open(spark, d).list()
 
 
 def q_describe_columns(spark, d):
-    return Layers(spark, d).columns_df()
+    return Layers.open(spark, d).columns_df()
 
 
 def q_feature_count(spark, d):
-    return Layers(spark, d).feature_counts()
+    return Layers.open(spark, d).feature_counts()
 
 
 def q_describe_layer(spark, d):
-    L = Layers(spark, d)
+    L = Layers.open(spark, d)
     cols = L.columns_df().groupBy("layer").agg(
         F.count(F.lit(1)).alias("n_columns"),
         F.sum(F.col("is_geometry").cast("int")).alias("n_geometry"))

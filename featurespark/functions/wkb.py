@@ -145,11 +145,15 @@ def _read_single(buf, off, end, base, dims, b: _Builder) -> int:
         return off + 8 * dims, True
     if base == 2:
         (n,) = struct.unpack_from(end + "I", buf, off)
+        if n == 0:                          # LINESTRING EMPTY
+            return off + 4, False
         off = _read_positions(buf, off + 4, end, n, dims, b)
         b.end_part(2, 1)
         return off, True
     (nr,) = struct.unpack_from(end + "I", buf, off)
     off += 4
+    if nr == 0:                             # POLYGON EMPTY
+        return off, False
     for _ in range(nr):
         (n,) = struct.unpack_from(end + "I", buf, off)
         off = _read_positions(buf, off + 4, end, n, dims, b)

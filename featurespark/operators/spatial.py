@@ -123,6 +123,12 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[
     # explicit filter here would be pushed below the projection and make Spark
     # evaluate the decode twice.
     pts = point_xy(points, point_geom, bbox_col)
+    # The refine step is CPU-bound: a point layer stored in a few large
+    # row groups would otherwise run in a few tasks. Spread it over the
+    # cluster's cores (never triggers on a layer already split finely).
+    par = pts.sparkSession.sparkContext.defaultParallelism
+    if pts.rdd.getNumPartitions() < par:
+        pts = pts.repartition(par)
     lv = F.explode(F.array(*[F.lit(v) for v in levels])).alias("__lvl")
     pts = pts.select(*[F.col(f"`{c}`") for c in point_cols], "__x", "__y", lv)
     pcs = _cell_size(F.col("__lvl"), base)

@@ -66,6 +66,17 @@ class Layers:
         self._schemas: dict[str, T.StructType] = {}
         self._derived: dict[str, DataFrame] = {}
 
+    _open: dict = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> "Layers":
+        """A long-lived catalogue per (session, root): schemas and listing are
+        cached between requests (call :meth:`refresh` after new layers land)."""
+        key = (id(spark), root)
+        if key not in cls._open:
+            cls._open[key] = cls(spark, root)
+        return cls._open[key]
+
     # -- catalogue -------------------------------------------------------
     def refresh(self) -> "Layers":
         self._names = None
@@ -147,8 +158,24 @@ class Layers:
                  .select(F.lit(layer).alias("layer"), "feature_count")
 
     def feature_counts(self, layers: list[str] | None = None) -> DataFrame:
-        """A6 for many layers in one job: ``(layer, feature_count)``."""
-        frames = [self.count_df(n) for n in (layers or self.names())]
+        """A6 for many layers in one scan: ``(layer, feature_count)``.
+
+        All layer files are read by one Parquet scan that requests no column at
+        all (row counts come from row-group metadata), grouped by the layer the
+        file belongs to — one job however many layers there are.
+        """
+        names = [self.validate(n) for n in (layers or self.names())]
+        files = [n for n in names if n not in self._derived]
+        frames = [self.count_df(n) for n in names if n in self._derived]
+        if files:
+            scan = self.spark.read.parquet(*[self.path(n) for n in files])
+            layer = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.parquet(/[^/]*)?$", 1)
+            counted = scan.select(layer.alias("layer")).groupBy("layer") \
+                .agg(F.count(F.lit(1)).alias("feature_count"))
+            # layers with zero rows still get a row
+            every = self.spark.createDataFrame([(n,) for n in files], "layer string")
+            frames.append(every.join(counted, "layer", "left").select(
+                "layer", F.coalesce("feature_count", F.lit(0)).alias("feature_count")))
         return reduce(DataFrame.unionByName, frames)
 
     def describe(self, layer) -> dict:
