@@ -780,9 +780,10 @@ _ORACLE["describe_layer"] = (
 _ORACLE["describe_attributes"] = (
     "SELECT 'customer' AS layer, CAST(ordinal_position AS BIGINT) AS pos, column_name AS name, "
     "data_type AS type, true AS nullable, false AS is_geometry FROM information_schema.columns "
-    "WHERE table_name = 'customer' UNION ALL SELECT 'parcels', p, n, t, true, false FROM (VALUES "
-    "(1, 'parcel_id', 'BIGINT'), (2, 'name', 'VARCHAR'), (3, 'segment', 'VARCHAR'), "
-    "(4, 'acctbal', 'DOUBLE')) v(p, n, t)")
+    "WHERE table_name = 'customer' UNION ALL SELECT 'parcels', p, n, t, nl, false FROM (VALUES "
+    "(1, 'parcel_id', 'BIGINT', true), (2, 'name', 'VARCHAR', true), (3, 'segment', 'VARCHAR', true), "
+    "(4, 'acctbal', 'DOUBLE', true), (5, 'bbox', 'STRUCT(xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE)', "
+    "false)) v(p, n, t, nl)")
 for _k, (_layer, _w, _out) in WHERE_CASES.items():
     _src = _layer if _layer != "orders_nullstatus" else (
         "(SELECT o_orderkey, o_custkey, NULLIF(o_orderstatus, 'F') AS o_orderstatus, o_totalprice, "
