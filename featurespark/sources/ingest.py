@@ -254,17 +254,33 @@ def registry_check(registry: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 # -- K4: the job ----------------------------------------------------------------------------
-def delete_paths(spark: SparkSession, paths: list[str]) -> int:
-    """Delete the listed source files in batches; error if any deletion failed."""
-    failed = []
-    for i in range(0, len(paths), DELETE_BATCH):
-        for p in paths[i:i + DELETE_BATCH]:
+def delete_paths(spark: SparkSession, paths) -> int:
+    """Delete exactly the listed source files, in batches of 1000.
+
+    ``paths`` may be any iterable; with ``DataFrame.toLocalIterator()`` the
+    listing streams one partition at a time, so the driver never holds the
+    whole listing. Raises if any deletion failed.
+    """
+    failed = n = 0
+    batch: list[str] = []
+
+    def flush():
+        nonlocal failed
+        for p in batch:
             fs, hp = _fs(spark, p)
             if fs.exists(hp) and not fs.delete(hp, False):
-                failed.append(p)
+                failed += 1
+        batch.clear()
+
+    for p in paths:
+        batch.append(p)
+        n += 1
+        if len(batch) >= DELETE_BATCH:
+            flush()
+    flush()
     if failed:
-        raise RuntimeError(f"failed to delete {len(failed)} source object(s)")
-    return len(paths)
+        raise RuntimeError(f"failed to delete {failed} source object(s)")
+    return n
 
 
 SUMMARY_SCHEMA = "dataset string, layer string, rows long, outputs array<string>, status string"
@@ -332,6 +348,6 @@ def run_ingest(spark: SparkSession, opts: IngestOptions) -> DataFrame:
     fs, sp = _fs(s, stage)
     fs.delete(sp, True)
     if opts.delete_sources:     # S28: only after everything above succeeded
-        delete_paths(s, [r["path"] for r in listing.select("path").collect()])
+        delete_paths(s, (r["path"] for r in listing.select("path").toLocalIterator()))
     listing.unpersist()
     return s.createDataFrame(summary, SUMMARY_SCHEMA)
