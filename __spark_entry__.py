@@ -141,11 +141,7 @@ def q_feature_count(spark, d):
 
 
 def q_describe_layer(spark, d):
-    L = Layers.open(spark, d)
-    cols = L.columns_df().groupBy("layer").agg(
-        F.count(F.lit(1)).alias("n_columns"),
-        F.sum(F.col("is_geometry").cast("int")).alias("n_geometry"))
-    return L.feature_counts().join(cols, "layer")
+    return Layers.open(spark, d).describe_df()
 
 
 def q_describe_attributes(spark, d):

@@ -168,16 +168,27 @@ class Layers:
         files = [n for n in names if n not in self._derived]
         frames = [self.count_df(n) for n in names if n in self._derived]
         if files:
-            scan = self.spark.read.parquet(*[self.path(n) for n in files])
-            layer = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.parquet(/[^/]*)?$", 1)
-            counted = scan.select(layer.alias("layer")).groupBy("layer") \
-                .agg(F.count(F.lit(1)).alias("feature_count"))
-            # layers with zero rows still get a row
-            every = self.spark.createDataFrame([(n,) for n in files], "layer string")
-            frames.append(every.join(counted, "layer", "left").select(
-                "layer", F.coalesce("feature_count", F.lit(0)).alias("feature_count")))
+            # footer-only counts (V2 aggregate push-down), the small jobs
+            # submitted concurrently; the result is one number per layer
+            from concurrent.futures import ThreadPoolExecutor
+
+            with ThreadPoolExecutor(max_workers=min(8, len(files))) as pool:
+                counts = list(pool.map(lambda n: (n, int(self.count_df(n).first()["feature_count"])),
+                                       files))
+            frames.append(self.spark.createDataFrame(counts, "layer string, feature_count long"))
         return reduce(DataFrame.unionByName, frames)
 
+    def describe_df(self, layers: list[str] | None = None) -> DataFrame:
+        """A6 for many layers: ``(layer, feature_count, n_columns, n_geometry)``.
+
+        Column facts come from the cached footer schemas (no job); counts from
+        one metadata-only scan; the two meet in a broadcast-sized join.
+        """
+        names = [self.validate(n) for n in (layers or self.names())]
+        meta = [(n, len(self.columns(n)), sum(c["is_geometry"] for c in self.columns(n))) for n in names]
+        facts = self.spark.createDataFrame(meta, "layer string, n_columns long, n_geometry long")
+        return self.feature_counts(names).join(F.broadcast(facts), "layer")
+
     def describe(self, layer) -> dict:
         """``{layer, feature_count, columns}``; the count reads footers only."""
         self.validate(layer)
