@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from featurespark import Layers
 from featurespark.operators import predicates as P
 from featurespark.operators.attributes import attribute_table
-from featurespark.operators.distinct import distinct_values, truncated_flag, with_rank
-from featurespark.operators.query import count_matches, page_rows
-from featurespark.params import parse_order_by
+from featurespark.operators.distinct import distinct_values, truncated_flag
+from featurespark.operators.query import count_matches
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
