@@ -660,6 +660,19 @@ _QUERIES.update({
 })
 
 
+# -- training-data operators: an optional subpackage -----------------------------------
+try:
+    import corpus_pipeline
+    from featurespark.llm import registry as _llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "featurespark.llm"):
+        raise
+    _llm = None
+else:
+    _QUERIES.update(_llm.QUERIES)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -920,4 +933,6 @@ _ORACLE.update({
 
 
 def oracle_sql() -> dict[str, str]:
+    if _llm is not None:
+        _ORACLE.update(_llm.ORACLE)
     return {k: v for k, v in _ORACLE.items() if v is not None and k in _QUERIES}
