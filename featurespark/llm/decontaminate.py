@@ -92,7 +92,8 @@ class Passages:
             diag.append(p - self.place[k])
         pos, home, diag = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (pos, home, diag))
         if not len(pos):
-            return (np.zeros(0, np.int64),) * 5
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros(0), none, none
         doc = np.searchsorted(first, pos, side="right") - 1
         length = np.array([len(w) for w in self.words])
         slack = length[home] // 2 + 2
