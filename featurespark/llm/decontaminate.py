@@ -2,9 +2,10 @@
 
 Texts are lower-cased and cut at white space and ASCII punctuation. Test items
 are cut into passages of at most ``PASSAGE`` words. The document frequency of
-every n-gram of a passage is counted over the whole corpus, and the rarer half
-of the passage's n-grams (by rank, so a passage that leaked a thousand times
-still has its seeds) become seeds. Wherever a training text holds a seed, the
+every n-gram of a passage is counted over the whole corpus. Rare ones become
+seeds: those that few documents have, or that are no more frequent than the bulk of
+their passage, so a passage that leaked a thousand times still has its seeds, in
+edited copies too. Wherever a training text holds a seed, the
 surrounding stretch is aligned with the passage: +2 for an equal word, -1 for a
 changed, added or missing one. The score over that of a perfect copy must reach
 ``min_score``.
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from featurespark.llm.shared import _SPACE, gram_hashes, text_chunks, word_bounds, word_hashes
 
 GRAM, PASSAGE, MIN_SCORE = 3, 60, 0.5
+FEW, FEW_SHARE = 20, 1e-4    # few documents: so many, and this share of all
+BULK = 75                    # percentile of a passage's frequencies; twice that is still rare for it
 BLOCK_WORDS = 1 << 20
 _BATCH = 1 << 11          # alignments that are computed together
 _CUT = _SPACE.copy()
@@ -54,13 +57,12 @@ class Passages:
         self.all = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
         self.seed = self.home = self.place = None
 
-    def choose(self, df: np.ndarray) -> None:
-        """Keep the rarer half of each passage's n-grams; ``df`` counts the documents of ``all``."""
+    def choose(self, df: np.ndarray, documents: int) -> None:
+        """Keep each passage's rare n-grams; ``df`` counts the documents of ``all``."""
         seed, home, place = [], [], []
         for i, g in enumerate(self.grams):
-            own = np.unique(g)
-            rare = own[np.lexsort((own, df[np.searchsorted(self.all, own)]))][:-(-len(own) // 2)]
-            at = np.flatnonzero(np.isin(g, rare))
+            own = df[np.searchsorted(self.all, g)]
+            at = np.flatnonzero(own <= max(FEW + FEW_SHARE * documents, 2 * np.percentile(own, BULK)))
             seed.append(g[at])
             home.append(np.full(len(at), i))
             place.append(at)
@@ -155,8 +157,9 @@ def passage_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_te
             continue
 
         def count(batches, passages=passages):
-            found = np.zeros(len(passages.all), np.int64)
+            found = np.zeros(len(passages.all) + 1, np.int64)      # the last counts the documents
             for b in batches:
+                found[-1] += b.num_rows
                 for _, words, first in _words(b.column(0)):
                     for pos, gram in passages.occurrences(words, first, passages.all):
                         doc = np.searchsorted(first, pos, side="right") - 1
@@ -165,10 +168,10 @@ def passage_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_te
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["gram", "n"])
 
-        df = np.zeros(len(passages.all), np.int64)
+        df = np.zeros(len(passages.all) + 1, np.int64)
         for gram, n in texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
             df[gram] = n
-        passages.choose(df)
+        passages.choose(df[:-1], int(df[-1]))
         yield passages
 
 
