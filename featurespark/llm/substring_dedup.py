@@ -6,7 +6,7 @@ with the same anchor make a block, so equal passages are cut alike wherever
 they stand. The steps:
 
 1. anchors that only one document has are left out; nothing there repeats;
-2. the other blocks are indexed by a 128-bit hash of their words, with the
+2. the other blocks are indexed by a 96-bit hash of their words, with the
    smallest document that holds them;
 3. a document is parsed from left to right against that index: the current
    factor grows block by block as long as the next block is known from the same
@@ -14,10 +14,11 @@ they stand. The steps:
 4. a factor ends where a block is unknown. Windows of unknown blocks, which
    touch factor boundaries, are looked up one by one in an index of their own.
    A window repeated from a smaller document is unknown in the smallest one that
-   has it, so this index holds every window that can matter;
+   has it, so this index holds every window that can matter. Anchors whose
+   blocks are all equal have no such windows and are left out here;
 5. words under factors and under found windows are the repeated ones.
 
-Only hashes and the text, dealt by document id, are shuffled.
+Only hashes and the text, dealt once by document id, are shuffled.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurespark.llm.shared import gram_hashes, mix64, run_hashes, text_chunks, word_bounds, word_hashes
 
-WINDOW, ANCHOR = 13, 4
+WINDOW, ANCHOR = 13, 6
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
 
@@ -55,7 +57,7 @@ class Parsed:
             step = min(span, wide - span)
             least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
             span += step
-        self.anchor = least[self.at]
+        self.anchor = least[self.at] >> np.uint64(16)      # equal anchors by chance cost time only
         new = np.ones(len(self.at), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (np.diff(self.at) != 1) | (np.diff(self.doc) != 0)
         self.block = np.flatnonzero(new)                   # first window of every block
@@ -63,7 +65,7 @@ class Parsed:
         self.block_doc = self.doc[self.block]
 
     def _hash(self, lo, hi):
-        return run_hashes(self.words, lo, hi), run_hashes(mix64(self.words ^ _OTHER), lo, hi)
+        return run_hashes(self.words, lo, hi), run_hashes(mix64(self.words ^ _OTHER), lo, hi) >> np.uint64(32)
 
     def block_hashes(self, blocks):
         lo = self.at[self.block[blocks]]
@@ -77,8 +79,21 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _packed(batches):
+    """Texts compressed one by one: what is dealt by id takes under half the bytes."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        packed = [squeeze(t) for t in b.column("text").cast("binary").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+
 def _chunks(batch, window):
-    for some, buf, offsets in text_chunks(batch.column("text")):
+    if "packed" in batch.schema.names:
+        open_ = zstandard.ZstdDecompressor().decompress
+        texts = pa.array([open_(p) for p in batch.column("packed").to_pylist()], pa.binary())
+    else:
+        texts = batch.column("text")
+    for some, buf, offsets in text_chunks(texts):
         yield np.asarray(some), buf, Parsed(buf, offsets, window)
 
 
@@ -105,7 +120,7 @@ def _anchors(window):
                 for i in np.unique(p.block_doc):
                     own = np.unique(p.anchor[p.block[p.block_doc == i]])
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(own), b.column("id").take(pa.array(np.full(len(own), some[i])))], names=["a", "id"])
+                        [b.column("id").take(pa.array(np.full(len(own), some[i]))), _signed(own)], names=["id", "a"])
     return _joined(run)
 
 
@@ -132,22 +147,23 @@ def _blocks(window):
                 own = np.flatnonzero(_by_document(p, some, b.column("anchors"), p.anchor[p.block], p.block_doc))
                 c1, c2 = p.block_hashes(own)
                 ids = b.column("id").take(pa.array(some[p.block_doc[own]]))
-                yield pa.RecordBatch.from_arrays([_signed(c1), _signed(c2), ids], names=["h1", "h2", "id"])
+                yield pa.RecordBatch.from_arrays([ids, _signed(c1), _signed(c2), _signed(p.anchor[p.block[own]])],
+                                                 names=["id", "h1", "h2", "a"])
     return _joined(run)
 
 
 def _windows(window):
-    """Hashes of the windows of blocks that share an anchor but are not known whole."""
+    """Hashes of the windows of blocks with an open anchor that are not known whole."""
     def run(batches):
         for b in batches:
             for some, _, p in _chunks(b, window):
-                shared = _by_document(p, some, b.column("anchors"), p.anchor[p.block], p.block_doc)
+                shared = _by_document(p, some, b.column("open"), p.anchor[p.block], p.block_doc)
                 c1, _ = p.block_hashes(np.arange(len(p.block)))
                 known = _by_document(p, some, b.column("known"), c1, p.block_doc)
                 own = np.flatnonzero(np.repeat(shared & ~known, p.size))
                 w1, w2 = p.window_hashes(own)
                 ids = b.column("id").take(pa.array(some[p.doc[own]]))
-                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), ids], names=["h1", "h2", "id"])
+                yield pa.RecordBatch.from_arrays([ids, _signed(w1), _signed(w2)], names=["id", "h1", "h2"])
     return _joined(run)
 
 
@@ -207,9 +223,8 @@ def _factors(hashes, sizes, refs, window):
 
 
 def _first_seen(hits: DataFrame) -> DataFrame:
-    """Hashes that more than one id has, with the smallest of them."""
-    return hits.groupBy("h1", "h2").agg(F.min("id").alias("ref"), F.max("id").alias("top")) \
-        .filter("ref < top").drop("top")
+    """Hashes that occur more than once, with the smallest id that has them."""
+    return hits.groupBy("h1", "h2").agg(F.min("id").alias("ref"), F.count("*").alias("n")).filter("n > 1").drop("n")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -224,20 +239,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = own.schema["id"]
-    hits = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), kind])
-    anchors = own.filter("id is not null").mapInArrow(_anchors(window), T.StructType([T.StructField("a", T.LongType()), kind]))
+    longs = [T.StructField(c, T.LongType()) for c in ("a", "h1", "h2")]
+    named, unnamed = own.filter("id is not null"), own.filter("id is null")
+    anchors = named.mapInArrow(_anchors(window), T.StructType([kind, longs[0]]))
     shared = anchors.groupBy("a").count().filter("count > 1").select("a")
     wanted = anchors.join(shared, "a", "left_semi").groupBy("id").agg(F.collect_set("a").alias("anchors"))
-    texts = own.join(wanted, "id", "left")
-    blocks = texts.filter("anchors is not null").mapInArrow(_blocks(window), hits)
-    known = blocks.join(_first_seen(blocks), ["h1", "h2"]).filter("id > ref").groupBy("id") \
+    # with its filter, so that inner and outer joins find the same frame to deal
+    dealt = named.mapInArrow(_packed, T.StructType([kind, T.StructField("packed", T.BinaryType())])) \
+        .filter("id is not null")
+    texts = dealt.join(wanted, "id", "left")
+    blocks = texts.filter("anchors is not null").mapInArrow(
+        _blocks(window), T.StructType([kind, longs[1], longs[2], longs[0]]))
+    known = blocks.drop("a").join(_first_seen(blocks), ["h1", "h2"]).filter("id > ref").groupBy("id") \
         .agg(F.collect_set(F.struct("h1", "ref")).alias("k")) \
         .select("id", F.col("k.h1").alias("known"), F.col("k.ref").alias("refs"))
-    texts = texts.join(known, "id", "left")
-    loose = texts.filter("anchors is not null").mapInArrow(_windows(window), hits)
+    differ = blocks.groupBy("a").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("a")
+    opened = blocks.select("id", "a").join(differ, "a", "left_semi").groupBy("id").agg(F.collect_set("a").alias("open"))
+    texts = dealt.join(known, "id", "left").join(opened, "id", "left")
+    loose = texts.filter("open is not null").mapInArrow(_windows(window), T.StructType([kind, *longs[1:]]))
     tail = loose.join(_first_seen(loose), ["h1", "h2"]).filter("id > ref").groupBy("id") \
         .agg(F.collect_set("h1").alias("tail"))
-    return texts.join(tail, "id", "left").mapInArrow(_spans(window), T.StructType([kind, *T.StructType.fromDDL(
+    nothing = {"known": "array<long>", "refs": f"array<{kind.dataType.simpleString()}>", "open": "array<long>",
+               "tail": "array<long>"}
+    rows = texts.join(tail, "id", "left").unionByName(
+        unnamed.mapInArrow(_packed, dealt.schema).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}))
+    return rows.mapInArrow(_spans(window), T.StructType([kind, *T.StructType.fromDDL(
         "n_words long, n_removed long, n_factors long, longest_factor long, kept_text string, kept_sha256 string")]))
 
 
