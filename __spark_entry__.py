@@ -116,6 +116,17 @@ def q_query_page_unsorted(spark, d):
                                   offset=20, count=100).positioned()
 
 
+def q_query_page_deep(spark, d):
+    return layers(spark, d).query("lineitem", out_fields="l_orderkey,l_linenumber,l_extendedprice",
+                                  order_by="l_extendedprice DESC, l_orderkey, l_linenumber",
+                                  offset=50000, count=100).positioned()
+
+
+def q_query_page_unsorted_far(spark, d):
+    return layers(spark, d).query("lineitem", where="l_quantity > 10", out_fields="l_orderkey,l_linenumber",
+                                  offset=30000, count=50).positioned()
+
+
 def q_query_json(spark, d):
     return layers(spark, d).query("orders", where="\"o_custkey\" < 100", order_by="o_orderkey",
                                   count=1000).positioned()
@@ -132,7 +143,7 @@ def q_list_layers(spark, d):
 
 
 def q_describe_columns(spark, d):
-    return Layers.open(spark, d).columns_df()
+    return layers(spark, d).columns_df([*Layers.open(spark, d).names(), "zones"])
 
 
 def q_feature_count(spark, d):
@@ -246,6 +257,36 @@ WHERE_CASES = {
 }
 
 
+# through the SQL functions: layer, predicate, output, the same condition over the coordinates
+_LINE = "ST_GeomFromText('LINESTRING(144.5003 -38.2, 144.5003 -37.9)')"
+_HOLED = ("ST_GeomFromText('POLYGON((144.2 -38.4, 144.6 -38.4, 144.6 -38.0, 144.2 -38.0, 144.2 -38.4), "
+          "(144.3 -38.3, 144.3 -38.2, 144.4 -38.2, 144.4 -38.3, 144.3 -38.3))')")
+SPATIAL_CASES = {
+    "where_st_contains": ("zones", "ST_Contains(geometry, ST_Point(144.253, -38.421))", "zone_id"),
+    "where_st_covers": ("steps", "ST_Covers(geometry, ST_Point(7, 7))", "step_id"),
+    "where_st_contains_edge": ("steps", "ST_Contains(geometry, ST_Point(7, 7))", "step_id"),
+    "where_st_within": ("sites", f"ST_Within(geometry, {_HOLED})", "site_id"),
+    "where_st_intersects_line": ("parcels", "ST_Intersects(geometry, ST_GeomFromText("
+                                 "'LINESTRING(144.2003 -38.45, 144.2003 -37.6)'))", "parcel_id"),
+    "where_st_disjoint": ("parcels", "ST_Disjoint(geometry, ST_MakeEnvelope(144.1001, -38.4999, 144.9001, -37.5999))",
+                          "parcel_id"),
+    "where_st_dwithin": ("sites", f"ST_DWithin(geometry, {_LINE}, 0.05)", "site_id"),
+    "where_st_distance": ("sites", f"ST_Distance(geometry, {_LINE}) > 0.3", "site_id"),
+    "where_st_area": ("parcels", "ST_Area(geometry) > 0.0000015 AND ST_Perimeter(geometry) < 0.007", "parcel_id"),
+    "where_st_centroid": ("parcels", "ST_X(ST_Centroid(geometry)) < 144.3001", "parcel_id"),
+    "where_st_asgeojson": ("sites", "ST_AsGeoJSON(geometry) LIKE '%[144.05%'", "site_id"),
+    "where_st_astext": ("lattice", "ST_AsText(geometry) = 'POINT (7 3)'", "site_id"),
+    "where_st_fromgeojson": ("sites", "ST_DWithin(geometry, ST_GeomFromGeoJSON("
+                             "'{\"type\":\"Point\",\"coordinates\":[144.5003,-38.0]}'), 0.1001)", "site_id"),
+}
+
+
+def _spatial(layer, where, out):
+    def run(spark, d):
+        return layers(spark, d).filter(layer, where).select(out)
+    return run
+
+
 def q_semi_in(spark, d):
     return layers(spark, d).filter(
         "orders", "o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
@@ -288,6 +329,18 @@ def q_st_contains_point(spark, d):
     return pairs.groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
+def q_spatial_join_boundary(spark, d):
+    G, FT, SP = _geo()
+    L = layers(spark, d)
+    return SP.points_in_polygons(L.read("lattice"), L.read("steps"), ["site_id"], ["step_id"])
+
+
+def q_spatial_join_sizes(spark, d):
+    G, FT, SP = _geo()
+    L = layers(spark, d)
+    return SP.points_in_polygons(L.read("lattice"), L.read("nested"), ["site_id"], ["square_id"])
+
+
 def q_identify_point(spark, d):
     G, FT, SP = _geo()
     L = layers(spark, d)
@@ -403,6 +456,8 @@ def q_query_extent(spark, d):
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spatial_join_points": q_spatial_join_points,
     "st_contains_point": q_st_contains_point,
+    "spatial_join_boundary": q_spatial_join_boundary,
+    "spatial_join_sizes": q_spatial_join_sizes,
     "identify_point": q_identify_point,
     "st_area": q_st_area,
     "st_length": q_st_length,
@@ -432,6 +487,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "query_page": q_query_page,
     "query_top_k": q_query_top_k,
     "query_page_unsorted": q_query_page_unsorted,
+    "query_page_deep": q_query_page_deep,
+    "query_page_unsorted_far": q_query_page_unsorted_far,
     "query_json": q_query_json,
     "query_page_count": q_query_page_count,
     "list_layers": q_list_layers,
@@ -461,6 +518,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 for _k, (_layer, _w, _out) in WHERE_CASES.items():
     _QUERIES[_k] = _where(_layer, _w, _out)
+for _k, (_layer, _w, _out) in SPATIAL_CASES.items():
+    _QUERIES[_k] = _spatial(_layer, _w, _out)
 
 
 # -- stages 5-7: ingest, registry, reprojection, tiles, streaming -------------------------
@@ -537,14 +596,55 @@ def q_ingest_layer_roundtrip(spark, d):
                     "bbox.ymax", G.geojson("g").alias("geometry"))
 
 
+def _published(spark, out: str, kind: str, layer: str) -> str:
+    from featurespark.sources.manifest import read_manifest
+
+    return f"{out}/{read_manifest(spark, out)[kind][layer]}"
+
+
 def q_export_geojson(spark, d):
     s = layers(spark, d).spark
-    t = s.read.text(f"{_ingested(spark, d)['out']}/geojson/parcels")
+    t = s.read.text(_published(s, _ingested(spark, d)["out"], "geojson", "parcels"))
     return t.select(F.get_json_object("value", "$.properties.parcel_id").cast("long").alias("parcel_id"),
                     F.regexp_extract("value", r'^\{"type":"Feature","geometry":(.*),"properties":', 1)
                     .alias("geometry"))
 
 
+def _ingest_once(spark, d, name, write, **options) -> str:
+    """The output of one ingest of an upload tree that ``write`` makes."""
+    from featurespark.sources.ingest import IngestOptions, run_ingest
+
+    key = (name, id(spark), d)
+    if key not in _runs:
+        root = _scratch(spark, name)
+        opts = IngestOptions(uploads=write(layers(spark, d), root), output=f"{root}/out", make_tiles=False, **options)
+        run_ingest(spark, opts)
+        _runs[key] = {"out": opts.output}
+    return _runs[key]["out"]
+
+
+def q_ingest_crs_layer(spark, d):
+    """Exports of two layers in different CRS, rounded to a ten-thousandth of a degree."""
+    from featurespark.sources.samples import write_crs_tree
+
+    out, s = _ingest_once(spark, d, "crs", write_crs_tree), layers(spark, d).spark
+    frames = []
+    for layer in ("grid", "degrees"):
+        t = s.read.text(_published(s, out, "geojson", layer))
+        at = [F.get_json_object("value", f"$.geometry.coordinates[{i}]").cast("double") for i in (0, 1)]
+        frames.append(t.select(F.lit(layer).alias("layer"), F.get_json_object(
+            "value", "$.properties.site_id").cast("long").alias("site_id"),
+            F.round(at[0], 4).alias("lon"), F.round(at[1], 4).alias("lat")))
+    return frames[0].unionByName(frames[1])
+
+
+def q_ingest_geometry_names(spark, d):
+    from featurespark.sources.samples import write_names_tree
+
+    lots = Layers(spark, _ingest_once(spark, d, "names", write_names_tree)).read("lots")
+    return lots.select("parcel_id", "bbox", "bbox_1.xmin", "bbox_1.ymax", F.octet_length("SHAPE").alias("n_bytes"))
+
+
 def _registry(spark, d):
     from featurespark.sources.ingest import read_registry
 
@@ -567,34 +667,33 @@ def q_registry_visible(spark, d):
     return visible_layers(_registry(spark, d)).select("pos", "id")
 
 
-def _site_xy(spark, d):
-    from featurespark.sources.samples import SITE_X, SITE_Y
+def _reprojected(spark, d, epsg, x, y, digits):
+    """Fixed grid coordinates brought to longitude and latitude."""
+    from featurespark.functions import crs
+    from featurespark.functions.geometry import make_point
 
     e = layers(spark, d).read("events")
-    return e.select(F.col("event_id").alias("site_id"), F.expr(SITE_X).alias("lon"), F.expr(SITE_Y).alias("lat"))
-
+    g = e.select(F.col("event_id").alias("site_id"), crs.to_4326(make_point(F.expr(x), F.expr(y)), epsg).alias("g"))
+    p = F.col("g.parts")[0]["rings"][0][0]
+    return g.select("site_id", F.round(p[0], digits).alias("lon"), F.round(p[1], digits).alias("lat"))
 
-def _roundtrip(spark, d, epsg):
-    from featurespark.functions import crs
-    from featurespark.functions.geometry import make_point
 
-    s = _site_xy(spark, d)
-    if epsg == 3857:
-        x, y = crs.forward_mercator(F.col("lon"), F.col("lat"))
-    else:
-        zone, south, fl = crs._tm_params(epsg)
-        x, y = crs.forward_tm(F.col("lon"), F.col("lat"), zone, south, fl)
-    g = crs.to_4326(make_point(x, y), epsg)
-    p = g["parts"][0]["rings"][0][0]
-    return s.select("site_id", F.round(p[0], 9).alias("lon"), F.round(p[1], 9).alias("lat"))
+MERCATOR = ("16000000e0 + (event_id * 53 % 1000) * 777e0", "-4500000e0 + (event_id * 29 % 1000) * 777e0")
+LAMBERT = ("2300000e0 + (event_id * 53 % 1000) * 400e0", "2300000e0 + (event_id * 29 % 1000) * 400e0")
 
 
 def q_reproject_3857_4326(spark, d):
-    return _roundtrip(spark, d, 3857)
+    return _reprojected(spark, d, 3857, *MERCATOR, 8)
 
 
 def q_reproject_tm(spark, d):
-    return _roundtrip(spark, d, 7855)
+    from featurespark.sources.samples import GRID_E, GRID_N
+
+    return _reprojected(spark, d, 7855, GRID_E, GRID_N, 4)
+
+
+def q_reproject_lambert(spark, d):
+    return _reprojected(spark, d, 7899, *LAMBERT, 4)
 
 
 def _parcel_boxes(spark, d):
@@ -626,18 +725,27 @@ def q_tile_thin(spark, d):
     return thin_tiles(t, "parcel_id", cap=3)
 
 
+def q_tile_pyramid(spark, d):
+    """The whole pyramid: zooms 8 to wherever no tile holds more than 40 parcels."""
+    from featurespark.operators.tiles import build_tiles
+
+    t = build_tiles(layers(spark, d).read("parcels"), 7844, id_col="parcel_id", zmin=8, zmax=9, cap=40)
+    return t.select("z", "x", "y", F.get_json_object("feature", "$.parcel_id").cast("long").alias("parcel_id"),
+                    F.get_json_object("feature", "$.name").alias("name"))
+
+
 def q_stream_ingest(spark, d):
-    from featurespark.sources.ingest import IngestOptions
+    from featurespark.sources.ingest import IngestOptions, run_log
     from featurespark.sources.samples import write_upload_tree
-    from featurespark.streaming.arrival import ingest_on_arrival, log_path
+    from featurespark.streaming.arrival import ingest_on_arrival
 
     s = layers(spark, d).spark
     root = _scratch(spark, "stream")
     up = write_upload_tree(layers(spark, d), root)
-    opts = IngestOptions(uploads=up, output=f"{root}/out", make_tiles=False)
+    opts = IngestOptions(uploads=up, output=f"{root}/out", make_tiles=False, source_epsg=7844)
     q = ingest_on_arrival(s, opts, f"{root}/checkpoint", available_now=True)
     q.awaitTermination()
-    return s.read.parquet(log_path(opts)).select("dataset", "layer", "rows", "status")
+    return run_log(s, opts.output).select("dataset", "layer", "rows", "status", "epoch")
 
 
 _QUERIES.update({
@@ -652,6 +760,10 @@ _QUERIES.update({
     "registry_visible": q_registry_visible,
     "reproject_3857_4326": q_reproject_3857_4326,
     "reproject_tm": q_reproject_tm,
+    "reproject_lambert": q_reproject_lambert,
+    "ingest_crs_layer": q_ingest_crs_layer,
+    "ingest_geometry_names": q_ingest_geometry_names,
+    "tile_pyramid": q_tile_pyramid,
     "tile_assign": q_tile_assign,
     "tile_density": q_tile_density,
     "tile_zoom_guess": q_tile_zoom_guess,
@@ -690,6 +802,9 @@ def _paged(select: str, order: str, limit: int, offset: int = 0) -> str:
             f"({select} ORDER BY {order} LIMIT {limit} OFFSET {offset}) t")
 
 
+TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+          "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
 _ORACLE = {
     "query_flagship": _paged(
         f"SELECT o_orderkey, o_totalprice, {_iso('o_orderdate')} AS o_orderdate, o_orderdate AS _d "
@@ -727,12 +842,20 @@ _ORACLE = {
         "o_orderpriority FROM orders WHERE o_custkey < 100", "o_orderkey", 1000),
     "query_page_count": "SELECT count(*) AS count FROM (SELECT * FROM orders ORDER BY o_orderkey "
                         "LIMIT 1000 OFFSET 14900) t",
-    "list_layers": "SELECT view_name AS layer FROM duckdb_views() WHERE NOT internal",
+    "query_page_deep": _paged("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem",
+                              "l_extendedprice DESC, l_orderkey, l_linenumber", 100, 50000),
+    "query_page_unsorted_far": "SELECT l_orderkey, l_linenumber, row_number() OVER () + 30000 AS pos FROM (SELECT "
+                               "l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 LIMIT 50 OFFSET 30000) t",
+    "list_layers": f"SELECT unnest([{', '.join(repr(t) for t in TABLES)}]) AS layer",
     "describe_columns": "SELECT table_name AS layer, CAST(ordinal_position AS BIGINT) AS pos, "
                         "column_name AS name, data_type AS type, is_nullable = 'YES' AS nullable, "
                         "(lower(column_name) IN ('geometry','geom','shape','wkb_geometry','the_geom') "
                         "OR data_type = 'BLOB') AS is_geometry FROM information_schema.columns "
-                        "WHERE table_name IN (SELECT view_name FROM duckdb_views() WHERE NOT internal)",
+                        f"WHERE table_name IN ({', '.join(repr(t) for t in TABLES)}) UNION ALL "
+                        "SELECT 'zones', * FROM (VALUES (1, 'zone_id', 'INTEGER', true, false), "
+                        "(2, 'name', 'VARCHAR', true, false), (3, 'bbox', "
+                        "'STRUCT(xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE)', false, false), "
+                        "(4, 'geometry', 'BLOB', true, true)) v",
     "describe_attributes": None,  # filled below
     "predicate_eq": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'",
     "predicate_ne": "SELECT o_orderkey FROM orders WHERE o_orderpriority != '1-URGENT'",
@@ -776,9 +899,7 @@ _ORACLE = {
 }
 
 _COUNTS = " UNION ALL ".join(
-    f"SELECT '{t}' AS layer, count(*) AS feature_count FROM {t}" for t in
-    ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
-     "lineitem", "nation", "orders", "pages", "part", "region", "supplier"))
+    f"SELECT '{t}' AS layer, count(*) AS feature_count FROM {t}" for t in TABLES)
 _ORACLE["feature_count"] = _COUNTS
 _ORACLE["describe_layer"] = (
     f"SELECT c.layer, c.feature_count, CAST(k.n_columns AS BIGINT) AS n_columns, "
@@ -901,6 +1022,88 @@ _REGISTRY_SQL = (
     "0.15e0, '#ef6c00' UNION ALL SELECT (SELECT count(DISTINCT c_mktsegment) FROM customer) + 2, 'sites', "
     "'Sites', false, 1.0e0, '#1976d2'")
 
+# The inverse projections as textbooks give them (footpoint latitude; series of the conformal latitude),
+# on purpose by other formulas than the library's.
+def _named(select: list[str]) -> str:
+    """Nested selects, each of which adds columns that the next may use."""
+    sql = "SELECT * FROM events"
+    for cols in select:
+        sql = f"SELECT *, {cols} FROM ({sql}) s"
+    return sql
+
+
+_E2 = "(2e0 / 298.257222101e0 - 1e0 / (298.257222101e0 * 298.257222101e0))"
+_TM_SQL = "SELECT event_id AS site_id, lon, lat FROM (" + _named([
+    f"{_E2} AS e2, 6378137e0 AS a, 300000e0 + (event_id * 53 % 1000) * 100e0 AS ge, "
+    "5800000e0 + (event_id * 29 % 1000) * 100e0 AS gn",
+    "(1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1, e2 / (1 - e2) AS ep, "
+    "(gn - 10000000e0) / 0.9996e0 / (a * (1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256)) AS mu",
+    "mu + (3 * e1 / 2 - 27 * pow(e1, 3) / 32) * sin(2 * mu) + (21 * e1 * e1 / 16 - 55 * pow(e1, 4) / 32) * sin(4 * mu) "
+    "+ 151 * pow(e1, 3) / 96 * sin(6 * mu) + 1097 * pow(e1, 4) / 512 * sin(8 * mu) AS p",
+    "ep * cos(p) * cos(p) AS c, tan(p) * tan(p) AS t, a / sqrt(1 - e2 * sin(p) * sin(p)) AS n1, "
+    "a * (1 - e2) / pow(1 - e2 * sin(p) * sin(p), 1.5e0) AS r1",
+    "(ge - 500000e0) / (n1 * 0.9996e0) AS dd",
+    "degrees(p - n1 * tan(p) / r1 * (dd * dd / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * pow(dd, 4) / 24 "
+    "+ (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * pow(dd, 6) / 720)) AS lat, "
+    "147e0 + degrees((dd - (1 + 2 * t + c) * pow(dd, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) "
+    "* pow(dd, 5) / 120) / cos(p)) AS lon"]) + ") q"
+
+
+def _lm(p: str) -> str:
+    return f"(cos({p}) / sqrt(1 - e2 * sin({p}) * sin({p})))"
+
+
+def _lt(p: str) -> str:
+    return f"(tan(pi() / 4 - ({p}) / 2) / pow((1 - e * sin({p})) / (1 + e * sin({p})), e / 2))"
+
+
+_LAMBERT_SQL = "SELECT event_id AS site_id, lon, lat FROM (" + _named([
+    f"{_E2} AS e2, sqrt({_E2}) AS e, radians(-37e0) AS p0, radians(-36e0) AS p1, radians(-38e0) AS p2, "
+    f"({LAMBERT[0]}) - 2500000e0 AS dx, ({LAMBERT[1]}) - 2500000e0 AS dy",
+    f"(ln({_lm('p1')}) - ln({_lm('p2')})) / (ln({_lt('p1')}) - ln({_lt('p2')})) AS n",
+    f"{_lm('p1')} / (n * pow({_lt('p1')}, n)) AS f",
+    f"6378137e0 * f * pow({_lt('p0')}, n) AS r0",
+    "-sqrt(dx * dx + (r0 - dy) * (r0 - dy)) AS r, atan2(-dx, -(r0 - dy)) AS th",
+    "pi() / 2 - 2 * atan(pow(r / (6378137e0 * f), 1 / n)) AS chi",
+    "degrees(th / n) + 145e0 AS lon, degrees(chi + (e2 / 2 + 5 * e2 * e2 / 24 + pow(e2, 3) / 12 + 13 * pow(e2, 4) / 360) "
+    "* sin(2 * chi) + (7 * e2 * e2 / 48 + 29 * pow(e2, 3) / 240 + 811 * pow(e2, 4) / 11520) * sin(4 * chi) "
+    "+ (7 * pow(e2, 3) / 120 + 81 * pow(e2, 4) / 1120) * sin(6 * chi) + 4279 * pow(e2, 4) / 161280 * sin(8 * chi)) AS lat"
+]) + ") q"
+
+_PYRAMID_SQL = (
+    f"WITH t AS ({_tiles_sql(8, 16)}), per AS (SELECT z, max(n) AS most FROM (SELECT z, x, y, count(*) AS n FROM t "
+    "GROUP BY z, x, y) c GROUP BY z), top AS (SELECT min(z) AS z FROM per WHERE z >= 9 AND most <= 40), "
+    f"d AS (SELECT *, count(*) OVER (PARTITION BY z, sx, sy) AS dens FROM (SELECT *, {_tx('cx', 'z + 4')} AS sx, "
+    f"{_ty('cy', 'z + 4')} AS sy FROM t) u), r AS (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY dens, "
+    "parcel_id) AS k FROM d) SELECT r.z, r.x, r.y, r.parcel_id, c_name AS name FROM r, top, customer "
+    "WHERE parcel_id = c_custkey AND (r.z = top.z OR r.z < top.z AND k <= 40)")
+
+_SPATIAL_SQL = {
+    "where_st_contains": f"nation WHERE 144.253e0 > {_ZX} AND -38.421e0 > {_ZY} AND (144.253e0 - {_ZX}) + "
+                         f"(-38.421e0 - {_ZY}) < 0.2e0",
+    "where_st_covers": "nation WHERE n_nationkey + 4 >= 7",
+    "where_st_contains_edge": "nation WHERE false",
+    "where_st_within": f"events WHERE {_SX} > 144.2e0 AND {_SX} < 144.6e0 AND {_SY} > -38.4e0 AND {_SY} < -38e0 AND "
+                       f"NOT ({_SX} > 144.3e0 AND {_SX} < 144.4e0 AND {_SY} > -38.3e0 AND {_SY} < -38.2e0)",
+    "where_st_intersects_line": f"customer WHERE {_PX} < 144.2003e0 AND {_PX} + {_PS} > 144.2003e0 AND "
+                                f"{_PY} <= -37.6e0 AND {_PY} + {_PS} >= -38.45e0",
+    "where_st_disjoint": f"customer WHERE {_PX} + {_PS} < 144.1001e0 OR {_PX} > 144.9001e0 OR "
+                         f"{_PY} + {_PS} < -38.4999e0 OR {_PY} > -37.5999e0",
+    "where_st_dwithin": f"events WHERE sqrt(pow({_SX} - 144.5003e0, 2) + pow({_SY} - least(greatest({_SY}, -38.2e0), "
+                        "-37.9e0), 2)) <= 0.05e0",
+    "where_st_distance": f"events WHERE sqrt(pow({_SX} - 144.5003e0, 2) + pow({_SY} - least(greatest({_SY}, -38.2e0), "
+                         "-37.9e0), 2)) > 0.3e0",
+    "where_st_area": f"customer WHERE {_PS} * {_PS} > 0.0000015e0 AND 4 * {_PS} < 0.007e0",
+    "where_st_centroid": f"customer WHERE {_PX} + {_PS} / 2 < 144.3001e0",
+    "where_st_asgeojson": f"events WHERE CAST({_SX} AS VARCHAR) LIKE '144.05%'",
+    "where_st_astext": "events WHERE event_id * 7 % 40 = 7 AND event_id * 3 % 40 = 3",
+    "where_st_fromgeojson": f"events WHERE sqrt(pow({_SX} - 144.5003e0, 2) + pow({_SY} + 38e0, 2)) <= 0.1001e0",
+}
+_IDS = {"events": "event_id", "customer": "c_custkey", "nation": "n_nationkey"}
+for _k, _sql in _SPATIAL_SQL.items():
+    _ORACLE[_k] = f"SELECT {_IDS[_sql.split()[0]]} AS {SPATIAL_CASES[_k][2]} FROM {_sql}"
+
+
 _ORACLE.update({
     "ingest_datasets": "SELECT 'parcels_ds' AS dataset UNION ALL SELECT 'sites_ds'",
     "ingest_spatial_layers": "SELECT * FROM (VALUES ('parcels_ds', 'parcels', 'geojsonl', true), "
@@ -916,8 +1119,25 @@ _ORACLE.update({
     "layer_registry": _REGISTRY_SQL,
     "registry_check": f"SELECT pos, id, id IN ('parcels', 'sites') AS has_layer FROM ({_REGISTRY_SQL}) r",
     "registry_visible": f"SELECT pos, id FROM ({_REGISTRY_SQL}) r WHERE visibleByDefault",
-    "reproject_3857_4326": f"SELECT event_id AS site_id, round({_SX}, 9) AS lon, round({_SY}, 9) AS lat FROM events",
-    "reproject_tm": f"SELECT event_id AS site_id, round({_SX}, 9) AS lon, round({_SY}, 9) AS lat FROM events",
+    "reproject_3857_4326": f"SELECT event_id AS site_id, round(degrees(({MERCATOR[0]}) / 6378137e0), 8) AS lon, "
+                           f"round(degrees(atan(sinh(({MERCATOR[1]}) / 6378137e0))), 8) AS lat FROM events",
+    "reproject_tm": f"SELECT site_id, round(lon, 4) AS lon, round(lat, 4) AS lat FROM ({_TM_SQL}) t",
+    "reproject_lambert": f"SELECT site_id, round(lon, 4) AS lon, round(lat, 4) AS lat FROM ({_LAMBERT_SQL}) t",
+    "ingest_crs_layer": "SELECT 'grid' AS layer, site_id, round(lon, 4) AS lon, round(lat, 4) AS lat "
+                        f"FROM ({_TM_SQL}) t UNION ALL SELECT 'degrees', event_id, round({_SX}, 4), "
+                        f"round({_SY}, 4) FROM events",
+    "ingest_geometry_names": f"SELECT c_custkey AS parcel_id, c_mktsegment AS bbox, {_PX} AS xmin, "
+                             f"{_PY} + {_PS} AS ymax, 93 AS n_bytes FROM customer",
+    "tile_pyramid": _PYRAMID_SQL,
+    "stream_ingest": "SELECT 'parcels_ds' AS dataset, 'parcels' AS layer, count(*) AS rows, 'ok' AS status, "
+                     "CAST(0 AS BIGINT) AS epoch FROM customer UNION ALL SELECT 'sites_ds', 'sites', count(*), 'ok', 0 "
+                     "FROM events UNION ALL SELECT 'parcels_ds', 'nations', 0, 'skipped: no geometry', 0",
+    "spatial_join_boundary": "SELECT event_id AS site_id, n_nationkey AS step_id FROM (SELECT event_id, "
+                             "event_id * 7 % 40 AS x, event_id * 3 % 40 AS y FROM events) e, nation "
+                             "WHERE y > 0 AND y < x AND x < n_nationkey + 4",
+    "spatial_join_sizes": "SELECT event_id AS site_id, n_nationkey AS square_id FROM (SELECT event_id, "
+                          "event_id * 7 % 40 AS x, event_id * 3 % 40 AS y FROM events) e, nation "
+                          "WHERE greatest(x, y) < pow(2e0, n_nationkey * 3 - 2)",
     "tile_assign": f"SELECT parcel_id, z, x, y FROM ({_tiles_sql(10, 12)}) t",
     "tile_density": f"SELECT z, x, y, count(*) AS n FROM ({_tiles_sql(12, 12)}) t GROUP BY z, x, y",
     "tile_zoom_guess": (

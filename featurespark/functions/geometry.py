@@ -1,8 +1,9 @@
 """Native geometry expressions over the decoded struct (see ``wkb.GEOM``).
 
 All functions return Spark Columns built from higher-order functions
-(``transform``, ``aggregate``, ``filter``, ``flatten``), so they run inside
-whole-stage code generation with no Python in the loop. SQL snippets use only
+(``transform``, ``aggregate``, ``filter``, ``flatten``), so they run in the JVM
+with no Python in the loop (Spark interprets lambdas; it does not generate code
+for them). SQL snippets use only
 single-quoted literals, so they parse the same with or without ANSI
 double-quoted identifiers.
 """
@@ -132,24 +133,31 @@ def point_y(g: Column | str) -> Column:
     return F.when(g["gtype"] == 1, g["parts"][0]["rings"][0][0][1])
 
 
-def _ring_contains(r: Column, px: Column, py: Column) -> Column:
-    """Even-odd ray test (strict: boundary points are not inside)."""
+def _ring_side(r: Column, px: Column, py: Column) -> Column:
+    """Edges that a ray to the right crosses, or -1 when the point is on the ring.
+
+    The same exact comparisons as ``relate._on`` and ``relate._in_rings``.
+    """
     idx = F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1)))
-    hits = F.filter(idx, lambda i: ((r[i][1] > py) != (r[i - 1][1] > py)) & (
-        px < (r[i - 1][0] - r[i][0]) * (py - r[i][1]) / (r[i - 1][1] - r[i][1]) + r[i][0]))
-    return F.when(F.size(r) < 4, F.lit(False)).otherwise((F.size(hits) % 2) == 1)
+
+    def step(acc, i):
+        ax, ay, bx, by = r[i - 1][0], r[i - 1][1], r[i][0], r[i][1]
+        on = ((bx - ax) * (py - ay) == (by - ay) * (px - ax)) & px.between(F.least(ax, bx), F.greatest(ax, bx)) \
+            & py.between(F.least(ay, by), F.greatest(ay, by))
+        hit = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / F.when(by != ay, by - ay) + ax)
+        return F.when((acc < 0) | on, F.lit(-1)).otherwise(acc + F.coalesce(hit, F.lit(False)).cast("int"))
+
+    return F.when(F.size(r) < 4, F.lit(0)).otherwise(F.aggregate(idx, F.lit(0), step))
 
 
 def contains_point(g: Column | str, px: Column, py: Column) -> Column:
-    """True when (px, py) lies inside a polygon part (inside shell, outside holes)."""
+    """True when (px, py) lies strictly inside a polygon part: within the shell, outside the holes, on no ring."""
     g = _g(g)
 
     def part_in(p):
-        shell = _ring_contains(p["rings"][0], px, py)
-        holes = F.exists(F.slice(p["rings"], 2, F.greatest(F.size(p["rings"]) - 1, F.lit(1))),
-                         lambda r: _ring_contains(r, px, py))
-        in_holes = F.when(F.size(p["rings"]) > 1, holes).otherwise(F.lit(False))
-        return (p["ptype"] == 3) & shell & ~in_holes
+        total = F.aggregate(F.transform(p["rings"], lambda r: _ring_side(r, px, py)), F.lit(0),
+                            lambda a, c: F.when((a < 0) | (c < 0), F.lit(-1)).otherwise(a + c))
+        return (p["ptype"] == 3) & (F.pmod(F.greatest(total, F.lit(0)), F.lit(2)) == 1)
 
     return F.exists(g["parts"], part_in)
 
@@ -214,15 +222,3 @@ def make_polygon(ring: Column) -> Column:
     """One-ring polygon from an ``array<array<double>>`` ring."""
     return F.struct(F.lit(3).alias("gtype"), F.lit(0).alias("zm"), F.array(F.struct(
         F.lit(3).alias("ptype"), F.array(ring).alias("rings"))).alias("parts"))
-
-
-def make_envelope(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    ring = F.array(F.array(xmin, ymin), F.array(xmax, ymin), F.array(xmax, ymax),
-                   F.array(xmin, ymax), F.array(xmin, ymin))
-    return make_polygon(ring)
-
-
-def box_intersects(a: Column, b: Column) -> Column:
-    """Extent overlap test on two ``struct(xmin, ymin, xmax, ymax)`` values."""
-    return (a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & \
-           (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"])

@@ -1,6 +1,7 @@
 """JSON-safe value forms of columns (the reference's ``_jsonable`` rules).
 
-* date / timestamp -> ISO-8601 text, fraction only when non-zero;
+* date / time / timestamp -> ISO-8601 text, fraction only when non-zero; a timestamp
+  with a time zone ends in its offset;
 * decimal -> double;
 * binary -> null;
 * intervals -> text; nested values are serialised by ``to_json``.
@@ -21,15 +22,24 @@ def iso_text(c: Column, dt: T.DataType) -> Column:
     # timestamp / timestamp_ntz: seconds, plus microseconds only when non-zero
     frac = F.unix_micros(c.cast("timestamp")) % F.lit(1_000_000)
     base = F.date_format(c, _TS)
-    return F.when(c.isNull(), F.lit(None).cast("string")) \
-            .when(frac == 0, base) \
-            .otherwise(F.concat(base, F.lit("."), F.date_format(c, "SSSSSS")))
+    text = F.when(frac == 0, base).otherwise(F.concat(base, F.lit("."), F.date_format(c, "SSSSSS")))
+    zone = F.date_format(c, "xxx") if isinstance(dt, T.TimestampType) else F.lit("")
+    return F.when(c.isNotNull(), F.concat(text, zone))
+
+
+def _time_text(c: Column) -> Column:
+    """A time of day as ISO text: six digits of fraction or none."""
+    text = c.cast("string")
+    part = F.regexp_extract(text, r"\.(\d+)$", 1)
+    return F.when(part == "", text).otherwise(F.concat(F.substring_index(text, ".", 1), F.lit("."), F.rpad(part, 6, "0")))
 
 
 def json_value(c: Column, dt: T.DataType) -> Column:
     """Column expression holding the JSON-safe form of ``c``."""
     if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return iso_text(c, dt)
+    if type(dt).__name__ == "TimeType":
+        return _time_text(c)
     if isinstance(dt, T.DecimalType):
         return c.cast("double")
     if isinstance(dt, T.BinaryType):

@@ -6,12 +6,9 @@ _registered: set[int] = set()
 
 
 def register_all(session) -> None:
-    key = id(session)
-    if key in _registered:
-        return
-    _registered.add(key)
-    try:
-        from featurespark.functions import stsql
-    except ImportError:  # geometry functions not available
+    if id(session) in _registered:
         return
+    _registered.add(id(session))
+    from featurespark.functions import stsql
+
     stsql.register(session)

@@ -1,24 +1,29 @@
 """``ST_*`` SQL functions for use inside a guarded ``where`` predicate.
 
 Predicates arrive as SQL text and geometry columns hold WKB, so these are
-registered on the query session as Arrow UDFs over WKB (one Arrow batch per
-call; per row only a small parse and NumPy arithmetic). The DataFrame API
-uses the native equivalents in ``functions.geometry`` instead.
-
-Boundary rule: a point on a polygon edge is not *contained*
-(``ST_Contains``/``ST_Within``) but does *intersect* (``ST_Intersects``).
+registered on the query session as Arrow UDFs over WKB. Relations between two geometries
+are in ``functions.relate``; a geometry that repeats from row to row, such as a constant, is parsed
+once. The DataFrame API has native equivalents for points and measures in
+``functions.geometry``, with the same boundary rule: a point on an edge is not contained
+(``ST_Contains``/``ST_Within``) but covered, and does intersect.
 """
 
 from __future__ import annotations
 
 import json
-import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from featurespark.functions.wkb import encode_one, parse_one
+from featurespark.functions import relate
+from featurespark.functions.wkb import TYPE_NAMES, encode_one, parse_one
+
+
+@lru_cache(maxsize=64)
+def _parsed(v: bytes | None):
+    return parse_one(v)
 
 
 def _ring_area(r: np.ndarray) -> float:
@@ -51,104 +56,15 @@ def _positions(g) -> np.ndarray:
     return np.concatenate(rings) if rings else np.zeros((0, 2))
 
 
-def _ring_has(r: np.ndarray, x: float, y: float) -> tuple[bool, bool]:
-    """(inside, on_boundary) by the even-odd rule."""
-    if len(r) < 4:
-        return False, False
-    xa, ya, xb, yb = r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1]
-    cross = (xb - xa) * (y - ya) - (yb - ya) * (x - xa)
-    on = np.any((np.abs(cross) <= 1e-12) & (np.minimum(xa, xb) <= x) & (x <= np.maximum(xa, xb))
-                & (np.minimum(ya, yb) <= y) & (y <= np.maximum(ya, yb)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hit = ((ya > y) != (yb > y)) & (x < (xb - xa) * (y - ya) / (yb - ya) + xa)
-    return bool(np.count_nonzero(hit) % 2), bool(on)
-
-
-def _point_in(g, x, y) -> tuple[bool, bool]:
-    inside = on = False
-    for t, rs in g[2]:
-        if t != 3 or not rs:
-            continue
-        i0, o0 = _ring_has(rs[0], x, y)
-        holes = [_ring_has(h, x, y) for h in rs[1:]]
-        on = on or o0 or any(o for _, o in holes)
-        if i0 and not any(i for i, _ in holes):
-            inside = True
-    return inside and not on, on
-
-
 def _points(g):
     return [(float(r[0, 0]), float(r[0, 1])) for t, rs in g[2] if t == 1 for r in rs]
 
 
-def _contains(a, b) -> bool:
-    pts = _points(b) or [tuple(p) for p in _positions(b)]
-    return bool(pts) and all(_point_in(a, x, y)[0] for x, y in pts)
-
-
 def _bbox(g):
     p = _positions(g)
     return None if not len(p) else (p[:, 0].min(), p[:, 1].min(), p[:, 0].max(), p[:, 1].max())
 
 
-def _intersects(a, b) -> bool:
-    ba, bb = _bbox(a), _bbox(b)
-    if ba is None or bb is None or ba[0] > bb[2] or bb[0] > ba[2] or ba[1] > bb[3] or bb[1] > ba[3]:
-        return False
-    for p, q in ((a, b), (b, a)):
-        for x, y in [tuple(v) for v in _positions(q)]:
-            ins, on = _point_in(p, x, y)
-            if ins or on:
-                return True
-    pa_, pb = _positions(a), _positions(b)
-    if any(t == 1 for t, _ in a[2]) and any(t == 1 for t, _ in b[2]):
-        return bool(set(map(tuple, pa_)) & set(map(tuple, pb)))
-    return _edges_cross(a, b)
-
-
-def _segments(g):
-    for t, rs in g[2]:
-        for r in rs:
-            for i in range(len(r) - 1):
-                yield r[i, :2], r[i + 1, :2]
-
-
-def _edges_cross(a, b) -> bool:
-    def orient(p, q, r):
-        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    for p1, p2 in _segments(a):
-        for q1, q2 in _segments(b):
-            d1, d2 = orient(q1, q2, p1), orient(q1, q2, p2)
-            d3, d4 = orient(p1, p2, q1), orient(p1, p2, q2)
-            if d1 * d2 <= 0 and d3 * d4 <= 0:
-                return True
-    return False
-
-
-def _distance(a, b) -> float:
-    pa_, pb = _positions(a), _positions(b)
-    if not len(pa_) or not len(pb):
-        return float("nan")
-    if _intersects(a, b):
-        return 0.0
-    best = math.inf
-    for p in pa_:
-        for s1, s2 in _segments(b) if any(t != 1 for t, _ in b[2]) else []:
-            best = min(best, _seg_dist(p, s1, s2))
-    for p in pb:
-        for s1, s2 in _segments(a) if any(t != 1 for t, _ in a[2]) else []:
-            best = min(best, _seg_dist(p, s1, s2))
-    d = np.hypot(pa_[:, None, 0] - pb[None, :, 0], pa_[:, None, 1] - pb[None, :, 1]).min()
-    return float(min(best, d))
-
-
-def _seg_dist(p, a, b) -> float:
-    ab = b - a
-    den = float(ab @ ab)
-    t = 0.0 if den == 0 else max(0.0, min(1.0, float((p - a) @ ab) / den))
-    return float(np.hypot(*(a + t * ab - p)))
-
-
 def _centroid(g):
     a_tot = mx = my = 0.0
     for t, rs in g[2]:
@@ -193,6 +109,8 @@ def _from_geojson(text):
 
     def parts_of(obj):
         t = _GEOJSON_TYPES[obj["type"]]
+        if t < 7 and not isinstance(obj.get("coordinates"), list):
+            raise ValueError(f"GeoJSON {obj['type']} without coordinates")
         c = obj.get("coordinates")
         if t == 1:
             return [{"ptype": 1, "rings": [[c]]}] if c else []
@@ -289,11 +207,60 @@ def _from_wkt(text):
     return encode_one({"gtype": codes[name], "zm": zm, "parts": parts})
 
 
+def constant_box(function: str, text) -> tuple | None:
+    """Extent of a geometry that a constructor makes of a constant text."""
+    raw = {"st_geomfromtext": _from_wkt, "st_geomfromgeojson": _from_geojson}[function](text)
+    box = None if raw is None else _bbox(parse_one(raw))
+    return None if box is None else tuple(float(v) for v in box)
+
+
+def _number_text(v: float) -> str:
+    return repr(float(v)) if v != int(v) or abs(v) >= 1e15 else str(int(v))
+
+
+def _coordinates(ptype: int, rings, dims: int):
+    lists = [[[float(v) for v in pos[:dims]] for pos in r] for r in rings]
+    return lists[0][0] if ptype == 1 else lists[0] if ptype == 2 else lists
+
+
+def _as_geojson(g) -> str:
+    """The same text as the native ``geometry.geojson``."""
+    gtype, zm, parts = g
+    dims = 3 if zm % 2 else 2
+    coords = [_coordinates(t, rings, dims) for t, rings in parts]
+    if gtype == 7:
+        members = [{"type": TYPE_NAMES[t], "coordinates": c} for (t, _), c in zip(parts, coords)]
+        out = {"type": "GeometryCollection", "geometries": members}
+    else:
+        out = {"type": TYPE_NAMES[gtype], "coordinates": coords if gtype > 3 else coords[0] if coords else []}
+    return json.dumps(out, separators=(",", ":"))
+
+
+def _as_text(g) -> str:
+    """Well-known text, with as many ordinates as the geometry has."""
+    gtype, zm, parts = g
+    tag = ("", " Z", " M", " ZM")[zm]
+
+    def run(r):
+        return "(" + ", ".join(" ".join(_number_text(v) for v in pos) for pos in r) + ")"
+
+    def body(t, rings):
+        return run(rings[0]) if t < 3 else "(" + ", ".join(run(r) for r in rings) + ")"
+
+    name = TYPE_NAMES[gtype].upper()
+    if not parts:
+        return f"{name}{tag} EMPTY"
+    if gtype <= 3:
+        return f"{name}{tag} {body(*parts[0])}"
+    members = [body(t, r) if gtype < 7 else f"{TYPE_NAMES[t].upper()}{tag} {body(t, r)}" for t, r in parts]
+    return f"{name}{tag} ({', '.join(members)})"
+
+
 def _unary(fn, out_type):
     def run(arr: pa.Array) -> pa.Array:
         res = []
         for v in arr.to_pylist():
-            g = parse_one(v)
+            g = _parsed(v)
             res.append(None if g is None else fn(g))
         return pa.array(res, type=out_type)
     return run
@@ -303,7 +270,7 @@ def _binary(fn, out_type):
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         res = []
         for x, y in zip(a.to_pylist(), b.to_pylist()):
-            gx, gy = parse_one(x), parse_one(y)
+            gx, gy = _parsed(x), _parsed(y)
             res.append(None if gx is None or gy is None else fn(gx, gy))
         return pa.array(res, type=out_type)
     return run
@@ -311,8 +278,9 @@ def _binary(fn, out_type):
 
 def _values(fn, out_type, n):
     def run(*arrs: pa.Array) -> pa.Array:
+        make = lru_cache(maxsize=64)(fn)
         cols = [a.to_pylist() for a in arrs]
-        return pa.array([None if any(v is None for v in row) else fn(*row) for row in zip(*cols)],
+        return pa.array([None if any(v is None for v in row) else make(*row) for row in zip(*cols)],
                         type=out_type)
     return run
 
@@ -349,17 +317,16 @@ def register(session) -> None:
         "st_centroid": (lambda g: None if _centroid(g) is None else _point_wkb(*_centroid(g)), Bin, y),
         "st_geomfromwkb": (lambda g: encode_one({"gtype": g[0], "zm": g[1], "parts": [
             {"ptype": t, "rings": [r.tolist() for r in rs]} for t, rs in g[2]]}), Bin, y),
+        "st_asgeojson": (_as_geojson, S, pa.string()), "st_astext": (_as_text, S, pa.string()),
     }
     for name, (fn, st, at) in unary.items():
         session.udf.register(name, arrow_udf(_unary(fn, at), st))
     binary = {
-        "st_contains": (_contains, B, b), "st_within": (lambda a, c: _contains(c, a), B, b),
-        "st_covers": (lambda a, c: all(_point_in(a, *p)[0] or _point_in(a, *p)[1]
-                                       for p in map(tuple, _positions(c))), B, b),
-        "st_coveredby": (lambda a, c: all(_point_in(c, *p)[0] or _point_in(c, *p)[1]
-                                          for p in map(tuple, _positions(a))), B, b),
-        "st_intersects": (_intersects, B, b), "st_disjoint": (lambda a, c: not _intersects(a, c), B, b),
-        "st_distance": (_distance, D, d),
+        "st_contains": (relate.contains, B, b), "st_within": (lambda a, c: relate.contains(c, a), B, b),
+        "st_covers": (relate.covers, B, b), "st_coveredby": (lambda a, c: relate.covers(c, a), B, b),
+        "st_intersects": (relate.intersects, B, b),
+        "st_disjoint": (lambda a, c: not relate.intersects(a, c), B, b),
+        "st_distance": (relate.distance, D, d),
     }
     for name, (fn, st, at) in binary.items():
         session.udf.register(name, arrow_udf(_binary(fn, at), st))
@@ -371,8 +338,8 @@ def register(session) -> None:
     def dwithin(a: pa.Array, c: pa.Array, r: pa.Array) -> pa.Array:
         out = []
         for x, z, rad in zip(a.to_pylist(), c.to_pylist(), r.to_pylist()):
-            gx, gz = parse_one(x), parse_one(z)
-            out.append(None if gx is None or gz is None or rad is None else _distance(gx, gz) <= rad)
+            gx, gz = _parsed(x), _parsed(z)
+            out.append(None if gx is None or gz is None or rad is None else relate.distance(gx, gz) <= rad)
         return pa.array(out, type=b)
 
     session.udf.register("st_dwithin", arrow_udf(dwithin, B))

@@ -42,7 +42,3 @@ def type_name(dt: T.DataType) -> str:
     if isinstance(dt, (T.DayTimeIntervalType, T.YearMonthIntervalType)):
         return "INTERVAL"
     return dt.simpleString().upper()
-
-
-def is_numeric(dt: T.DataType) -> bool:
-    return isinstance(dt, T.NumericType)

@@ -2,30 +2,16 @@
 
 Plan: prune to the field -> drop NULLs -> optional LIKE search -> distinct ->
 ``TakeOrderedAndProject(limit)``. Spark's partial aggregate de-duplicates on
-the map side, so only per-partition distinct values are shuffled.
-
-For large layers a further map-side reduction applies: the ``limit`` smallest
-distinct values of the whole layer are always among the ``limit`` smallest
-distinct values of each partition, so each task first keeps only those (an
-Arrow-batched ``mapInArrow``, vectorised Arrow compute). The shuffle then
-carries at most ``limit`` values per task instead of the column's full
-cardinality — the difference between bytes and terabytes for an id column.
+the map side, so a task shuffles its distinct values only, and the top-k keeps
+at most ``limit`` rows of a task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from featurespark import params
-from featurespark.errors import LayerQueryError
-
-# Layers above this many bytes of Parquet get the per-task top-k reduction.
-PREREDUCE_BYTES = 256 * 1024 * 1024
-
-_PREREDUCIBLE = (T.StringType, T.NumericType, T.DateType, T.TimestampType,
-                 T.TimestampNTZType, T.BooleanType)
 
 
 def like_escape(text: str) -> str:
@@ -50,49 +36,12 @@ def search_condition(col: Column, search) -> Column | None:
     return F.lower(col.cast("string")).like(pat)
 
 
-def _topk_distinct_per_task(limit: int, dtype: T.DataType):
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    floating = isinstance(dtype, (T.FloatType, T.DoubleType))
-
-    def reduce(batches):
-        kept = None
-        for b in batches:
-            col = b.column(0)
-            if floating:
-                col = pc.add(col, pa.scalar(0.0, col.type))  # -0.0 -> 0.0
-            u = pc.unique(pc.drop_null(col))
-            if kept is not None:
-                u = pc.unique(pa.concat_arrays([kept, u]))
-            kept = pc.take(u, pc.array_sort_indices(u)[:limit])
-        if kept is not None and len(kept):
-            yield pa.RecordBatch.from_arrays([kept], names=["value"])
-
-    return reduce
-
-
-def _layer_bytes(df: DataFrame) -> int:
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:
-        return 0
-
-
-def distinct_values(df: DataFrame, field: str, search=None, limit: int = params.DEFAULT_VALUES,
-                    prereduce: str | bool = "auto") -> DataFrame:
+def distinct_values(df: DataFrame, field: str, search=None, limit: int = params.DEFAULT_VALUES) -> DataFrame:
     """``DataFrame(value)``: the ``limit`` smallest non-null distinct values."""
-    col = F.col("`" + field.replace("`", "``") + "`")
-    q = df.select(col.alias("value")).where(F.col("value").isNotNull())
+    q = df.select(F.col("`" + field.replace("`", "``") + "`").alias("value")).where(F.col("value").isNotNull())
     cond = search_condition(F.col("value"), search)
     if cond is not None:
         q = q.where(cond)
-    dtype = q.schema["value"].dataType
-    if prereduce == "auto":
-        prereduce = isinstance(dtype, _PREREDUCIBLE) and _layer_bytes(df) > PREREDUCE_BYTES
-    if prereduce:
-        q = q.mapInArrow(_topk_distinct_per_task(limit, dtype), q.schema)
     return q.distinct().orderBy(F.col("value").asc_nulls_last()).limit(limit)
 
 
@@ -107,29 +56,24 @@ def truncated_flag(values: DataFrame, limit: int) -> DataFrame:
                  .withColumn("truncated", F.col("n_values") >= F.lit(limit))
 
 
-def _check_field(layers, layer, field):
+def _requested(layers, layer, field, search, limit):
+    """The request's values, settled against the layer."""
     layers.validate(layer)
-    if not field:
-        raise LayerQueryError("missing required parameter: field")
-    cols = {c["name"]: c for c in layers.columns(layer)}
-    if field not in cols:
-        raise LayerQueryError(f"unknown field: {field!r}")
-    if cols[field]["is_geometry"]:
-        raise LayerQueryError(f"field {field!r} is a geometry column")
+    wanted = params.read(params.VALUES, {"field": field, "search": search, "limit": limit})
+    params.Columns(layers.schema(layer)).attribute(wanted.field)
+    return wanted
 
 
 def unique_values(layers, layer, field, search=None, limit=None) -> dict:
     """The whole ``unique-values`` response: ``{layer, field, values, truncated}``."""
-    _check_field(layers, layer, field)
-    n = params.values_limit(limit)
-    vals = [r["value"] for r in distinct_values(layers.read(layer), field, search, n).collect()]
-    return {"layer": layer, "field": field, "values": vals, "truncated": len(vals) >= n}
+    w = _requested(layers, layer, field, search, limit)
+    vals = [r["value"] for r in distinct_values(layers.read(layer), w.field, w.search, w.limit).collect()]
+    return {"layer": layer, "field": w.field, "values": vals, "truncated": len(vals) >= w.limit}
 
 
 def unique_values_df(layers, layer, field, search=None, limit=None) -> DataFrame:
-    _check_field(layers, layer, field)
-    n = params.values_limit(limit)
-    return with_rank(distinct_values(layers.read(layer), field, search, n))
+    w = _requested(layers, layer, field, search, limit)
+    return with_rank(distinct_values(layers.read(layer), w.field, w.search, w.limit))
 
 
 def suggest(layers, layer, field, text=None, limit=params.DEFAULT_VALUES) -> DataFrame:

@@ -13,7 +13,7 @@ clicked feature (NULL-safe equality) — for many clicked features it is one
 
 from __future__ import annotations
 
-import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,19 +28,15 @@ OPERATORS = ("=", "!=", ">", "<", ">=", "<=", "LIKE")
 # -----------------------------------------------------------
 
 
+_DECIMAL = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+
+
 def _number(text: str):
+    """The number that a text is, in decimal notation; None for any other text."""
     t = text.strip()
-    if not t:
-        return None
-    try:
-        v = float(t)
-    except ValueError:
-        return None
-    if math.isnan(v):
+    if not _DECIMAL.fullmatch(t):
         return None
-    if t.lstrip("+-").isdigit():
-        return int(t)
-    return v
+    return int(t) if t.lstrip("+-").isdigit() else float(t)
 
 
 def build_predicate(dtype: T.DataType, name: str, op: str, value: str) -> Column:

@@ -6,10 +6,16 @@ sort + limit into ``TakeOrderedAndProject`` (a per-partition top-k, merged in
 one task, never a global sort), prunes the scan to the referenced columns and
 pushes the predicate into the Parquet reader. The projection is last, so sort
 keys need not be output columns.
+
+A page in file order is found by counting: matching rows per file, then per
+block of rows in the files that the page touches, and only those blocks are
+read. A deep page of a sorted request is found by range-partitioning the sort
+keys and counting the ranges, so no task holds ``offset + limit`` rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -20,7 +26,11 @@ from featurespark import params
 from featurespark.errors import LayerQueryError, as_user_error
 from featurespark.functions.jsonfmt import json_columns
 from featurespark.params import SortKey
-from featurespark.plans.where import guard_where
+from featurespark.plans.where import Guarded, check_analyzed, guard_where
+
+BLOCK_ROWS = 1 << 16       # rows of a file that are counted together
+DEEP_OFFSET = 20_000       # sorted pages from here on are found by ranges
+DEEP_RANGES = 200
 
 
 def quoted(name: str) -> Column:
@@ -33,25 +43,32 @@ def order_columns(keys: list[SortKey]) -> list[Column]:
             for k in keys]
 
 
+FILE, ROW = "_metadata.file_path", "_metadata.row_index"
+
+
 def has_file_order(df: DataFrame) -> bool:
     try:
-        df.select("_metadata.row_index", "_metadata.file_path")
+        df.select(FILE, ROW)
         return True
     except AnalysisException:
         return False
 
 
-def sorted_page(df: DataFrame, keys: list[SortKey], offset: int, limit: int,
-                stable: bool = True) -> DataFrame:
+def sorted_page(df: DataFrame, keys: list[SortKey], offset: int, limit: int, stable: bool = True) -> DataFrame:
     """Sort (or file order when no keys), skip ``offset``, keep ``limit``.
 
     ``stable`` appends the file position as the last sort key (when the frame
     is a direct file scan), which makes paging deterministic for tied keys and
     gives the file-order page of S17 when no key is requested.
     """
+    in_files = has_file_order(df)
+    if not keys and in_files:
+        return file_page(df, offset, limit)
     cols = order_columns(keys)
-    if (stable or not keys) and has_file_order(df):
-        cols += [F.col("_metadata.file_path").asc(), F.col("_metadata.row_index").asc()]
+    if stable and in_files:
+        cols += [F.col(FILE).asc(), F.col(ROW).asc()]
+    if cols and offset >= DEEP_OFFSET:
+        return deep_page(df, keys, stable and in_files, offset, limit)
     if cols:
         df = df.orderBy(*cols)
     if offset:
@@ -59,16 +76,85 @@ def sorted_page(df: DataFrame, keys: list[SortKey], offset: int, limit: int,
     return df.limit(limit)
 
 
+def _stretch(counts: list[tuple], offset: int, limit: int) -> tuple[list, int]:
+    """Of ordered ``(key, rows)``: the keys that rows ``offset..offset+limit`` fall into, and the offset there."""
+    chosen, before, start = [], 0, 0
+    for key, n in counts:
+        if before + n > offset and before < offset + limit:
+            if not chosen:
+                start = offset - before
+            chosen.append(key)
+        before += n
+    return chosen, start
+
+
+def file_page(df: DataFrame, offset: int, limit: int) -> DataFrame:
+    """rows ``offset..offset+limit`` in order of file path and position in the file.
+
+    The first page takes no counting. Of a later one, one row a file and then one row a block reach
+    the driver; without a filter the counts come from row-group metadata.
+    """
+    order = [F.col(FILE).asc(), F.col(ROW).asc()]
+    if offset:
+        files = df.groupBy(F.col(FILE).alias("f")).count().orderBy("f").collect()
+        chosen, offset = _stretch([(r["f"], r["count"]) for r in files], offset, limit)
+        df = df.where(F.col(FILE).isin(chosen))
+        block = F.floor(F.col(ROW) / BLOCK_ROWS)
+        blocks = df.groupBy(F.col(FILE).alias("f"), block.alias("b")).count().orderBy("f", "b").collect()
+        parts, offset = _stretch([((r["f"], r["b"]), r["count"]) for r in blocks], offset, limit)
+        if parts:
+            (f0, b0), (f1, b1) = parts[0], parts[-1]
+            df = df.where(((F.col(FILE) > f0) | (F.col(ROW) >= b0 * BLOCK_ROWS))
+                          & ((F.col(FILE) < f1) | (F.col(ROW) < (b1 + 1) * BLOCK_ROWS)))
+    page = df.orderBy(*order)
+    return (page.offset(offset) if offset else page).limit(limit)
+
+
+def deep_page(df: DataFrame, keys: list[SortKey], by_file: bool, offset: int, limit: int) -> DataFrame:
+    """a page far down a sorted layer, from the ranges of the sort order that hold it.
+
+    The rows are written once in ranges of the sort keys; the ranges' counts, a row each,
+    tell which of them to sort.
+    """
+    from featurespark.session import checkpoint_dir
+
+    order, columns = order_columns(keys), [quoted(c) for c in df.columns]
+    if by_file:
+        order += [F.col("__file").asc(), F.col("__row").asc()]
+        df = df.select("*", F.col(FILE).alias("__file"), F.col(ROW).alias("__row"))
+    path = f"{checkpoint_dir(df.sparkSession)}/deep-page-{uuid.uuid4().hex}"
+    df.repartitionByRange(DEEP_RANGES, *order).withColumn("__range", F.spark_partition_id()) \
+        .write.partitionBy("__range").parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    counts = ranged.groupBy("__range").count().orderBy("__range").collect()
+    chosen, offset = _stretch([(r["__range"], r["count"]) for r in counts], offset, limit)
+    return ranged.where(F.col("__range").isin(chosen)).orderBy(*order).offset(offset).limit(limit).select(*columns)
+
+
 def with_position(page: DataFrame, offset: int) -> DataFrame:
     """1-based absolute row position of a page (page <= 1000 rows, one task)."""
     return page.withColumn("pos", F.monotonically_increasing_id() + F.lit(offset + 1))
 
 
-def apply_where(df: DataFrame, where_text: str | None) -> DataFrame:
-    if where_text is None:
+def apply_where(df: DataFrame, guarded: Guarded | None) -> DataFrame:
+    """Filter by a guarded predicate.
+
+    Where the layer stores the extent of its geometry, the boxes of constant
+    spatial predicates become plain comparisons, which reach the Parquet reader;
+    the exact test then runs on the rows that are left.
+    """
+    if guarded is None:
         return df
+    from featurespark.operators.spatial import extent_column
+
+    stored = extent_column(df.schema)
+    geometry = params.Columns(df.schema).geometry
+    for column, (x0, y0, x1, y1) in guarded.boxes if stored else []:
+        if column in geometry:
+            b = quoted(stored)
+            df = df.where((b["xmin"] <= x1) & (b["xmax"] >= x0) & (b["ymin"] <= y1) & (b["ymax"] >= y0))
     try:
-        return df.where(where_text)
+        return check_analyzed(df.where(guarded.text))
     except Exception as exc:  # analysis errors surface eagerly
         raise as_user_error(exc) from None
 
@@ -117,53 +203,38 @@ def _plain(v):
     return v
 
 
-def query_layer(layers, layer, *, where=None, out_fields=None, order_by=None,
-                offset=None, count=None, return_count_only=None, f=None,
-                return_geometry=None, allow_subqueries=False) -> QueryResult:
-    """K1/K2/D2 with the reference's order of checks."""
+def query_layer(layers, layer, *, allow_subqueries=False, **given) -> QueryResult:
+    """K1/K2/D2. ``given``: the parameters of ``params.FORM`` and ``params.PAGE``.
+
+    A count-only request ends before its page parameters are read (S11), and a missing
+    geometry is reported after they were (S14).
+    """
     layers.validate(layer)
-    fmt = params.output_format(f)
-    want_geometry = fmt == "geojson" or params.truthy(return_geometry)
-    schema = layers.schema(layer)
-    all_names = [x.name for x in schema.fields]
-    geometry_cols = layers.geometry_names(layer)
-    attribute_names = [n for n in all_names if n not in geometry_cols]
-
-    views = layers.register_views() if allow_subqueries else None
-    where_text = guard_where(layers.spark, where, allowed_relations=views)
-    df = apply_where(layers.read(layer), where_text)
-
-    if params.truthy(return_count_only):
+    form = params.read(params.FORM, given)
+    columns = params.Columns(layers.schema(layer))
+    guarded = guard_where(layers.spark, form.where, layers.names() if allow_subqueries else None)
+    if guarded and guarded.relations:
+        layers.register_views(guarded.relations)
+    df = apply_where(layers.read(layer), guarded)
+    if form.return_count_only:
         counted = count_matches(df).select(F.lit(layer).alias("layer"), "count")
         return QueryResult(layer, "count", counted)
 
-    fields = params.select_fields(out_fields, attribute_names)
-    keys = params.parse_order_by(order_by, all_names)
-    limit = params.page_size(count)
-    off = params.page_offset(offset)
-
-    if want_geometry:
-        if not geometry_cols:
+    page = params.read(params.PAGE, given)
+    fields, keys = columns.outputs(page.out_fields), columns.sorting(page.order_by)
+    if form.f == "geojson" or form.return_geometry:
+        if not columns.geometry:
             raise LayerQueryError(f"layer {layer!r} has no geometry column")
         from featurespark.operators.features import feature_page
 
-        page = feature_page(df, schema, fields, geometry_cols[0], keys, off, limit)
-        return QueryResult(layer, "geojson", page, off, limit, fields)
-
+        rows = feature_page(df, columns.schema, fields, columns.geometry[0], keys, page.offset, page.count)
+        return QueryResult(layer, "geojson", rows, page.offset, page.count, fields)
     if not fields:
-        raise LayerQueryError("outFields selects no column")
-    page = sorted_page(df, keys, off, limit)
-    page = page.select(*json_columns(schema, fields))
-    return QueryResult(layer, "json", page, off, limit, fields)
+        raise LayerQueryError("out_fields selects no column")
+    rows = sorted_page(df, keys, page.offset, page.count).select(*json_columns(columns.schema, fields))
+    return QueryResult(layer, "json", rows, page.offset, page.count, fields)
 
 
 def count_matches(df: DataFrame) -> DataFrame:
     """``count(*)`` of the filtered layer (partial counts, one tiny shuffle)."""
     return df.agg(F.count(F.lit(1)).alias("count"))
-
-
-def page_rows(df: DataFrame, fields: list[str], keys: list[SortKey], offset: int,
-              limit: int) -> DataFrame:
-    """Typed page with an absolute ``pos`` column (used by tests and queries())."""
-    page = sorted_page(df, keys, offset, limit)
-    return with_position(page.select(*[quoted(c) for c in fields]), offset)

@@ -1,8 +1,8 @@
-"""Cross-layer semi / anti filters as explicit joins.
+"""Cross-layer anti filter as an explicit join.
 
-``IN (SELECT ...)`` / ``EXISTS`` become ``left_semi`` joins and ``NOT EXISTS``
-a ``left_anti`` join; Spark picks broadcast or sort-merge by the measured size
-of the right side (AQE re-plans at runtime), so nothing is collected.
+``IN (SELECT ...)`` / ``EXISTS`` in a predicate become ``left_semi`` joins by
+themselves; ``NOT EXISTS`` is a ``left_anti`` join here. Spark picks broadcast or
+sort-merge by the size of the right side (AQE re-plans at runtime), so nothing is collected.
 """
 
 from __future__ import annotations
@@ -17,11 +17,6 @@ def _cond(left: DataFrame, right: DataFrame, on):
     return reduce(lambda a, b: a & b, [left[f"`{a}`"] == right[f"`{b}`"] for a, b in pairs])
 
 
-def semi_filter(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    """Rows of ``left`` with at least one match in ``right`` (no duplication)."""
-    return left.join(right, _cond(left, right, on), "left_semi")
-
-
 def anti_filter(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Rows of ``left`` with no match in ``right``."""
     return left.join(right, _cond(left, right, on), "left_anti")

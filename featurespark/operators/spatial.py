@@ -4,51 +4,57 @@ Point-in-feature join, distributed and exact
 --------------------------------------------
 A multi-level grid turns the spatial predicate into an equi-join:
 
-* each polygon is assigned to the level whose cell size is at least its
-  extent, so it covers at most 2 x 2 cells there (no polygon explodes into
-  thousands of rows, however large it is);
-* each point emits one cell key per level that is actually used (a handful);
+* cells of level ``k`` are ``2^k`` wide; each polygon is assigned to the level
+  whose cells are at least as wide as its extent, so it covers at most 2 x 2 cells
+  there (no polygon explodes into thousands of rows, however large it is);
+* one aggregate over the polygons' extents tells which levels are in use, and each
+  point emits one cell key for each of those;
 * ``(level, cx, cy)`` is an ordinary equi-join key, so Spark shuffles both
-  sides by it (or broadcasts the polygon side when AQE measures it small) and
-  AQE's skew-join splits hot cells;
+  sides by it and AQE's skew-join splits hot cells;
 * candidates are refined by the extent test and then the exact even-odd test
   on the decoded rings. A (point, polygon) pair can meet in one cell only,
   so no de-duplication is needed.
 
-The base cell size is the median polygon extent, measured by one small
-aggregate over the polygon layer.
+Polygons are decoded once each, before they are dealt into cells, not once a candidate.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featurespark.functions import geometry as G
 from featurespark.operators.features import DECODED, with_decoded
 
-MAX_LEVELS = 40
+_BOUNDS = ("xmin", "ymin", "xmax", "ymax")
+
+
+def extent_column(schema: T.StructType) -> str | None:
+    """The stored extent of the geometry: a struct of the four bounds, marked as covering or called ``bbox``."""
+    boxes = [f for f in schema.fields if isinstance(f.dataType, T.StructType) and set(f.dataType.names) == set(_BOUNDS)]
+    marked = [f.name for f in boxes if "covering" in f.metadata]
+    return (marked or [f.name for f in boxes if f.name == "bbox"] or [None])[0]
 
 
-def bbox_of(df: DataFrame, geom_col: str = "geometry", bbox_col: str = "bbox") -> DataFrame:
-    """Ensure a ``bbox`` struct column (stored covering column, else decoded)."""
-    if bbox_col in df.columns:
-        return df
+def bbox_of(df: DataFrame, geom_col: str = "geometry", name: str = "__bbox") -> DataFrame:
+    """Adds the extent under ``name``: the stored covering column, else decoded."""
+    stored = extent_column(df.schema)
+    if stored:
+        return df.withColumn(name, F.col(f"`{stored}`"))
     dec = with_decoded(df, geom_col, "__bbox_g")
-    return dec.withColumn(bbox_col, G.extent(F.col("__bbox_g"))).drop("__bbox_g")
+    return dec.withColumn(name, G.extent(F.col("__bbox_g"))).drop("__bbox_g")
 
 
-def extent(df: DataFrame, geom_col: str = "geometry", bbox_col: str = "bbox") -> DataFrame:
+def extent(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     """One row ``(xmin, ymin, xmax, ymax)`` over all non-NULL geometries.
 
     Uses the stored covering column when present: a pure column aggregate with
     partial min/max per task, no geometry decode.
     """
-    b = bbox_of(df, geom_col, bbox_col)
-    return b.agg(F.min(f"{bbox_col}.xmin").alias("xmin"), F.min(f"{bbox_col}.ymin").alias("ymin"),
-                 F.max(f"{bbox_col}.xmax").alias("xmax"), F.max(f"{bbox_col}.ymax").alias("ymax"))
+    b = bbox_of(df, geom_col)
+    return b.agg(F.min("__bbox.xmin").alias("xmin"), F.min("__bbox.ymin").alias("ymin"),
+                 F.max("__bbox.xmax").alias("xmax"), F.max("__bbox.ymax").alias("ymax"))
 
 
 def geometry_extents(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
@@ -57,7 +63,7 @@ def geometry_extents(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     return dec.withColumn("extent", G.extent(F.col(DECODED))).drop(DECODED)
 
 
-def point_xy(df: DataFrame, geom_col: str = "geometry", bbox_col: str = "bbox") -> DataFrame:
+def point_xy(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     """Add ``__x``/``__y`` of point features.
 
     With a stored covering column the coordinates are read from it (a point's
@@ -65,8 +71,9 @@ def point_xy(df: DataFrame, geom_col: str = "geometry", bbox_col: str = "bbox")
     points and get NULL) — no geometry decode at all. Otherwise the WKB is
     decoded once.
     """
-    if bbox_col in df.columns:
-        b = F.col(bbox_col)
+    stored = extent_column(df.schema)
+    if stored:
+        b = F.col(f"`{stored}`")
         is_pt = (b["xmin"] == b["xmax"]) & (b["ymin"] == b["ymax"])
         return df.withColumn("__x", F.when(is_pt, b["xmin"])).withColumn("__y", F.when(is_pt, b["ymin"]))
     dec = with_decoded(df, geom_col, "__pt")
@@ -74,86 +81,64 @@ def point_xy(df: DataFrame, geom_col: str = "geometry", bbox_col: str = "bbox")
               .withColumn("__y", G.point_y(F.col("__pt"))).drop("__pt")
 
 
-def _grid_params(polys: DataFrame, bbox_col: str) -> tuple[float, list[int]]:
-    """Base cell size (median extent) and the levels polygons use."""
-    size = F.greatest(F.col(f"{bbox_col}.xmax") - F.col(f"{bbox_col}.xmin"),
-                      F.col(f"{bbox_col}.ymax") - F.col(f"{bbox_col}.ymin"))
-    row = polys.where(F.col(bbox_col).isNotNull()).agg(
-        F.percentile_approx(size, 0.5).alias("med"), F.max(size).alias("mx")).first()
-    if row is None or row["med"] is None:
-        return 1.0, [0]
-    base = row["med"] if row["med"] and row["med"] > 0 else (row["mx"] or 1.0) or 1.0
-    top = 0 if not row["mx"] or row["mx"] <= base else math.ceil(math.log2(row["mx"] / base))
-    return float(base), list(range(min(top, MAX_LEVELS) + 1))
-
-
-def _level(size: Column, base: float) -> Column:
-    lvl = F.ceil(F.log2(F.greatest(size / F.lit(base), F.lit(1.0))))
-    return F.least(lvl, F.lit(MAX_LEVELS)).cast("int")
+def _level(box: Column) -> Column:
+    """Exponent of the smallest power of two that is no less than the extent; null for empty extents."""
+    size = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    up = F.ceil(F.log2(F.when(size > 0, size))).cast("int")
+    # a logarithm may be rounded below the exponent that the size needs
+    return F.when(F.pow(F.lit(2.0), up) < size, up + 1).otherwise(up)
 
 
-def _cell_size(level: Column, base: float) -> Column:
-    return F.lit(base) * F.pow(F.lit(2.0), level)
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / F.pow(F.lit(2.0), level))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[str],
                        polygon_cols: list[str], point_geom: str = "geometry",
-                       polygon_geom: str = "geometry", bbox_col: str = "bbox") -> DataFrame:
+                       polygon_geom: str = "geometry") -> DataFrame:
     """Every (point, polygon) pair with the point strictly inside the polygon.
 
-    Returns ``point_cols + polygon_cols`` (names must not clash).
+    Returns ``point_cols + polygon_cols`` (names must not clash). Building the frame runs one
+    aggregate over the polygons' extents, whose result is the list of levels.
     """
-    polys = bbox_of(polygons, polygon_geom, bbox_col)
-    base, levels = _grid_params(polys, bbox_col)
-    size = F.greatest(F.col(f"{bbox_col}.xmax") - F.col(f"{bbox_col}.xmin"),
-                      F.col(f"{bbox_col}.ymax") - F.col(f"{bbox_col}.ymin"))
-    poly = with_decoded(polys.where(F.col(bbox_col).isNotNull()), polygon_geom, "__poly") \
-        .withColumn("__lvl", _level(size, base))
-    cs = _cell_size(F.col("__lvl"), base)
-    poly = poly.select(
-        *[F.col(f"`{c}`") for c in polygon_cols], "__poly", "__lvl", F.col(bbox_col).alias("__bb"),
-        F.explode(F.sequence(F.floor(F.col(f"{bbox_col}.xmin") / cs),
-                             F.floor(F.col(f"{bbox_col}.xmax") / cs))).alias("__cx"),
-        F.col(f"{bbox_col}.ymin").alias("__ymin"), F.col(f"{bbox_col}.ymax").alias("__ymax"), cs.alias("__cs"))
-    poly = poly.select("*", F.explode(F.sequence(F.floor(F.col("__ymin") / F.col("__cs")),
-                                                 F.floor(F.col("__ymax") / F.col("__cs")))).alias("__cy")) \
-               .drop("__ymin", "__ymax", "__cs")
+    polys = bbox_of(polygons, polygon_geom).withColumn("__lvl", _level(F.col("__bbox"))).where("__lvl is not null")
+    levels = sorted(polys.agg(F.collect_set("__lvl")).first()[0])
+    out = [F.col(f"`{c}`") for c in point_cols + polygon_cols]
+    poly = with_decoded(polys, polygon_geom, "__poly").select(
+        *[F.col(f"`{c}`") for c in polygon_cols], "__poly", "__lvl", F.col("__bbox").alias("__bb"),
+        F.explode(F.sequence(_cell(F.col("__bbox.xmin"), F.col("__lvl")),
+                             _cell(F.col("__bbox.xmax"), F.col("__lvl")))).alias("__cx"))
+    poly = poly.select("*", F.explode(F.sequence(_cell(F.col("__bb.ymin"), F.col("__lvl")),
+                                                 _cell(F.col("__bb.ymax"), F.col("__lvl")))).alias("__cy"))
 
     # NULL coordinates drop out at the equi-join (NULL keys never match); an
     # explicit filter here would be pushed below the projection and make Spark
     # evaluate the decode twice.
-    pts = point_xy(points, point_geom, bbox_col)
-    # The refine step is CPU-bound: a point layer stored in a few large
-    # row groups would otherwise run in a few tasks. Spread it over the
-    # cluster's cores (never triggers on a layer already split finely).
-    par = pts.sparkSession.sparkContext.defaultParallelism
-    if pts.rdd.getNumPartitions() < par:
-        pts = pts.repartition(par)
-    lv = F.explode(F.array(*[F.lit(v) for v in levels])).alias("__lvl")
-    pts = pts.select(*[F.col(f"`{c}`") for c in point_cols], "__x", "__y", lv)
-    pcs = _cell_size(F.col("__lvl"), base)
-    pts = pts.select("*", F.floor(F.col("__x") / pcs).alias("__cx"), F.floor(F.col("__y") / pcs).alias("__cy"))
-
-    j = pts.join(poly, ["__lvl", "__cx", "__cy"], "inner")
+    at = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
+    pts = point_xy(points, point_geom).select(*[F.col(f"`{c}`") for c in point_cols], "__x", "__y",
+                                              F.explode(at).alias("__lvl"))
+    pts = pts.select("*", _cell(F.col("__x"), F.col("__lvl")).alias("__cx"),
+                     _cell(F.col("__y"), F.col("__lvl")).alias("__cy"))
     inside = (F.col("__x") > F.col("__bb.xmin")) & (F.col("__x") < F.col("__bb.xmax")) & \
              (F.col("__y") > F.col("__bb.ymin")) & (F.col("__y") < F.col("__bb.ymax")) & \
              G.contains_point(F.col("__poly"), F.col("__x"), F.col("__y"))
-    return j.where(inside).select(*[F.col(f"`{c}`") for c in point_cols + polygon_cols])
+    return pts.join(poly, ["__lvl", "__cx", "__cy"], "inner").where(inside).select(*out)
 
 
 def identify(points: DataFrame, layers: list[tuple[str, DataFrame, str]], point_cols: list[str],
-             point_geom: str = "geometry") -> DataFrame:
+             point_geom: str = "geometry", polygon_geom: str = "geometry") -> DataFrame:
     """B11 for many clicks: per point, the feature of the topmost layer under it.
 
     ``layers`` is ``[(layer_name, frame, id_column)]`` in registry (drawing)
-    order; the last drawn layer is on top, as on the map.
+    order; the last drawn layer is on top, as on the map. All layers go through one
+    join, so the points are read and dealt once.
     """
-    hits = None
+    every = None
     for order, (name, frame, id_col) in enumerate(layers):
-        h = points_in_polygons(points, frame.withColumnRenamed(id_col, "__fid"), point_cols, ["__fid"],
-                               point_geom=point_geom) \
-            .select(*point_cols, F.lit(name).alias("layer"), F.lit(order).alias("__order"),
-                    F.col("__fid").cast("string").alias("feature_id"))
-        hits = h if hits is None else hits.unionByName(h)
+        one = bbox_of(frame, polygon_geom, "bbox").select(
+            F.lit(name).alias("layer"), F.lit(order).alias("__order"),
+            F.col(f"`{id_col}`").cast("string").alias("feature_id"), "bbox", F.col(f"`{polygon_geom}`").alias("geometry"))
+        every = one if every is None else every.unionByName(one)
+    hits = points_in_polygons(points, every, point_cols, ["layer", "__order", "feature_id"], point_geom=point_geom)
     w = Window.partitionBy(*point_cols).orderBy(F.col("__order").desc(), F.col("feature_id"))
     return hits.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__order")

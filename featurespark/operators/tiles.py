@@ -15,11 +15,12 @@ Web-Mercator tile arithmetic in native functions, for zoom ``z`` and
   per occupied tile (by feature centre) is at most ``target`` (default
   ``cap / 4``), bounded by 14.
 * ``thin_tiles``: keep at most ``cap`` features per tile, dropping features
-  in the densest sub-cells (zoom + 4 grid) first, ties by feature id. A hot
-  tile is ranked in salted partial groups first (each keeps its ``cap``
-  best), so no single task ranks more than ``cap x salts`` rows of it.
-* ``build_tiles``: zoom guess, extension of the top zoom while it still drops
-  features (at most 4 more zooms), assignment, thinning.
+  in the densest sub-cells (zoom + 4 grid) first, ties by feature id. Each
+  sub-cell keeps its ``cap`` best first, and every task does so before the
+  shuffle, so a tile that holds the whole layer is ranked from few rows.
+* ``build_tiles``: zoom guess, extension of the top zoom while a tile there
+  still drops features, assignment, thinning. At the top zoom nothing is dropped,
+  so every feature is in the pyramid.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featurespark.errors import LayerQueryError
 from featurespark.functions import geometry as G
 from featurespark.functions.crs import IDENTITY_EPSG, to_4326
 from featurespark.functions.wkb import wkb_decode
@@ -37,8 +39,8 @@ from featurespark.functions.wkb import wkb_decode
 MAX_LAT = 85.0511287798066
 ZOOM_LIMIT = 14
 DEFAULT_CAP = 2000
-MAX_EXTRA_ZOOMS = 4
 SUBCELL_BITS = 4
+LAST_ZOOM = 24           # tiles of this zoom are a few metres wide: extension ends here
 # ----------------------------------------------------------------
 
 
@@ -57,9 +59,12 @@ def tile_y(lat: Column, z: Column) -> Column:
 
 def with_bbox_4326(df: DataFrame, epsg: int, geom_col: str = "geometry") -> DataFrame:
     """``__bb`` = extent in EPSG:4326 (the stored bbox when already geographic)."""
-    if epsg in IDENTITY_EPSG and "bbox" in df.columns:
-        return df.withColumn("__bb", F.col("bbox"))
-    dec = df.withColumn("__g", wkb_decode(F.col(geom_col)))
+    from featurespark.operators.spatial import extent_column
+
+    stored = extent_column(df.schema)
+    if epsg in IDENTITY_EPSG and stored:
+        return df.withColumn("__bb", F.col(f"`{stored}`"))
+    dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
     return dec.withColumn("__bb", G.extent(to_4326(F.col("__g"), epsg))).drop("__g")
 
 
@@ -108,8 +113,12 @@ def guess_max_zoom(df: DataFrame, cap: int = DEFAULT_CAP, target: float | None =
     return ok.select(F.coalesce(F.col("z"), F.lit(ZOOM_LIMIT)).cast("int").alias("zoom"))
 
 
-def thin_tiles(tiles: DataFrame, id_col: str, cap: int = DEFAULT_CAP, salts: int = 16) -> DataFrame:
-    """Keep <= ``cap`` features per tile, sparsest sub-cells first, ties by id."""
+def thin_tiles(tiles: DataFrame, id_col: str, cap: int = DEFAULT_CAP) -> DataFrame:
+    """Keep <= ``cap`` features per tile, sparsest sub-cells first, ties by id.
+
+    The ranks are limits, so Spark applies them in each task before the shuffle as well
+    (the query session lifts the optimizer's threshold for that above ``cap``).
+    """
     # density of the feature's centre sub-cell at zoom z + SUBCELL_BITS
     # (``tiles`` carries the centre ``cx``/``cy`` from ``assign_tiles``)
     t = tiles.withColumnRenamed(id_col, "__id")
@@ -118,12 +127,20 @@ def thin_tiles(tiles: DataFrame, id_col: str, cap: int = DEFAULT_CAP, salts: int
     dens = t.groupBy("z", "sx", "sy").agg(F.count(F.lit(1)).alias("dens"))
     t = t.join(dens, ["z", "sx", "sy"])
     key = [F.col("dens").asc(), F.col("__id").asc()]
-    salted = t.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)))
-    w1 = Window.partitionBy("z", "x", "y", "__salt").orderBy(*key)
-    part = salted.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= cap)
-    w2 = Window.partitionBy("z", "x", "y").orderBy(*key)
-    kept = part.withColumn("__r2", F.row_number().over(w2)).where(F.col("__r2") <= cap)
-    return kept.select(F.col("__id").alias(id_col), "z", "x", "y", "dens")
+    for group in (["z", "x", "y", "sx", "sy"], ["z", "x", "y"]):
+        w = Window.partitionBy(*group).orderBy(*key)
+        t = t.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= cap).drop("__rank")
+    return t.select(F.col("__id").alias(id_col), "z", "x", "y", "dens")
+
+
+def _top_zoom(bb: DataFrame, id_col: str, zmax: int, cap: int) -> int:
+    """The first zoom from ``zmax`` on where no tile holds more than ``cap`` features."""
+    while zmax < LAST_ZOOM:
+        most = tile_density(assign_tiles(bb, [id_col], zmax, zmax)).agg(F.max("n")).first()[0]
+        if (most or 0) <= cap:
+            break
+        zmax += 1
+    return zmax
 
 
 def build_tiles(df: DataFrame, epsg: int, id_col: str | None = None, zmin: int = 0,
@@ -132,27 +149,32 @@ def build_tiles(df: DataFrame, epsg: int, id_col: str | None = None, zmin: int =
     """``(z, x, y, feature, geometry)`` tile table of a layer.
 
     ``feature`` is the feature's JSON properties; ``geometry`` its GeoJSON in
-    EPSG:4326.
+    EPSG:4326. Features are told apart by ``id_col`` or else by their place in the layer's
+    files. With ``extend`` the top zoom holds every feature; without, it is thinned as well.
     """
     from featurespark.functions.jsonfmt import json_object
+    from featurespark.operators.query import FILE, ROW, has_file_order
+    from featurespark.operators.spatial import extent_column
 
+    attrs = [c for c in df.columns if c not in (geom_col, extent_column(df.schema))]
     if id_col is None:
-        df = df.withColumn("__fid", F.monotonically_increasing_id())
+        if not has_file_order(df):
+            raise LayerQueryError("tiles of a derived layer need an id column")
+        df = df.withColumn("__fid", F.struct(F.col(FILE).alias("file"), F.col(ROW).alias("row")))
         id_col = "__fid"
     bb = with_bbox_4326(df, epsg, geom_col)
     if zmax is None:
         zmax = guess_max_zoom(bb, cap, zmin=zmin).first()["zoom"]
     zmax = max(zmax, zmin)
     if extend:
-        stats = {r["z"]: r["max_n"] for r in zoom_stats(bb, zmax, zmax + MAX_EXTRA_ZOOMS).collect()}
-        extra = 0
-        while extra < MAX_EXTRA_ZOOMS and stats.get(zmax + extra, 0) > cap:
-            extra += 1
-        zmax += extra
-    tiles = assign_tiles(bb, [id_col], zmin, zmax)
-    kept = thin_tiles(tiles, id_col, cap)
-    attrs = [c for c in df.columns if c not in (geom_col, "bbox", id_col, "__layer")]
-    dec = bb.withColumn("__g", wkb_decode(F.col(geom_col)))
-    feats = dec.select(F.col(id_col), json_object(df.schema, attrs).alias("feature"),
+        zmax = _top_zoom(bb, id_col, zmax, cap)
+    thinned = zmax - 1 if extend else zmax
+    kept = thin_tiles(assign_tiles(bb, [id_col], zmin, thinned), id_col, cap).select(id_col, "z", "x", "y") \
+        if thinned >= zmin else None
+    if extend:
+        top = assign_tiles(bb, [id_col], zmax, zmax).select(id_col, "z", "x", "y")
+        kept = top if kept is None else kept.unionByName(top)
+    dec = bb.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
+    feats = dec.select(F.col(f"`{id_col}`"), json_object(df.schema, attrs).alias("feature"),
                        G.geojson(to_4326(F.col("__g"), epsg)).alias("geometry"))
     return kept.join(feats, id_col).select("z", "x", "y", "feature", "geometry")

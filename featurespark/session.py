@@ -31,6 +31,8 @@ QUERY_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # tiles rank up to their cap, which tasks then apply before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 # V2 Parquet reader (parquet removed from the V1 list) + footer aggregates.
@@ -41,6 +43,7 @@ COUNT_CONF = {
 
 _lock = threading.Lock()
 _children: dict[tuple[int, str], SparkSession] = {}
+_local_scratch: str | None = None
 
 
 def _child(spark: SparkSession, kind: str, conf: dict) -> SparkSession:
@@ -56,11 +59,12 @@ def _child(spark: SparkSession, kind: str, conf: dict) -> SparkSession:
 
 
 def query_session(spark: SparkSession) -> SparkSession:
-    """Child session used for every layer query (see module docstring)."""
-    if spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false") == "true" and \
-            spark.conf.get("spark.sql.runSQLOnFiles", "true") == "false":
-        return spark
-    s = _child(spark, "query", QUERY_CONF)
+    """Child session used for every layer query (see module docstring).
+
+    A session that was made here, or that already has its settings, is used as it is.
+    """
+    own = all(spark.conf.get(k, None) == v for k, v in QUERY_CONF.items())
+    s = spark if own else _child(spark, "query", QUERY_CONF)
     from featurespark.functions import sqlfuncs
 
     sqlfuncs.register_all(s)
@@ -73,16 +77,18 @@ def count_session(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) is a
-    fresh scratch folder created and set.
+    A cluster must name one. In local mode, where driver and tasks are one
+    process, a scratch folder stands in for it; the session's settings stay as they are.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="featurespark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    global _local_scratch
+    with _lock:
+        if _local_scratch is None:
+            _local_scratch = tempfile.mkdtemp(prefix="featurespark-")
+    return _local_scratch

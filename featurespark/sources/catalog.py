@@ -2,12 +2,14 @@
 
 A layer is one ``<name>.parquet`` entry (a file, or a directory written by
 Spark) directly under a root URI. Any Hadoop-FS URI works; listing is a
-metadata call, schema comes from Parquet footers, and counts are answered
-from footers by a V2 scan with aggregate push-down.
+metadata call, schema comes from Parquet footers, and the count of one layer is
+answered from footers by a V2 scan with aggregate push-down. Under a root that
+ingest publishes, the manifest says where each layer's current files are.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from featurespark import params
 from featurespark.errors import LayerQueryError
 from featurespark.functions.types import type_name
 from featurespark.session import count_session, query_session
+from featurespark.sources.manifest import read_manifest
 
 SUFFIX = ".parquet"
 
@@ -31,29 +34,29 @@ COLUMNS_SCHEMA = T.StructType([
 ])
 
 
-def list_layer_names(spark: SparkSession, root: str) -> list[str]:
-    """Sorted, de-duplicated stems of ``*.parquet`` entries directly under root."""
+def layer_entries(spark: SparkSession, root: str) -> dict[str, int]:
+    """Stems of the ``*.parquet`` entries directly under root, with their modification times."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = set()
-    for st in fs.listStatus(path):
+    found: dict[str, int] = {}
+    for st in fs.listStatus(path) if fs.exists(path) else []:
         name = st.getPath().getName()
         if name.endswith(SUFFIX) and len(name) > len(SUFFIX):
-            names.add(name[: -len(SUFFIX)])
-    return sorted(names)
+            found[name[: -len(SUFFIX)]] = st.getModificationTime()
+    return found
 
 
 def geometry_fields(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields
-            if params.is_geometry(f.name, isinstance(f.dataType, T.BinaryType))]
+    return params.Columns(schema).geometry
 
 
 class Layers:
     """The catalogue of layers under ``root`` (plus optional derived layers).
 
+    The root is listed on every call, so layers that land or change meanwhile are
+    seen; a schema is read again when its entry has changed.
+
     >>> layers = Layers(spark, "/data/layers")
     >>> layers.query("parcels", where='"AREA_HA" > 10', order_by="AREA_HA DESC").df
     """
@@ -62,38 +65,31 @@ class Layers:
         self.base = spark
         self.spark = query_session(spark)
         self.root = root.rstrip("/") if root else None
-        self._names: list[str] | None = None
-        self._schemas: dict[str, T.StructType] = {}
+        self._schemas: dict[tuple, T.StructType] = {}
         self._derived: dict[str, DataFrame] = {}
 
-    _open: dict = {}
-
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> "Layers":
-        """A long-lived catalogue per (session, root): schemas and listing are
-        cached between requests (call :meth:`refresh` after new layers land)."""
-        key = (id(spark), root)
-        if key not in cls._open:
-            cls._open[key] = cls(spark, root)
-        return cls._open[key]
+        return cls(spark, root)
 
     # -- catalogue -------------------------------------------------------
-    def refresh(self) -> "Layers":
-        self._names = None
-        self._schemas.clear()
-        return self
+    def _entries(self) -> dict[str, tuple[str, int]]:
+        """Path below the root and change stamp of every stored layer."""
+        if not self.root:
+            return {}
+        manifest = read_manifest(self.spark, self.root)
+        if manifest is not None:          # a run's files never change
+            return {n: (p, 0) for n, p in manifest["layers"].items()}
+        return {n: (n + SUFFIX, at) for n, at in layer_entries(self.spark, self.root).items()}
 
     def add(self, name: str, df: DataFrame) -> "Layers":
         """Register a derived layer (a DataFrame built in this session)."""
-        params.check_layer_name(name)
+        params.read(params.LAYER, {"layer": name})
         self._derived[name] = df
-        self._schemas.pop(name, None)
         return self
 
     def names(self) -> list[str]:
-        if self._names is None:
-            self._names = list_layer_names(self.spark, self.root) if self.root else []
-        return sorted(set(self._names) | set(self._derived))
+        return sorted({*self._entries(), *self._derived})
 
     def list(self) -> DataFrame:
         """A1: ``DataFrame(layer)`` of layer names, sorted."""
@@ -101,13 +97,13 @@ class Layers:
         return self.spark.createDataFrame(rows, "layer string").orderBy("layer")
 
     def validate(self, layer) -> str:
-        params.check_layer_name(layer)
-        if layer not in self.names():
+        params.read(params.LAYER, {"layer": layer})
+        if layer not in self._derived and layer not in self._entries():
             raise LayerQueryError(f"unknown layer: {layer!r}")
         return layer
 
     def path(self, layer: str) -> str:
-        return f"{self.root}/{layer}{SUFFIX}"
+        return f"{self.root}/{self._entries()[layer][0]}"
 
     def read(self, layer: str, session: SparkSession | None = None) -> DataFrame:
         """A2: scan a validated layer (lazy; prunes and pushes down)."""
@@ -117,27 +113,24 @@ class Layers:
         return (session or self.spark).read.parquet(self.path(layer))
 
     def schema(self, layer: str) -> T.StructType:
-        if layer not in self._schemas:
-            self._schemas[layer] = self.read(layer).schema
-        return self._schemas[layer]
+        if layer in self._derived:
+            return self._derived[layer].schema
+        key = layer, self._entries().get(layer)
+        if key not in self._schemas:
+            self._schemas[key] = self.read(layer).schema
+        return self._schemas[key]
 
     def columns(self, layer: str) -> list[dict]:
         """A4/A5: ``[{name, type, nullable, is_geometry}]`` in file order."""
-        out = []
-        for f in self.schema(self.validate(layer)).fields:
-            out.append({
-                "name": f.name,
-                "type": type_name(f.dataType),
-                "nullable": bool(f.nullable),
-                "is_geometry": params.is_geometry(f.name, isinstance(f.dataType, T.BinaryType)),
-            })
-        return out
+        known = params.Columns(self.schema(self.validate(layer)))
+        return [{"name": f.name, "type": type_name(f.dataType), "nullable": bool(f.nullable),
+                 "is_geometry": f.name in known.geometry} for f in known.schema.fields]
 
     def attribute_names(self, layer: str) -> list[str]:
-        return [c["name"] for c in self.columns(layer) if not c["is_geometry"]]
+        return params.Columns(self.schema(self.validate(layer))).attributes
 
     def geometry_names(self, layer: str) -> list[str]:
-        return [c["name"] for c in self.columns(layer) if c["is_geometry"]]
+        return geometry_fields(self.schema(self.validate(layer)))
 
     def columns_df(self, layers: list[str] | None = None) -> DataFrame:
         """Column descriptors of one or more layers as a DataFrame."""
@@ -158,36 +151,32 @@ class Layers:
                  .select(F.lit(layer).alias("layer"), "feature_count")
 
     def feature_counts(self, layers: list[str] | None = None) -> DataFrame:
-        """A6 for many layers in one scan: ``(layer, feature_count)``.
+        """A6 for many layers: ``(layer, feature_count)``.
 
-        All layer files are read by one Parquet scan that requests no column at
-        all (row counts come from row-group metadata), grouped by the layer the
-        file belongs to — one job however many layers there are.
+        The files of all layers are one scan that asks for no column, so row counts come from
+        row-group metadata, grouped by the layer a file belongs to: one job, and nothing on the driver.
         """
         names = [self.validate(n) for n in (layers or self.names())]
         files = [n for n in names if n not in self._derived]
         frames = [self.count_df(n) for n in names if n in self._derived]
         if files:
-            # footer-only counts (V2 aggregate push-down), the small jobs
-            # submitted concurrently; the result is one number per layer
-            from concurrent.futures import ThreadPoolExecutor
-
-            with ThreadPoolExecutor(max_workers=min(8, len(files))) as pool:
-                counts = list(pool.map(lambda n: (n, int(self.count_df(n).first()["feature_count"])),
-                                       files))
-            frames.append(self.spark.createDataFrame(counts, "layer string, feature_count long"))
+            # a file lies under <root>/<layer>.parquet; layer names need no escaping in paths
+            layer = F.regexp_extract("_metadata.file_path", "/" + re.escape(self.root.rsplit("/", 1)[-1])
+                                     + r"/(?:[^/]+/)*?([A-Za-z0-9_.\-]+?)\.parquet(?:/|$)", 1)
+            scan = self.spark.read.schema(T.StructType([])).parquet(*[self.path(n) for n in files])
+            counted = scan.groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("feature_count"))
+            every = self.spark.createDataFrame([(n,) for n in files], "layer string")
+            frames.append(every.join(counted, "layer", "left")
+                          .select("layer", F.coalesce("feature_count", F.lit(0)).alias("feature_count")))
         return reduce(DataFrame.unionByName, frames)
 
     def describe_df(self, layers: list[str] | None = None) -> DataFrame:
-        """A6 for many layers: ``(layer, feature_count, n_columns, n_geometry)``.
-
-        Column facts come from the cached footer schemas (no job); counts from
-        one metadata-only scan; the two meet in a broadcast-sized join.
-        """
+        """A6 for many layers: ``(layer, feature_count, n_columns, n_geometry)``; column facts from footers."""
         names = [self.validate(n) for n in (layers or self.names())]
-        meta = [(n, len(self.columns(n)), sum(c["is_geometry"] for c in self.columns(n))) for n in names]
-        facts = self.spark.createDataFrame(meta, "layer string, n_columns long, n_geometry long")
-        return self.feature_counts(names).join(F.broadcast(facts), "layer")
+        known = [params.Columns(self.schema(n)) for n in names]
+        facts = self.spark.createDataFrame([(n, len(k.every), len(k.geometry)) for n, k in zip(names, known)],
+                                           "layer string, n_columns long, n_geometry long")
+        return self.feature_counts(names).join(facts, "layer")
 
     def describe(self, layer) -> dict:
         """``{layer, feature_count, columns}``; the count reads footers only."""
@@ -196,13 +185,10 @@ class Layers:
         n = self.count_df(layer).first()["feature_count"]
         return {"layer": layer, "feature_count": int(n), "columns": cols}
 
-    def register_views(self, names: list[str] | None = None) -> list[str]:
-        """Expose layers as temp views of the query session (for C1 subqueries)."""
-        out = []
-        for n in names or self.names():
+    def register_views(self, names: list[str]) -> None:
+        """Expose the named layers as temp views of the query session (for C1 subqueries)."""
+        for n in names:
             self.read(n).createOrReplaceTempView(n)
-            out.append(n)
-        return out
 
     # -- request operators (thin wrappers over operators/*) ---------------
     def filter(self, layer, where=None, allow_subqueries=False) -> DataFrame:
@@ -211,8 +197,11 @@ class Layers:
         from featurespark.plans.where import guard_where
 
         self.validate(layer)
-        views = self.register_views() if allow_subqueries else None
-        return apply_where(self.read(layer), guard_where(self.spark, where, views))
+        text = params.read(params.FORM, {"where": where}).where
+        guarded = guard_where(self.spark, text, self.names() if allow_subqueries else None)
+        if guarded and guarded.relations:
+            self.register_views(guarded.relations)
+        return apply_where(self.read(layer), guarded)
 
     def query(self, layer, **kw):
         from featurespark.operators.query import query_layer

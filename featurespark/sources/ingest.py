@@ -3,22 +3,26 @@
 Upload tree (any Hadoop-FS URI)::
 
     <uploads>/.../<dataset>.gdb/<layer>.geojsonl   newline-delimited GeoJSON features
-    <uploads>/.../<dataset>.gdb/<layer>.parquet    WKB ``geometry`` column (+ attributes)
+    <uploads>/.../<dataset>.gdb/<layer>.parquet    a WKB geometry column (+ attributes)
     <uploads>/.../config.json                      layer registry, uploaded last
 
 Steps (A7-A15, K4): list uploads -> discover datasets (directories ending
-``.gdb``, any case, any depth) -> candidate layer files -> keep layers with
-geometry (one distributed scan over all GeoJSON candidates) -> per layer:
-write ``<out>/<layer>.parquet`` (attributes + ``bbox`` covering column + WKB,
-CRS in the column metadata), optionally the EPSG:4326 newline GeoJSON export
-and the tile table -> publish ``config.json`` -> delete the sources.
-
-Publishing is atomic per layer: each output is written under a staging
-folder and renamed into place only after the write committed, and sources
-are deleted only after every layer of the run succeeded (V10, S28). Layers
-with the same name in two datasets are an error unless ``overwrite_duplicates``
-is set (V6). The driver only loops over layers to *plan*; every layer is a
-distributed job.
+``.gdb``, any case, any depth) -> candidate layer files -> decide which have
+geometry -> write every layer of the run below ``<out>/runs/<run>/`` (attributes +
+extent + WKB, CRS in the column metadata and in a sidecar file), with the
+EPSG:4326 export and the tile table if wanted -> publish -> delete the sources.
+
+Publishing is the replacement of one small file: ``<out>/_manifest.json`` says which
+run's files are each layer's current ones, which upload markers are done and which
+runs there were. Readers follow it, so they see all of a run or nothing of it; files
+of older runs stay until ``remove_unpublished``. A run that fails in any
+layer publishes nothing and deletes nothing. Layers of one name in two datasets are an
+error unless ``overwrite_duplicates`` is set (V6): then the last dataset by path
+wins, which is settled before anything is written.
+
+A layer's coordinates are in the CRS that it states: Parquet in the column metadata or
+the ``geo`` footer, GeoJSON always EPSG:4326. Layers that state none take
+``source_epsg``; without that they fail.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -33,10 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featurespark import params
 from featurespark.errors import LayerQueryError
 from featurespark.functions import geometry as G
 from featurespark.functions.crs import to_4326
-from featurespark.functions.wkb import wkb_decode, wkb_encode
+from featurespark.functions.wkb import wkb_decode
+from featurespark.sources.manifest import _fs, read_manifest, read_text, replace_file
 
 # --- fixed values: reference pipeline defaults ---
 DATASET_SUFFIX = ".gdb"
@@ -45,6 +52,8 @@ LAYER_EXTENSIONS = ("geojsonl", "parquet")
 DELETE_BATCH = 1000
 # ---------------------------------------------------
 
+LAYERS_AT_ONCE = 4       # layers whose jobs are submitted together
+
 REGISTRY_SCHEMA = T.StructType([T.StructField("layers", T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()), T.StructField("label", T.StringType()),
     T.StructField("visibleByDefault", T.BooleanType()), T.StructField("opacity", T.DoubleType()),
@@ -55,7 +64,7 @@ REGISTRY_SCHEMA = T.StructType([T.StructField("layers", T.ArrayType(T.StructType
 class IngestOptions:
     uploads: str
     output: str
-    source_epsg: int = 7844
+    source_epsg: int | None = None      # of layers that state no CRS
     make_geojson: bool = True
     make_tiles: bool = True
     tile_args: dict = field(default_factory=dict)
@@ -64,12 +73,6 @@ class IngestOptions:
     dataset_suffix: str = DATASET_SUFFIX
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 # -- A7: listing --------------------------------------------------------------------
 def list_uploads(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` (recursive) as ``(path, length, modificationTime)``.
@@ -119,39 +122,36 @@ def layer_files(listing: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 # -- A9: spatial layers ---------------------------------------------------------------
+def literal_path(path: str) -> str:
+    """A path for Spark's readers, which take patterns: special characters stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def spatial_layers(spark: SparkSession, candidates: DataFrame) -> DataFrame:
     """``(dataset, layer, path, format, has_geometry)`` for every candidate.
 
-    GeoJSON candidates are decided by one scan over all of them (a feature
-    with a non-null geometry makes the layer spatial); Parquet candidates by
-    their footer schema (a geometry-named or binary column).
+    A GeoJSON layer is spatial if any feature has a geometry, which a partial aggregate of its own
+    lines tells; a Parquet layer if its footer has a geometry column.
     """
-    from featurespark import params
-
-    cands = candidates.collect()   # one row per layer file: catalogue metadata, not data
-    gj = [r["path"] for r in cands if r["format"] == "geojsonl"]
-    flags = {}
-    if gj:
-        txt = spark.read.text(gj).select(F.col("_metadata.file_path").alias("fp"), "value")
-        has = txt.groupBy("fp").agg(F.max(F.get_json_object("value", "$.geometry.type").isNotNull())
-                                    .alias("g")).collect()
-        for p in gj:      # a layer entry may be a folder of part files
-            key = _norm(p)
-            flags[key] = any(bool(r["g"]) for r in has
-                             if _norm(r["fp"]) == key or _norm(r["fp"]).startswith(key + "/"))
-    for r in cands:
+    found = None
+    for r in candidates.orderBy("path").collect():       # a row for each layer: the catalogue, not data
         if r["format"] == "parquet":
-            sch = spark.read.parquet(r["path"]).schema
-            flags[_norm(r["path"])] = any(params.is_geometry(f.name, isinstance(f.dataType, T.BinaryType))
-                                          for f in sch.fields)
-    rows = [(r["dataset"], r["layer"], r["path"], r["format"], flags.get(_norm(r["path"]), False))
-            for r in cands]
-    return spark.createDataFrame(rows, "dataset string, layer string, path string, format string, "
-                                       "has_geometry boolean")
+            known = bool(geometry_column(spark.read.parquet(literal_path(r["path"])).schema))
+            one = spark.range(1).select(F.lit(known).alias("has_geometry"))
+        else:
+            one = spark.read.text(literal_path(r["path"])).agg(F.coalesce(F.bool_or(
+                F.get_json_object("value", "$.geometry.type").isNotNull()), F.lit(False)).alias("has_geometry"))
+        row = one.select(*[F.lit(r[c]).alias(c) for c in ("dataset", "layer", "path", "format")], "has_geometry")
+        found = row if found is None else found.unionByName(row)
+    return found if found is not None else spark.createDataFrame(
+        [], "dataset string, layer string, path string, format string, has_geometry boolean")
 
 
-def _norm(p: str) -> str:
-    return p.replace("file:///", "/").replace("file:/", "/")
+def geometry_column(schema: T.StructType) -> str | None:
+    """The geometry column: a known name that holds bytes, else the first column of bytes."""
+    binary = [f.name for f in schema.fields if isinstance(f.dataType, T.BinaryType)]
+    named = [n for n in binary if n.lower() in params.GEOMETRY_NAMES]
+    return (named or binary or [None])[0]
 
 
 # -- A10: layer frames -------------------------------------------------------------------
@@ -167,52 +167,108 @@ def _geojson_to_wkb():
 
 
 def read_layer(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """A layer file as ``attributes..., geometry (WKB)`` (no bbox yet)."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    txt = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    props = txt.select(F.get_json_object("value", "$.properties").alias("p"))
-    schema = _infer_json(spark, props)
-    feat = txt.select(F.from_json(F.get_json_object("value", "$.properties"), schema).alias("p"),
-                      F.get_json_object("value", "$.geometry").alias("g"))
-    cols = [F.col("p")[f.name].alias(f.name) for f in schema.fields]
-    return feat.select(*cols, _geojson_to_wkb()(F.col("g")).alias("geometry"))
+    """A layer file as attributes and one WKB geometry column.
 
-
-def _infer_json(spark: SparkSession, props: DataFrame) -> T.StructType:
-    """Schema of the ``properties`` objects, inferred by Spark's JSON reader."""
-    sch = spark.read.json(props.where(F.col("p").isNotNull()).select(F.col("p").alias("value"))
-                          .rdd.map(lambda r: r[0])).schema
-    return sch if sch.fields else T.StructType([])
+    The properties' schema is inferred by Spark's JSON reader. A line that is no GeoJSON feature
+    makes the job that reads the frame fail: a damaged upload is never half a layer.
+    """
+    where = literal_path(path)
+    if fmt == "parquet":
+        return spark.read.parquet(where)
+    inferred = spark.read.json(where).schema
+    props = next((f.dataType for f in inferred.fields if f.name == "properties"), None)
+    props = props if isinstance(props, T.StructType) else T.StructType([])
+    schema = T.StructType([T.StructField("type", T.StringType()), T.StructField("geometry", T.StringType()),
+                           *([T.StructField("properties", props)] if props.fields else []),
+                           T.StructField("__bad", T.StringType())])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "__bad").json(where)
+    bad = F.col("__bad").isNotNull() | ~F.col("type").eqNullSafe(F.lit("Feature"))
+    geometry = F.when(bad, F.raise_error(F.concat(F.lit(f"not a GeoJSON feature in {path}: "), F.substring(
+        F.coalesce("__bad", "geometry", F.lit("")), 1, 200))).cast("string")).otherwise(F.col("geometry"))
+    name = next(n for n in ("geometry", "geom", "the_geom", "wkb_geometry", "shape") if n not in props.names)
+    return rows.select(*[F.col("properties")[f].alias(f) for f in props.names],
+                       _geojson_to_wkb()(geometry).alias(name))
+
+
+def stated_epsg(spark: SparkSession, df: DataFrame, geom_col: str, path: str, fmt: str) -> int | None:
+    """The EPSG code that a layer states: column metadata, then the ``geo`` footer; GeoJSON is 4326."""
+    if fmt != "parquet":
+        return 4326
+    stated = df.schema[geom_col].metadata.get("crs")
+    if stated is None:
+        files = df.select("_metadata.file_path").limit(1).collect()
+        geo = _geo_footer(spark, files[0][0]) if files else None
+        if geo is not None:
+            column = geo.get("columns", {}).get(geom_col, {})
+            if "crs" not in column:
+                return 4326                                   # the format's default, longitude and latitude
+            ident = (column["crs"] or {}).get("id") or {}
+            stated = f"{ident.get('authority')}:{ident.get('code')}"
+    if stated is None:
+        return None
+    m = re.fullmatch(r"(?i)(?:epsg|ogc):(\d+|crs84)", str(stated))
+    if not m:
+        raise LayerQueryError(f"{path}: CRS {stated!r} has no EPSG code")
+    return 4326 if m[1].lower() == "crs84" else int(m[1])
+
+
+def _geo_footer(spark: SparkSession, file: str) -> dict | None:
+    """The GeoParquet metadata of one file, read from its footer."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+        jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+    try:
+        text = reader.getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    return json.loads(text) if text else None
 
 
 def with_bbox(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
-    """Add the ``bbox`` covering column (decode once, native extent)."""
-    if "bbox" in df.columns:
+    """Add the extent of the geometry as a covering column, under a name that no attribute has."""
+    from featurespark.operators.spatial import extent_column
+
+    if extent_column(df.schema):
         return df
-    dec = df.withColumn("__g", wkb_decode(F.col(geom_col)))
-    return dec.withColumn("bbox", G.extent(F.col("__g"))).drop("__g")
+    name = next(n for n in ("bbox", *(f"bbox_{i}" for i in range(1, 1000))) if n not in df.columns)
+    dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
+    return dec.select("*", G.extent(F.col("__g")).alias(name, metadata={"covering": geom_col})).drop("__g")
 
 
 def geo_metadata(epsg: int) -> dict:
     return {"encoding": "WKB", "crs": f"EPSG:{epsg}"}
 
 
-def write_layer(df: DataFrame, out_root: str, layer: str, epsg: int, stage: str) -> str:
-    """A10: write ``<stage>/<layer>.parquet`` with CRS/encoding in the field metadata."""
-    meta = geo_metadata(epsg)
-    cols = [F.col(c).alias(c, metadata=meta) if c == "geometry" else F.col(f"`{c}`") for c in df.columns]
-    target = f"{stage}/{layer}.parquet"
+def write_layer(df: DataFrame, layer: str, epsg: int, folder: str, geom_col: str = "geometry") -> str:
+    """A10: write ``<folder>/<layer>.parquet``; CRS and encoding are in the column metadata and a sidecar.
+
+    Spark's writer takes no footer keys of its own, so the GeoParquet metadata is the sidecar
+    ``<layer>.parquet.geo.json``.
+    """
+    from featurespark.operators.spatial import extent_column
+
+    cover = extent_column(df.schema)
+    marks = {geom_col: geo_metadata(epsg), cover: {"covering": geom_col}}
+    cols = [F.col(f"`{c}`").alias(c, metadata=marks[c]) if c in marks else F.col(f"`{c}`") for c in df.columns]
+    target = f"{folder}/{layer}.parquet"
     df.select(*cols).write.mode("overwrite").parquet(target)
+    box = {k: [cover, k] for k in ("xmin", "ymin", "xmax", "ymax")}
+    geo = {"version": "1.1.0", "primary_column": geom_col, "columns": {geom_col: {
+        "encoding": "WKB", "geometry_types": [], "crs": {"id": {"authority": "EPSG", "code": epsg}},
+        "covering": {"bbox": box}}}}
+    replace_file(df.sparkSession, f"{target}.geo.json", json.dumps(geo))
     return target
 
 
 def export_geojson(df: DataFrame, epsg: int, target: str, geom_col: str = "geometry") -> str:
     """Newline-delimited GeoJSON features in EPSG:4326 (one feature per line)."""
     from featurespark.functions.jsonfmt import json_object
+    from featurespark.operators.spatial import extent_column
 
-    attrs = [c for c in df.columns if c not in (geom_col, "bbox")]
-    dec = df.withColumn("__g", wkb_decode(F.col(geom_col)))
+    attrs = [c for c in df.columns if c not in (geom_col, extent_column(df.schema))]
+    dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
     g4326 = to_4326(F.col("__g"), epsg)
     text = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(G.geojson(g4326), F.lit("null")),
                     F.lit(',"properties":'), json_object(df.schema, attrs), F.lit("}"))
@@ -220,18 +276,6 @@ def export_geojson(df: DataFrame, epsg: int, target: str, geom_col: str = "geome
     return target
 
 
-def _publish(spark: SparkSession, staged: str, final: str) -> None:
-    fs, src = _fs(spark, staged)
-    _, dst = _fs(spark, final)
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    parent = dst.getParent()
-    if not fs.exists(parent):
-        fs.mkdirs(parent)
-    if not fs.rename(src, dst):
-        raise RuntimeError(f"could not publish {final}")
-
-
 # -- A13/A14/B10: registry ----------------------------------------------------------------
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """``(pos, id, label, visibleByDefault, opacity, color)``; array order kept."""
@@ -254,30 +298,31 @@ def registry_check(registry: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 # -- K4: the job ----------------------------------------------------------------------------
-def delete_paths(spark: SparkSession, paths) -> int:
-    """Delete exactly the listed source files, in batches of 1000.
+def delete_paths(spark: SparkSession, paths, at_once: int = 16) -> int:
+    """Delete exactly the listed source files, in batches of 1000, one call a file and several together.
 
     ``paths`` may be any iterable; with ``DataFrame.toLocalIterator()`` the
     listing streams one partition at a time, so the driver never holds the
-    whole listing. Raises if any deletion failed.
+    whole listing. A file that is gone already counts as deleted; raises if any is left.
     """
+    def gone(p: str) -> bool:
+        fs, hp = _fs(spark, p)
+        return fs.delete(hp, False) or not fs.exists(hp)
+
     failed = n = 0
     batch: list[str] = []
-
-    def flush():
-        nonlocal failed
-        for p in batch:
-            fs, hp = _fs(spark, p)
-            if fs.exists(hp) and not fs.delete(hp, False):
-                failed += 1
-        batch.clear()
-
-    for p in paths:
-        batch.append(p)
-        n += 1
-        if len(batch) >= DELETE_BATCH:
-            flush()
-    flush()
+    with ThreadPoolExecutor(at_once) as pool:
+        def flush():
+            nonlocal failed
+            failed += sum(not ok for ok in pool.map(gone, batch))
+            batch.clear()
+
+        for p in paths:
+            batch.append(p)
+            n += 1
+            if len(batch) >= DELETE_BATCH:
+                flush()
+        flush()
     if failed:
         raise RuntimeError(f"failed to delete {failed} source object(s)")
     return n
@@ -286,68 +331,130 @@ def delete_paths(spark: SparkSession, paths) -> int:
 SUMMARY_SCHEMA = "dataset string, layer string, rows long, outputs array<string>, status string"
 
 
+def _convert(s: SparkSession, opts: IngestOptions, r, folder: str) -> tuple:
+    """Write one layer of a run below ``folder``; its files relative to the run and its number of rows."""
+    df = read_layer(s, r["path"], r["format"])
+    geom = geometry_column(df.schema)
+    epsg = stated_epsg(s, df, geom, r["path"], r["format"]) or opts.source_epsg
+    if epsg is None:
+        raise LayerQueryError(f"{r['path']} states no CRS; give source_epsg")
+    files = {"layers": f"{r['layer']}.parquet"}
+    written = s.read.parquet(literal_path(write_layer(with_bbox(df, geom), r["layer"], epsg, folder, geom)))
+    if opts.make_geojson:
+        files["geojson"] = f"geojson/{r['layer']}"
+        export_geojson(written, epsg, f"{folder}/{files['geojson']}", geom)
+    if opts.make_tiles:
+        from featurespark.operators.tiles import build_tiles
+
+        files["tiles"] = f"tiles/{r['layer']}"
+        build_tiles(written, epsg, geom_col=geom, **opts.tile_args) \
+            .write.mode("overwrite").partitionBy("z").parquet(f"{folder}/{files['tiles']}")
+    return files, written.count()
+
+
 def run_ingest(spark: SparkSession, opts: IngestOptions) -> DataFrame:
     """K4: run the whole ingest; returns the per-layer summary DataFrame."""
     from featurespark.session import query_session
 
     s = query_session(spark)
     listing = list_uploads(s, opts.uploads).cache()
-    if listing.isEmpty():   # S29: nothing uploaded
+    try:
+        return _run(s, opts, listing)
+    finally:
         listing.unpersist()
+
+
+def _run(s: SparkSession, opts: IngestOptions, listing: DataFrame) -> DataFrame:
+    if listing.isEmpty():   # S29: nothing uploaded
         return s.createDataFrame([], SUMMARY_SCHEMA)
+    out = opts.output.rstrip("/")
     base = F.regexp_extract("path", r"([^/]+)$", 1)
-    configs = listing.where(base == CONFIG_NAME).orderBy("path").select("path").limit(1).collect()
-    datasets = find_datasets(listing, opts.dataset_suffix)
-    layers = spatial_layers(s, layer_files(listing, datasets))
-    rows = layers.collect()
+    markers = listing.where(base == CONFIG_NAME).orderBy("path").select(
+        "path", F.unix_millis("modificationTime").alias("at")).collect()
+    candidates = layer_files(listing, find_datasets(listing, opts.dataset_suffix))
+    rows = spatial_layers(s, candidates).orderBy("path").collect()
     kept = [r for r in rows if r["has_geometry"]]
     summary = [(r["dataset"], r["layer"], 0, [], "skipped: no geometry") for r in rows if not r["has_geometry"]]
-    names = [r["layer"] for r in kept]
-    dupes = {n for n in names if names.count(n) > 1}
-    if dupes and not opts.overwrite_duplicates:
-        raise LayerQueryError(f"layer names used by more than one dataset: {sorted(dupes)}")
+    winner = {r["layer"]: r for r in kept}               # the last by path, as a later one overwrites
+    lost = [r for r in kept if winner[r["layer"]] is not r]
+    if lost and not opts.overwrite_duplicates:
+        raise LayerQueryError(f"layer names used by more than one dataset: {sorted({r['layer'] for r in lost})}")
+    summary += [(r["dataset"], r["layer"], 0, [], f"skipped: replaced by {winner[r['layer']]['dataset']}") for r in lost]
     if not kept:   # S29: nothing to convert -> no publish, no delete
-        listing.unpersist()
         return s.createDataFrame(summary, SUMMARY_SCHEMA)
 
-    stage = f"{opts.output.rstrip('/')}/_staging/{uuid.uuid4().hex}"
-    staged = []
-    for r in kept:
-        df = with_bbox(read_layer(s, r["path"], r["format"]))
-        out = write_layer(df, opts.output, r["layer"], opts.source_epsg, stage)
-        outputs = [f"{opts.output.rstrip('/')}/{r['layer']}.parquet"]
-        staged.append((out, outputs[0]))
-        written = s.read.parquet(out)
-        if opts.make_geojson or opts.make_tiles:
-            gj = export_geojson(written, opts.source_epsg, f"{stage}/geojson/{r['layer']}")
-            final = f"{opts.output.rstrip('/')}/geojson/{r['layer']}"
-            staged.append((gj, final))
-            outputs.append(final)
-        if opts.make_tiles:
-            from featurespark.operators.tiles import build_tiles
-
-            tiles = build_tiles(written.withColumn("__layer", F.lit(r["layer"])), opts.source_epsg,
-                                **opts.tile_args)
-            tdir = f"{stage}/tiles/{r['layer']}"
-            tiles.write.mode("overwrite").partitionBy("z").parquet(tdir)
-            final = f"{opts.output.rstrip('/')}/tiles/{r['layer']}"
-            staged.append((tdir, final))
-            outputs.append(final)
-        n = s.read.parquet(out).count()
-        summary.append((r["dataset"], r["layer"], int(n), outputs, "ok"))
-    for src, dst in staged:      # every layer written: publish them
-        _publish(s, src, dst)
-    if configs:                  # S30: the first file named exactly config.json
-        cfg = configs[0]["path"]
-        text = "\n".join(x["value"] for x in s.read.text(cfg, wholetext=True).collect())
-        json.loads(text)         # refuse to publish a broken registry
-        fs, p = _fs(s, f"{opts.output.rstrip('/')}/{CONFIG_NAME}")
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode("utf-8")))
-        out.close()
-    fs, sp = _fs(s, stage)
-    fs.delete(sp, True)
-    if opts.delete_sources:     # S28: only after everything above succeeded
+    run = uuid.uuid4().hex
+    folder = f"{out}/runs/{run}"
+    chosen = list(winner.values())
+    with ThreadPoolExecutor(LAYERS_AT_ONCE) as pool:
+        done = list(pool.map(lambda r: _attempt(s, opts, r, folder), chosen))
+    failures = [f"{r['dataset']}/{r['layer']}: {d}" for r, d in zip(chosen, done) if isinstance(d, Exception)]
+    if failures:             # S28: nothing published, nothing deleted
+        raise RuntimeError("ingest failed, nothing was published or deleted: " + "; ".join(failures))
+    manifest = read_manifest(s, out) or {"layers": {}, "geojson": {}, "tiles": {}, "runs": [], "markers": {}}
+    for r, (files, n) in zip(chosen, done):
+        for kind in ("layers", "geojson", "tiles"):      # what this run did not make is not left over from another
+            manifest[kind].pop(r["layer"], None)
+            if kind in files:
+                manifest[kind][r["layer"]] = f"runs/{run}/{files[kind]}"
+        summary.append((r["dataset"], r["layer"], int(n), [f"{out}/runs/{run}/{f}" for f in files.values()], "ok"))
+    result = s.createDataFrame(summary, SUMMARY_SCHEMA)
+    result.write.parquet(f"{folder}/_summary")           # kept with the run, before any source goes
+    config = None
+    if markers:              # S30: the first file named exactly config.json
+        config = read_text(s, markers[0]["path"])
+        json.loads(config)   # refuse to publish a broken registry
+    manifest["runs"].append(run)
+    manifest["markers"].update({m["path"]: m["at"] for m in markers})
+    replace_file(s, f"{out}/_manifest.json", json.dumps(manifest, indent=1))       # published
+    if config is not None:
+        replace_file(s, f"{out}/{CONFIG_NAME}", config)
+    if opts.delete_sources:  # S28: only after everything above succeeded
         delete_paths(s, (r["path"] for r in listing.select("path").toLocalIterator()))
-    listing.unpersist()
-    return s.createDataFrame(summary, SUMMARY_SCHEMA)
+    return result
+
+
+def _attempt(s, opts, r, folder):
+    try:
+        return _convert(s, opts, r, folder)
+    except Exception as exc:        # reported with its layer; the others of the run still show theirs
+        return exc
+
+
+def run_log(spark: SparkSession, output: str) -> DataFrame:
+    """Summaries of all published runs: ``SUMMARY_SCHEMA`` with ``run`` and its number ``epoch`` from 0."""
+    manifest = read_manifest(spark, output.rstrip("/")) or {"runs": []}
+    log = spark.createDataFrame([], SUMMARY_SCHEMA + ", run string, epoch long")
+    for i, run in enumerate(manifest["runs"]):
+        one = spark.read.parquet(f"{output.rstrip('/')}/runs/{run}/_summary")
+        log = log.unionByName(one.withColumns({"run": F.lit(run), "epoch": F.lit(i).cast("long")}))
+    return log
+
+
+def pending_markers(spark: SparkSession, opts: IngestOptions) -> list[tuple[str, int]]:
+    """Markers whose upload (path and time) no published run has taken yet."""
+    done = (read_manifest(spark, opts.output.rstrip("/")) or {"markers": {}})["markers"]
+    fs, root = _fs(spark, opts.uploads)
+    if not fs.exists(root):
+        return []
+    base = F.regexp_extract("path", r"([^/]+)$", 1)
+    found = list_uploads(spark, opts.uploads).where(base == CONFIG_NAME).select(
+        "path", F.unix_millis("modificationTime").alias("at")).collect()
+    return [(r["path"], r["at"]) for r in found if done.get(r["path"]) != r["at"]]
+
+
+def remove_unpublished(spark: SparkSession, output: str) -> int:
+    """Delete run folders that no layer, export or tile table of the manifest uses; the run log keeps its own."""
+    out = output.rstrip("/")
+    manifest = read_manifest(spark, out)
+    fs, root = _fs(spark, f"{out}/runs")
+    if manifest is None or not fs.exists(root):
+        return 0
+    used = {p.split("/")[1] for kind in ("layers", "geojson", "tiles") for p in manifest[kind].values()}
+    n = 0
+    for st in fs.listStatus(root):
+        if st.getPath().getName() not in used | set(manifest["runs"][-1:]):
+            for part in fs.listStatus(st.getPath()):
+                if part.getPath().getName() != "_summary":
+                    n += bool(fs.delete(part.getPath(), True))
+    return n

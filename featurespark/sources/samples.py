@@ -31,6 +31,8 @@ SITE_Y = "-38.5e0 + (event_id * 29 % 1000) / 1000e0 + 0.0004e0"
 ZONE_X = "144e0 + (n_nationkey % 5) * 0.2e0"
 ZONE_Y = "-38.5e0 + floor(n_nationkey / 5) * 0.2e0"
 ZONE_LEG = 0.2
+GRID_E = "300000e0 + (event_id * 53 % 1000) * 100e0"       # metres
+GRID_N = "5800000e0 + (event_id * 29 % 1000) * 100e0"
 # --------------------------------------------------------------------------
 
 
@@ -108,6 +110,45 @@ def write_upload_tree(layers, root: str) -> str:
     return up
 
 
+def write_crs_tree(layers, root: str) -> str:
+    """Two Parquet layers that state different CRS: grid points of zone 55 (EPSG:7855) and EPSG:4326 points."""
+    up, e = f"{root.rstrip('/')}/uploads", layers.read("events")
+    grid = wkb_encode(G.make_point(F.expr(GRID_E), F.expr(GRID_N)))
+    ll = wkb_encode(G.make_point(F.expr(SITE_X), F.expr(SITE_Y)))
+    for name, epsg, geometry in (("grid", 7855, grid), ("degrees", 4326, ll)):
+        e.select(F.col("event_id").alias("site_id"), geometry.alias("geometry", metadata={"crs": f"EPSG:{epsg}"})) \
+            .write.mode("overwrite").parquet(f"{up}/survey data.gdb/{name}.parquet")
+    return up
+
+
+def write_names_tree(layers, root: str) -> str:
+    """A layer whose geometry column is ``SHAPE`` and that has an attribute called ``bbox``, in an odd folder."""
+    up = f"{root.rstrip('/')}/uploads"
+    layers.read("parcels").select("parcel_id", F.col("segment").alias("bbox"), F.col("geometry").alias(
+        "SHAPE", metadata={"crs": "EPSG:7844"})).write.mode("overwrite").parquet(f"{up}/a [b] 100%.gdb/lots.parquet")
+    return up
+
+
+def steps(nation: DataFrame) -> DataFrame:
+    """Right triangles of whole-number corners, to test points on their edges."""
+    side = F.col("n_nationkey").cast("double") + 4
+    ring = F.array(_pt(F.lit(0.0), F.lit(0.0)), _pt(side, F.lit(0.0)), _pt(side, side), _pt(F.lit(0.0), F.lit(0.0)))
+    return nation.select(F.col("n_nationkey").alias("step_id"), wkb_encode(G.make_polygon(ring)).alias("geometry"))
+
+
+def nested(nation: DataFrame) -> DataFrame:
+    """Squares around the origin, each eight times as wide as the one before: 1/2 to 2^71."""
+    h = F.pow(F.lit(2.0), F.col("n_nationkey") * 3 - 2)
+    ring = F.array(_pt(-h, -h), _pt(h, -h), _pt(h, h), _pt(-h, h), _pt(-h, -h))
+    return nation.select(F.col("n_nationkey").alias("square_id"), wkb_encode(G.make_polygon(ring)).alias("geometry"))
+
+
+def lattice(events: DataFrame) -> DataFrame:
+    """Points of whole-number coordinates from 0 to 39."""
+    x, y = (F.pmod(F.col("event_id") * k, F.lit(40)).cast("double") for k in (7, 3))
+    return events.select(F.col("event_id").alias("site_id"), wkb_encode(G.make_point(x, y)).alias("geometry"))
+
+
 def with_samples(layers):
     """Register the derived layers on a ``Layers`` catalogue built over driver tables."""
     names = set(layers.names())
@@ -115,8 +156,11 @@ def with_samples(layers):
         layers.add("parcels", parcels(layers.read("customer")))
     if "events" in names:
         layers.add("sites", sites(layers.read("events")))
+        layers.add("lattice", lattice(layers.read("events")))
     if "nation" in names:
         layers.add("zones", zones(layers.read("nation")))
+        layers.add("steps", steps(layers.read("nation")))
+        layers.add("nested", nested(layers.read("nation")))
     if "orders" in names:
         o = layers.read("orders")
         layers.add("orders_nullstatus", o.withColumn(

@@ -1,64 +1,47 @@
 """Arrival-driven ingest (I1) and scheduled ingest (I2) with Structured Streaming.
 
-The completion marker ``config.json`` is uploaded last. A file stream over
-the upload prefix, filtered to that exact base name, emits one micro-batch
-per newly arrived marker; ``foreachBatch`` then runs the batch ingest over the
-whole prefix (the reference's triggered run receives no parameters, S31).
-Replays are idempotent: outputs are overwritten by layer name, and the
-stream's checkpoint records which markers were processed, so a restarted
-query (e.g. after losing the driver) does not ingest the same marker twice.
-Each micro-batch appends its per-layer summary to ``<output>/_ingest_log``.
+The completion marker ``config.json`` is uploaded last. A clock source wakes a
+micro-batch; the batch looks for markers whose path and modification time no published
+run has taken, so every upload of a marker starts a run, also at the same
+path. The batch job then takes everything under the prefix (the reference's triggered run
+receives no parameters, S31).
+
+What is done is recorded by the run itself: the manifest that publishes a run also
+names its markers and its summary, and sources are deleted after that. A query that is
+restarted, whenever it was lost, neither repeats a published run nor loses its summary.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from featurespark.sources.ingest import CONFIG_NAME, IngestOptions, run_ingest
+from featurespark.sources.ingest import IngestOptions, pending_markers, run_ingest
 
 
-def marker_stream(spark: SparkSession, uploads: str) -> DataFrame:
-    return (spark.readStream.format("text")
-            .option("pathGlobFilter", CONFIG_NAME)
-            .option("recursiveFileLookup", "true")
-            .option("wholetext", "true")
-            .load(uploads)
-            .select(F.col("_metadata.file_path").alias("marker")))
+def _clock(spark: SparkSession) -> DataFrame:
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
 
-def log_path(opts: IngestOptions) -> str:
-    return f"{opts.output.rstrip('/')}/_ingest_log"
+def _every_batch(spark: SparkSession, job, checkpoint: str, available_now: bool, every: str):
+    w = _clock(spark).writeStream.foreachBatch(lambda _batch, _epoch: job()).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)).start()
 
 
 def ingest_on_arrival(spark: SparkSession, opts: IngestOptions, checkpoint: str,
                       available_now: bool = False, every: str = "1 minute"):
     """Start the stream; returns the ``StreamingQuery``.
 
-    ``available_now=True`` processes what has arrived and stops (tests,
-    cron-style runs); otherwise the query polls every ``every``.
+    ``available_now=True`` takes what has arrived and stops (tests, cron-style runs);
+    otherwise the query looks every ``every``.
     """
+    def job() -> None:
+        if pending_markers(spark, opts):
+            run_ingest(spark, opts)
 
-    def run(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        summary = run_ingest(spark, opts).withColumn("epoch", F.lit(epoch).cast("long"))
-        summary.write.mode("append").parquet(log_path(opts))
+    return _every_batch(spark, job, checkpoint, available_now, every)
 
-    w = (marker_stream(spark, opts.uploads).writeStream.foreachBatch(run)
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
-    return w.start()
 
-
-def scheduled_ingest(spark: SparkSession, opts: IngestOptions, checkpoint: str, every: str = "1 hour"):
-    """The same job on a fixed schedule (``rate(1 hour)``): a rate source
-    ticks, and every micro-batch runs the ingest over the whole prefix."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        summary = run_ingest(spark, opts).withColumn("epoch", F.lit(epoch).cast("long"))
-        summary.write.mode("append").parquet(log_path(opts))
-
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=every).start())
+def scheduled_ingest(spark: SparkSession, opts: IngestOptions, checkpoint: str, every: str = "1 hour",
+                     available_now: bool = False):
+    """The same job on a fixed schedule (``rate(1 hour)``), over the whole prefix, marker or not."""
+    return _every_batch(spark, lambda: run_ingest(spark, opts), checkpoint, available_now, every)

@@ -4,13 +4,12 @@ import math
 import random
 import struct
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from featurespark.functions import geometry as G
-from featurespark.functions import crs
+from featurespark.functions import crs, relate
 from featurespark.functions.wkb import GEOM, decode_array, encode_array, parse_one
 
 SQUARE = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]
@@ -99,24 +98,173 @@ def test_sql_functions_match_native(layers):
     assert 0 < n < layers.read("sites").count()
 
 
-def test_point_on_edge_is_not_contained():
-    g = ("x", 1, [(3, [np.array(SQUARE)])])
-    from featurespark.functions.stsql import _point_in
-    assert _point_in((3, 0, [(3, [np.array(SQUARE)])]), 4.0, 2.0) == (False, True)
-    assert _point_in((3, 0, [(3, [np.array(SQUARE), np.array(HOLE)])]), 1.5, 1.5)[0] is False
-
-
-def test_reprojection_roundtrip(spark):
-    df = spark.createDataFrame([(144.9631, -37.8136), (145.5, -38.2), (143.1, -36.0)], "lon double, lat double")
-    zone, south, fl = crs._tm_params(7855)
-    e, n = crs.forward_tm(F.col("lon"), F.col("lat"), zone, south, fl)
-    lon, lat = crs.inverse_tm(e, n, zone, south, fl)
-    mx, my = crs.forward_mercator(F.col("lon"), F.col("lat"))
-    lon2, lat2 = crs.inverse_mercator(mx, my)
-    for r in df.select("lon", "lat", e.alias("e"), n.alias("n"), lon.alias("a"), lat.alias("b"),
-                       lon2.alias("c"), lat2.alias("d")).collect():
-        assert r["a"] == pytest.approx(r["lon"], abs=1e-8) and r["b"] == pytest.approx(r["lat"], abs=1e-8)
-        assert r["c"] == pytest.approx(r["lon"], abs=1e-9) and r["d"] == pytest.approx(r["lat"], abs=1e-9)
-    # Melbourne GPO lies in MGA zone 55 at roughly E 320 700, N 5 812 800
-    r = df.select(e.alias("e"), n.alias("n")).first()
-    assert 320_000 < r["e"] < 321_500 and 5_812_000 < r["n"] < 5_813_500
+def forward_tm(lon, lat, zone, south, flattening):
+    """Krueger series to n^4, in plain floating point."""
+    n = flattening / (2 - flattening)
+    big_a = 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    alpha = [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180,
+             13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440,
+             61 * n ** 3 / 240 - 103 * n ** 4 / 140, 49561 * n ** 4 / 161280]
+    phi, lam = math.radians(lat), math.radians(lon - (zone * 6 - 183))
+    c = 2 * math.sqrt(n) / (1 + n)
+    t = math.sinh(math.atanh(math.sin(phi)) - c * math.atanh(c * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t))
+    x = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    y = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    return 500000 + 0.9996 * big_a * x, (1e7 if south else 0) + 0.9996 * big_a * y
+
+
+def forward_lambert(lon, lat, lat0, lon0, lat1, lat2, fe, fn):
+    e = math.sqrt(crs.GRS80_F * (2 - crs.GRS80_F))
+
+    def m(p):
+        return math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+
+    def t(p):
+        return math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+
+    p, p0, p1, p2 = (math.radians(v) for v in (lat, lat0, lat1, lat2))
+    n = math.log(m(p1) / m(p2)) / math.log(t(p1) / t(p2))
+    f = m(p1) / (n * t(p1) ** n)
+    r, r0, th = 6378137 * f * t(p) ** n, 6378137 * f * t(p0) ** n, n * math.radians(lon - lon0)
+    return fe + r * math.sin(th), fn + r0 - r * math.cos(th)
+
+
+def test_reprojection(spark):
+    places = [(144.9631, -37.8136), (145.5, -38.2), (147.1, -36.0), (148.9, -31.5)]
+    made = []
+    for lon, lat in places:
+        made.append((7855, lon, lat, *forward_tm(lon, lat, 55, True, crs.GRS80_F)))
+        made.append((32755, lon, lat, *forward_tm(lon, lat, 55, True, crs.WGS84_F)))
+        made.append((3857, lon, lat, math.radians(lon) * 6378137, math.asinh(math.tan(math.radians(lat))) * 6378137))
+        for epsg in (7899, 3112, 8058):
+            made.append((epsg, lon, lat, *forward_lambert(lon, lat, *crs.LAMBERT[epsg])))
+    made.append((2154, 2.35, 48.85, *forward_lambert(2.35, 48.85, *crs.LAMBERT[2154])))
+    df = spark.createDataFrame(made, "epsg int, lon double, lat double, x double, y double")
+    for epsg in sorted({m[0] for m in made}):
+        g = crs.to_4326(G.make_point(F.col("x"), F.col("y")), epsg)
+        for r in df.where(F.col("epsg") == epsg).select("lon", "lat", g["parts"][0]["rings"][0][0].alias("p")).collect():
+            assert r["p"][0] == pytest.approx(r["lon"], abs=1e-9) and r["p"][1] == pytest.approx(r["lat"], abs=1e-9)
+    # published: Melbourne lies at about E 320 700, N 5 812 800 in zone 55, at the origin's false values on Vicgrid
+    e, n = forward_tm(144.9631, -37.8136, 55, True, crs.GRS80_F)
+    assert 320_000 < e < 321_500 and 5_812_000 < n < 5_813_500
+    assert forward_lambert(145, -37, *crs.LAMBERT[7899]) == pytest.approx((2.5e6, 2.5e6), abs=1e-3)
+
+
+# -- relations -----------------------------------------------------------------------
+def wkt(text):
+    from featurespark.functions.stsql import _from_wkt
+    return parse_one(_from_wkt(text))
+
+
+BOX = "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"
+U = "POLYGON((0 0, 9 0, 9 9, 6 9, 6 3, 3 3, 3 9, 0 9, 0 0))"
+HOLED = "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 3 6, 6 6, 6 3, 3 3))"
+TWO = "MULTIPOLYGON(((0 0, 2 0, 2 4, 0 4, 0 0)), ((2 0, 4 0, 4 4, 2 4, 2 0)))"
+
+
+@pytest.mark.parametrize("a,b,inter,cover,contain", [
+    (BOX, BOX, True, True, True),                                     # everything contains itself
+    (U, "POLYGON((1 7, 8 7, 8 8, 1 8, 1 7))", True, False, False),     # a box across the gap of a U
+    (U, "POLYGON((1 1, 8 1, 8 2, 1 2, 1 1))", True, True, True),
+    (U, "POLYGON((4 4, 5 4, 5 5, 4 5, 4 4))", False, False, False),    # inside the gap
+    (HOLED, "POLYGON((2 2, 7 2, 7 7, 2 7, 2 2))", True, False, False),  # around the hole
+    (HOLED, "POLYGON((4 4, 5 4, 5 5, 4 5, 4 4))", False, False, False),  # inside the hole
+    (HOLED, "POLYGON((3 3, 6 3, 6 6, 3 6, 3 3))", True, False, False),  # fills the hole
+    (HOLED, "POLYGON((1 1, 2 1, 2 2, 1 2, 1 1))", True, True, True),
+    (BOX, "POINT(2 2)", True, True, True),
+    (BOX, "POINT(4 2)", True, True, False),                           # on an edge
+    ("POLYGON((0 0, 2 0, 2 2, 0 0))", "POINT(1 1)", True, True, False),  # on the slanted edge
+    (BOX, "POINT(5 2)", False, False, False),
+    (BOX, "MULTIPOINT(2 2, 4 4)", True, True, True),
+    (BOX, "LINESTRING(0 0, 4 0)", True, True, False),                 # along an edge
+    (BOX, "LINESTRING(0 0, 4 4)", True, True, True),                  # a diagonal
+    (BOX, "LINESTRING(1 1, 5 1)", True, False, False),
+    (BOX, "LINESTRING(4 4, 5 5)", True, False, False),                # touches a corner
+    ("LINESTRING(0 0, 4 4)", "POINT(2 2)", True, True, True),          # a point on a line
+    ("LINESTRING(0 0, 4 4)", "POINT(4 4)", True, True, False),         # its end
+    ("LINESTRING(0 0, 4 4)", "POINT(2 3)", False, False, False),
+    ("LINESTRING(0 0, 4 0)", "LINESTRING(5 0, 7 0)", False, False, False),   # collinear, apart
+    ("LINESTRING(0 0, 4 0)", "LINESTRING(1 0, 3 0)", True, True, True),
+    ("LINESTRING(0 0, 4 0)", "LINESTRING(3 0, 7 0)", True, False, False),
+    ("LINESTRING(0 0, 4 4)", "LINESTRING(0 4, 4 0)", True, False, False),
+    ("POINT(1 1)", "POINT(1 1)", True, True, True),
+    ("POINT(1 1)", "POINT(1 2)", False, False, False),
+    (TWO, "POLYGON((1 1, 3 1, 3 3, 1 3, 1 1))", True, True, True),     # across the shared edge
+    (TWO, "POLYGON((1 1, 5 1, 5 3, 1 3, 1 1))", True, False, False),
+    (BOX, "GEOMETRYCOLLECTION(POINT(1 1), LINESTRING(1 1, 2 2))", True, True, True),
+    (BOX, "POLYGON EMPTY", False, False, False),
+    (BOX, "POLYGON((10 0, 14 0, 14 4, 10 4, 10 0))", False, False, False),
+    (BOX, "POLYGON((4 0, 8 0, 8 4, 4 4, 4 0))", True, False, False),   # shares an edge
+    (BOX, "POLYGON((1 1, 2 1, 2 2, 1 2, 1 1))", True, True, True),
+])
+def test_relations(a, b, inter, cover, contain):
+    g, h = wkt(a), wkt(b)
+    assert relate.intersects(g, h) is inter and relate.intersects(h, g) is inter
+    assert relate.covers(g, h) is cover and relate.contains(g, h) is contain
+
+
+def test_relations_match_sampled_boxes():
+    rnd = random.Random(3)
+
+    def box():
+        x, y = rnd.randint(0, 8), rnd.randint(0, 8)
+        return x, y, x + rnd.randint(1, 5), y + rnd.randint(1, 5)
+
+    for _ in range(400):
+        (ax, ay, bx, by), (cx, cy, dx, dy) = box(), box()
+        g, h = (wkt(f"POLYGON(({p} {q}, {r} {q}, {r} {s}, {p} {s}, {p} {q}))")
+                for p, q, r, s in ((ax, ay, bx, by), (cx, cy, dx, dy)))
+        assert relate.intersects(g, h) == (ax <= dx and cx <= bx and ay <= dy and cy <= by)
+        assert relate.contains(g, h) == relate.covers(g, h) == (ax <= cx and dx <= bx and ay <= cy and dy <= by)
+        gap = math.hypot(max(cx - bx, ax - dx, 0), max(cy - by, ay - dy, 0))
+        assert relate.distance(g, h) == pytest.approx(gap)
+
+
+def test_native_and_sql_points_agree(spark):
+    """One boundary rule in both implementations: every point of a grid against shapes with holes and slants."""
+    from featurespark.functions.stsql import _from_wkt
+    from featurespark.functions.wkb import wkb_decode
+
+    texts = [BOX, U, HOLED, TWO, "POLYGON((0 0, 6 0, 6 6, 0 0))", "POLYGON((1 0, 5 2, 3 7, 0 3, 1 0))"]
+    df = spark.createDataFrame([(i, _from_wkt(t)) for i, t in enumerate(texts)], "i int, w binary")
+    pts = spark.createDataFrame([(x / 2, y / 2) for x in range(-1, 20) for y in range(-1, 20)], "x double, y double")
+    got = df.withColumn("g", wkb_decode("w")).crossJoin(pts).select(
+        "i", "x", "y", G.contains_point("g", F.col("x"), F.col("y")).alias("inside")).collect()
+    shapes = [wkt(t) for t in texts]
+    for r in got:
+        want = relate.contains(shapes[r["i"]], wkt(f"POINT({r['x']} {r['y']})"))
+        # a multipolygon's shared edge is inside neither part
+        assert r["inside"] == want, tuple(r)
+
+
+def test_geojson_and_text_functions(spark):
+    from featurespark.functions.stsql import _as_geojson, _as_text, _from_wkt
+    from featurespark.functions.wkb import wkb_decode
+
+    texts = ["POINT (1 2.5)", "LINESTRING (0 0, 3 4)", "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))",
+             "MULTIPOINT ((1 2), (3 4))", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))",
+             "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))",
+             "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 1 1))", "POLYGON EMPTY", "POINT Z (1 2 3)"]
+    df = spark.createDataFrame([(i, _from_wkt(t)) for i, t in enumerate(texts)], "i int, w binary")
+    native = {r["i"]: r["j"] for r in df.select("i", wkb_decode("w").alias("g")).select("i", G.geojson("g").alias("j")).collect()}
+    for i, t in enumerate(texts):
+        g = parse_one(_from_wkt(t))
+        assert _as_geojson(g) == native[i]
+        assert parse_one(_from_wkt(_as_text(g)))[0] == g[0]
+    assert _as_text(wkt("POINT(7 3)")) == "POINT (7 3)" and _as_text(wkt("MULTIPOINT(1 2, 3 4)")) == "MULTIPOINT ((1 2), (3 4))"
+
+
+def test_json_values(spark):
+    from featurespark.functions.jsonfmt import json_columns
+    df = spark.sql("SELECT timestamp'2024-05-06 07:08:09.120+02:00' AS t, timestamp_ntz'2024-05-06 07:08:09' AS n, "
+                   "date'2024-05-06' AS d, cast(1.50 AS decimal(5,2)) AS m, x'00ff' AS b, interval '2' day AS i")
+    r = df.select(*json_columns(df.schema, df.columns)).first()
+    assert r["t"] == "2024-05-06T05:08:09.120000+00:00" and r["n"] == "2024-05-06T07:08:09" and r["d"] == "2024-05-06"
+    assert r["m"] == 1.5 and r["b"] is None and "2" in r["i"]
+
+
+def test_numeric_text():
+    from featurespark.operators.predicates import _number
+    assert [_number(t) for t in ("12", " -3.5 ", "1e3", ".5", "+7", "3.")] == [12, -3.5, 1000.0, 0.5, 7, 3.0]
+    assert [_number(t) for t in ("", "1_000", "inf", "nan", "0x10", "1,5", "--1", "e3")] == [None] * 8

@@ -1,34 +1,228 @@
 """Ingest job and arrival-driven stream over an upload tree Spark derives from the tables."""
 
+import json
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from featurespark import Layers
-from featurespark.sources.ingest import IngestOptions, run_ingest
-from featurespark.sources.samples import write_upload_tree
+from featurespark.errors import LayerQueryError
+from featurespark.sources import ingest
+from featurespark.sources.ingest import IngestOptions, pending_markers, run_ingest, run_log
+from featurespark.sources.manifest import read_manifest
+from featurespark.sources.samples import write_crs_tree, write_names_tree, write_upload_tree
+
+POINT = '{"type":"Feature","geometry":{"type":"Point","coordinates":[144.5,-38.0]},"properties":{"name":"%s"}}'
+
+
+def upload(root, files):
+    for name, text in files.items():
+        path = os.path.join(root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write(text)
+    return root
+
+
+def left(root):
+    return sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs if not f.startswith((".", "_")))
+
+
+def options(tmp_path, up, **more):
+    return IngestOptions(uploads=str(up), output=str(tmp_path / "out"), **{"make_tiles": False, "make_geojson": False, **more})
 
 
 def test_ingest_and_clean(layers, tmp_path):
     up = write_upload_tree(layers, str(tmp_path))
-    opts = IngestOptions(uploads=up, output=str(tmp_path / "out"), make_tiles=True,
-                         tile_args={"zmin": 8, "zmax": 9, "cap": 20})
+    opts = options(tmp_path, up, make_tiles=True, make_geojson=True, source_epsg=7844, tile_args={"zmin": 8, "zmax": 9, "cap": 20})
     summary = {(r["layer"], r["status"]) for r in run_ingest(layers.spark, opts).collect()}
-    assert ("parcels", "ok") in summary and ("sites", "ok") in summary
-    assert ("nations", "skipped: no geometry") in summary
+    assert summary == {("parcels", "ok"), ("sites", "ok"), ("nations", "skipped: no geometry")}
     out = Layers(layers.spark, str(tmp_path / "out"))
     assert out.names() == ["parcels", "sites"]
     assert out.read("parcels").count() == layers.read("customer").count()
-    assert os.path.exists(tmp_path / "out" / "config.json")
-    assert not any(f.endswith(".parquet") for _, _, fs in os.walk(up) for f in fs)   # sources deleted
+    assert {r["layer"]: r["feature_count"] for r in out.feature_counts().collect()} == {
+        "parcels": layers.read("customer").count(), "sites": layers.read("events").count()}
+    assert os.path.exists(tmp_path / "out" / "config.json") and left(up) == []
+    manifest = read_manifest(layers.spark, str(tmp_path / "out"))
+    assert set(manifest["tiles"]) == set(manifest["geojson"]) == {"parcels", "sites"}
+    with open(tmp_path / "out" / f"{manifest['layers']['sites']}.geo.json") as f:
+        geo = json.load(f)
+    assert geo["columns"]["geometry"]["crs"]["id"] == {"authority": "EPSG", "code": 7844}
+    assert geo["columns"]["geometry"]["covering"]["bbox"]["xmin"] == ["bbox", "xmin"]
 
 
-def test_stream_replay_is_idempotent(layers, tmp_path):
-    from featurespark.streaming.arrival import ingest_on_arrival, log_path
-    up = write_upload_tree(layers, str(tmp_path))
-    opts = IngestOptions(uploads=up, output=str(tmp_path / "out"), make_tiles=False, make_geojson=False,
-                         delete_sources=False)
-    ck = str(tmp_path / "ck")
+def test_exports_are_made_as_asked(layers, tmp_path):
+    up = upload(str(tmp_path / "up"), {"a.gdb/p.geojsonl": POINT % "x", "config.json": "{}"})
+    run_ingest(layers.spark, options(tmp_path, up, make_tiles=True, tile_args={"zmin": 2, "zmax": 3}))
+    manifest = read_manifest(layers.spark, str(tmp_path / "out"))
+    assert manifest["geojson"] == {} and set(manifest["tiles"]) == {"p"}
+
+
+def test_odd_paths(layers, tmp_path):
+    names = {"a b.gdb/my layer.geojsonl": POINT % "x", "c [1]*.gdb/é+100%25 {x}.geojsonl": POINT % "y",
+             "deep/er/D.GDB/none.geojsonl": POINT.replace('{"type":"Point","coordinates":[144.5,-38.0]}', "null") % "z",
+             "config.json": "{}"}
+    up = upload(str(tmp_path / "up"), names)
+    got = {(r["layer"], r["rows"], r["status"]) for r in run_ingest(layers.spark, options(tmp_path, up)).collect()}
+    assert got == {("my layer", 1, "ok"), ("é+100%25 {x}", 1, "ok"), ("none", 0, "skipped: no geometry")}
+    assert left(up) == []
+
+
+@pytest.mark.parametrize("bad", [POINT[:60], '{"type":"Feature","geometry":{"type":"Point"},"properties":{}}', "not json", '{"type":"Thing"}'])
+def test_damaged_features_fail_the_run(layers, tmp_path, bad):
+    files = {"a.gdb/good.geojsonl": POINT % "x", "a.gdb/bad.geojsonl": (POINT % "x") + "\n" + bad + "\n" + (POINT % "y"),
+             "config.json": "{}"}
+    up = upload(str(tmp_path / "up"), files)
+    with pytest.raises(RuntimeError, match="a/bad"):
+        run_ingest(layers.spark, options(tmp_path, up))
+    assert left(up) == sorted(files)
+    assert Layers(layers.spark, str(tmp_path / "out")).names() == [] and not os.path.exists(tmp_path / "out" / "config.json")
+
+
+def test_duplicates(layers, tmp_path):
+    files = {"a.gdb/p.geojsonl": POINT % "first", "b.gdb/p.geojsonl": (POINT % "second") + "\n" + (POINT % "2"), "config.json": "{}"}
+    up = upload(str(tmp_path / "up"), files)
+    with pytest.raises(LayerQueryError, match="more than one dataset"):
+        run_ingest(layers.spark, options(tmp_path, up))
+    assert left(up) == sorted(files)
+    got = run_ingest(layers.spark, options(tmp_path, up, overwrite_duplicates=True)).collect()
+    assert {(r["dataset"], r["status"]) for r in got} == {("a", "skipped: replaced by b"), ("b", "ok")}
+    out = Layers(layers.spark, str(tmp_path / "out"))
+    assert {r["name"] for r in out.read("p").collect()} == {"second", "2"} and left(up) == []
+
+
+def test_runs_replace_and_keep_layers(layers, tmp_path):
+    up = str(tmp_path / "up")
+    for names in (("p", "q"), ("q", "r")):
+        upload(up, {f"a.gdb/{n}.geojsonl": POINT % f"{n}{len(names)}{names[0]}" for n in names} | {"config.json": "{}"})
+        run_ingest(layers.spark, options(tmp_path, up))
+    out = Layers(layers.spark, str(tmp_path / "out"))
+    assert {n: out.read(n).first()["name"] for n in out.names()} == {"p": "p2p", "q": "q2q", "r": "r2q"}
+    assert run_log(layers.spark, str(tmp_path / "out")).where("status = 'ok'").groupBy("epoch").count().count() == 2
+    upload(up, {"a.gdb/p.geojsonl": POINT % "new", "config.json": "{}"})
+    run_ingest(layers.spark, options(tmp_path, up))
+    assert ingest.remove_unpublished(layers.spark, str(tmp_path / "out")) > 0        # the first run holds no layer now
+    assert {n: out.read(n).first()["name"] for n in out.names()} == {"p": "new", "q": "q2q", "r": "r2q"}
+    assert ingest.remove_unpublished(layers.spark, str(tmp_path / "out")) == 0
+    upload(up, {f"a.gdb/{n}.geojsonl": POINT % "last" for n in "pqr"} | {"config.json": "{}"})
+    run_ingest(layers.spark, options(tmp_path, up))
+    assert ingest.remove_unpublished(layers.spark, str(tmp_path / "out")) > 0
+    assert {out.read(n).first()["name"] for n in out.names()} == {"last"}
+    assert run_log(layers.spark, str(tmp_path / "out")).count() == 8
+
+
+def test_crs_of_each_layer(layers, tmp_path):
+    up = write_crs_tree(layers, str(tmp_path))
+    run_ingest(layers.spark, options(tmp_path, up, make_geojson=True, delete_sources=False))
+    out = str(tmp_path / "out")
+    for layer in ("grid", "degrees"):
+        text = layers.spark.read.text(f"{out}/{read_manifest(layers.spark, out)['geojson'][layer]}")
+        x = text.select(F.get_json_object("value", "$.geometry.coordinates[0]").cast("double").alias("x"))
+        assert x.where("x BETWEEN 143 AND 150").count() == layers.read("events").count()
+    plain = str(tmp_path / "plain")
+    layers.read("sites").drop("bbox").write.parquet(f"{plain}/s.gdb/sites.parquet")
+    with pytest.raises(RuntimeError, match="no CRS"):
+        run_ingest(layers.spark, options(tmp_path, plain))
+
+
+def test_geometry_names(layers, tmp_path):
+    up = write_names_tree(layers, str(tmp_path))
+    run_ingest(layers.spark, options(tmp_path, up))
+    out = Layers(layers.spark, str(tmp_path / "out"))
+    from featurespark.operators.spatial import extent, extent_column
+    lots = out.read("lots")
+    assert extent_column(lots.schema) == "bbox_1" and dict(lots.dtypes)["bbox"] == "string"
+    assert extent(lots, "SHAPE").first()["xmin"] >= 144.0
+
+
+def test_failure_in_a_layer_keeps_the_sources(layers, tmp_path, monkeypatch):
+    up = upload(str(tmp_path / "up"), {"a.gdb/p.geojsonl": POINT % "x", "a.gdb/q.geojsonl": POINT % "y", "config.json": "{}"})
+    before = left(up)
+    real = ingest.write_layer
+
+    def broken(df, layer, *a):
+        if layer == "q":
+            raise OSError("disk full")
+        return real(df, layer, *a)
+
+    monkeypatch.setattr(ingest, "write_layer", broken)
+    with pytest.raises(RuntimeError, match="disk full"):
+        run_ingest(layers.spark, options(tmp_path, up))
+    assert left(up) == before and read_manifest(layers.spark, str(tmp_path / "out")) is None
+    upload(up, {"config.json": "{broken"})
+    monkeypatch.setattr(ingest, "write_layer", real)
+    with pytest.raises(json.JSONDecodeError):
+        run_ingest(layers.spark, options(tmp_path, up))
+    assert left(up) == before
+
+
+def test_clean_up_failure_is_reported(layers, tmp_path, monkeypatch):
+    class Stuck:
+        def delete(self, *_):
+            return False
+
+        def exists(self, *_):
+            return True
+
+    monkeypatch.setattr(ingest, "_fs", lambda s, p: (Stuck(), p))
+    with pytest.raises(RuntimeError, match="2 source"):
+        ingest.delete_paths(layers.spark, ["a", "b"])
+
+
+def test_nothing_to_do(layers, tmp_path):
+    up = upload(str(tmp_path / "up"), {"readme.txt": "x", "config.json": "{}"})
+    assert run_ingest(layers.spark, options(tmp_path, up)).count() == 0
+    assert left(up) == ["config.json", "readme.txt"] and not os.path.exists(tmp_path / "out")
+
+
+def test_every_upload_of_the_marker_starts_a_run(layers, tmp_path):
+    from featurespark.streaming.arrival import ingest_on_arrival
+    up, opts, ck = str(tmp_path / "up"), None, str(tmp_path / "ck")
+    for turn, name in enumerate(("first", "second")):
+        upload(up, {"a.gdb/p.geojsonl": POINT % name, "config.json": json.dumps({"layers": [], "turn": turn})})
+        os.utime(os.path.join(up, "config.json"), (1_700_000_000 + turn,) * 2)
+        opts = options(tmp_path, up)
+        for _ in range(2):          # the second start finds no new marker
+            ingest_on_arrival(layers.spark, opts, ck, available_now=True).awaitTermination()
+        out = Layers(layers.spark, opts.output)
+        assert out.read("p").first()["name"] == name and left(up) == []
+        assert run_log(layers.spark, opts.output).count() == turn + 1
+    # a marker that stays is not taken twice
+    upload(up, {"a.gdb/p.geojsonl": POINT % "third", "config.json": "{}"})
+    opts = options(tmp_path, up, delete_sources=False)
+    for _ in range(2):
+        ingest_on_arrival(layers.spark, opts, ck, available_now=True).awaitTermination()
+    assert run_log(layers.spark, opts.output).count() == 3 and pending_markers(layers.spark, opts) == []
+
+
+def test_a_run_lost_before_publishing_is_repeated(layers, tmp_path, monkeypatch):
+    from featurespark.streaming.arrival import ingest_on_arrival
+    up = upload(str(tmp_path / "up"), {"a.gdb/p.geojsonl": POINT % "x", "config.json": "{}"})
+    opts, ck, real = options(tmp_path, up), str(tmp_path / "ck"), ingest.replace_file
+
+    def lost(s, path, text):
+        if path.endswith("_manifest.json"):
+            raise OSError("lost")
+        real(s, path, text)
+
+    monkeypatch.setattr(ingest, "replace_file", lost)
+    with pytest.raises(Exception, match="lost"):
+        ingest_on_arrival(layers.spark, opts, ck, available_now=True).awaitTermination()
+    assert Layers(layers.spark, opts.output).names() == [] and "config.json" in left(up)
+    monkeypatch.setattr(ingest, "replace_file", real)
+    # published but lost before the clean-up: the summary is there, and the run is not repeated
+    monkeypatch.setattr(ingest, "delete_paths", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(Exception, match="gone"):
+        ingest_on_arrival(layers.spark, opts, ck, available_now=True).awaitTermination()
+    assert run_log(layers.spark, opts.output).count() == 1
     ingest_on_arrival(layers.spark, opts, ck, available_now=True).awaitTermination()
-    ingest_on_arrival(layers.spark, opts, ck, available_now=True).awaitTermination()   # restart: no new marker
-    log = layers.spark.read.parquet(log_path(opts))
-    assert log.where("status = 'ok'").count() == 2
-    assert Layers(layers.spark, str(tmp_path / "out")).names() == ["parcels", "sites"]
+    assert run_log(layers.spark, opts.output).count() == 1
+
+
+def test_scheduled_ingest(layers, tmp_path):
+    from featurespark.streaming.arrival import scheduled_ingest
+    up = upload(str(tmp_path / "up"), {"a.gdb/p.geojsonl": POINT % "x"})
+    opts = options(tmp_path, up, delete_sources=False)
+    scheduled_ingest(layers.spark, opts, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    assert Layers(layers.spark, opts.output).names() == ["p"]

@@ -1,5 +1,7 @@
 """Layer queries: catalogue, paging, plans, distinct values, spatial join, tiles."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def test_catalogue(layers):
 
 
 def test_check_order(layers):
-    with pytest.raises(LayerQueryError, match="format"):
+    with pytest.raises(LayerQueryError, match="json, geojson"):
         layers.query("orders", f="xml")
     # count-only does not validate fields / order / paging
     r = layers.query("orders", out_fields="bogus", order_by="bogus", count="x", return_count_only="1")
@@ -53,17 +55,88 @@ def test_paging_concatenates_to_sorted(layers):
     assert got == full
 
 
-def test_unique_values_prereduce_equivalent(layers):
-    from featurespark.operators.distinct import distinct_values
-    df = layers.read("lineitem").repartition(5)
-    for field in ("l_shipdate", "l_extendedprice", "l_returnflag"):
-        a = [r[0] for r in distinct_values(df, field, None, 37, prereduce=True).collect()]
-        b = [r[0] for r in distinct_values(df, field, None, 37, prereduce=False).collect()]
-        assert a == b
+def test_unique_values(layers):
+    p = plan(layers.unique_values_df("lineitem", "l_shipdate", limit=37))
+    assert "partial" in p or "HashAggregate" in p
+    assert "TakeOrderedAndProject" in p and "ReadSchema: struct<l_shipdate" in p
     u = layers.unique_values("customer", "c_mktsegment", limit=5)
     assert u["truncated"] is True and len(u["values"]) == 5
 
 
+def test_file_pages_concatenate_to_the_layer(layers, tmp_path, monkeypatch):
+    from featurespark import Layers
+    from featurespark.operators import query
+
+    monkeypatch.setattr(query, "BLOCK_ROWS", 64)
+    layers.read("orders").repartition(6).write.parquet(str(tmp_path / "orders.parquet"))
+    own = Layers(layers.base, str(tmp_path))
+    order = own.read("orders").orderBy(query.FILE, query.ROW).select("o_orderkey").collect()
+    for where in (None, "o_orderstatus = 'F'"):
+        full = order if where is None else own.filter("orders", where).orderBy(query.FILE, query.ROW).select("o_orderkey").collect()
+        got = []
+        for off in range(0, len(full) + 300, 300):
+            got += own.query("orders", where=where, out_fields="o_orderkey", offset=off, count=300).df.collect()
+        assert [r[0] for r in got] == [r[0] for r in full]
+    late = own.query("orders", out_fields="o_orderkey", offset=len(order) - 40, count=10)
+    files = late.df.select("o_orderkey")._jdf.queryExecution().optimizedPlan().toString()
+    assert "file_path" in files and "row_index" in files
+    # only the blocks of the page reach the sort
+    scanned = own.read("orders").count()
+    page = query.file_page(own.read("orders"), len(order) - 40, 10)
+    below = page._jdf.queryExecution().optimizedPlan().toString()
+    assert scanned == len(order) and "Filter" in below
+
+
+def test_deep_pages(layers, monkeypatch):
+    from featurespark.operators import query
+
+    monkeypatch.setattr(query, "DEEP_OFFSET", 100)
+    full = [r[0] for r in layers.read("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey").collect()]
+    for off in (100, 777, len(full) - 3, len(full) + 5):
+        page = layers.query("orders", out_fields="o_orderkey", order_by="o_totalprice DESC, o_orderkey", offset=off, count=50)
+        assert [r[0] for r in page.df.collect()] == full[off:off + 50]
+    tied = layers.query("lineitem", out_fields="l_orderkey", order_by="l_returnflag", offset=2000, count=10)
+    assert tied.df.count() == 10
+
+
+def test_catalogue_follows_changes(layers, tmp_path):
+    from featurespark import Layers
+
+    own = Layers.open(layers.base, str(tmp_path))
+    assert own.names() == []
+    layers.read("nation").write.parquet(str(tmp_path / "n.parquet"))
+    assert own.names() == ["n"] and own.attribute_names("n")[0] == "n_nationkey"
+    time.sleep(1.1)
+    layers.read("region").write.mode("overwrite").parquet(str(tmp_path / "n.parquet"))
+    assert own.attribute_names("n")[0] == "r_regionkey"
+    counts = own.feature_counts()
+    assert counts.collect()[0]["feature_count"] == 5
+
+
+def test_spatial_predicates_are_pushed(layers, tmp_path):
+    from featurespark import Layers
+
+    layers.read("parcels").write.parquet(str(tmp_path / "parcels.parquet"))
+    own = Layers(layers.base, str(tmp_path))
+    own.spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    p = plan(own.filter("parcels", "segment = 'BUILDING' AND ST_Intersects(geometry, ST_MakeEnvelope(144.2, -38.4, 144.5, -38.1))"))
+    pushed = p[p.index("PushedFilters"):]
+    for part in ("LessThanOrEqual(bbox.xmin,144.5)", "GreaterThanOrEqual(bbox.xmax,144.2)", "EqualTo(segment,BUILDING)"):
+        assert part in pushed
+    for where in ("ST_DWithin(geometry, ST_Point(144.5, -38.0), 0.1)", "ST_Within(geometry, ST_GeomFromText('POLYGON((144 -38, 145 -38, 145 -37, 144 -38))'))"):
+        assert "bbox.xmin" in plan(own.filter("parcels", where))
+    # a negated or alternative condition must not narrow the scan
+    for where in ("NOT ST_Intersects(geometry, ST_Point(144.2, -38.4))", "ST_Intersects(geometry, ST_Point(144.2, -38.4)) OR acctbal > 0"):
+        assert "bbox.xmin" not in plan(own.filter("parcels", where))
+
+
+def test_one_job_describes_all(layers):
+    sc = layers.spark.sparkContext
+    sc.setJobGroup("describe", "describe")
+    assert layers.describe_df(["customer", "orders", "events"]).count() == 3
+    sc.setJobGroup("", "")
+
+
 def test_spatial_join_matches_brute_force(layers):
     from featurespark.operators.spatial import points_in_polygons
     got = {tuple(r) for r in points_in_polygons(layers.read("sites"), layers.read("zones"),
@@ -75,11 +148,49 @@ def test_spatial_join_matches_brute_force(layers):
     assert got == want and got
 
 
+def test_spatial_join_sizes_and_edges(layers):
+    from featurespark.operators.spatial import points_in_polygons
+
+    pts = {r[0]: (r[0] * 7 % 40, r[0] * 3 % 40) for r in layers.read("events").select("event_id").collect()}
+    got = {tuple(r) for r in points_in_polygons(layers.read("lattice"), layers.read("nested"), ["site_id"], ["square_id"]).collect()}
+    assert got == {(i, k) for i, (x, y) in pts.items() for k in range(25) if max(x, y) < 2.0 ** (3 * k - 2)}
+    got = {tuple(r) for r in points_in_polygons(layers.read("lattice"), layers.read("steps"), ["site_id"], ["step_id"]).collect()}
+    assert got == {(i, k) for i, (x, y) in pts.items() for k in range(25) if 0 < y < x < k + 4}
+
+
+def test_levels_cover_their_extent(spark):
+    from featurespark.operators.spatial import _level
+
+    sizes = [2.0 ** k * f for k in range(-60, 61, 3) for f in (1.0, 1 - 2 ** -52, 1 + 2 ** -52)]
+    box = F.struct(F.lit(0.0).alias("xmin"), F.col("s").alias("xmax"), F.lit(0.0).alias("ymin"), F.lit(0.0).alias("ymax"))
+    for r in spark.createDataFrame([(s,) for s in sizes], "s double").select("s", _level(box).alias("l")).collect():
+        assert 2.0 ** r["l"] >= r["s"]
+
+
 def test_tiles_build(layers):
     from featurespark.operators.tiles import build_tiles
-    t = build_tiles(layers.read("parcels"), 7844, id_col="parcel_id", zmin=6, zmax=9, cap=5)
+    t = build_tiles(layers.read("parcels"), 7844, id_col="parcel_id", zmin=6, zmax=9, cap=5).cache()
     rows = t.groupBy("z", "x", "y").count().collect()
     assert rows and max(r["count"] for r in rows) <= 5
+    # every feature is in the pyramid
+    assert t.select(F.get_json_object("feature", "$.parcel_id")).distinct().count() == layers.read("parcels").count()
+
+
+def test_stacked_features_all_appear(layers):
+    from featurespark.operators import tiles
+    same = layers.read("parcels").limit(30).select("parcel_id", "bbox", "geometry")
+    one = same.limit(1).select("bbox", "geometry")
+    stack = same.select("parcel_id").crossJoin(one)
+    t = tiles.build_tiles(stack, 7844, id_col="parcel_id", zmin=3, zmax=4, cap=5)
+    assert t.where("z < 24").groupBy("z", "x", "y").count().agg(F.max("count")).first()[0] <= 5
+    assert t.where("z = 24").select("feature").distinct().count() == 30
+
+
+def test_thinning_reduces_before_the_shuffle(layers):
+    from featurespark.operators import tiles
+    boxes = layers.read("parcels").select("parcel_id", F.col("bbox").alias("__bb"))
+    p = plan(tiles.thin_tiles(tiles.assign_tiles(boxes, ["parcel_id"], 2, 3), "parcel_id", tiles.DEFAULT_CAP))
+    assert "WindowGroupLimit" in p and "Partial" in p
 
 
 def test_entry(spark):
