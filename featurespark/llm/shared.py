@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"       # fixed value: the word pattern of the contracts
@@ -78,26 +79,21 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def text_chunks(texts, limit: int = _CHUNK):
     """Groups of whole documents of about ``limit`` bytes: (indices, UTF-8 bytes, offsets).
 
-    ``texts`` is an Arrow string array; a null counts as an empty text. A
-    longer document is a chunk of its own.
+    ``texts`` is an Arrow string or binary array, whose memory the bytes share; a null
+    counts as an empty text. A longer document is a chunk of its own.
     """
-    some, size = [], 0
-    raw = [b"" if t is None else t for t in texts.cast("binary").to_pylist()]
-    for i, t in enumerate(raw):
-        some.append(i)
-        size += len(t)
-        if size >= limit:
-            yield _chunk(some, raw)
-            some, size = [], 0
-    if some:
-        yield _chunk(some, raw)
-
-
-def _chunk(some, raw):
-    own = [raw[i] for i in some]
-    offsets = np.zeros(len(own) + 1, np.int64)
-    np.cumsum([len(t) for t in own], out=offsets[1:])
-    return some, np.frombuffer(b"".join(own), np.uint8), offsets
+    own = texts.cast(pa.large_binary()).fill_null(b"")
+    n = len(own)
+    if not n:
+        return
+    _, offsets, data = own.buffers()
+    ends = np.frombuffer(offsets, np.int64)[own.offset:own.offset + n + 1]
+    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1)
+        yield range(lo, hi), buf[ends[lo]:ends[hi]], ends[lo:hi + 1] - ends[lo]
+        lo = hi
 
 
 def word_bounds(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurespark.llm.components import connected_components
-from featurespark.llm.shared import materialize
+from featurespark.llm.shared import materialize, text_chunks
 
 FAN = 8                  # members of an index node
 MAX_GROUP = 1 << 16      # fingerprints that one task indexes together
@@ -60,7 +60,8 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
     """``(id, fp)``: the signed 64-bit SimHash of every whole text (null: no words)."""
     def run(batches):
         for b in batches:
-            fps = [simhash(t or b"", shingle) for t in b.column(1).cast("binary").to_pylist()]
+            fps = [simhash(buf[s:e].tobytes(), shingle) for _, buf, offsets in text_chunks(b.column(1))
+                   for s, e in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))],
                                              names=["id", "fp"])
 
