@@ -12,11 +12,11 @@ part of all bytes.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from featurespark.llm.shared import materialize
 
@@ -25,45 +25,44 @@ PER_RANGE = 32              # expected samples for each range
 OVERFULL = 2.0              # times the intended bytes
 
 
-def _packed(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """Byte strings that sort as the pairs ``(key, tie)`` of signed integers."""
-    flip = np.uint64(1 << 63)
-    both = np.stack([key.astype(np.int64).view(np.uint64) ^ flip, tie.astype(np.int64).view(np.uint64) ^ flip], axis=1)
-    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+Key = tuple[int, int]        # the sort key of a record and the hash that orders records of one key
 
 
-def _sample(rows: DataFrame, rate: float, round_: int) -> np.ndarray:
-    """Keys drawn with a chance of size times ``rate``; the expected number is bounded by the caller."""
+def _sample(rows: DataFrame, rate: float, round_: int) -> list[tuple[Key, float]]:
+    """Sorted keys drawn with a chance of size times ``rate``, and their weights; the caller bounds the expected number."""
     chance = F.pmod(F.xxhash64("_key", "_tie", F.lit(round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     got = rows.filter(chance < F.col("_size") * F.lit(rate)) \
         .select("_key", "_tie", F.greatest(F.col("_size") * F.lit(rate), F.lit(1.0)).alias("w")).collect()
-    if not got:
-        return np.zeros(0, "S16"), np.zeros(0)
-    keys = _packed(np.array([r[0] for r in got]), np.array([r[1] for r in got]))
-    order = np.argsort(keys)
-    return keys[order], np.array([r[2] for r in got])[order]
+    return sorted(((r[0], r[1]), r[2]) for r in got)
+
 
+def _quantiles(sample: list[tuple[Key, float]], parts: int) -> list[Key]:
+    if not sample or parts < 2:
+        return []
+    upto = np.cumsum([w for _, w in sample])
+    return sorted({sample[i][0] for i in np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)})
 
-def _quantiles(keys: np.ndarray, weight: np.ndarray, parts: int) -> np.ndarray:
-    if not len(keys) or parts < 2:
-        return keys[:0]
-    upto = np.cumsum(weight)
-    return np.unique(keys[np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)])
 
+def _in_ranges(rows: DataFrame, splitters: list[Key]) -> DataFrame:
+    """Adds ``_range``: the number of splitters up to the record's key, by a search of two levels."""
+    if not splitters:
+        return rows.withColumn("_range", F.lit(0))
+    wide = max(1, int(len(splitters) ** 0.5))
+    groups = [splitters[i:i + wide] for i in range(0, len(splitters), wide)]
 
-def _in_ranges(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
-    a, b = rows.columns.index("_key"), rows.columns.index("_tie")
+    def pairs(some):
+        return F.arrays_zip(F.lit([k for k, _ in some]).alias("k"), F.lit([t for _, t in some]).alias("t"))
 
-    def run(batches):
-        for batch in batches:
-            at = np.searchsorted(splitters, _packed(batch.column(a).to_numpy(), batch.column(b).to_numpy()), side="right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))],
-                                             names=[*batch.schema.names, "_range"])
+    def upto(list_):
+        return F.size(F.filter(list_, lambda s: (s["k"] < F.col("_key")) | (s["k"] == F.col("_key")) & (s["t"] <= F.col("_tie"))))
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())]))
+    row = upto(pairs([g[0] for g in groups])) - 1
+    inner = F.get(F.transform(F.array(F.get(F.array(*[pairs(g) for g in groups]), F.col("_row"))), upto), 0)
+    return rows.withColumn("_row", row).withColumn(
+        "_range", F.when(F.col("_row") < 0, 0).otherwise(F.col("_row") * wide + inner).cast("int")).drop("_row")
 
 
-def _totals(rows: DataFrame, splitters: np.ndarray) -> np.ndarray:
+def _totals(rows: DataFrame, splitters: list[Key]) -> np.ndarray:
     """(range, [bytes, rows]): one row for each range reaches the driver."""
     out = np.zeros((len(splitters) + 1, 2), np.int64)
     for r in _in_ranges(rows, splitters).groupBy("_range").agg(F.sum("_size"), F.count("*")).collect():
@@ -71,23 +70,24 @@ def _totals(rows: DataFrame, splitters: np.ndarray) -> np.ndarray:
     return out
 
 
-def splitters_for(rows: DataFrame, total: int, ranges: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def splitters_for(rows: DataFrame, total: int, ranges: int, rounds: int = 8) -> tuple[list[Key], np.ndarray]:
     """Splitters of about ``ranges`` ranges and the exact totals of each range."""
     mean = total / ranges
-    splitters = _quantiles(*_sample(rows, PER_RANGE / mean, 0), ranges)
+    splitters = _quantiles(_sample(rows, PER_RANGE / mean, 0), ranges)
     got = _totals(rows, splitters)
     for k in range(1, rounds):
         over = np.flatnonzero((got[:, 0] > OVERFULL * mean) & (got[:, 1] > 1))
         if not len(over):
             break
-        inside = _in_ranges(rows, splitters).filter(F.col("_range").isin(over.tolist()))
-        keys, weight = _sample(inside, PER_RANGE / mean, k)
-        home = np.searchsorted(splitters, keys, side="right")
-        new = [_quantiles(keys[home == r], weight[home == r], int(np.ceil(got[r, 0] / mean))) for r in over]
-        more = np.unique(np.concatenate([splitters, *new]))
+        drawn = _sample(_in_ranges(rows, splitters).filter(F.col("_range").isin(over.tolist())), PER_RANGE / mean, k)
+        more = set(splitters)
+        for r in over.tolist():
+            own = [(s, w) for s, w in drawn if bisect_right(splitters, s) == r]
+            more.update(_quantiles(own, int(np.ceil(got[r, 0] / mean))))
         if len(more) == len(splitters):
             break
-        splitters, got = more, _totals(rows, more)
+        splitters = sorted(more)
+        got = _totals(rows, splitters)
     return splitters, got
 
 
