@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from featurespark.llm.shared import gram_hashes, mix64, run_hashes, text_chunks, word_bounds, word_hashes
 
 WINDOW, ANCHOR = 13, 6
+_ROWS = 256              # documents that are unpacked together
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
 
@@ -83,8 +84,37 @@ def _packed(batches):
     """Texts compressed one by one: what is dealt by id takes under half the bytes."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        packed = [squeeze(t) for t in b.column("text").cast("binary").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+        for lo in range(0, b.num_rows, _ROWS):
+            part = b.slice(lo, _ROWS)
+            packed = [squeeze(t) for t in part.column("text").cast("binary").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+
+def _chunks(batch, window):
+    """Rows of a batch, their bytes and words, a part of the batch at a time."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for lo in range(0, batch.num_rows, _ROWS):
+        part = batch.slice(lo, _ROWS)
+        if "packed" in batch.schema.names:
+            texts = pa.array([open_(p) for p in part.column("packed").to_pylist()], pa.binary())
+        else:
+            texts = part.column("text")
+        for some, buf, offsets in text_chunks(texts):
+            yield np.asarray(some) + lo, buf, Parsed(buf, offsets, window)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _packed(batches):
+    """Texts compressed one by one: what is dealt by id takes under half the bytes."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        for lo in range(0, b.num_rows, _ROWS):
+            part = b.slice(lo, _ROWS)
+            packed = [squeeze(t) for t in part.column("text").cast("binary").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
 
 
 def _chunks(batch, window):
@@ -170,11 +200,9 @@ def _windows(window):
 def _spans(window):
     def run(batches):
         for b in batches:
-            rows = {"row": [], "n_words": [], "n_removed": [], "kept": [], "n_factors": [], "longest_factor": []}
             for some, buf, p in _chunks(b, window):
                 c1, _ = p.block_hashes(np.arange(len(p.block)))
-                known = _by_document(p, some, b.column("known"), c1, p.block_doc)
-                found = np.repeat(known, p.size)
+                found = np.repeat(_by_document(p, some, b.column("known"), c1, p.block_doc), p.size)
                 loose = np.flatnonzero(~found)
                 w1, _ = p.window_hashes(loose)
                 found[loose] = _by_document(p, some, b.column("tail"), w1, p.doc[loose])
@@ -183,25 +211,19 @@ def _spans(window):
                 np.add.at(edge, p.at[found] + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 cuts = np.searchsorted(p.block_doc, np.arange(len(some) + 1))
-                raw = buf.tobytes()
+                raw, kept, numbers = buf.tobytes(), [], []
                 for i, row in enumerate(some):
                     lo, hi = p.first[i], p.first[i + 1]
                     keep = np.flatnonzero(~gone[lo:hi]) + lo
                     refs = dict(zip(_list(b.column("known"), row).tolist(), b.column("refs")[row].as_py() or []))
                     count, longest = _factors(c1[cuts[i]:cuts[i + 1]], p.size[cuts[i]:cuts[i + 1]], refs, window)
-                    rows["row"].append(row)
-                    rows["n_words"].append(hi - lo)
-                    rows["n_removed"].append(hi - lo - len(keep))
-                    rows["kept"].append(b" ".join([raw[s:e] for s, e in zip(p.starts[keep].tolist(), p.ends[keep].tolist())]))
-                    rows["n_factors"].append(count)
-                    rows["longest_factor"].append(longest)
-            kept = rows.pop("kept")
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(pa.array(rows.pop("row"), pa.int64())),
-                 *[pa.array(v, pa.int64()) for v in rows.values()],
-                 pa.array([k.decode() for k in kept], pa.string()),
-                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-                names=["id", *rows, "kept_text", "kept_sha256"])
+                    kept.append(b" ".join([raw[s:e] for s, e in zip(p.starts[keep].tolist(), p.ends[keep].tolist())]))
+                    numbers.append((hi - lo, hi - lo - len(keep), count, longest))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(pa.array(some)), *[pa.array(np.array(n, np.int64)) for n in zip(*numbers)],
+                     pa.array([k.decode() for k in kept], pa.string()),
+                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+                    names=["id", "n_words", "n_removed", "n_factors", "longest_factor", "kept_text", "kept_sha256"])
     return run
 
 
