@@ -147,10 +147,13 @@ def _anchors(window):
     def run(batches):
         for b in batches:
             for some, _, p in _chunks(b, window):
-                for i in np.unique(p.block_doc):
-                    own = np.unique(p.anchor[p.block[p.block_doc == i]])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("id").take(pa.array(np.full(len(own), some[i]))), _signed(own)], names=["id", "a"])
+                doc, anchor = p.block_doc, p.anchor[p.block]
+                order = np.lexsort((anchor, doc))
+                doc, anchor = doc[order], anchor[order]
+                once = np.ones(len(doc), bool)
+                once[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(pa.array(some[doc[once]])), _signed(anchor[once])], names=["id", "a"])
     return _joined(run)
 
 
@@ -261,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = own.schema["id"]
-    longs = [T.StructField(c, T.LongType()) for c in ("a", "h1", "h2")]
+    longs = [T.StructField(c, T.LongType(), False) for c in ("a", "h1", "h2")]
     named, unnamed = own.filter("id is not null"), own.filter("id is null")
     anchors = named.mapInArrow(_anchors(window), T.StructType([kind, longs[0]]))
     shared = anchors.groupBy("a").count().filter("count > 1").select("a")
@@ -272,10 +275,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = dealt.join(wanted, "id", "left")
     blocks = texts.filter("anchors is not null").mapInArrow(
         _blocks(window), T.StructType([kind, longs[1], longs[2], longs[0]]))
-    known = blocks.drop("a").join(_first_seen(blocks), ["h1", "h2"]).filter("id > ref").groupBy("id") \
+    # a row for each different block, dealt once: both uses ask for all of its columns
+    firsts = blocks.groupBy("h1", "h2").agg(F.min("id").alias("ref"), F.count("*").alias("n"), F.min("a").alias("a"))
+    seen = firsts.filter("n > 1 and a is not null").drop("n", "a")
+    known = blocks.drop("a").join(seen, ["h1", "h2"]).filter("id > ref").groupBy("id") \
         .agg(F.collect_set(F.struct("h1", "ref")).alias("k")) \
         .select("id", F.col("k.h1").alias("known"), F.col("k.ref").alias("refs"))
-    differ = blocks.groupBy("a").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("a")
+    differ = firsts.filter("n >= 1 and ref is not null").groupBy("a").count().filter("count > 1").select("a")
     opened = blocks.select("id", "a").join(differ, "a", "left_semi").groupBy("id").agg(F.collect_set("a").alias("open"))
     texts = dealt.join(known, "id", "left").join(opened, "id", "left")
     loose = texts.filter("open is not null").mapInArrow(_windows(window), T.StructType([kind, *longs[1:]]))
