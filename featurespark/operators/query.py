@@ -30,7 +30,6 @@ from featurespark.plans.where import Guarded, check_analyzed, guard_where
 
 BLOCK_ROWS = 1 << 16       # rows of a file that are counted together
 DEEP_OFFSET = 20_000       # sorted pages from here on are found by ranges
-DEEP_RANGES = 200
 
 
 def quoted(name: str) -> Column:
@@ -123,7 +122,7 @@ def deep_page(df: DataFrame, keys: list[SortKey], by_file: bool, offset: int, li
         order += [F.col("__file").asc(), F.col("__row").asc()]
         df = df.select("*", F.col(FILE).alias("__file"), F.col(ROW).alias("__row"))
     path = f"{checkpoint_dir(df.sparkSession)}/deep-page-{uuid.uuid4().hex}"
-    df.repartitionByRange(DEEP_RANGES, *order).withColumn("__range", F.spark_partition_id()) \
+    df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()) \
         .write.partitionBy("__range").parquet(path)
     ranged = df.sparkSession.read.parquet(path)
     counts = ranged.groupBy("__range").count().orderBy("__range").collect()
