@@ -23,6 +23,7 @@ from featurespark.llm.shared import WORD
 WEIGHTS = (5, 2, 1)      # fixed value: weights of the sources in order, repeating
 SHARE, MOST = 1.5, 2.0   # fixed values: all targets over all sizes, largest target over its source
 MAX_BLOCKS = 1 << 19
+PART_ROWS = 5000         # rows of a shard, about, that one task shuffles
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -139,9 +140,13 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_id
         .withColumn("_shards", F.coalesce(F.concat(taken, F.col("_always")), F.array().cast("array<int>"))) \
         .withColumn("_copies", F.size("_shards")) \
         .select(*[docs[c] for c in docs.columns], "_size", "_source_size", "_target", "_copies", "_shards", "_draw")
+    # a shard is dealt to as many tasks as its rows ask for, by the hash that shuffles it
+    parts = max(1, int(sum(c * r["rows"] for c, r in zip((g / max(z, 1) for g, z in zip(goal, sizes)), totals)))
+                // (shards * PART_ROWS))
+    order = F.xxhash64("_draw", "_copy", F.lit(seed))
     mixed = plan.select(*docs.columns, "_draw", F.posexplode("_shards").alias("_copy", "_shard")) \
-        .repartition(shards, "_shard") \
-        .sortWithinPartitions("_shard", F.xxhash64("_draw", "_copy", F.lit(seed)), "_draw", "_copy") \
+        .withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(parts))) \
+        .repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order", "_draw", "_copy") \
         .select(*docs.columns)
     return plan, mixed
 
