@@ -204,3 +204,29 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (102, 101), (None, 5)], "u long, v long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 101: 101, 102: 101}
+
+
+def test_lines_of_any_simhash(spark):
+    rng = random.Random(8)
+    pairs = []
+    for words in [*range(5, 21), 25, 40, 60, 90] * 4:
+        line = prose(rng, words)
+        at = rng.randrange(len(line))
+        one = line[:at] + ("q" if line[at] != " " else " q ") + line[at + 1:]
+        many = "".join(c if rng.random() > 0.08 else "z" for c in line)
+        pairs += [(line, x) for x in (one, many) if len(line) >= 20 and brute_edit(line, x) <= 0.2 * max(len(line), len(x))]
+    rows = [(i * 1000 + k, t) for k, p in enumerate(pairs) for i, t in enumerate(p)]
+    got = {r["id"] for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None)
+           .filter("n_removed = 1").collect()}
+    want = {1000 + k for k in range(len(pairs))}
+    assert len(want & got) >= 0.95 * len(want) and len(want) > 120
+    short = ["abcde fgh", "abcde fgx", "hello", "hullo", "hi", "ho", "twelve chars", "twelfe charz", "a rather short line", "a rother shart lime"]
+    texts = sorted({x for x in short + [p[0][:rng.randint(3, 24)] for p in pairs]})
+    texts += [x[:len(x) // 2] + "q" + x[len(x) // 2 + 1:] for x in texts if len(x) > 4]
+    nodes = sorted({normal(x) for x in texts if normal(x)})
+    roots = brute_components(len(nodes), lambda i, j: i == j or len(nodes[i]) < 25 and
+                             brute_edit(nodes[i], nodes[j]) <= 0.2 * max(len(nodes[i]), len(nodes[j])))
+    rows = list(enumerate(nodes))
+    got = {r["id"] for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None)
+           .filter("n_removed = 0").collect()}
+    assert got == set(roots)
