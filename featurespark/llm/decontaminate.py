@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased and cut at white space and ASCII punctuation. Test items
-are cut into passages of at most ``PASSAGE`` words. The document frequency of
+are cut into passages of at most ``PASSAGE`` words; of a longer item, passages overlap by half, so an
+excerpt of half a passage lies whole in one of them wherever it starts. The document frequency of
 every n-gram of a passage is counted over the whole corpus. Rare ones become
 seeds: those that few documents have, or that are no more frequent than the bulk of
 their passage, so a passage that leaked a thousand times still has its seeds, in
@@ -40,6 +41,13 @@ def _words(texts):
         yield some, word_hashes(buf, starts, ends), first
 
 
+def passage_bounds(words: int) -> list[tuple[int, int]]:
+    """First and last word of the passages of an item: equal parts, and between them parts moved by half."""
+    parts = -(-words // PASSAGE)
+    cuts = [words * k // (2 * parts) for k in range(2 * parts + 1)] if parts else []
+    return [*zip(cuts, cuts[2:])]
+
+
 class Passages:
     """Passages of test items with their n-grams and, once counted, their seeds."""
 
@@ -48,10 +56,9 @@ class Passages:
         for some, words, first in _words(pa.array(texts, pa.string())):
             for i, row in enumerate(some):
                 own = words[first[i]:first[i + 1]]
-                parts = -(-len(own) // PASSAGE)
-                for part in np.array_split(own, parts) if parts else []:
+                for lo, hi in passage_bounds(len(own)):
                     self.items.append(items[row])
-                    self.words.append(part)
+                    self.words.append(own[lo:hi])
         self.grams = [gram_hashes(w, min(GRAM, len(w))) for w in self.words]
         self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
         self.all = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
@@ -183,7 +190,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     from_word and to_word bound the stretch of the document that was aligned. Null
     and empty texts and items, and items without words, match nothing. Repeated
     documents or items give a row each; a pair is listed with its id even when
-    that is null. A long item yields a row for each of its passages that is found.
+    that is null. A long item yields a row for each of its passages that is found, and these overlap.
     """
     own = _prepared(docs, text_col).select(F.col(id_col).alias("id"), "_decon")
     item = T.StructField("item", benchmark.schema[item_col].dataType)

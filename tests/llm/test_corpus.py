@@ -136,6 +136,23 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(frame(spark, []), bench).count() == 0
 
 
+def test_excerpts_of_a_long_item_are_found_at_every_offset(spark):
+    rng = random.Random(34)
+    for n in range(1, 400):
+        bounds = decontaminate.passage_bounds(n)
+        assert bounds[0][0] == 0 and bounds[-1][1] == n and all(b - a <= 60 for a, b in bounds)
+        for size in (30, 45, 58):
+            assert all(any(2 * (min(b, o + size) - max(a, o)) >= b - a for a, b in bounds) for o in range(n - size + 1))
+    words = prose(rng, 300).split()
+    rows = [(1000 * n + o, " ".join([prose(rng, 15), *words[o:o + n], prose(rng, 15)])) for n in (30, 40, 58)
+            for o in range(0, 301 - n)]
+    rows += [(-1 - i, prose(rng, 90)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).select("doc_id").collect()}
+    assert kept == {-1 - i for i in range(50)}
+
+
 def found_scores(found):
     return [((r["id"], r["item"]), r["score"]) for r in found]
 
