@@ -9,7 +9,10 @@ their passage, so a passage that leaked a thousand times still has its seeds, in
 edited copies too. Wherever a training text holds a seed, the
 surrounding stretch is aligned with the passage: +2 for an equal word, -1 for a
 changed, added or missing one. The score over that of a perfect copy must reach
-``min_score``.
+``min_score``, and the alignment must hold at least ``LEAST`` equal words. A shorter passage must
+stand there word by word, and one of its n-grams must be rare in the whole corpus: in at most ``FEW``
+documents and ``FEW_SHARE`` of all. So a short item of common words, or one that leaked into
+more documents than that, matches nothing.
 
 Test sets are small beside the corpus, but nothing is assumed: they are taken
 in blocks of at most ``block_words`` words, each of which travels with the tasks.
@@ -27,8 +30,10 @@ from featurespark.llm.shared import _SPACE, gram_hashes, text_chunks, word_bound
 
 GRAM, PASSAGE, MIN_SCORE = 3, 60, 0.5
 FEW, FEW_SHARE = 20, 1e-4    # few documents: so many, and this share of all
+LEAST = 8                # equal words of an alignment
 BULK = 75                    # percentile of a passage's frequencies; twice that is still rare for it
 BLOCK_WORDS = 1 << 20
+_POINT = np.int32(1 << 10)
 _BATCH = 1 << 11          # alignments that are computed together
 _CUT = _SPACE.copy()
 _CUT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -62,14 +67,16 @@ class Passages:
         self.grams = [gram_hashes(w, min(GRAM, len(w))) for w in self.words]
         self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
         self.all = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
-        self.seed = self.home = self.place = None
+        self.seed = self.home = self.place = self.rare = None
 
     def choose(self, df: np.ndarray, documents: int) -> None:
         """Keep each passage's rare n-grams; ``df`` counts the documents of ``all``."""
-        seed, home, place = [], [], []
+        seed, home, place, few = [], [], [], FEW + FEW_SHARE * documents
+        self.rare = np.zeros(len(self.grams), bool)
         for i, g in enumerate(self.grams):
             own = df[np.searchsorted(self.all, g)]
-            at = np.flatnonzero(own <= max(FEW + FEW_SHARE * documents, 2 * np.percentile(own, BULK)))
+            self.rare[i] = own.min() <= few
+            at = np.flatnonzero(own <= max(few, 2 * np.percentile(own, BULK)))
             seed.append(g[at])
             home.append(np.full(len(at), i))
             place.append(at)
@@ -89,7 +96,10 @@ class Passages:
             yield pos, at[pos]
 
     def matches(self, words: np.ndarray, first: np.ndarray):
-        """Best alignment of each (document, passage): arrays document, passage, score, from, to."""
+        """Best alignment of each (document, passage): arrays document, passage, score, from, to.
+
+        The score is 0 where too few words are equal.
+        """
         pos, home, diag = [], [], []
         for p, lo in self.occurrences(words, first, self.seed):
             hi = np.searchsorted(self.seed, self.seed[lo], side="right")
@@ -116,7 +126,10 @@ class Passages:
         order = np.argsort(length[home], kind="stable")
         for i in range(0, len(order), _BATCH):
             own = order[i:i + _BATCH]
-            score[own] = self._align(words, home[own], lo[own], hi[own]) / (2 * length[home[own]])
+            points, equal = self._aligned(words, home[own], lo[own], hi[own])
+            size = length[home[own]]
+            enough = np.where(size < LEAST, self.rare[home[own]] & (points == 2 * size), equal >= LEAST)
+            score[own] = np.where(enough, points / (2 * size), 0)
         best = np.lexsort((-score, home, doc))
         doc, home = doc[best], home[best]
         top = np.r_[True, (doc[1:] != doc[:-1]) | (home[1:] != home[:-1])]
@@ -124,24 +137,31 @@ class Passages:
         return cell[own, 0], cell[own, 1], score[own], lo[own] - first[cell[own, 0]], hi[own] - first[cell[own, 0]]
 
     def _align(self, words, home, lo, hi):
-        """Smith-Waterman scores of passages against stretches of text, a passage word at a time."""
+        """Smith-Waterman scores of passages against stretches of text."""
+        return self._aligned(words, home, lo, hi)[0]
+
+    def _aligned(self, words, home, lo, hi):
+        """Scores and equal words of passages against stretches of text, a passage word at a time.
+
+        A cell holds ``_POINT`` times the score, plus the equal words: of alignments of one score, the one with most.
+        """
         wide, tall = int((hi - lo).max()), max(len(self.words[h]) for h in home)
         at = lo[:, None] + np.arange(wide)
         text = np.where(at < hi[:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0))
         passage = np.ones((len(home), tall), np.uint64)
         for r, h in enumerate(home):
             passage[r, :len(self.words[h])] = self.words[h]
-        col = np.arange(wide, dtype=np.int32)
+        col = np.arange(wide, dtype=np.int32) * _POINT
         row = np.zeros((len(home), wide), np.int32)
         best = np.zeros(len(home), np.int32)
         for i in range(tall):
-            step = np.where(text == passage[:, i:i + 1], np.int32(2), np.int32(-1))
+            step = np.where(text == passage[:, i:i + 1], 2 * _POINT + np.int32(1), -_POINT)
             diag = step
             diag[:, 1:] += row[:, :-1]
-            now = np.maximum(np.maximum(diag, row - 1), 0)
+            now = np.maximum(np.maximum(diag, row - _POINT), 0)
             row = np.maximum.accumulate(now + col, axis=1) - col
             best = np.maximum(best, row.max(axis=1))
-        return best
+        return best // _POINT, best % _POINT
 
 
 def _prepared(docs: DataFrame, text_col: str) -> DataFrame:

@@ -153,6 +153,27 @@ def test_excerpts_of_a_long_item_are_found_at_every_offset(spark):
     assert kept == {-1 - i for i in range(50)}
 
 
+def test_short_items_and_few_equal_words_do_not_match(spark):
+    rng = random.Random(35)
+    tail = lambda: " " + prose(rng, 20)
+    rows = [(i, "of the in on" + tail()) for i in range(60)]
+    rows += [(100, "zebra quartz violin" + tail()), (101, "zebra quartz" + tail()), (102, "wolfram" + tail())]
+    rows += [(103, "a1 a2 a3 a4 a5 a6 a7" + tail()), (104, "a1 a2 a3 a4 a5 a6 a7 a8" + tail())]
+    rows += [(105, "b1 b2 b3" + tail()), (106, "b1 b2 b3 b4 b5 b6" + tail())]
+    items = [(1, "of the in"), (2, "the"), (3, "zebra quartz violin"), (4, "wolfram"), (5, " ".join(f"a{k}" for k in range(1, 15))),
+             (6, "b1 b2 b3 b4 b5 b6")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["id"], r["item"]) for r in decontaminate.contaminated_pairs(docs, bench).collect()}
+    assert got == {(100, 3), (102, 4), (104, 5), (106, 6)}
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
+    assert {r[0] for r in rows} - kept == {100, 102, 104, 106}
+    item = decontaminate.Passages.__new__(decontaminate.Passages)
+    item.words = [np.array([2, 3, 4, 5], np.uint64)]
+    points, equal = item._aligned(np.array([2, 3, 9, 5, 7], np.uint64), np.array([0]), np.array([0]), np.array([5]))
+    assert (points.tolist(), equal.tolist()) == ([5], [3])
+
+
 def found_scores(found):
     return [((r["id"], r["item"]), r["score"]) for r in found]
 
