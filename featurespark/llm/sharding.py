@@ -146,10 +146,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    c = _sizes(docs, "doc_id", "text")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = materialize(docs.select("doc_id", c["size"].cast("long").alias("size"), c["key"].alias("h"),
-                                   F.crc32(text.cast("binary")).alias("text_crc32")), "sizes")
-    out = shard_by_bytes(rows, F.col("size"), F.col("h"), F.xxhash64("doc_id", F.lit("tie")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    out = materialize(shard_documents(docs), "shards")       # whole rows; what follows is of the texts that arrived
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+                      F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))

@@ -260,6 +260,18 @@ def test_sharding_small(spark):
     assert len(out) == 3 and sorted(out[0].asDict()) == sorted(["doc_id", "text", "lang", "source", "n_chars", "note", "shard", "slot"])
 
 
+def test_op5_tells_what_arrived_in_the_shards(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    out = sharding.op5_sharding(spark, SMALL).collect()
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in out} == \
+        {(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()}
+    check_shards([(r["shard"], r["slot"], r["size"]) for r in out], 16)
+    whole = sharding.shard_documents
+    monkeypatch.setattr(sharding, "shard_documents", lambda d: whole(d).withColumn("text", F.lit("lost")))
+    assert {(r["size"], r["text_crc32"]) for r in sharding.op5_sharding(spark, SMALL).collect()} == {(5, zlib.crc32(b"lost"))}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
