@@ -103,30 +103,6 @@ def _chunks(batch, window):
             yield np.asarray(some) + lo, buf, Parsed(buf, offsets, window)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _packed(batches):
-    """Texts compressed one by one: what is dealt by id takes under half the bytes."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for b in batches:
-        for lo in range(0, b.num_rows, _ROWS):
-            part = b.slice(lo, _ROWS)
-            packed = [squeeze(t) for t in part.column("text").cast("binary").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
-
-
-def _chunks(batch, window):
-    if "packed" in batch.schema.names:
-        open_ = zstandard.ZstdDecompressor().decompress
-        texts = pa.array([open_(p) for p in batch.column("packed").to_pylist()], pa.binary())
-    else:
-        texts = batch.column("text")
-    for some, buf, offsets in text_chunks(texts):
-        yield np.asarray(some), buf, Parsed(buf, offsets, window)
-
-
 def _list(column, row) -> np.ndarray:
     got = column[row].as_py()
     return np.array(got or [], np.int64).view(np.uint64)

@@ -230,3 +230,15 @@ def test_lines_of_any_simhash(spark):
     got = {r["id"] for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None)
            .filter("n_removed = 0").collect()}
     assert got == set(roots)
+
+
+def test_packed_texts_are_opened_a_part_at_a_time(monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(substring_dedup, "_ROWS", 10)
+    texts = [prose(random.Random(i), 30) for i in range(35)]
+    packed = pa.array([zstandard.ZstdCompressor().compress(t.encode()) for t in texts], pa.binary())
+    parts = [(some.tolist(), buf.tobytes().decode()) for some, buf, _ in
+             substring_dedup._chunks(pa.RecordBatch.from_arrays([packed], names=["packed"]), 13)]
+    assert parts == [([*range(lo, min(lo + 10, 35))], "".join(texts[lo:lo + 10])) for lo in range(0, 35, 10)]
