@@ -59,11 +59,18 @@ def split_quotas(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """``(plan, mixed)``: for each input row what the mix takes of it, and the mix itself.
+    """``(plan, mixed)``: for each input row what the mix takes of it, and the mix itself; see ``deal``."""
+    plan, dealt = deal(docs, shards, seed, id_col, text_col, source_col, max_blocks)
+    return plan, dealt.select(*docs.columns)
+
+
+def deal(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_id", text_col: str = "text",
+         source_col: str = "source", max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """``(plan, mixed)``: for each input row what the mix takes of it, and the mix with ``_copy`` and ``_shard``.
 
     plan adds ``_size`` (words), ``_source_size``, ``_target``, ``_copies`` and
     ``_shards`` (an array, a shard for each copy) to the input's columns. mixed
-    has the input's columns, a row for each copy, dealt out by shard and
+    has the input's columns too, a row for each copy, dealt out by shard and
     shuffled within it. Sources go by code point, null last. A null text has no
     words; a document without words takes part like any other and takes nothing.
     Rows that repeat an id fall into one block and are drawn together. The
@@ -147,7 +154,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_id
     mixed = plan.select(*docs.columns, "_draw", F.posexplode("_shards").alias("_copy", "_shard")) \
         .withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(parts))) \
         .repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order", "_draw", "_copy") \
-        .select(*docs.columns)
+        .select(*docs.columns, "_copy", "_shard")
     return plan, mixed
 
 
@@ -167,7 +174,27 @@ def _thresholds(spark, placed: DataFrame, cut: dict) -> dict:
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    plan, _ = mix(docs)
-    return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                       F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
-                       F.col("_copies").alias("copies"), F.col("_shards").alias("shards"))
+    plan, mixed = deal(docs)
+    return held(plan, mixed).select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"), "taken", "copies", "shards")
+
+
+def held(plan: DataFrame, mixed: DataFrame) -> DataFrame:
+    """A row for each of ``plan``'s with what ``mixed`` holds of it: words ``taken``, ``copies`` and their ``shards``.
+
+    Counted from the rows and texts of the mix. Rows equal in id, source and text are drawn
+    alike, so each has its part of what their group has.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = ["doc_id", "source", "_hash"]
+    rows = plan.withColumn("_hash", F.xxhash64("text")) \
+        .groupBy(*key, "_size", "_source_size", "_target").agg(F.count("*").alias("_rows"))
+    found = mixed.withColumns({"_hash": F.xxhash64("text"), "_words": F.regexp_count(text, F.lit(WORD)).cast("long")}) \
+        .groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(
+            F.sum("_words").alias("_words"), F.count("*").alias("_n"), F.collect_set(F.struct("_copy", "_shard")).alias("_at"))
+    same = [rows[k].eqNullSafe(found[f"_{k}"]) for k in key]
+    return rows.join(found, same[0] & same[1] & same[2], "left") \
+        .withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).withColumns({
+            "taken": F.expr("coalesce(_words div _rows, 0L)"), "copies": F.expr("cast(coalesce(_n div _rows, 0L) as int)"),
+            "shards": F.coalesce(F.transform(F.sort_array("_at"), lambda x: x["_shard"]), F.array().cast("array<int>"))})

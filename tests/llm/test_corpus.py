@@ -225,6 +225,22 @@ def test_mixing(spark):
     assert empty.count() == none.count() == 0
 
 
+def test_op10_counts_what_the_mix_holds(spark, monkeypatch):
+    rows = awkward_rows(n=60) * 2
+    plan, mixed = mixing.deal(frame(spark, rows), shards=5)
+    got = mixing.held(plan, mixed).collect()
+    key = lambda r, taken, copies, shards: (str(r["doc_id"]), r["_size"], r["_source_size"], taken, copies, shards)
+    assert collections.Counter(key(r, r["taken"], r["copies"], tuple(r["shards"])) for r in got) == collections.Counter(
+        key(r, r["_size"] * r["_copies"], r["_copies"], tuple(r["_shards"])) for r in plan.collect())
+    full = mixing.op10_mixing(spark, SMALL).collect()
+    assert sum(r["copies"] for r in full) == mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet"))[1].count()
+    deal = mixing.deal
+    monkeypatch.setattr(mixing, "deal", lambda docs: (lambda p, m: (p, m.filter("_shard <> 3")))(*deal(docs)))
+    less = mixing.op10_mixing(spark, SMALL).collect()
+    assert len(less) == len(full) and not any(3 in r["shards"] for r in less)
+    assert sum(r["copies"] for r in less) == sum(sum(s != 3 for s in r["shards"]) for r in full) < sum(r["copies"] for r in full)
+
+
 def check_shards(out, shards):
     size = collections.Counter()
     slots = collections.defaultdict(list)
