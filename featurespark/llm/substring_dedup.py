@@ -1,4 +1,4 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Repeated passages by content-defined blocks and an index of single windows.
 
 Documents are cut into blocks by their content: a window of ``WINDOW`` words is
 represented by its smallest ``ANCHOR``-gram hash, and the neighbouring windows
@@ -7,16 +7,15 @@ they stand. The steps:
 
 1. anchors that only one document has are left out; nothing there repeats;
 2. the other blocks are indexed by a 96-bit hash of their words, with the
-   smallest document that holds them;
-3. a document is parsed from left to right against that index: the current
-   factor grows block by block as long as the next block is known from the same
-   reference document;
-4. a factor ends where a block is unknown. Windows of unknown blocks, which
-   touch factor boundaries, are looked up one by one in an index of their own.
+   smallest document that holds them; a block that a smaller document has is known;
+3. windows of unknown blocks are looked up one by one in an index of their own.
    A window repeated from a smaller document is unknown in the smallest one that
    has it, so this index holds every window that can matter. Anchors whose
    blocks are all equal have no such windows and are left out here;
-5. words under factors and under found windows are the repeated ones.
+4. words under known blocks and under found windows are the repeated ones.
+
+The factors of a relative Lempel-Ziv parse, runs of known blocks of one reference
+document, are counted on the side; they decide nothing.
 
 Only hashes and the text, dealt once by document id, are shuffled.
 """
