@@ -267,7 +267,7 @@ def brute_blocked(pages, outcomes, z=1.645, max_bad=0.5):
 
 def urls(rng):
     rows, outcomes = [], []
-    rate = {f"s{d}.farm{d % 3}.example.com": (0.97 if d % 3 == 0 else 0.05) for d in range(12)}
+    rate = {f"s{d}.farm{d % 3}.com": (0.97 if d % 3 == 0 else 0.05) for d in range(12)}
     rate |= {f"h{k}.co.uk": 0.1 for k in range(6)} | {"www.bad.co.uk": 0.95, "big.example.org": 0.02}
     i = 0
     for host, p in rate.items():
@@ -278,7 +278,7 @@ def urls(rng):
             i += 1
     odd = [None, "", "no scheme", "http://", "://x", "http://A.Example.NET/en/a?b", "http://example.net", "http://example.net?x",
            "http://notexample.com/de/", "https://u:p@Example.com:80/de/x#y://z", "ftp://10.0.0.1/a", "http://[::1]:8/b", "http://z.[x.y/c",
-           "http://a.org./fr/", "http://a.org/fr/x/../y", "HTTP://ÄB.org/fr/Ü", "http://new.farm0.example.com/x", "http://x/y://z"]
+           "http://a.org./fr/", "http://a.org/fr/x/../y", "HTTP://ÄB.org/fr/Ü", "http://new.farm0.com/x", "http://x/y://z"]
     rows += [(10_000 + k, u) for k, u in enumerate(odd)] + [(None, "http://h0.co.uk/"), (0, rows[0][1]), rows[1], rows[1]]
     outcomes += [(1, True), (None, True), (2, None), (999_999, True)]
     return rows, outcomes
@@ -290,7 +290,7 @@ def test_url_filter_matches_brute_force(spark):
     pages = spark.createDataFrame([(i, u, "kept", j, 1) for j, (i, u) in enumerate(rows)],
                                   "page_id long, url string, verdict string, key_0 int, key_1_about int").repartition(3)
     marked = spark.createDataFrame(outcomes, "page_id long, bad boolean")
-    rules = [*ur.RULES, ("block", "farm1.example.com/en/1"), ("allow", "www.bad.co.uk/en/"), ("block", "www.bad.co.uk/en/")]
+    rules = [*ur.RULES, ("block", "farm1.com/en/1"), ("allow", "www.bad.co.uk/en/"), ("block", "www.bad.co.uk/en/")]
     got = ur.filter_urls(pages, marked, rules).collect()
     assert sorted(r["key_0"] for r in got) == list(range(len(rows)))
     assert set(got[0].__fields__) == {"page_id", "url", "verdict", "key_0", "key_1_about", "host", "path", "rule"}
@@ -301,7 +301,7 @@ def test_url_filter_matches_brute_force(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == ("block" if (blocked[host][1] if block is None else block) else "allow"), host
     judged = {r["host"]: r["verdict"] for r in got if r["rule"] is None}
-    assert judged["s0.farm0.example.com"] == "block" == judged["new.farm0.example.com"] and judged["big.example.org"] == "allow"
+    assert judged["s0.farm0.com"] == "block" == judged["new.farm0.com"] and judged["big.example.org"] == "allow"
     table = ur.host_reputation(pages, marked).collect()
     for r in table:
         assert (r["domain"], r["suffix"]) == brute_parts(r["host"])
