@@ -116,6 +116,18 @@ def q_query_page_unsorted(spark, d):
                                   offset=20, count=100).positioned()
 
 
+def q_query_page_first(spark, d):
+    """The default request, without a sort, on a layer of 12 files in order of its key."""
+    key = ("twelve", id(spark), d)
+    if key not in _runs:
+        root = _scratch(spark, "twelve")
+        layers(spark, d).read("orders").repartitionByRange(12, "o_orderkey").sortWithinPartitions("o_orderkey") \
+            .write.parquet(f"{root}/ordered.parquet")
+        _runs[key] = {"root": root}
+    return Layers(spark, _runs[key]["root"]).query(
+        "ordered", out_fields="o_orderkey,o_orderdate,o_totalprice", where="o_orderstatus <> 'F'", count=1000).positioned()
+
+
 def q_query_page_deep(spark, d):
     return layers(spark, d).query("lineitem", out_fields="l_orderkey,l_linenumber,l_extendedprice",
                                   order_by="l_extendedprice DESC, l_orderkey, l_linenumber",
@@ -487,6 +499,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "query_page": q_query_page,
     "query_top_k": q_query_top_k,
     "query_page_unsorted": q_query_page_unsorted,
+    "query_page_first": q_query_page_first,
     "query_page_deep": q_query_page_deep,
     "query_page_unsorted_far": q_query_page_unsorted_far,
     "query_json": q_query_json,
@@ -561,10 +574,19 @@ def _ingested(spark, d) -> dict:
     return _runs[key]
 
 
+def _entries(listing):
+    """Uploads by what lies in a dataset folder (or beside them all), with the bytes of the text ones."""
+    from featurespark.sources.ingest import upload_files
+
+    f = upload_files(listing).withColumn("entry", F.regexp_extract(F.coalesce("entry", "path"), "/uploads/(.*)$", 1))
+    return f.groupBy("entry").agg(F.sum(F.when(F.col("format") == "geojsonl", F.col("length"))).alias("n_bytes"))
+
+
 def q_ingest_listing(spark, d):
+    """Part files have names and, of Parquet, sizes of their own, so the listing is summed up by entry."""
     from featurespark.sources.ingest import list_uploads
 
-    return list_uploads(layers(spark, d).spark, _uploads(spark, d))
+    return _entries(list_uploads(layers(spark, d).spark, _uploads(spark, d)))
 
 
 def q_ingest_datasets(spark, d):
@@ -574,11 +596,10 @@ def q_ingest_datasets(spark, d):
 
 
 def q_ingest_spatial_layers(spark, d):
-    from featurespark.sources.ingest import find_datasets, layer_files, list_uploads, spatial_layers
+    from featurespark.sources.ingest import layer_files, list_uploads, spatial_layers
 
     s = layers(spark, d).spark
-    listing = list_uploads(s, _uploads(spark, d))
-    return spatial_layers(s, layer_files(listing, find_datasets(listing))).select(
+    return spatial_layers(s, layer_files(list_uploads(s, _uploads(spark, d)))).select(
         "dataset", "layer", "format", "has_geometry")
 
 
@@ -588,6 +609,19 @@ def q_ingest_summary(spark, d):
     return s.createDataFrame(run["summary"], run["schema"]).select("dataset", "layer", "rows", "status")
 
 
+def q_ingest_ledger(spark, d):
+    """What became of the uploads, by dataset and layer; part files have names of their own."""
+    from featurespark.sources.ingest import upload_ledger
+
+    ledger = upload_ledger(layers(spark, d).spark, _ingested(spark, d)["out"])
+    return ledger.groupBy("dataset", "layer", "consumed", "reason", "replaced").agg(
+        F.countDistinct("run").alias("runs"), F.sum(F.when(F.col("dataset") == "parcels_ds", F.col("length"))).alias("n_bytes"))
+
+
+def q_layer_statistics(spark, d):
+    return Layers(spark, _ingested(spark, d)["out"]).layer_statistics().drop("files")
+
+
 def q_ingest_layer_roundtrip(spark, d):
     G, FT, SP = _geo()
     out = Layers(spark, _ingested(spark, d)["out"])
@@ -646,9 +680,9 @@ def q_ingest_geometry_names(spark, d):
 
 
 def _registry(spark, d):
-    from featurespark.sources.ingest import read_registry
+    from featurespark.sources.ingest import published_registry
 
-    return read_registry(layers(spark, d).spark, f"{_ingested(spark, d)['out']}/config.json")
+    return published_registry(layers(spark, d).spark, _ingested(spark, d)["out"])
 
 
 def q_layer_registry(spark, d):
@@ -753,6 +787,8 @@ _QUERIES.update({
     "ingest_datasets": q_ingest_datasets,
     "ingest_spatial_layers": q_ingest_spatial_layers,
     "ingest_summary": q_ingest_summary,
+    "ingest_ledger": q_ingest_ledger,
+    "layer_statistics": q_layer_statistics,
     "ingest_layer_roundtrip": q_ingest_layer_roundtrip,
     "export_geojson": q_export_geojson,
     "layer_registry": q_layer_registry,
@@ -776,9 +812,7 @@ _QUERIES.update({
 try:
     import corpus_pipeline
     from featurespark.llm import registry as _llm
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "featurespark.llm"):
-        raise
+except ImportError:          # the subpackage, the pipeline or a library that they need is not there
     _llm = None
 else:
     _QUERIES.update(_llm.QUERIES)
@@ -842,6 +876,8 @@ _ORACLE = {
         "o_orderpriority FROM orders WHERE o_custkey < 100", "o_orderkey", 1000),
     "query_page_count": "SELECT count(*) AS count FROM (SELECT * FROM orders ORDER BY o_orderkey "
                         "LIMIT 1000 OFFSET 14900) t",
+    "query_page_first": _paged("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders "
+                               "WHERE o_orderstatus <> 'F'", "o_orderkey", 1000),
     "query_page_deep": _paged("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem",
                               "l_extendedprice DESC, l_orderkey, l_linenumber", 100, 50000),
     "query_page_unsorted_far": "SELECT l_orderkey, l_linenumber, row_number() OVER () + 30000 AS pos FROM (SELECT "
@@ -1104,7 +1140,23 @@ for _k, _sql in _SPATIAL_SQL.items():
     _ORACLE[_k] = f"SELECT {_IDS[_sql.split()[0]]} AS {SPATIAL_CASES[_k][2]} FROM {_sql}"
 
 
+_PARCEL_LINE = f"replace({_PARCEL_FEATURE}, ',\"bbox\":' || to_json(struct_pack(xmin := {_PX}, ymin := {_PY}, " \
+               f"xmax := {_PX} + {_PS}, ymax := {_PY} + {_PS})), '')"
+_NATION_LINE = "'{\"type\":\"Feature\",\"geometry\":null,\"properties\":' || to_json(nation) || '}'"
+_PARCEL_BYTES = f"(SELECT CAST(sum(strlen({_PARCEL_LINE}) + 1) AS BIGINT) FROM customer)"
+_NATION_BYTES = f"(SELECT CAST(sum(strlen({_NATION_LINE}) + 1) AS BIGINT) FROM nation)"
+
 _ORACLE.update({
+    "ingest_listing": f"SELECT 'parcels_ds.gdb/parcels.geojsonl' AS entry, {_PARCEL_BYTES} AS n_bytes UNION ALL "
+                      f"SELECT 'parcels_ds.gdb/nations.geojsonl', {_NATION_BYTES} UNION ALL "
+                      "SELECT 'sites_ds.gdb/sites.parquet', NULL UNION ALL SELECT 'config.json', NULL",
+    "ingest_ledger": "SELECT dataset, layer, consumed, reason, false AS replaced, CAST(1 AS BIGINT) AS runs, n_bytes FROM "
+                     f"(SELECT 'parcels_ds' AS dataset, 'parcels' AS layer, true AS consumed, 'converted' AS reason, "
+                     f"{_PARCEL_BYTES} AS n_bytes UNION ALL SELECT 'parcels_ds', 'nations', false, 'no geometry', {_NATION_BYTES} "
+                     "UNION ALL SELECT 'sites_ds', 'sites', true, 'converted', NULL UNION ALL SELECT NULL, NULL, true, 'marker', NULL) t",
+    "layer_statistics": f"SELECT 'parcels' AS layer, count(*) AS rows, min({_PX}) AS xmin, min({_PY}) AS ymin, max({_PX} + {_PS}) AS xmax, "
+                        f"max({_PY} + {_PS}) AS ymax FROM customer UNION ALL SELECT 'sites', count(*), min({_SX}), min({_SY}), "
+                        f"max({_SX}), max({_SY}) FROM events",
     "ingest_datasets": "SELECT 'parcels_ds' AS dataset UNION ALL SELECT 'sites_ds'",
     "ingest_spatial_layers": "SELECT * FROM (VALUES ('parcels_ds', 'parcels', 'geojsonl', true), "
                              "('parcels_ds', 'nations', 'geojsonl', false), ('sites_ds', 'sites', 'parquet', true)) "

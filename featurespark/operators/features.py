@@ -31,11 +31,11 @@ def with_decoded(df: DataFrame, geom_col: str, name: str = DECODED) -> DataFrame
 
 
 def feature_page(df: DataFrame, schema: T.StructType, fields: list[str], geom_col: str,
-                 keys, offset: int, limit: int) -> DataFrame:
+                 keys, offset: int, limit: int, known: dict[str, int] | None = None) -> DataFrame:
     # The single-partition exchange fences the page: without it the Python
     # evaluation would sit between the limit and the sort, and Catalyst would
     # plan a full range-partitioned sort instead of TakeOrderedAndProject.
-    page = with_decoded(sorted_page(df, keys, offset, limit).repartition(1), geom_col)
+    page = with_decoded(sorted_page(df, keys, offset, limit, known=known).repartition(1), geom_col)
     return page.select(F.lit("Feature").alias("type"),
                        geojson(F.col(DECODED)).alias("geometry"),
                        json_object(schema, fields).alias("properties"))

@@ -7,14 +7,16 @@ one task, never a global sort), prunes the scan to the referenced columns and
 pushes the predicate into the Parquet reader. The projection is last, so sort
 keys need not be output columns.
 
-A page in file order is found by counting: matching rows per file, then per
-block of rows in the files that the page touches, and only those blocks are
-read. A deep page of a sorted request is found by range-partitioning the sort
-keys and counting the ranges, so no task holds ``offset + limit`` rows.
+A page in file order takes files one after the other, in batches that grow until
+the page is full: rows per file are known from the layer's statistics or counted for the
+batch alone, so a first page reads the first file and nothing else. A deep page of a sorted
+request deals only the sort keys and the rows' places (file, index) into counted ranges, so no task holds
+``offset + limit`` rows and no other column is written; the page's rows are then fetched by their places.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass, field
 
@@ -53,16 +55,17 @@ def has_file_order(df: DataFrame) -> bool:
         return False
 
 
-def sorted_page(df: DataFrame, keys: list[SortKey], offset: int, limit: int, stable: bool = True) -> DataFrame:
+def sorted_page(df: DataFrame, keys: list[SortKey], offset: int, limit: int, stable: bool = True,
+                known: dict[str, int] | None = None) -> DataFrame:
     """Sort (or file order when no keys), skip ``offset``, keep ``limit``.
 
     ``stable`` appends the file position as the last sort key (when the frame
     is a direct file scan), which makes paging deterministic for tied keys and
-    gives the file-order page of S17 when no key is requested.
+    gives the file-order page of S17 when no key is requested. ``known``: rows per file of an unfiltered layer.
     """
     in_files = has_file_order(df)
     if not keys and in_files:
-        return file_page(df, offset, limit)
+        return file_page(df, offset, limit, known)
     cols = order_columns(keys)
     if stable and in_files:
         cols += [F.col(FILE).asc(), F.col(ROW).asc()]
@@ -87,47 +90,90 @@ def _stretch(counts: list[tuple], offset: int, limit: int) -> tuple[list, int]:
     return chosen, start
 
 
-def file_page(df: DataFrame, offset: int, limit: int) -> DataFrame:
+def file_key(path: str) -> str:
+    """A file's URI with one slash after the scheme."""
+    return re.sub("^([a-zA-Z0-9]+):/*", r"\1:/", path)
+
+
+def file_keys() -> Column:
+    """The ``file_key`` of each row's file; a filter on it prunes files before anything is read."""
+    return F.regexp_replace(FILE, "^([a-zA-Z0-9]+):/*", "$1:/")
+
+
+def file_page(df: DataFrame, offset: int, limit: int, known: dict[str, int] | None = None) -> DataFrame:
     """rows ``offset..offset+limit`` in order of file path and position in the file.
 
-    The first page takes no counting. Of a later one, one row a file and then one row a block reach
-    the driver; without a filter the counts come from row-group metadata.
+    Files are taken in batches of 1, 2, 4, ... in path order until the page is full. Rows per file come from
+    ``known``, else a job counts those of the batch, from row-group metadata where there is no filter; files behind the page are not
+    touched. A page that starts far inside a file counts blocks of rows there and reads only those it needs.
     """
-    order = [F.col(FILE).asc(), F.col(ROW).asc()]
-    if offset:
-        files = df.groupBy(F.col(FILE).alias("f")).count().orderBy("f").collect()
-        chosen, offset = _stretch([(r["f"], r["count"]) for r in files], offset, limit)
-        df = df.where(F.col(FILE).isin(chosen))
+    files = sorted({file_key(f) for f in df.inputFiles()})
+    counts: list[tuple] = []
+    seen, size = 0, 1
+    while len(counts) < len(files) and seen < offset + limit:
+        batch = files[len(counts):len(counts) + size]
+        if known is not None and all(f in known for f in batch):
+            found = known
+        elif len(files) == 1 and not offset:
+            found = {batch[0]: limit}
+        else:
+            rows = df.where(file_keys().isin(batch)).groupBy(file_keys().alias("f")).count().collect()
+            found = {r["f"]: r["count"] for r in rows}
+        counts += [(f, found.get(f, 0)) for f in batch]
+        seen += sum(n for _, n in counts[-len(batch):])
+        size *= 2
+    chosen, offset = _stretch(counts, offset, limit)
+    df = df.where(file_keys().isin(chosen))
+    if offset >= BLOCK_ROWS:
         block = F.floor(F.col(ROW) / BLOCK_ROWS)
-        blocks = df.groupBy(F.col(FILE).alias("f"), block.alias("b")).count().orderBy("f", "b").collect()
+        blocks = df.groupBy(file_keys().alias("f"), block.alias("b")).count().orderBy("f", "b").collect()
         parts, offset = _stretch([((r["f"], r["b"]), r["count"]) for r in blocks], offset, limit)
         if parts:
             (f0, b0), (f1, b1) = parts[0], parts[-1]
-            df = df.where(((F.col(FILE) > f0) | (F.col(ROW) >= b0 * BLOCK_ROWS))
-                          & ((F.col(FILE) < f1) | (F.col(ROW) < (b1 + 1) * BLOCK_ROWS)))
-    page = df.orderBy(*order)
+            df = df.where(((file_keys() > f0) | (F.col(ROW) >= b0 * BLOCK_ROWS))
+                          & ((file_keys() < f1) | (F.col(ROW) < (b1 + 1) * BLOCK_ROWS)))
+    page = df.orderBy(F.col(FILE).asc(), F.col(ROW).asc())
     return (page.offset(offset) if offset else page).limit(limit)
 
 
 def deep_page(df: DataFrame, keys: list[SortKey], by_file: bool, offset: int, limit: int) -> DataFrame:
     """a page far down a sorted layer, from the ranges of the sort order that hold it.
 
-    The rows are written once in ranges of the sort keys; the ranges' counts, a row each,
-    tell which of them to sort.
+    Of a stored layer only the sort keys and each row's file and index are written, in ranges; a count a range tells which
+    of them to sort, the page's places (``limit`` of them) come to the driver, and its rows are read from the files
+    they are in. Frames that are no file scan write their rows instead. The ranges are deleted before this returns.
     """
     from featurespark.session import checkpoint_dir
+    from featurespark.sources.manifest import _fs
 
-    order, columns = order_columns(keys), [quoted(c) for c in df.columns]
+    spark, order = df.sparkSession, [F.col(f"__k{i}").desc_nulls_last() if k.descending else F.col(f"__k{i}").asc_nulls_last()
+                                     for i, k in enumerate(keys)]
+    named = [quoted(k.field).alias(f"__k{i}") for i, k in enumerate(keys)]
     if by_file:
         order += [F.col("__file").asc(), F.col("__row").asc()]
-        df = df.select("*", F.col(FILE).alias("__file"), F.col(ROW).alias("__row"))
-    path = f"{checkpoint_dir(df.sparkSession)}/deep-page-{uuid.uuid4().hex}"
-    df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()) \
-        .write.partitionBy("__range").parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
-    counts = ranged.groupBy("__range").count().orderBy("__range").collect()
-    chosen, offset = _stretch([(r["__range"], r["count"]) for r in counts], offset, limit)
-    return ranged.where(F.col("__range").isin(chosen)).orderBy(*order).offset(offset).limit(limit).select(*columns)
+        placed = df.select(*named, F.col(FILE).alias("__file"), F.col(ROW).alias("__row"))
+    else:
+        placed = df.select(*named, F.struct(*[quoted(c) for c in df.columns]).alias("__all"))
+    path = f"{checkpoint_dir(spark)}/deep-page-{uuid.uuid4().hex}"
+    try:
+        placed.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()) \
+            .write.partitionBy("__range").parquet(path)
+        ranged = spark.read.parquet(path)
+        counts = ranged.groupBy("__range").count().orderBy("__range").collect()
+        chosen, offset = _stretch([(r["__range"], r["count"]) for r in counts], offset, limit)
+        page = ranged.where(F.col("__range").isin(chosen)).orderBy(*order).offset(offset).limit(limit)
+        rows = page.select("__file", "__row").collect() if by_file else page.select("__all.*").collect()
+    finally:
+        fs, scratch = _fs(spark, path)
+        fs.delete(scratch, True)
+    if not by_file:
+        return spark.createDataFrame(rows, df.schema)
+    places = spark.createDataFrame([(r["__file"], r["__row"], i) for i, r in enumerate(rows)],
+                                   "__file string, __row long, __pos int")
+    found = df.where(file_keys().isin(sorted({file_key(r["__file"]) for r in rows})))
+    found = found.select("*", F.col(FILE).alias("__file"), F.col(ROW).alias("__row"))
+    return found.join(F.broadcast(places), ["__file", "__row"]).orderBy("__pos").limit(limit) \
+        .select(*[quoted(c) for c in df.columns])
 
 
 def with_position(page: DataFrame, offset: int) -> DataFrame:
@@ -216,21 +262,23 @@ def query_layer(layers, layer, *, allow_subqueries=False, **given) -> QueryResul
         layers.register_views(guarded.relations)
     df = apply_where(layers.read(layer), guarded)
     if form.return_count_only:
-        counted = count_matches(df).select(F.lit(layer).alias("layer"), "count")
+        counted = (count_matches(df) if guarded else layers.count_df(layer).withColumnRenamed("feature_count", "count")) \
+            .select(F.lit(layer).alias("layer"), "count")
         return QueryResult(layer, "count", counted)
 
     page = params.read(params.PAGE, given)
+    known = None if guarded else layers.file_rows(layer)
     fields, keys = columns.outputs(page.out_fields), columns.sorting(page.order_by)
     if form.f == "geojson" or form.return_geometry:
         if not columns.geometry:
             raise LayerQueryError(f"layer {layer!r} has no geometry column")
         from featurespark.operators.features import feature_page
 
-        rows = feature_page(df, columns.schema, fields, columns.geometry[0], keys, page.offset, page.count)
+        rows = feature_page(df, columns.schema, fields, columns.geometry[0], keys, page.offset, page.count, known)
         return QueryResult(layer, "geojson", rows, page.offset, page.count, fields)
     if not fields:
         raise LayerQueryError("out_fields selects no column")
-    rows = sorted_page(df, keys, page.offset, page.count).select(*json_columns(columns.schema, fields))
+    rows = sorted_page(df, keys, page.offset, page.count, known=known).select(*json_columns(columns.schema, fields))
     return QueryResult(layer, "json", rows, page.offset, page.count, fields)
 
 

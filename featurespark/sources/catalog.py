@@ -2,14 +2,14 @@
 
 A layer is one ``<name>.parquet`` entry (a file, or a directory written by
 Spark) directly under a root URI. Any Hadoop-FS URI works; listing is a
-metadata call, schema comes from Parquet footers, and the count of one layer is
-answered from footers by a V2 scan with aggregate push-down. Under a root that
-ingest publishes, the manifest says where each layer's current files are.
+metadata call, schema comes from Parquet footers, and counts are
+answered from footers by V2 scans with aggregate push-down, which emit a row a file. Under a root that
+ingest publishes, the manifest says where each layer's current files are, and its facts (schema, rows, extent)
+answer without reading any file.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from featurespark import params
 from featurespark.errors import LayerQueryError
 from featurespark.functions.types import type_name
 from featurespark.session import count_session, query_session
-from featurespark.sources.manifest import read_manifest
+from featurespark.sources.manifest import literal_path, read_manifest
 
 SUFFIX = ".parquet"
 
@@ -82,6 +82,25 @@ class Layers:
             return {n: (p, 0) for n, p in manifest["layers"].items()}
         return {n: (n + SUFFIX, at) for n, at in layer_entries(self.spark, self.root).items()}
 
+    def facts(self, layer: str) -> dict | None:
+        """Schema, rows, files and extent of a layer that ingest published; None for other layers."""
+        if not self.root or layer in self._derived:
+            return None
+        manifest = read_manifest(self.spark, self.root)
+        return manifest["facts"].get(layer) if manifest else None
+
+    def statistics_df(self, layer: str) -> DataFrame | None:
+        """The statistics table of a published layer, a row a file."""
+        facts = self.facts(self.validate(layer))
+        return self.spark.read.parquet(literal_path(f"{self.root}/{facts['statistics']}")) if facts else None
+
+    def file_rows(self, layer: str) -> dict[str, int] | None:
+        """Rows of each file of a published layer, by ``file_key`` (a number a file, as Spark's own file index holds)."""
+        from featurespark.operators.query import file_key
+
+        table = self.statistics_df(layer)
+        return None if table is None else {file_key(r["file"]): r["rows"] for r in table.select("file", "rows").collect()}
+
     def add(self, name: str, df: DataFrame) -> "Layers":
         """Register a derived layer (a DataFrame built in this session)."""
         params.read(params.LAYER, {"layer": name})
@@ -105,12 +124,18 @@ class Layers:
     def path(self, layer: str) -> str:
         return f"{self.root}/{self._entries()[layer][0]}"
 
+    def _readable(self, layer: str) -> str:
+        return literal_path(self.path(layer))
+
     def read(self, layer: str, session: SparkSession | None = None) -> DataFrame:
         """A2: scan a validated layer (lazy; prunes and pushes down)."""
         self.validate(layer)
         if layer in self._derived:
             return self._derived[layer]
-        return (session or self.spark).read.parquet(self.path(layer))
+        reader, facts = (session or self.spark).read, self.facts(layer)
+        if facts:
+            reader = reader.schema(T.StructType.fromJson(facts["schema"]))       # no footer is read for it
+        return reader.parquet(self._readable(layer))
 
     def schema(self, layer: str) -> T.StructType:
         if layer in self._derived:
@@ -141,35 +166,45 @@ class Layers:
         return self.spark.createDataFrame(rows, COLUMNS_SCHEMA)
 
     def count_df(self, layer: str) -> DataFrame:
-        """``count(*)`` of a layer, from Parquet footers when possible."""
-        self.validate(layer)
+        """``count(*)`` of a layer: from its facts, else from Parquet footers, a row a file."""
+        facts = self.facts(self.validate(layer))
+        if facts:
+            return self.spark.createDataFrame([(layer, facts["rows"])], "layer string, feature_count long")
         if layer in self._derived:
             df = self._derived[layer]
         else:
-            df = count_session(self.base).read.parquet(self.path(layer))
+            df = count_session(self.base).read.parquet(self._readable(layer))
         return df.agg(F.count(F.lit(1)).alias("feature_count")) \
                  .select(F.lit(layer).alias("layer"), "feature_count")
 
     def feature_counts(self, layers: list[str] | None = None) -> DataFrame:
-        """A6 for many layers: ``(layer, feature_count)``.
-
-        The files of all layers are one scan that asks for no column, so row counts come from
-        row-group metadata, grouped by the layer a file belongs to: one job, and nothing on the driver.
-        """
+        """A6 for many layers: ``(layer, feature_count)``; published ones from their facts, the others in one job."""
         names = [self.validate(n) for n in (layers or self.names())]
-        files = [n for n in names if n not in self._derived]
-        frames = [self.count_df(n) for n in names if n in self._derived]
-        if files:
-            # a file lies under <root>/<layer>.parquet; layer names need no escaping in paths
-            layer = F.regexp_extract("_metadata.file_path", "/" + re.escape(self.root.rsplit("/", 1)[-1])
-                                     + r"/(?:[^/]+/)*?([A-Za-z0-9_.\-]+?)\.parquet(?:/|$)", 1)
-            scan = self.spark.read.schema(T.StructType([])).parquet(*[self.path(n) for n in files])
-            counted = scan.groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("feature_count"))
-            every = self.spark.createDataFrame([(n,) for n in files], "layer string")
-            frames.append(every.join(counted, "layer", "left")
-                          .select("layer", F.coalesce("feature_count", F.lit(0)).alias("feature_count")))
+        known = {n: f["rows"] for n in names if (f := self.facts(n))}
+        frames = [self.count_df(n) for n in names if n not in known]
+        if known or not frames:
+            frames.append(self.spark.createDataFrame(list(known.items()), "layer string, feature_count long"))
         return reduce(DataFrame.unionByName, frames)
 
+    def extent(self, layer: str) -> DataFrame:
+        """The extent of a whole layer: from its facts, else from the stored extents or the geometries."""
+        from featurespark.operators.spatial import extent
+        from featurespark.sources.statistics import BOX
+
+        facts = self.facts(self.validate(layer))
+        if facts:
+            return self.spark.createDataFrame([tuple(facts["extent"] or [None] * 4)], ", ".join(f"{s} double" for s in BOX))
+        return extent(self.read(layer), self.geometry_names(layer)[0])
+
+    def layer_statistics(self, layers: list[str] | None = None) -> DataFrame:
+        """``(layer, files, rows, xmin, ymin, xmax, ymax)`` of published layers, summed from their tables."""
+        from featurespark.sources.statistics import total_statistics
+
+        names = [n for n in (layers or self.names()) if self.facts(self.validate(n))]
+        frames = [total_statistics(self.statistics_df(n)).select(F.lit(n).alias("layer"), "*") for n in names]
+        schema = "layer string, files long, rows long, xmin double, ymin double, xmax double, ymax double"
+        return reduce(DataFrame.unionByName, frames, self.spark.createDataFrame([], schema))
+
     def describe_df(self, layers: list[str] | None = None) -> DataFrame:
         """A6 for many layers: ``(layer, feature_count, n_columns, n_geometry)``; column facts from footers."""
         names = [self.validate(n) for n in (layers or self.names())]

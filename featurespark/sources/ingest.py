@@ -9,14 +9,23 @@ Upload tree (any Hadoop-FS URI)::
 Steps (A7-A15, K4): list uploads -> discover datasets (directories ending
 ``.gdb``, any case, any depth) -> candidate layer files -> decide which have
 geometry -> write every layer of the run below ``<out>/runs/<run>/`` (attributes +
-extent + WKB, CRS in the column metadata and in a sidecar file), with the
-EPSG:4326 export and the tile table if wanted -> publish -> delete the sources.
+extent + WKB, CRS in the column metadata and in a sidecar file), with its statistics, the
+EPSG:4326 export and the tile table if wanted, the registry, the summary and the upload ledger -> commit -> delete
+the sources that the ledger calls consumed.
 
-Publishing is the replacement of one small file: ``<out>/_manifest.json`` says which
-run's files are each layer's current ones, which upload markers are done and which
+A commit is the creation of the next version of the log (``manifest.py``), which says which
+run's files are each layer's current ones, which registry holds, which upload markers are done and which
 runs there were. Readers follow it, so they see all of a run or nothing of it; files
 of older runs stay until ``remove_unpublished``. A run that fails in any
-layer publishes nothing and deletes nothing. Layers of one name in two datasets are an
+layer commits nothing and deletes nothing. A run that finds another one's commit of the same uploads drops its own work and starts
+over with a new listing; runs over other uploads are merged. Whatever a lost driver leaves undone after its commit, the copy
+of the registry and the clean-up, the next run or batch does first.
+
+The ledger has a row for every uploaded file and version: the layer that consumed it, or why none did. Only consumed
+files are deleted, and only while they are the version that was listed: an unknown file, a layer without geometry
+and whatever was uploaded during the run stay.
+
+Layers of one name in two datasets are an
 error unless ``overwrite_duplicates`` is set (V6): then the last dataset by path
 wins, which is settled before anything is written.
 
@@ -43,7 +52,9 @@ from featurespark.errors import LayerQueryError
 from featurespark.functions import geometry as G
 from featurespark.functions.crs import to_4326
 from featurespark.functions.wkb import wkb_decode
-from featurespark.sources.manifest import _fs, read_manifest, read_text, replace_file
+from featurespark.sources.manifest import (EMPTY, _fs, commit, literal_path, read_manifest, read_text, replace_file,
+                                           trim_log)
+from featurespark.sources.statistics import STATISTICS, write_statistics
 
 # --- fixed values: reference pipeline defaults ---
 DATASET_SUFFIX = ".gdb"
@@ -53,6 +64,8 @@ DELETE_BATCH = 1000
 # ---------------------------------------------------
 
 LAYERS_AT_ONCE = 4       # layers whose jobs are submitted together
+KEPT_OF_RUNS = ("_summary", "_ledger", "_replaced")      # the log of a run whose layers are others' by now
+NEW_STARTS = 5           # of a run whose uploads other runs took meanwhile
 
 REGISTRY_SCHEMA = T.StructType([T.StructField("layers", T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()), T.StructField("label", T.StringType()),
@@ -78,10 +91,17 @@ def list_uploads(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` (recursive) as ``(path, length, modificationTime)``.
 
     The ``binaryFile`` source with only metadata columns selected lists files
-    without reading their bytes.
+    without reading their bytes. Folders are listed by tasks, one level after the other, not by the driver; hidden files (``_x``, ``.x``)
+    are not listed.
     """
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select("path", "length", "modificationTime").where(~F.col("path").endswith("/")))
+    where = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before = spark.conf.get(where)
+    spark.conf.set(where, "0")
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    finally:
+        spark.conf.set(where, before)
+    return found.select("path", "length", "modificationTime").where(~F.col("path").endswith("/"))
 
 
 # -- A8: datasets ------------------------------------------------------------------
@@ -97,36 +117,36 @@ def find_datasets(listing: DataFrame, suffix: str = DATASET_SUFFIX) -> DataFrame
                     F.regexp_replace(name, "(?i)" + re.escape(suffix) + "$", "").alias("dataset"))
 
 
-def layer_files(listing: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Files directly inside a dataset folder with a layer extension.
+def upload_files(listing: DataFrame, suffix: str = DATASET_SUFFIX) -> DataFrame:
+    """Every upload with the dataset and the entry that it belongs to.
 
-    ``(dataset, layer, path, format)``.
+    Adds ``dataset``, ``entry`` (what lies directly in the innermost dataset folder: the file itself, or the folder it
+    is in at whatever depth), ``layer`` and ``format`` to the listing; nulls outside datasets. ``format`` is null where
+    the extension is none of ``LAYER_EXTENSIONS``.
     """
-    def parent(c):
-        return F.regexp_extract(c, r"^(.*)/[^/]+$", 1)
-
-    def base(c):
-        return F.regexp_extract(c, r"([^/]+)$", 1)
-
-    # a layer is a file directly in the dataset folder, or a folder of part
-    # files written by a distributed writer (``<layer>.<ext>/part-*``)
-    direct = listing.select(F.col("path").alias("entry"))
-    nested = listing.select(parent(F.col("path")).alias("entry"))
-    entries = direct.unionByName(nested).distinct().select(
-        "entry", parent(F.col("entry")).alias("dataset_path"), base(F.col("entry")).alias("base"))
-    entries = entries.withColumn("format", F.lower(F.regexp_extract("base", r"\.([^.]+)$", 1))) \
-        .where(F.col("format").isin(*LAYER_EXTENSIONS))
-    return entries.join(datasets, "dataset_path").select(
-        "dataset", F.regexp_extract("base", r"^(.*)\.[^.]+$", 1).alias("layer"),
-        F.col("entry").alias("path"), "format")
+    segs = F.split(F.col("path"), "/")
+    depth = F.array_max(F.filter(F.sequence(F.lit(1), F.size(segs) - 1),
+                                 lambda i: F.lower(F.element_at(segs, i.cast("int"))).endswith(suffix.lower())))
+    f = listing.withColumns({"__segs": segs, "__depth": depth.cast("int")})
+    name, base = F.element_at("__segs", F.col("__depth")), F.element_at("__segs", F.col("__depth") + 1)
+    form = F.lower(F.regexp_extract(base, r"\.([^.]+)$", 1))
+    return f.withColumns({
+        "dataset": F.regexp_replace(name, "(?i)" + re.escape(suffix) + "$", ""),
+        "entry": F.when(F.col("__depth").isNotNull(), F.array_join(F.slice("__segs", F.lit(1), F.col("__depth") + 1), "/")),
+        "layer": F.when(form.isin(*LAYER_EXTENSIONS), F.regexp_extract(base, r"^(.*)\.[^.]+$", 1)),
+        "format": F.when(form.isin(*LAYER_EXTENSIONS), form)}).drop("__segs", "__depth")
+
+
+def layer_files(listing: DataFrame, suffix: str = DATASET_SUFFIX) -> DataFrame:
+    """Entries of dataset folders with a layer extension: ``(dataset, layer, path, format)``.
+
+    An entry is a file, or a folder of part files, partitioned or not, written by a distributed writer.
+    """
+    return upload_files(listing, suffix).where(F.col("format").isNotNull()) \
+        .select("dataset", "layer", F.col("entry").alias("path"), "format").distinct()
 
 
 # -- A9: spatial layers ---------------------------------------------------------------
-def literal_path(path: str) -> str:
-    """A path for Spark's readers, which take patterns: special characters stand for themselves."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
-
-
 def spatial_layers(spark: SparkSession, candidates: DataFrame) -> DataFrame:
     """``(dataset, layer, path, format, has_geometry)`` for every candidate.
 
@@ -285,6 +305,15 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
         "l.opacity", "l.color")
 
 
+def published_registry(spark: SparkSession, output: str) -> DataFrame:
+    """The registry of the published state; the copy beside the layers may be that of an older one."""
+    out = output.rstrip("/")
+    at = (read_manifest(spark, out) or EMPTY)["registry"]
+    if at is None:
+        return spark.createDataFrame([], "pos long, id string, label string, visibleByDefault boolean, opacity double, color string")
+    return read_registry(spark, f"{out}/{at}")
+
+
 def visible_layers(registry: DataFrame) -> DataFrame:
     """Layers shown at start, in drawing order."""
     return registry.where(F.col("visibleByDefault"))
@@ -298,41 +327,51 @@ def registry_check(registry: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 # -- K4: the job ----------------------------------------------------------------------------
-def delete_paths(spark: SparkSession, paths, at_once: int = 16) -> int:
-    """Delete exactly the listed source files, in batches of 1000, one call a file and several together.
+def delete_paths(spark: SparkSession, files, at_once: int = 16) -> list[str]:
+    """Delete the listed versions of source files, in batches of 1000, one call a file and several together.
 
-    ``paths`` may be any iterable; with ``DataFrame.toLocalIterator()`` the
-    listing streams one partition at a time, so the driver never holds the
-    whole listing. A file that is gone already counts as deleted; raises if any is left.
+    ``files`` may be any iterable of ``(path, length, modified)``; with ``DataFrame.toLocalIterator()`` the
+    ledger streams one partition at a time, so the driver never holds all of it. A file that is gone already counts as
+    deleted. One with another length or modification time was uploaded anew: it stays and is returned. Raises if any
+    listed version is left.
     """
-    def gone(p: str) -> bool:
-        fs, hp = _fs(spark, p)
+    def gone(f) -> bool | None:
+        path, length, modified = f
+        fs, hp = _fs(spark, path)
+        if not fs.exists(hp):
+            return True
+        st = fs.getFileStatus(hp)
+        if (st.getLen(), st.getModificationTime()) != (length, modified):
+            return None
         return fs.delete(hp, False) or not fs.exists(hp)
 
-    failed = n = 0
-    batch: list[str] = []
+    failed, newer = 0, []
+    batch: list[tuple] = []
     with ThreadPoolExecutor(at_once) as pool:
         def flush():
             nonlocal failed
-            failed += sum(not ok for ok in pool.map(gone, batch))
+            for f, ok in zip(batch, pool.map(gone, batch)):
+                failed += ok is False
+                if ok is None:
+                    newer.append(f[0])
             batch.clear()
 
-        for p in paths:
-            batch.append(p)
-            n += 1
+        for f in files:
+            batch.append(tuple(f))
             if len(batch) >= DELETE_BATCH:
                 flush()
         flush()
     if failed:
         raise RuntimeError(f"failed to delete {failed} source object(s)")
-    return n
+    return newer
 
 
 SUMMARY_SCHEMA = "dataset string, layer string, rows long, outputs array<string>, status string"
+LEDGER_SCHEMA = "path string, length long, modified long, dataset string, layer string, consumed boolean, reason string"
 
 
 def _convert(s: SparkSession, opts: IngestOptions, r, folder: str) -> tuple:
-    """Write one layer of a run below ``folder``; its files relative to the run and its number of rows."""
+    """Write one layer of a run below ``folder``; its files relative to the run, and its statistics."""
     df = read_layer(s, r["path"], r["format"])
     geom = geometry_column(df.schema)
     epsg = stated_epsg(s, df, geom, r["path"], r["format"]) or opts.source_epsg
@@ -340,6 +379,7 @@ def _convert(s: SparkSession, opts: IngestOptions, r, folder: str) -> tuple:
         raise LayerQueryError(f"{r['path']} states no CRS; give source_epsg")
     files = {"layers": f"{r['layer']}.parquet"}
     written = s.read.parquet(literal_path(write_layer(with_bbox(df, geom), r["layer"], epsg, folder, geom)))
+    facts = write_statistics(written, f"{folder}/{STATISTICS}/{r['layer']}")
     if opts.make_geojson:
         files["geojson"] = f"geojson/{r['layer']}"
         export_geojson(written, epsg, f"{folder}/{files['geojson']}", geom)
@@ -349,37 +389,56 @@ def _convert(s: SparkSession, opts: IngestOptions, r, folder: str) -> tuple:
         files["tiles"] = f"tiles/{r['layer']}"
         build_tiles(written, epsg, geom_col=geom, **opts.tile_args) \
             .write.mode("overwrite").partitionBy("z").parquet(f"{folder}/{files['tiles']}")
-    return files, written.count()
+    return files, facts
 
 
 def run_ingest(spark: SparkSession, opts: IngestOptions) -> DataFrame:
-    """K4: run the whole ingest; returns the per-layer summary DataFrame."""
-    from featurespark.session import query_session
+    """K4: run the whole ingest; returns the per-layer summary DataFrame.
 
-    s = query_session(spark)
-    listing = list_uploads(s, opts.uploads).cache()
-    try:
-        return _run(s, opts, listing)
-    finally:
-        listing.unpersist()
+    If it fails, or finds its uploads taken, after another run committed, it starts over with what is there then.
+    """
+    from featurespark.session import checkpoint_dir, query_session
+
+    s, out = query_session(spark), opts.output.rstrip("/")
+    for turn in range(NEW_STARTS):
+        finish_runs(s, opts)
+        base = (read_manifest(s, out) or EMPTY)["version"]
+        scratch = f"{checkpoint_dir(s)}/uploads-{uuid.uuid4().hex}"
+        try:
+            # written, as a listing looks again at every file when it is evaluated again: this one states what the run took
+            list_uploads(s, opts.uploads).write.parquet(scratch)
+            result = _run(s, opts, s.read.parquet(scratch), base)
+            break
+        except Exception:
+            if turn + 1 == NEW_STARTS or (read_manifest(s, out) or EMPTY)["version"] == base:
+                raise
+        finally:
+            fs, folder = _fs(s, scratch)
+            fs.delete(folder, True)
+    finish_runs(s, opts)     # S28: only after everything above succeeded
+    return result
 
 
-def _run(s: SparkSession, opts: IngestOptions, listing: DataFrame) -> DataFrame:
+def _run(s: SparkSession, opts: IngestOptions, listing: DataFrame, base: int) -> DataFrame:
     if listing.isEmpty():   # S29: nothing uploaded
         return s.createDataFrame([], SUMMARY_SCHEMA)
     out = opts.output.rstrip("/")
-    base = F.regexp_extract("path", r"([^/]+)$", 1)
-    markers = listing.where(base == CONFIG_NAME).orderBy("path").select(
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    markers = listing.where(name == CONFIG_NAME).orderBy("path").select(
         "path", F.unix_millis("modificationTime").alias("at")).collect()
-    candidates = layer_files(listing, find_datasets(listing, opts.dataset_suffix))
-    rows = spatial_layers(s, candidates).orderBy("path").collect()
+    files = upload_files(listing, opts.dataset_suffix)
+    rows = spatial_layers(s, layer_files(listing, opts.dataset_suffix)).orderBy("path").collect()
     kept = [r for r in rows if r["has_geometry"]]
     summary = [(r["dataset"], r["layer"], 0, [], "skipped: no geometry") for r in rows if not r["has_geometry"]]
+    unknown = files.where(F.col("entry").isNotNull() & F.col("format").isNull() & (name != CONFIG_NAME)) \
+        .select("dataset", F.regexp_extract("entry", r"([^/]+)$", 1)).distinct().orderBy("dataset").collect()
+    summary += [(d, e, 0, [], "skipped: unknown format") for d, e in unknown]
     winner = {r["layer"]: r for r in kept}               # the last by path, as a later one overwrites
     lost = [r for r in kept if winner[r["layer"]] is not r]
     if lost and not opts.overwrite_duplicates:
         raise LayerQueryError(f"layer names used by more than one dataset: {sorted({r['layer'] for r in lost})}")
-    summary += [(r["dataset"], r["layer"], 0, [], f"skipped: replaced by {winner[r['layer']]['dataset']}") for r in lost]
+    replaced = {r["path"]: f"replaced by {winner[r['layer']]['dataset']}" for r in lost}
+    summary += [(r["dataset"], r["layer"], 0, [], f"skipped: {replaced[r['path']]}") for r in lost]
     if not kept:   # S29: nothing to convert -> no publish, no delete
         return s.createDataFrame(summary, SUMMARY_SCHEMA)
 
@@ -391,29 +450,94 @@ def _run(s: SparkSession, opts: IngestOptions, listing: DataFrame) -> DataFrame:
     failures = [f"{r['dataset']}/{r['layer']}: {d}" for r, d in zip(chosen, done) if isinstance(d, Exception)]
     if failures:             # S28: nothing published, nothing deleted
         raise RuntimeError("ingest failed, nothing was published or deleted: " + "; ".join(failures))
-    manifest = read_manifest(s, out) or {"layers": {}, "geojson": {}, "tiles": {}, "runs": [], "markers": {}}
-    for r, (files, n) in zip(chosen, done):
-        for kind in ("layers", "geojson", "tiles"):      # what this run did not make is not left over from another
-            manifest[kind].pop(r["layer"], None)
-            if kind in files:
-                manifest[kind][r["layer"]] = f"runs/{run}/{files[kind]}"
-        summary.append((r["dataset"], r["layer"], int(n), [f"{out}/runs/{run}/{f}" for f in files.values()], "ok"))
+    summary += [(r["dataset"], r["layer"], int(facts["rows"]), [f"{folder}/{f}" for f in made.values()], "ok")
+                for r, (made, facts) in zip(chosen, done)]
     result = s.createDataFrame(summary, SUMMARY_SCHEMA)
     result.write.parquet(f"{folder}/_summary")           # kept with the run, before any source goes
-    config = None
+    taken = [(r["path"], True, replaced.get(r["path"], "converted")) for r in kept]
+    taken += [(r["path"], False, "no geometry") for r in rows if not r["has_geometry"]]
+    write_ledger(s, files, taken, [m["path"] for m in markers], f"{folder}/_ledger")
+    registry = None
     if markers:              # S30: the first file named exactly config.json
-        config = read_text(s, markers[0]["path"])
-        json.loads(config)   # refuse to publish a broken registry
-    manifest["runs"].append(run)
-    manifest["markers"].update({m["path"]: m["at"] for m in markers})
-    replace_file(s, f"{out}/_manifest.json", json.dumps(manifest, indent=1))       # published
-    if config is not None:
-        replace_file(s, f"{out}/{CONFIG_NAME}", config)
-    if opts.delete_sources:  # S28: only after everything above succeeded
-        delete_paths(s, (r["path"] for r in listing.select("path").toLocalIterator()))
+        text = read_text(s, markers[0]["path"])
+        json.loads(text)     # refuse to publish a broken registry
+        registry = f"runs/{run}/{CONFIG_NAME}"
+        replace_file(s, f"{out}/{registry}", text)
+
+    entries = [r["path"] for r in kept] + [m["path"] for m in markers]
+
+    def change(state: dict) -> dict:
+        for r, (made, facts) in zip(chosen, done):
+            for kind in ("layers", "geojson", "tiles"):      # what this run did not make is not left over from another
+                state[kind].pop(r["layer"], None)
+                if kind in made:
+                    state[kind][r["layer"]] = f"runs/{run}/{made[kind]}"
+            state["facts"][r["layer"]] = facts | {"statistics": f"runs/{run}/{STATISTICS}/{r['layer']}"}
+        state["registry"] = registry or state["registry"]
+        state["runs"].append(run)
+        state["uncleaned"].append([run, opts.delete_sources])
+        state["markers"].update({m["path"]: m["at"] for m in markers})
+        return state | {"commit": {"run": run, "entries": entries}}
+
+    # runs that took none of these uploads are no conflict
+    commit(s, out, change, base, lambda other: not set(other.get("entries", [])) & set(entries))
     return result
 
 
+def write_ledger(s: SparkSession, files: DataFrame, taken: list[tuple], markers: list[str], path: str) -> None:
+    """A row for every uploaded file: which layer consumed it, or why none did."""
+    known = s.createDataFrame(taken, "entry string, consumed boolean, reason string")
+    marker = F.col("path").isin(markers)
+    why = F.when(marker, "marker").when(F.col("entry").isNull(), "not in a dataset").otherwise(
+        F.coalesce("reason", F.lit("unknown format")))
+    ledger = files.join(F.broadcast(known), "entry", "left").select(
+        "path", "length", F.unix_millis("modificationTime").alias("modified"), "dataset", "layer",
+        (marker | F.coalesce("consumed", F.lit(False))).alias("consumed"), why.alias("reason"))
+    ledger.write.parquet(path)
+
+
+def upload_ledger(spark: SparkSession, output: str) -> DataFrame:
+    """The ledgers of all runs: ``LEDGER_SCHEMA`` with ``run``, and ``replaced``: of consumed files, whether a newer upload
+    was found at the clean-up, and left (null where a run has not been cleaned up)."""
+    out = output.rstrip("/")
+    manifest = read_manifest(spark, out) or EMPTY
+    open_runs = {r for r, _ in manifest["uncleaned"]}
+    ledger = spark.createDataFrame([], LEDGER_SCHEMA + ", run string, replaced boolean")
+    for run in manifest["runs"]:
+        one = spark.read.parquet(f"{out}/runs/{run}/_ledger").withColumn("run", F.lit(run))
+        if run in open_runs:
+            one = one.withColumn("replaced", F.lit(None).cast("boolean"))
+        else:
+            newer = spark.read.schema("path string").parquet(f"{out}/runs/{run}/_replaced").select("path", F.lit(True).alias("replaced"))
+            one = one.join(newer, "path", "left").withColumn("replaced", F.coalesce("replaced", F.lit(False)))
+        ledger = ledger.unionByName(one)
+    return ledger
+
+
+def finish_runs(s: SparkSession, opts: IngestOptions) -> None:
+    """What follows a commit, for every run that has not got it yet: the copy of the registry for map clients, the
+    clean-up by the ledger, and the note in the log that both are done. Each step may be repeated."""
+    out = opts.output.rstrip("/")
+    manifest = read_manifest(s, out)
+    if manifest is None or not manifest["uncleaned"]:
+        return
+    if manifest["registry"]:
+        replace_file(s, f"{out}/{CONFIG_NAME}", read_text(s, f"{out}/{manifest['registry']}"))
+    for run, delete in manifest["uncleaned"]:
+        newer = []
+        if delete:
+            ledger = s.read.parquet(f"{out}/runs/{run}/_ledger").where("consumed").select("path", "length", "modified")
+            newer = delete_paths(s, ledger.toLocalIterator())
+        s.createDataFrame([(p,) for p in newer], "path string").write.mode("overwrite").parquet(f"{out}/runs/{run}/_replaced")
+    finished = [r for r, _ in manifest["uncleaned"]]
+
+    def change(state: dict) -> dict:
+        return state | {"uncleaned": [u for u in state["uncleaned"] if u[0] not in finished], "commit": {"cleaned": finished}}
+
+    commit(s, out, change)
+    trim_log(s, out)
+
+
 def _attempt(s, opts, r, folder):
     try:
         return _convert(s, opts, r, folder)
@@ -433,7 +557,7 @@ def run_log(spark: SparkSession, output: str) -> DataFrame:
 
 def pending_markers(spark: SparkSession, opts: IngestOptions) -> list[tuple[str, int]]:
     """Markers whose upload (path and time) no published run has taken yet."""
-    done = (read_manifest(spark, opts.output.rstrip("/")) or {"markers": {}})["markers"]
+    done = (read_manifest(spark, opts.output.rstrip("/")) or EMPTY)["markers"]
     fs, root = _fs(spark, opts.uploads)
     if not fs.exists(root):
         return []
@@ -443,6 +567,11 @@ def pending_markers(spark: SparkSession, opts: IngestOptions) -> list[tuple[str,
     return [(r["path"], r["at"]) for r in found if done.get(r["path"]) != r["at"]]
 
 
+def unfinished_runs(spark: SparkSession, opts: IngestOptions) -> bool:
+    """Whether a committed run has not been cleaned up."""
+    return bool((read_manifest(spark, opts.output.rstrip("/")) or EMPTY)["uncleaned"])
+
+
 def remove_unpublished(spark: SparkSession, output: str) -> int:
     """Delete run folders that no layer, export or tile table of the manifest uses; the run log keeps its own."""
     out = output.rstrip("/")
@@ -451,10 +580,11 @@ def remove_unpublished(spark: SparkSession, output: str) -> int:
     if manifest is None or not fs.exists(root):
         return 0
     used = {p.split("/")[1] for kind in ("layers", "geojson", "tiles") for p in manifest[kind].values()}
+    used |= {manifest["registry"].split("/")[1]} if manifest["registry"] else set()
     n = 0
     for st in fs.listStatus(root):
         if st.getPath().getName() not in used | set(manifest["runs"][-1:]):
             for part in fs.listStatus(st.getPath()):
-                if part.getPath().getName() != "_summary":
+                if part.getPath().getName() not in KEPT_OF_RUNS:
                     n += bool(fs.delete(part.getPath(), True))
     return n

@@ -6,16 +6,18 @@ run has taken, so every upload of a marker starts a run, also at the same
 path. The batch job then takes everything under the prefix (the reference's triggered run
 receives no parameters, S31).
 
-What is done is recorded by the run itself: the manifest that publishes a run also
-names its markers and its summary, and sources are deleted after that. A query that is
-restarted, whenever it was lost, neither repeats a published run nor loses its summary.
+What is done is recorded by the run itself: the commit that publishes a run also
+names its markers, its registry and its summary, and sources are deleted after that. A query that is
+restarted, whenever it was lost, neither repeats a published run nor loses its summary, and finishes the clean-up.
+A marker that is uploaded while a run is under way has another modification time than the one the run
+took: it is not deleted, and starts the next run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featurespark.sources.ingest import IngestOptions, pending_markers, run_ingest
+from featurespark.sources.ingest import IngestOptions, finish_runs, pending_markers, run_ingest, unfinished_runs
 
 
 def _clock(spark: SparkSession) -> DataFrame:
@@ -35,6 +37,8 @@ def ingest_on_arrival(spark: SparkSession, opts: IngestOptions, checkpoint: str,
     otherwise the query looks every ``every``.
     """
     def job() -> None:
+        if unfinished_runs(spark, opts):
+            finish_runs(spark, opts)
         if pending_markers(spark, opts):
             run_ingest(spark, opts)
 

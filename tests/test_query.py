@@ -1,5 +1,6 @@
 """Layer queries: catalogue, paging, plans, distinct values, spatial join, tiles."""
 
+import os
 import time
 
 import pytest
@@ -99,6 +100,93 @@ def test_deep_pages(layers, monkeypatch):
     assert tied.df.count() == 10
 
 
+def twelve_files(layers, tmp_path):
+    """A layer of 12 files of which all but the first three hold no readable data."""
+    import glob
+
+    from featurespark import Layers
+    path = str(tmp_path / "twelve.parquet")
+    layers.read("orders").repartition(12).write.parquet(path)
+    own = Layers(layers.base, str(tmp_path))
+    files = sorted(glob.glob(f"{path}/part-*"))
+    parts = [[r[0] for r in layers.spark.read.parquet(f).select("o_orderkey").collect()] for f in files]
+    for f in files[3:]:
+        os.remove(f"{path}/.{os.path.basename(f)}.crc")
+        with open(f, "r+b") as h:
+            size = os.path.getsize(f)
+            h.write(b"\0" * (size - 20_000 if size > 40_000 else size // 2))
+            h.truncate(size - 4)
+    return own, parts
+
+
+def test_first_pages_read_the_first_files(layers, tmp_path):
+    from featurespark.operators import query
+
+    own, parts = twelve_files(layers, tmp_path)
+    df = own.spark.read.schema(layers.read("orders").schema).parquet(own.path("twelve"))
+    full = [k for p in parts for k in p]
+    for off, n in ((0, 5), (0, len(parts[0])), (3, 20), (len(parts[0]) - 2, 40), (len(parts[0]) + 1, len(parts[1]) - 1)):
+        assert [r[0] for r in query.file_page(df, off, n).select("o_orderkey").collect()] == full[off:off + n]
+    last = len(parts[0]) + len(parts[1]) + 1
+    known = {query.file_key(f): len(p) for f, p in zip(sorted(df.inputFiles()), parts)}
+    assert [r[0] for r in query.file_page(df, last, 9, known).select("o_orderkey").collect()] == full[last:last + 9]
+    odd = df.where("o_orderkey % 2 = 1")
+    page = query.file_page(odd, 0, 4)
+    assert [r[0] for r in page.select("o_orderkey").collect()] == [k for k in parts[0] if k % 2][:4]
+    leaves = page._jdf.queryExecution().executedPlan().collectLeaves()
+    page.collect()
+    assert [leaves.apply(i).metrics().get("numFiles").get().value() for i in range(leaves.size())] == [1]
+    with pytest.raises(Exception):          # further on, the damage shows
+        query.file_page(df, len(full) - 5, 5).collect()
+
+
+def test_deep_pages_write_places_only_and_leave_nothing(layers, tmp_path, monkeypatch):
+    import glob
+
+    from featurespark import Layers
+    from featurespark.operators import query
+    from featurespark.session import checkpoint_dir
+    from featurespark.sources import manifest
+
+    monkeypatch.setattr(query, "DEEP_OFFSET", 100)
+    wide = layers.read("orders").withColumn("filler", F.concat(*[F.sha2(F.concat(F.col("o_orderkey"), F.lit(i)), 256) for i in range(12)]))
+    wide.write.parquet(str(tmp_path / "wide.parquet"))
+    own, written = Layers(layers.base, str(tmp_path)), []
+    real = manifest._fs
+
+    def sized(s, p):
+        written.append((sum(os.path.getsize(f) for f in glob.glob(f"{p.removeprefix('file://')}/**/*.parquet", recursive=True)),
+                        s.read.parquet(p).columns))
+        return real(s, p)
+
+    monkeypatch.setattr(manifest, "_fs", lambda s, p: sized(s, p) if "deep-page" in p else real(s, p))
+    got = own.query("wide", order_by="o_totalprice DESC, o_orderkey", offset=500, count=20).df.collect()
+    want = wide.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(500).limit(20).select("o_orderkey", "filler").collect()
+    assert [(r["o_orderkey"], r["filler"]) for r in got] == [tuple(r) for r in want]
+    (size, columns), = written
+    stored = sum(os.path.getsize(f) for f in glob.glob(str(tmp_path / "wide.parquet/part-*")))
+    assert set(columns) == {"__k0", "__k1", "__file", "__row", "__range"} and size < stored / 10
+    folder = checkpoint_dir(own.spark).removeprefix("file://")
+    assert not glob.glob(f"{folder}/deep-page-*")
+    own.add("made", wide.select("o_orderkey", F.col("o_totalprice").alias("p")).groupBy("o_orderkey").agg(F.max("p").alias("p")))
+    made = own.query("made", order_by="p, o_orderkey", offset=300, count=7).df.collect()
+    assert [r["o_orderkey"] for r in made] == [r[0] for r in wide.orderBy("o_totalprice", "o_orderkey").offset(300).limit(7)
+                                               .select("o_orderkey").collect()]
+    assert not glob.glob(f"{folder}/deep-page-*")
+
+
+def test_counts_emit_a_row_a_file(layers, tmp_path):
+    from featurespark import Layers
+
+    for name in ("orders", "customer"):
+        layers.read(name).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    own = Layers(layers.base, str(tmp_path))
+    counted = own.feature_counts()
+    p = plan(counted)
+    assert p.count("PushedAggregation: [COUNT(*)]") == 2
+    assert {r[0]: r[1] for r in counted.collect()} == {n: layers.read(n).count() for n in ("orders", "customer")}
+
+
 def test_catalogue_follows_changes(layers, tmp_path):
     from featurespark import Layers
 
