@@ -876,7 +876,7 @@ _ORACLE = {
         "o_orderpriority FROM orders WHERE o_custkey < 100", "o_orderkey", 1000),
     "query_page_count": "SELECT count(*) AS count FROM (SELECT * FROM orders ORDER BY o_orderkey "
                         "LIMIT 1000 OFFSET 14900) t",
-    "query_page_first": _paged("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders "
+    "query_page_first": _paged(f"SELECT o_orderkey, {_iso('o_orderdate')} AS o_orderdate, o_totalprice FROM orders "
                                "WHERE o_orderstatus <> 'F'", "o_orderkey", 1000),
     "query_page_deep": _paged("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem",
                               "l_extendedprice DESC, l_orderkey, l_linenumber", 100, 50000),
