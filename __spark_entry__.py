@@ -19,6 +19,8 @@ from featurespark.operators.attributes import attribute_table
 from featurespark.operators.distinct import distinct_values, truncated_flag
 from featurespark.operators.query import count_matches
 
+from featurespark.sources.samples import CROWD_X, CROWD_Y
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 _layers_cache: dict[tuple[int, str], Layers] = {}
@@ -353,6 +355,13 @@ def q_spatial_join_sizes(spark, d):
     return SP.points_in_polygons(L.read("lattice"), L.read("nested"), ["site_id"], ["square_id"])
 
 
+def q_spatial_join_hot(spark, d):
+    """Most points fall into one cell of the join."""
+    G, FT, SP = _geo()
+    L = layers(spark, d)
+    return SP.points_in_polygons(L.read("crowd"), L.read("zones"), ["site_id"], ["zone_id"])
+
+
 def q_identify_point(spark, d):
     G, FT, SP = _geo()
     L = layers(spark, d)
@@ -470,6 +479,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "st_contains_point": q_st_contains_point,
     "spatial_join_boundary": q_spatial_join_boundary,
     "spatial_join_sizes": q_spatial_join_sizes,
+    "spatial_join_hot": q_spatial_join_hot,
     "identify_point": q_identify_point,
     "st_area": q_st_area,
     "st_length": q_st_length,
@@ -1146,6 +1156,9 @@ _NATION_LINE = "'{\"type\":\"Feature\",\"geometry\":null,\"properties\":' || to_
 _PARCEL_BYTES = f"(SELECT CAST(sum(strlen({_PARCEL_LINE}) + 1) AS BIGINT) FROM customer)"
 _NATION_BYTES = f"(SELECT CAST(sum(strlen({_NATION_LINE}) + 1) AS BIGINT) FROM nation)"
 
+_ORACLE["spatial_join_hot"] = (
+    f"SELECT event_id AS site_id, n_nationkey AS zone_id FROM (SELECT event_id, {CROWD_X} AS x, {CROWD_Y} AS y FROM events) e, nation "
+    f"WHERE x > {_ZX} AND y > {_ZY} AND (x - {_ZX}) + (y - {_ZY}) < 0.2e0")
 _ORACLE.update({
     "ingest_listing": f"SELECT 'parcels_ds.gdb/parcels.geojsonl' AS entry, {_PARCEL_BYTES} AS n_bytes UNION ALL "
                       f"SELECT 'parcels_ds.gdb/nations.geojsonl', {_NATION_BYTES} UNION ALL "

@@ -13,9 +13,12 @@ A point part holds one ring with one position, a line part one ring, a polygon
 part its rings (shell first). Multi geometries and collections list their
 members as parts (members of nested collections are flattened).
 
-The Arrow UDFs receive whole record batches; the per-row work is only header
-parsing, coordinates are copied as NumPy blocks, and the nested result is
-assembled from flat buffers and offsets (no per-row Python objects).
+The Arrow UDFs receive whole record batches. Decoding works on the batch's one buffer: the headers of
+all rows are read with NumPy at offsets computed for all of them together, member by member and ring by
+ring, which gives a table of rings (where it starts, how many positions, of how many ordinates, in which byte order);
+the coordinates are gathered from that, and the nested result is
+assembled from flat buffers and offsets. Rows with more members or rings than most, nested collections and what is
+left of a batch are walked one by one into the same table.
 """
 
 from __future__ import annotations
@@ -56,141 +59,299 @@ class WKBError(ValueError):
     pass
 
 
-class _Builder:
-    """Flat buffers + offsets for the nested decoded form."""
+FEW = 32          # with fewer rows left to walk together, each is walked by itself
+
+
+def _dims(zm):
+    return 2 + (zm & 1) + ((zm >> 1) & 1)
+
+
+class _Table:
+    """Parts and rings in the order they are found; rows of one batch may be interleaved."""
 
     def __init__(self):
-        self.coords: list[np.ndarray] = []
-        self.n_coords = 0
-        self.pos_off = [0]      # per position -> coords
-        self.ring_off = [0]     # per ring -> positions
-        self.part_off = [0]     # per part -> rings
-        self.part_types: list[int] = []
-        self.geom_off = [0]     # per geometry -> parts
-        self.gtypes: list[int] = []
-        self.zms: list[int] = []
-        self.valid: list[bool] = []
-
-    def add_ring(self, block: np.ndarray, dims: int):
-        n = block.size // dims
-        self.coords.append(block)
-        base = self.n_coords
-        self.pos_off.extend(range(base + dims, base + dims * n + 1, dims))
-        self.n_coords += block.size
-        self.ring_off.append(self.ring_off[-1] + n)
-
-    def end_part(self, ptype: int, n_rings: int):
-        self.part_types.append(ptype)
-        self.part_off.append(self.part_off[-1] + n_rings)
-
-    def end_geom(self, gtype, zm, valid=True):
-        self.gtypes.append(gtype)
-        self.zms.append(zm)
-        self.valid.append(valid)
-        self.geom_off.append(len(self.part_types))
-
-    def finish(self) -> pa.Array:
-        coords = pa.array(np.concatenate(self.coords) if self.coords else np.zeros(0),
-                          type=pa.float64())
-        pos = pa.ListArray.from_arrays(pa.array(self.pos_off, pa.int32()), coords)
-        rings = pa.ListArray.from_arrays(pa.array(self.ring_off, pa.int32()), pos)
-        part_rings = pa.ListArray.from_arrays(pa.array(self.part_off, pa.int32()), rings)
-        parts = pa.StructArray.from_arrays(
-            [pa.array(self.part_types, pa.int32()), part_rings], fields=list(_A_PART))
-        geom_parts = pa.ListArray.from_arrays(pa.array(self.geom_off, pa.int32()), parts)
-        mask = pa.array([not v for v in self.valid], pa.bool_())
-        return pa.StructArray.from_arrays(
-            [pa.array(self.gtypes, pa.int32()), pa.array(self.zms, pa.int32()), geom_parts],
-            fields=list(_A_GEOM), mask=mask)
-
-
-def _header(buf: memoryview, off: int):
-    order = buf[off]
-    if order not in (0, 1):
-        raise WKBError(f"bad byte order {order}")
-    end = "<" if order == 1 else ">"
-    (code,) = struct.unpack_from(end + "I", buf, off + 1)
-    off += 5
-    z = bool(code & EWKB_Z)
-    m = bool(code & EWKB_M)
-    if code & EWKB_SRID:
-        off += 4
-    code &= 0x0FFFFFFF
-    base = code % 1000
-    iso = code // 1000
-    if iso in (1, 3):
-        z = True
-    if iso in (2, 3):
-        m = True
-    if base not in TYPE_NAMES:
-        raise WKBError(f"unknown geometry type {code}")
-    return end, base, (1 if z else 0) + (2 if m else 0), off
-
-
-def _read_positions(buf, off, end, n, dims, b: _Builder):
-    nbytes = 8 * n * dims
-    block = np.frombuffer(buf, dtype=np.dtype(end + "f8"), count=n * dims, offset=off)
-    b.add_ring(block.astype(np.float64, copy=False), dims)
-    return off + nbytes
-
-
-def _read_single(buf, off, end, base, dims, b: _Builder) -> int:
-    """Read the body of a Point / LineString / Polygon as one part."""
+        self.rings: list[tuple] = []        # row, first byte, positions, ordinates, byte order
+        self.parts: list[tuple] = []        # row, type, rings
+
+    def columns(self, found: list[tuple], n: int) -> list[np.ndarray]:
+        cols = [np.concatenate([np.atleast_1d(np.asarray(f[k], np.int64)) for f in found]) if found else np.zeros(0, np.int64)
+                for k in range(n)]
+        order = np.argsort(cols[0], kind="stable")
+        return [c[order] for c in cols]
+
+
+def _check(order, base) -> None:
+    if not np.all((order == 0) | (order == 1)):
+        raise WKBError("bad byte order")
+    if not np.all((base >= 1) & (base <= 7)):
+        raise WKBError("unknown geometry type")
+
+
+class _Bytes:
+    """The values of a binary array as one buffer, read at many places together."""
+
+    def __init__(self, buf: np.ndarray):
+        self.buf = np.concatenate([buf, np.zeros(16, np.uint8)])
+
+    def ints(self, at, order, end):
+        """Unsigned 32-bit numbers at ``at``, each in its own byte order."""
+        if np.any(at + 4 > end):
+            raise WKBError("truncated geometry")
+        b = [self.buf[at + k].astype(np.int64) for k in range(4)]
+        little = b[0] | b[1] << 8 | b[2] << 16 | b[3] << 24
+        big = b[3] | b[2] << 8 | b[1] << 16 | b[0] << 24
+        return np.where(order == 1, little, big)
+
+    def headers(self, at, end):
+        """Byte order, type, dimension flag and first byte after the header."""
+        if np.any(at + 5 > end):
+            raise WKBError("truncated geometry")
+        order = self.buf[at].astype(np.int64)
+        code = self.ints(at + 1, order, end)
+        at = at + np.where(code & EWKB_SRID, 9, 5)
+        plain = code & 0x0FFFFFFF
+        base, iso = plain % 1000, plain // 1000
+        z = (code & EWKB_Z != 0) | (iso == 1) | (iso == 3)
+        m = (code & EWKB_M != 0) | (iso == 2) | (iso == 3)
+        _check(order, base)
+        return order, base, z.astype(np.int64) + 2 * m, at
+
+    def doubles(self, at, counts, order):
+        """``counts[i]`` doubles from byte ``at[i]`` on, for all ``i`` one after the other."""
+        total = int(counts.sum())
+        out = np.empty(total, np.float64)
+        goes = np.cumsum(counts) - counts
+        for shift in range(8):
+            for swap, kind in ((1, "<f8"), (0, ">f8")):
+                own = (at % 8 == shift) & (order == swap) & (counts > 0)
+                if not own.any():
+                    continue
+                size = (len(self.buf) - shift) // 8
+                view = np.frombuffer(self.buf, kind, size, shift)
+                n = counts[own]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(goes[own], n) + step] = view[np.repeat(at[own] // 8, n) + step]
+        return out
+
+
+def _walk_together(data: _Bytes, rows, at, end, table: _Table) -> np.ndarray:
+    """Read the rows member by member; returns those that are left to be walked one by one."""
+    order, base, _, after = data.headers(at, end)
+    many = base > 3
+    left = np.where(many, 0, 1)
+    at = at.copy()
+    if many.any():
+        left[many] = data.ints(after[many], order[many], end[many])
+        at[many] = after[many] + 4
+    alone = [rows[base == 7]]
+    go = (base != 7) & (left > 0)
+    rows, at, end, left = rows[go], at[go], end[go], left[go]
+    while len(rows):
+        if len(rows) < FEW:
+            alone.append(rows)
+            break
+        order, base, zm, at = data.headers(at, end)
+        odd = base > 3                                   # a member that has members
+        if odd.any():
+            alone.append(rows[odd])
+            rows, at, end, left, order, base, zm = [x[~odd] for x in (rows, at, end, left, order, base, zm)]
+        dims = _dims(zm)
+        n = np.ones(len(rows), np.int64)
+        counted = base > 1
+        n[counted] = data.ints(at[counted], order[counted], end[counted])
+        at = at + np.where(counted, 4, 0)
+        k = np.flatnonzero(base <= 2)
+        if len(k):
+            size = 8 * n[k] * dims[k]
+            if np.any(at[k] + size > end[k]):
+                raise WKBError("truncated geometry")
+            full = n[k] > 0
+            p = np.flatnonzero(base[k] == 1)
+            if len(p):                                   # a point without any coordinate is empty
+                values = data.doubles(at[k][p], dims[k][p], order[k][p])
+                full[p] = ~np.logical_and.reduceat(np.isnan(values), np.cumsum(dims[k][p]) - dims[k][p])
+            f = k[full]
+            table.rings.append((rows[f], at[f], n[f], dims[f], order[f]))
+            table.parts.append((rows[f], base[f], np.ones(len(f))))
+            at[k] += size
+        k = np.flatnonzero((base == 3) & (n > 0))
+        table.parts.append((rows[k], base[k], n[k]))
+        ring = 0
+        while len(k):
+            if len(k) < FEW and ring:                    # a few rows with very many rings
+                for j in k:
+                    for _ in range(ring, int(n[j])):
+                        at[j] = _ring(data, rows[j], at[j], end[j], dims[j], order[j], table)
+                break
+            size = data.ints(at[k], order[k], end[k])
+            at[k] += 4
+            if np.any(at[k] + 8 * size * dims[k] > end[k]):
+                raise WKBError("truncated geometry")
+            table.rings.append((rows[k], at[k], size, dims[k], order[k]))
+            at[k] += 8 * size * dims[k]
+            ring += 1
+            k = k[n[k] > ring]
+        left = left - 1
+        go = left > 0
+        rows, at, end, left = rows[go], at[go], end[go], left[go]
+    return np.concatenate(alone)
+
+
+def _ring(data: _Bytes, row, at, end, dims, order, table: _Table) -> int:
+    (n,) = struct.unpack_from("<I" if order == 1 else ">I", data.buf, at)
+    if at + 4 + 8 * n * dims > end:
+        raise WKBError("truncated geometry")
+    table.rings.append((row, at + 4, n, dims, order))
+    return at + 4 + 8 * n * dims
+
+
+def _walk_one(data: _Bytes, row: int, at: int, end: int, table: _Table) -> int:
+    """Read the geometry at ``at``, with all its members; returns the first byte after it."""
+    if at + 9 > end:
+        raise WKBError("truncated geometry")
+    order = int(data.buf[at])
+    kind = "<I" if order == 1 else ">I"
+    (code,) = struct.unpack_from(kind, data.buf, at + 1)
+    at += 9 if code & EWKB_SRID else 5
+    iso, base = divmod(code & 0x0FFFFFFF, 1000)
+    _check(order, base)
+    dims = 2 + bool(code & EWKB_Z or iso in (1, 3)) + bool(code & EWKB_M or iso in (2, 3))
     if base == 1:
-        block = np.frombuffer(buf, dtype=np.dtype(end + "f8"), count=dims, offset=off)
-        if np.all(np.isnan(block)):        # POINT EMPTY
-            return off + 8 * dims, False
-        b.add_ring(block.astype(np.float64, copy=False), dims)
-        b.end_part(1, 1)
-        return off + 8 * dims, True
+        after = at + 8 * dims
+        if after > end:
+            raise WKBError("truncated geometry")
+        if not np.isnan(np.frombuffer(data.buf, "<f8" if order == 1 else ">f8", dims, at)).all():
+            table.rings.append((row, at, 1, dims, order))
+            table.parts.append((row, 1, 1))
+        return after
+    if at + 4 > end:
+        raise WKBError("truncated geometry")
+    (n,) = struct.unpack_from(kind, data.buf, at)
     if base == 2:
-        (n,) = struct.unpack_from(end + "I", buf, off)
-        if n == 0:                          # LINESTRING EMPTY
-            return off + 4, False
-        off = _read_positions(buf, off + 4, end, n, dims, b)
-        b.end_part(2, 1)
-        return off, True
-    (nr,) = struct.unpack_from(end + "I", buf, off)
-    off += 4
-    if nr == 0:                             # POLYGON EMPTY
-        return off, False
-    for _ in range(nr):
-        (n,) = struct.unpack_from(end + "I", buf, off)
-        off = _read_positions(buf, off + 4, end, n, dims, b)
-    b.end_part(3, nr)
-    return off, True
-
-
-def _read_geometry(buf, off, b: _Builder):
-    end, base, zm, off = _header(buf, off)
-    dims = 2 + (1 if zm & 1 else 0) + (1 if zm & 2 else 0)
-    if base <= 3:
-        off, _ = _read_single(buf, off, end, base, dims, b)
-        return off, base, zm
-    (n,) = struct.unpack_from(end + "I", buf, off)
-    off += 4
+        if n:
+            table.parts.append((row, 2, 1))
+            return _ring(data, row, at, end, dims, order, table)
+        return at + 4
+    at += 4
+    if base == 3:
+        if n:
+            table.parts.append((row, 3, n))
+        for _ in range(n):
+            at = _ring(data, row, at, end, dims, order, table)
+        return at
     for _ in range(n):
-        off, _, _ = _read_geometry(buf, off, b)
-    return off, base, zm
+        at = _walk_one(data, row, at, end, table)
+    return at
+
+
+class Flat:
+    """A batch of decoded geometries as flat arrays: coordinates, rings, parts, rows."""
+
+    def __init__(self, arr: pa.Array):
+        own = arr.cast(pa.large_binary())
+        n = len(own)
+        self.valid = ~own.is_null().to_numpy(zero_copy_only=False)
+        _, offsets, data = own.buffers()
+        ends = np.frombuffer(offsets, np.int64)[own.offset:own.offset + n + 1] if n else np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        bytes_ = _Bytes(raw[ends[0]:ends[-1]])
+        start, end = ends[:-1] - ends[0], ends[1:] - ends[0]
+        rows = np.flatnonzero(self.valid)
+        self.gtype, self.zm = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        table = _Table()
+        if len(rows):
+            _, self.gtype[rows], self.zm[rows], _ = bytes_.headers(start[rows], end[rows])
+            alone = _walk_together(bytes_, rows, start[rows], end[rows], table)
+            if len(alone):                                # what was found of them so far is found again
+                for found in (table.rings, table.parts):
+                    for i, f in enumerate(found):
+                        keep = ~np.isin(f[0], alone)
+                        found[i] = tuple(np.atleast_1d(c)[np.atleast_1d(keep)] for c in f)
+                for r in np.sort(alone).tolist():
+                    _walk_one(bytes_, r, int(start[r]), int(end[r]), table)
+        self.part_row, self.part_type, self.part_rings = table.columns(table.parts, 3)
+        self.ring_row, at, self.ring_n, self.ring_dims, order = table.columns(table.rings, 5)
+        self.coords = bytes_.doubles(at, self.ring_n * self.ring_dims, order)
+
+    def to_arrow(self) -> pa.Array:
+        def offsets(counts):
+            return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+
+        n = len(self.valid)
+        positions = pa.ListArray.from_arrays(offsets(np.repeat(self.ring_dims, self.ring_n)), pa.array(self.coords))
+        rings = pa.ListArray.from_arrays(offsets(self.ring_n), positions)
+        parts = pa.StructArray.from_arrays([pa.array(self.part_type.astype(np.int32)), pa.ListArray.from_arrays(
+            offsets(self.part_rings), rings)], fields=list(_A_PART))
+        own = pa.ListArray.from_arrays(offsets(np.bincount(self.part_row, minlength=n)), parts)
+        return pa.StructArray.from_arrays([pa.array(self.gtype.astype(np.int32)), pa.array(self.zm.astype(np.int32)), own],
+                                          fields=list(_A_GEOM), mask=pa.array(~self.valid))
 
 
 def decode_array(arr: pa.Array) -> pa.Array:
-    b = _Builder()
-    for v in arr.to_pylist():
-        if v is None:
-            b.end_geom(None, None, valid=False)
-            continue
-        buf = memoryview(v)
-        _, gtype, zm = _read_geometry(buf, 0, b)
-        b.end_geom(gtype, zm)
-    return b.finish()
+    return Flat(arr).to_arrow()
+
+
+# -- edges of polygons, and points against them -----------------------------------------
+EDGE = 5          # doubles of an edge: from x, y to x, y, and the number of its part
+
+
+def edge_array(arr: pa.Array) -> pa.Array:
+    """The edges of each geometry's polygon parts, packed as doubles (rings of fewer than four positions have no inside)."""
+    flat = Flat(arr)
+    parts = np.arange(len(flat.part_row))
+    first = np.searchsorted(flat.part_row, np.arange(len(flat.valid)))
+    part = np.repeat(parts, flat.part_rings)
+    own = (flat.part_type[part] == 3) & (flat.ring_n >= 4)
+    at = (np.cumsum(flat.ring_n * flat.ring_dims) - flat.ring_n * flat.ring_dims)[own]
+    n, dims, part, row = (flat.ring_n - 1)[own], flat.ring_dims[own], part[own], flat.ring_row[own]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    a = np.repeat(at, n) + step * np.repeat(dims, n)
+    b = a + np.repeat(dims, n)
+    edges = np.stack([flat.coords[a], flat.coords[a + 1], flat.coords[b], flat.coords[b + 1],
+                      np.repeat(part - first[row], n).astype(np.float64)], axis=1)
+    size = np.bincount(np.repeat(row, n), minlength=len(flat.valid)) * EDGE * 8
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    mask = pa.array(flat.valid).buffers()[1] if len(flat.valid) else None
+    packed = pa.Array.from_buffers(pa.large_binary(), len(flat.valid), [mask, pa.py_buffer(ends), pa.py_buffer(edges.tobytes())])
+    return packed.cast(pa.binary())
+
+
+def inside_array(xs: pa.Array, ys: pa.Array, packed: pa.Array, edges_at_once: int = 1 << 20) -> pa.Array:
+    """Whether each point is strictly inside a part: within its rings by the even-odd rule, and on none of them.
+
+    The comparisons are those of ``geometry.contains_point``; a null on either side is outside.
+    """
+    n = len(packed)
+    inside = np.zeros(n, bool)
+    if not n:
+        return pa.array(inside)
+    x, y = (v.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for v in (xs, ys))
+    own = packed.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = own.buffers()
+    ends = np.frombuffer(offsets, np.int64)[own.offset:own.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + edges_at_once * EDGE * 8, side="right")) - 1)
+        edges = np.frombuffer(raw[ends[lo]:ends[hi]].tobytes(), "<f8").reshape(-1, EDGE)
+        row = np.repeat(np.arange(lo, hi), np.diff(ends[lo:hi + 1]) // (EDGE * 8))
+        if len(row):
+            ax, ay, bx, by, part = edges.T
+            px, py = x[row], y[row]
+            on = ((bx - ax) * (py - ay) == (by - ay) * (px - ax)) & (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx)) \
+                & (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))
+            rise = np.where(by != ay, by - ay, 1.0)
+            hit = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / rise + ax)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(new)
+            good = (np.add.reduceat(hit.astype(np.int64), at) % 2 == 1) & ~np.logical_or.reduceat(on, at)
+            inside[row[at][good]] = True
+        lo = hi
+    return pa.array(inside)
 
 
 # -- encoding -------------------------------------------------------------------
-def _dims(zm: int) -> int:
-    return 2 + (1 if zm & 1 else 0) + (1 if zm & 2 else 0)
-
-
 def _code(base: int, zm: int) -> int:
     return base + (1000 if zm == 1 else 2000 if zm == 2 else 3000 if zm == 3 else 0)
 
@@ -246,6 +407,19 @@ wkb_decode_udf = _arrow_udf(decode_array, GEOM)
 wkb_encode_udf = _arrow_udf(encode_array, T.BinaryType())
 
 
+polygon_edges_udf = _arrow_udf(edge_array, T.BinaryType())
+point_inside_udf = _arrow_udf(lambda x, y, edges: inside_array(x, y, edges), T.BooleanType())
+
+
+def polygon_edges(c: Column) -> Column:
+    """WKB bytes -> packed edges, prepared once for many ``point_inside``."""
+    return polygon_edges_udf(c)
+
+
+def point_inside(x: Column, y: Column, edges: Column) -> Column:
+    return point_inside_udf(x, y, edges)
+
+
 def wkb_decode(c: Column | str) -> Column:
     """H7: WKB bytes -> decoded geometry struct (NULL stays NULL)."""
     return wkb_decode_udf(F.col(c) if isinstance(c, str) else c)
@@ -261,11 +435,10 @@ def parse_one(v: bytes):
     """WKB -> ``(gtype, zm, [(ptype, [ring (n, d) ndarray ...]) ...])``; None for NULL."""
     if v is None:
         return None
-    b = _Builder()
-    _, gtype, zm = _read_geometry(memoryview(v), 0, b)
-    dims = _dims(zm)
-    coords = np.concatenate(b.coords) if b.coords else np.zeros(0)
-    rings = [coords[b.pos_off[b.ring_off[i]]:b.pos_off[b.ring_off[i + 1]]].reshape(-1, dims)
-             for i in range(len(b.ring_off) - 1)]
-    parts = [(b.part_types[k], rings[b.part_off[k]:b.part_off[k + 1]]) for k in range(len(b.part_types))]
-    return gtype, zm, parts
+    data, table = _Bytes(np.frombuffer(v, np.uint8)), _Table()
+    at = np.zeros(1, np.int64)
+    _, gtype, zm, _ = data.headers(at, at + len(v))
+    _walk_one(data, 0, 0, len(v), table)
+    rings = iter([np.frombuffer(data.buf, "<f8" if order == 1 else ">f8", n * dims, start).astype(np.float64).reshape(-1, dims)
+                  for _, start, n, dims, order in table.rings])
+    return int(gtype[0]), int(zm[0]), [(int(t), [next(rings) for _ in range(n)]) for _, t, n in table.parts]

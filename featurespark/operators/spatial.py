@@ -11,21 +11,23 @@ A multi-level grid turns the spatial predicate into an equi-join:
   point emits one cell key for each of those;
 * ``(level, cx, cy)`` is an ordinary equi-join key, so Spark shuffles both
   sides by it and AQE's skew-join splits hot cells;
-* candidates are refined by the extent test and then the exact even-odd test
-  on the decoded rings. A (point, polygon) pair can meet in one cell only,
-  so no de-duplication is needed.
-
-Polygons are decoded once each, before they are dealt into cells, not once a candidate.
+* the join is of ids, coordinates and extents; candidates are pairs that pass the extent test. A (point, polygon) pair can meet
+  in one cell only, so no de-duplication is needed;
+* the geometry of a stored layer is fetched for candidates only, by the feature's file and row; it is
+  read once and goes through one shuffle in one copy. Polygons that are no file scan have no such place: their edges go along;
+* the exact even-odd test runs on packed edges, which are prepared once a polygon, a batch of candidates at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurespark.functions import geometry as G
+from featurespark.functions.wkb import point_inside, polygon_edges
 from featurespark.operators.features import DECODED, with_decoded
+from featurespark.operators.query import FILE, ROW, has_file_order
 
 _BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -93,6 +95,14 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level))
 
 
+PLACE = ("__file", "__row")
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds ``PLACE``, the file and row of each feature."""
+    return df.select("*", F.col(FILE).alias(PLACE[0]), F.col(ROW).alias(PLACE[1]))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[str],
                        polygon_cols: list[str], point_geom: str = "geometry",
                        polygon_geom: str = "geometry") -> DataFrame:
@@ -101,11 +111,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[
     Returns ``point_cols + polygon_cols`` (names must not clash). Building the frame runs one
     aggregate over the polygons' extents, whose result is the list of levels.
     """
+    if PLACE[0] not in polygons.columns and has_file_order(polygons):
+        polygons = with_place(polygons)
+    placed = PLACE[0] in polygons.columns
     polys = bbox_of(polygons, polygon_geom).withColumn("__lvl", _level(F.col("__bbox"))).where("__lvl is not null")
     levels = sorted(polys.agg(F.collect_set("__lvl")).first()[0])
     out = [F.col(f"`{c}`") for c in point_cols + polygon_cols]
-    poly = with_decoded(polys, polygon_geom, "__poly").select(
-        *[F.col(f"`{c}`") for c in polygon_cols], "__poly", "__lvl", F.col("__bbox").alias("__bb"),
+    edges = polygon_edges(F.col(f"`{polygon_geom}`")).alias("__edges")
+    shape = list(PLACE) if placed else ["__edges"]
+    poly = (polys if placed else polys.select("*", edges)).select(
+        *[F.col(f"`{c}`") for c in polygon_cols], *shape, "__lvl", F.col("__bbox").alias("__bb"),
         F.explode(F.sequence(_cell(F.col("__bbox.xmin"), F.col("__lvl")),
                              _cell(F.col("__bbox.xmax"), F.col("__lvl")))).alias("__cx"))
     poly = poly.select("*", F.explode(F.sequence(_cell(F.col("__bb.ymin"), F.col("__lvl")),
@@ -119,10 +134,13 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[
                                               F.explode(at).alias("__lvl"))
     pts = pts.select("*", _cell(F.col("__x"), F.col("__lvl")).alias("__cx"),
                      _cell(F.col("__y"), F.col("__lvl")).alias("__cy"))
-    inside = (F.col("__x") > F.col("__bb.xmin")) & (F.col("__x") < F.col("__bb.xmax")) & \
-             (F.col("__y") > F.col("__bb.ymin")) & (F.col("__y") < F.col("__bb.ymax")) & \
-             G.contains_point(F.col("__poly"), F.col("__x"), F.col("__y"))
-    return pts.join(poly, ["__lvl", "__cx", "__cy"], "inner").where(inside).select(*out)
+    in_box = (F.col("__x") > F.col("__bb.xmin")) & (F.col("__x") < F.col("__bb.xmax")) & \
+             (F.col("__y") > F.col("__bb.ymin")) & (F.col("__y") < F.col("__bb.ymax"))
+    candidates = pts.join(poly, ["__lvl", "__cx", "__cy"], "inner").where(in_box)
+    if placed:
+        candidates = candidates.drop("__bb").join(polygons.select(*PLACE, edges), list(PLACE))
+    inside = candidates.withColumn("__in", point_inside(F.col("__x"), F.col("__y"), F.col("__edges")))
+    return inside.where("__in").select(*out)
 
 
 def identify(points: DataFrame, layers: list[tuple[str, DataFrame, str]], point_cols: list[str],
@@ -131,14 +149,18 @@ def identify(points: DataFrame, layers: list[tuple[str, DataFrame, str]], point_
 
     ``layers`` is ``[(layer_name, frame, id_column)]`` in registry (drawing)
     order; the last drawn layer is on top, as on the map. All layers go through one
-    join, so the points are read and dealt once.
+    join, so the points are read and dealt once; the topmost hit (ties: smallest id) is a mergeable minimum,
+    taken in each task before its shuffle.
     """
     every = None
+    placed = all(has_file_order(frame) for _, frame, _ in layers)
     for order, (name, frame, id_col) in enumerate(layers):
+        frame = with_place(frame) if placed else frame
         one = bbox_of(frame, polygon_geom, "bbox").select(
-            F.lit(name).alias("layer"), F.lit(order).alias("__order"),
+            F.lit(name).alias("layer"), F.lit(order).alias("__order"), *(PLACE if placed else ()),
             F.col(f"`{id_col}`").cast("string").alias("feature_id"), "bbox", F.col(f"`{polygon_geom}`").alias("geometry"))
         every = one if every is None else every.unionByName(one)
     hits = points_in_polygons(points, every, point_cols, ["layer", "__order", "feature_id"], point_geom=point_geom)
-    w = Window.partitionBy(*point_cols).orderBy(F.col("__order").desc(), F.col("feature_id"))
-    return hits.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__order")
+    top = F.min(F.struct((-F.col("__order")).alias("below"), "feature_id", "layer")).alias("__top")
+    return hits.groupBy(*[F.col(f"`{c}`") for c in point_cols]).agg(top) \
+        .select(*[F.col(f"`{c}`") for c in point_cols], "__top.layer", "__top.feature_id")

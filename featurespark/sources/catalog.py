@@ -10,6 +10,7 @@ answer without reading any file.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from featurespark.session import count_session, query_session
 from featurespark.sources.manifest import literal_path, read_manifest
 
 SUFFIX = ".parquet"
+FOOTERS_AT_ONCE = 8      # layers whose footers are asked for their schema together
 
 COLUMNS_SCHEMA = T.StructType([
     T.StructField("layer", T.StringType(), False),
@@ -73,21 +75,21 @@ class Layers:
         return cls(spark, root)
 
     # -- catalogue -------------------------------------------------------
-    def _entries(self) -> dict[str, tuple[str, int]]:
-        """Path below the root and change stamp of every stored layer."""
+    def _state(self) -> tuple[dict[str, tuple[str, int]], dict[str, dict]]:
+        """Path below the root and change stamp of every stored layer, and the facts of those that ingest published."""
         if not self.root:
-            return {}
+            return {}, {}
         manifest = read_manifest(self.spark, self.root)
         if manifest is not None:          # a run's files never change
-            return {n: (p, 0) for n, p in manifest["layers"].items()}
-        return {n: (n + SUFFIX, at) for n, at in layer_entries(self.spark, self.root).items()}
+            return {n: (p, 0) for n, p in manifest["layers"].items()}, manifest["facts"]
+        return {n: (n + SUFFIX, at) for n, at in layer_entries(self.spark, self.root).items()}, {}
+
+    def _entries(self) -> dict[str, tuple[str, int]]:
+        return self._state()[0]
 
     def facts(self, layer: str) -> dict | None:
         """Schema, rows, files and extent of a layer that ingest published; None for other layers."""
-        if not self.root or layer in self._derived:
-            return None
-        manifest = read_manifest(self.spark, self.root)
-        return manifest["facts"].get(layer) if manifest else None
+        return None if layer in self._derived else self._state()[1].get(layer)
 
     def statistics_df(self, layer: str) -> DataFrame | None:
         """The statistics table of a published layer, a row a file."""
@@ -115,9 +117,9 @@ class Layers:
         rows = [(n,) for n in self.names()]
         return self.spark.createDataFrame(rows, "layer string").orderBy("layer")
 
-    def validate(self, layer) -> str:
+    def validate(self, layer, entries: dict | None = None) -> str:
         params.read(params.LAYER, {"layer": layer})
-        if layer not in self._derived and layer not in self._entries():
+        if layer not in self._derived and layer not in (self._entries() if entries is None else entries):
             raise LayerQueryError(f"unknown layer: {layer!r}")
         return layer
 
@@ -179,12 +181,28 @@ class Layers:
 
     def feature_counts(self, layers: list[str] | None = None) -> DataFrame:
         """A6 for many layers: ``(layer, feature_count)``; published ones from their facts, the others in one job."""
-        names = [self.validate(n) for n in (layers or self.names())]
-        known = {n: f["rows"] for n in names if (f := self.facts(n))}
-        frames = [self.count_df(n) for n in names if n not in known]
-        if known or not frames:
-            frames.append(self.spark.createDataFrame(list(known.items()), "layer string, feature_count long"))
-        return reduce(DataFrame.unionByName, frames)
+        facts, frames = self._described(layers)
+        return self._counts(facts, frames)
+
+    def _described(self, layers: list[str] | None) -> tuple[dict[str, dict], dict[str, DataFrame]]:
+        """The facts of published layers, and the frames of the others; the root is listed once."""
+        entries, published = self._state()
+        names = [self.validate(n, entries) for n in (layers or sorted({*entries, *self._derived}))]
+        facts = {n: published[n] for n in names if n in published and n not in self._derived}
+        stored = [n for n in names if n not in facts and n not in self._derived]
+        counting = count_session(self.base)
+        with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+            read = list(pool.map(lambda n: counting.read.parquet(literal_path(f"{self.root}/{entries[n][0]}")), stored))
+        frames = {n: self._derived[n] for n in names if n in self._derived} | dict(zip(stored, read))
+        return facts, {n: frames[n] for n in names if n in frames}
+
+    def _counts(self, facts: dict[str, dict], frames: dict[str, DataFrame]) -> DataFrame:
+        known = [(n, f["rows"]) for n, f in facts.items()]
+        counted = [df.agg(F.count(F.lit(1)).alias("feature_count")).select(F.lit(n).alias("layer"), "feature_count")
+                   for n, df in frames.items()]
+        if known or not counted:
+            counted.append(self.spark.createDataFrame(known, "layer string, feature_count long"))
+        return reduce(DataFrame.unionByName, counted)
 
     def extent(self, layer: str) -> DataFrame:
         """The extent of a whole layer: from its facts, else from the stored extents or the geometries."""
@@ -206,12 +224,14 @@ class Layers:
         return reduce(DataFrame.unionByName, frames, self.spark.createDataFrame([], schema))
 
     def describe_df(self, layers: list[str] | None = None) -> DataFrame:
-        """A6 for many layers: ``(layer, feature_count, n_columns, n_geometry)``; column facts from footers."""
-        names = [self.validate(n) for n in (layers or self.names())]
-        known = [params.Columns(self.schema(n)) for n in names]
-        facts = self.spark.createDataFrame([(n, len(k.every), len(k.geometry)) for n, k in zip(names, known)],
-                                           "layer string, n_columns long, n_geometry long")
-        return self.feature_counts(names).join(facts, "layer")
+        """A6 for many layers: ``(layer, feature_count, n_columns, n_geometry)``; column facts from footers or the manifest."""
+        facts, frames = self._described(layers)
+        schemas = {n: T.StructType.fromJson(f["schema"]) for n, f in facts.items()} | {n: df.schema for n, df in frames.items()}
+        known = {n: params.Columns(schema) for n, schema in schemas.items()}
+        columns, geometry = (F.create_map(*[F.lit(v) for n, k in known.items() for v in (n, len(part(k)))])
+                             if known else F.create_map().cast("map<string,int>") for part in (lambda k: k.every, lambda k: k.geometry))
+        return self._counts(facts, frames).select("layer", "feature_count", columns[F.col("layer")].cast("long").alias("n_columns"),
+                                                  geometry[F.col("layer")].cast("long").alias("n_geometry"))
 
     def describe(self, layer) -> dict:
         """``{layer, feature_count, columns}``; the count reads footers only."""

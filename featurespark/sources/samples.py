@@ -149,6 +149,16 @@ def lattice(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("site_id"), wkb_encode(G.make_point(x, y)).alias("geometry"))
 
 
+CROWD_X = "CASE WHEN event_id % 10 = 0 THEN 144.0003e0 + (event_id % 1000) / 1000e0 ELSE 144.0503e0 + (event_id % 97) * 0.001e0 END"
+CROWD_Y = "CASE WHEN event_id % 10 = 0 THEN -38.4996e0 + (event_id % 999) / 1000e0 ELSE -38.4496e0 + (event_id % 89) * 0.001e0 END"
+
+
+def crowd(events: DataFrame) -> DataFrame:
+    """Points of which nine in ten lie in a tenth of a degree, the others along a diagonal."""
+    return events.select(F.col("event_id").alias("site_id"),
+                         wkb_encode(G.make_point(F.expr(CROWD_X), F.expr(CROWD_Y))).alias("geometry"))
+
+
 def with_samples(layers):
     """Register the derived layers on a ``Layers`` catalogue built over driver tables."""
     names = set(layers.names())
@@ -157,6 +167,7 @@ def with_samples(layers):
     if "events" in names:
         layers.add("sites", sites(layers.read("events")))
         layers.add("lattice", lattice(layers.read("events")))
+        layers.add("crowd", crowd(layers.read("events")))
     if "nation" in names:
         layers.add("zones", zones(layers.read("nation")))
         layers.add("steps", steps(layers.read("nation")))

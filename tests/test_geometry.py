@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from featurespark.functions import geometry as G
 from featurespark.functions import crs, relate
-from featurespark.functions.wkb import GEOM, decode_array, encode_array, parse_one
+from featurespark.functions.wkb import GEOM, WKBError, decode_array, encode_array, parse_one
 
 SQUARE = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]
 HOLE = [[1.0, 1.0], [1.0, 2.0], [2.0, 2.0], [2.0, 1.0], [1.0, 1.0]]
@@ -65,6 +65,119 @@ def test_random_polygons_roundtrip():
     assert decode_array(encode_array(arr)).to_pylist() == gs
 
 
+def random_wkb(rnd, depth=0, base=None):
+    """WKB of any type, nesting, byte order, dimension and header form, with what it decodes to: parts of (type, rings)."""
+    end = rnd.choice("<>")
+    base = base or rnd.choice([1, 2, 3, 3, 4, 5, 6, 7] if depth < 2 else [1, 2, 3])
+    zm = rnd.choice([0, 0, 0, 1, 2, 3])
+    dims = 2 + (zm & 1) + (zm >> 1)
+    code, srid = base + 1000 * zm, b""
+    if rnd.random() < 0.3:
+        code = base | (0x80000000 if zm & 1 else 0) | (0x40000000 if zm & 2 else 0)
+        if rnd.random() < 0.5:
+            code, srid = code | 0x20000000, struct.pack(end + "I", 4326)
+    out = struct.pack(end + "BI", int(end == "<"), code) + srid
+
+    def positions(n):
+        ring = [[rnd.uniform(-9, 9) for _ in range(dims)] for _ in range(n)]
+        return struct.pack(end + f"{n * dims}d", *[v for p in ring for v in p]), ring
+
+    parts = []
+    if base == 1:
+        body, ring = positions(1)
+        if rnd.random() < 0.1:
+            body = struct.pack(end + f"{dims}d", *[math.nan] * dims)
+        else:
+            parts = [(1, [ring])]
+        return out + body, base, zm, parts
+    n = rnd.choice([0, 2, 9] if base == 2 else [0, 1, 1, 2, 40] if base == 3 else [0, 1, 3, 40] if depth == 0 else [0, 1, 2])
+    out += struct.pack(end + "I", n)
+    if base == 2:
+        body, ring = positions(n)
+        return out + body, base, zm, [(2, [ring])] if n else []
+    if base == 3:
+        rings = []
+        for _ in range(n):
+            k = rnd.choice([0, 4, 5, 7])
+            body, ring = positions(k)
+            out += struct.pack(end + "I", k) + body
+            rings.append(ring)
+        return out, base, zm, [(3, rings)] if n else []
+    for _ in range(n):
+        body, _, _, more = random_wkb(rnd, depth + 1, None if base == 7 or rnd.random() < 0.02 else base - 3)
+        out += body
+        parts += more
+    return out, base, zm, parts
+
+
+def test_batches_decode_like_single_values():
+    rnd = random.Random(11)
+    for size in (1, 7, 400, 400):
+        rows = [None if rnd.random() < 0.1 else random_wkb(rnd) for _ in range(size)]
+        want = [r and geom(r[1], r[3], r[2]) for r in rows]
+        arr = pa.concat_arrays([pa.array([b"not wkb"]), pa.array([r and r[0] for r in rows], pa.binary())]).slice(1)
+        got = decode_array(arr)
+        got.validate(full=True)
+        assert got.to_pylist() == want
+        for r in rows[:40]:
+            if r:
+                gtype, zm, parts = parse_one(r[0])
+                assert (gtype, zm, [(t, [x.tolist() for x in rs]) for t, rs in parts]) == (r[1], r[2], r[3])
+                for cut in (3, len(r[0]) - 1):
+                    for many in (1, 50):
+                        with pytest.raises(WKBError):
+                            decode_array(pa.array([r[0][:cut]] * many, pa.binary()))
+    assert decode_array(pa.array([], pa.binary())).to_pylist() == []
+    with pytest.raises(WKBError, match="byte order"):
+        decode_array(pa.array([b"\x02" + struct.pack("<I", 1) + bytes(16)]))
+    with pytest.raises(WKBError, match="type"):
+        decode_array(pa.array([struct.pack("<BI", 1, 17) + bytes(16)] * 40))
+
+
+def test_packed_edges_agree_with_the_native_test(spark):
+    from featurespark.functions.stsql import _from_wkt
+    from featurespark.functions.wkb import edge_array, inside_array, wkb_decode
+
+    texts = [BOX, U, HOLED, TWO, "POLYGON((0 0, 6 0, 6 6, 0 0))", "POLYGON((1 0, 5 2, 3 7, 0 3, 1 0))", "POINT(1 1)", "POLYGON EMPTY",
+             "GEOMETRYCOLLECTION(POINT(1 1), POLYGON((0 0, 4 0, 4 4, 0 4, 0 0)), LINESTRING(0 0, 5 5))", None]
+    wkbs = [t and _from_wkt(t) for t in texts]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(wkbs)], "i int, w binary").withColumn("g", wkb_decode("w"))
+    pts = spark.createDataFrame([(x / 2, y / 2) for x in range(-1, 20) for y in range(-1, 20)], "x double, y double")
+    rows = df.crossJoin(pts).select("i", "x", "y", G.contains_point("g", F.col("x"), F.col("y")).alias("inside")).collect()
+    edges = edge_array(pa.array(wkbs, pa.binary())).to_pylist()
+    xs, ys = pa.array([r["x"] for r in rows]), pa.array([r["y"] for r in rows])
+    packed = pa.array([edges[r["i"]] for r in rows], pa.binary())
+    for at_once in (1 << 20, 7, 1):
+        got = inside_array(xs, ys, packed, at_once).to_pylist()
+        assert got == [bool(r["inside"]) for r in rows]
+    assert inside_array(pa.array([None, 1.0], pa.float64()), pa.array([1.0, None], pa.float64()), packed[:2]).to_pylist() == [False, False]
+    assert inside_array(xs[:0], ys[:0], packed[:0]).to_pylist() == []
+
+
+def test_stored_and_derived_layers_join_alike(layers, tmp_path):
+    from featurespark import Layers
+    from featurespark.operators import spatial as SP
+
+    for n in ("sites", "parcels", "zones", "nested", "lattice"):
+        layers.read(n).repartition(3).write.parquet(str(tmp_path / f"{n}.parquet"))
+    own = Layers(layers.base, str(tmp_path))
+    for a, b, ids in (("sites", "parcels", ["site_id", "parcel_id"]), ("sites", "zones", ["site_id", "zone_id"]),
+                      ("lattice", "nested", ["site_id", "square_id"])):
+        derived = SP.points_in_polygons(layers.read(a), layers.read(b), ids[:1], ids[1:])
+        stored = SP.points_in_polygons(own.read(a), own.read(b), ids[:1], ids[1:])
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, derived.collect())) != []
+    # geometry is read in one scan, whose rows are not dealt into cells
+    join = SP.points_in_polygons(own.read("sites"), own.read("parcels"), ["site_id"], ["parcel_id"])
+    lines = join._jdf.queryExecution().executedPlan().toString().splitlines()
+    reading = [i for i, line in enumerate(lines) if "FileScan" in line and "geometry" in line]
+    assert len(reading) == 1 and "edge_array" in "".join(lines[reading[0] - 3:reading[0]])
+    which = [("zones", "zone_id"), ("parcels", "parcel_id")]
+    one = SP.identify(layers.read("sites"), [(n, layers.read(n), i) for n, i in which], ["site_id"])
+    two = SP.identify(own.read("sites"), [(n, own.read(n), i) for n, i in which], ["site_id"])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) != []
+    assert "Window" not in two._jdf.queryExecution().executedPlan().toString()
+
+
 def _frame(spark, gs):
     from featurespark.functions.wkb import wkb_decode, wkb_encode
     df = spark.createDataFrame([(i, g) for i, g in enumerate(gs)], f"id int, g {GEOM.simpleString()}")
