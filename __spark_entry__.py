@@ -769,6 +769,13 @@ def q_tile_thin(spark, d):
     return thin_tiles(t, "parcel_id", cap=3)
 
 
+def q_tile_refine(spark, d):
+    """Below zoom 9, only tiles that hold more than 12 parcels are divided."""
+    from featurespark.operators.tiles import refine_tiles
+
+    return refine_tiles(_parcel_boxes(spark, d), ["parcel_id"], 9, 12, _scratch(spark, "refine"))
+
+
 def q_tile_pyramid(spark, d):
     """The whole pyramid: zooms 8 to wherever no tile holds more than 40 parcels."""
     from featurespark.operators.tiles import build_tiles
@@ -810,6 +817,7 @@ _QUERIES.update({
     "ingest_crs_layer": q_ingest_crs_layer,
     "ingest_geometry_names": q_ingest_geometry_names,
     "tile_pyramid": q_tile_pyramid,
+    "tile_refine": q_tile_refine,
     "tile_assign": q_tile_assign,
     "tile_density": q_tile_density,
     "tile_zoom_guess": q_tile_zoom_guess,
@@ -1124,6 +1132,16 @@ _PYRAMID_SQL = (
     "parcel_id) AS k FROM d) SELECT r.z, r.x, r.y, r.parcel_id, c_name AS name FROM r, top, customer "
     "WHERE parcel_id = c_custkey AND (r.z = top.z OR r.z < top.z AND k <= 40)")
 
+# a tile is there if its parent holds too many: counts do not grow downwards, so all above it hold too many as well
+_REFINE_SQL = (
+    f"WITH t AS ({_tiles_sql(9, 24)}), c AS (SELECT z, x, y, count(*) AS n FROM t GROUP BY z, x, y), "
+    "here AS (SELECT c.* FROM c LEFT JOIN c p ON p.z = c.z - 1 AND p.x = c.x // 2 AND p.y = c.y // 2 WHERE c.z = 9 OR p.n > 12), "
+    "u AS (SELECT t.*, n, n > 12 AND t.z < 24 AS crowded FROM t JOIN here USING (z, x, y)), "
+    f"s AS (SELECT *, {_tx('cx', 'z + 4')} AS sx, {_ty('cy', 'z + 4')} AS sy FROM u), "
+    "d AS (SELECT *, count(*) OVER (PARTITION BY crowded, z, sx, sy) AS dens FROM s), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY dens, parcel_id) AS k FROM d) "
+    "SELECT parcel_id, z, x, y FROM r WHERE NOT crowded OR k <= 12")
+
 _SPATIAL_SQL = {
     "where_st_contains": f"nation WHERE 144.253e0 > {_ZX} AND -38.421e0 > {_ZY} AND (144.253e0 - {_ZX}) + "
                          f"(-38.421e0 - {_ZY}) < 0.2e0",
@@ -1194,6 +1212,7 @@ _ORACLE.update({
     "ingest_geometry_names": f"SELECT c_custkey AS parcel_id, c_mktsegment AS bbox, {_PX} AS xmin, "
                              f"{_PY} + {_PS} AS ymax, 93 AS n_bytes FROM customer",
     "tile_pyramid": _PYRAMID_SQL,
+    "tile_refine": _REFINE_SQL,
     "stream_ingest": "SELECT 'parcels_ds' AS dataset, 'parcels' AS layer, count(*) AS rows, 'ok' AS status, "
                      "CAST(0 AS BIGINT) AS epoch FROM customer UNION ALL SELECT 'sites_ds', 'sites', count(*), 'ok', 0 "
                      "FROM events UNION ALL SELECT 'parcels_ds', 'nations', 0, 'skipped: no geometry', 0",

@@ -18,14 +18,18 @@ Web-Mercator tile arithmetic in native functions, for zoom ``z`` and
   in the densest sub-cells (zoom + 4 grid) first, ties by feature id. Each
   sub-cell keeps its ``cap`` best first, and every task does so before the
   shuffle, so a tile that holds the whole layer is ranked from few rows.
-* ``build_tiles``: zoom guess, extension of the top zoom while a tile there
-  still drops features, assignment, thinning. At the top zoom nothing is dropped,
-  so every feature is in the pyramid.
+* ``refine_tiles``: from a zoom on, a quadtree: only tiles that hold more than ``cap`` features are
+  divided, and only the features in them go on. A tile with fewer is complete and
+  has no children; whatever lies in a few crowded tiles, the others stay as they are.
+* ``build_tiles``: zoom guess, extension while a tile still drops features, either of
+  those tiles alone (``refine``) or of the whole zoom, assignment, thinning. Every feature is somewhere in the
+  pyramid in a tile that drops nothing.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,14 +147,59 @@ def _top_zoom(bb: DataFrame, id_col: str, zmax: int, cap: int) -> int:
     return zmax
 
 
+def refine_tiles(bb: DataFrame, id_cols: list[str], z: int, cap: int, folder: str, bbox_col: str = "__bb") -> DataFrame:
+    """``(id..., z, x, y)`` of the quadtree below zoom ``z``.
+
+    At every level the tiles of the frontier with more than ``cap`` features are thinned and divided (at ``LAST_ZOOM``
+    kept whole); the rest of the frontier is complete. A feature goes on only into those of the four children that its extent touches,
+    so a row becomes four at most, however large the feature. Each level is written below ``folder``,
+    so lost tasks repeat one level and nothing is decoded twice.
+    """
+    spark = bb.sparkSession
+    ids = [F.col(f"`{c}`") for c in id_cols]
+    b = F.col(bbox_col)
+    centre = [((b["xmin"] + b["xmax"]) / 2).alias("cx"), ((b["ymin"] + b["ymax"]) / 2).alias("cy")]
+    whole = bb.select(F.struct(*ids, bbox_col).alias("__one"), bbox_col)
+    frontier = assign_tiles(whole, ["__one"], z, z, bbox_col).select("__one.*", "z", "x", "y")
+    levels = []
+    while True:
+        path = f"{folder}/z{z}"
+        frontier.write.mode("overwrite").parquet(path)
+        frontier = spark.read.parquet(path)
+        full = tile_density(frontier).where(F.col("n") > cap).drop("n")
+        if z >= LAST_ZOOM or full.isEmpty():
+            levels.append(frontier.select(*ids, "z", "x", "y"))
+            break
+        crowded = frontier.join(full, ["z", "x", "y"])
+        levels.append(frontier.join(full, ["z", "x", "y"], "left_anti").select(*ids, "z", "x", "y"))
+        one = F.struct(*ids).alias("__one")
+        thinned = thin_tiles(crowded.select(one, "z", "x", "y", *centre), "__one", cap)
+        levels.append(thinned.select("__one.*", "z", "x", "y"))
+        z += 1
+        nx, ny = F.col("x") * 2, F.col("y") * 2
+        low = [tile_x(b["xmin"], F.lit(z)), tile_y(b["ymax"], F.lit(z))]
+        high = [tile_x(b["xmax"], F.lit(z)), tile_y(b["ymin"], F.lit(z))]
+        child = F.filter(F.array(*[F.struct((nx + i).alias("x"), (ny + j).alias("y")) for i in (0, 1) for j in (0, 1)]),
+                         lambda c: c["x"].between(low[0], high[0]) & c["y"].between(low[1], high[1]))
+        frontier = crowded.select(*ids, bbox_col, F.lit(z).alias("z"), F.explode(child).alias("__c")) \
+            .select(*ids, "z", "__c.x", "__c.y", bbox_col)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def build_tiles(df: DataFrame, epsg: int, id_col: str | None = None, zmin: int = 0,
                 zmax: int | None = None, cap: int = DEFAULT_CAP, extend: bool = True,
-                geom_col: str = "geometry") -> DataFrame:
+                geom_col: str = "geometry", refine: bool = False, folder: str | None = None) -> DataFrame:
     """``(z, x, y, feature, geometry)`` tile table of a layer.
 
     ``feature`` is the feature's JSON properties; ``geometry`` its GeoJSON in
     EPSG:4326. Features are told apart by ``id_col`` or else by their place in the layer's
-    files. With ``extend`` the top zoom holds every feature; without, it is thinned as well.
+    files. With ``extend`` the top zoom holds every feature; without, it is thinned as well. With ``refine`` only the
+    tiles of the top zoom that drop features are extended. Extents are decoded once, into ``folder``, where
+    the levels of ``refine`` are written too; the caller removes it when the frame has been used (default: a folder of its own in the
+    checkpoint folder).
     """
     from featurespark.functions.jsonfmt import json_object
     from featurespark.operators.query import FILE, ROW, has_file_order
@@ -162,19 +211,24 @@ def build_tiles(df: DataFrame, epsg: int, id_col: str | None = None, zmin: int =
             raise LayerQueryError("tiles of a derived layer need an id column")
         df = df.withColumn("__fid", F.struct(F.col(FILE).alias("file"), F.col(ROW).alias("row")))
         id_col = "__fid"
-    bb = with_bbox_4326(df, epsg, geom_col)
+    from featurespark.session import checkpoint_dir
+
+    folder = folder or f"{checkpoint_dir(df.sparkSession)}/tiles-{uuid.uuid4().hex}"
+    with_bbox_4326(df, epsg, geom_col).select(F.col(f"`{id_col}`"), "__bb").write.mode("overwrite").parquet(f"{folder}/extents")
+    bb = df.sparkSession.read.parquet(f"{folder}/extents")
     if zmax is None:
         zmax = guess_max_zoom(bb, cap, zmin=zmin).first()["zoom"]
     zmax = max(zmax, zmin)
-    if extend:
+    if extend and not refine:
         zmax = _top_zoom(bb, id_col, zmax, cap)
     thinned = zmax - 1 if extend else zmax
     kept = thin_tiles(assign_tiles(bb, [id_col], zmin, thinned), id_col, cap).select(id_col, "z", "x", "y") \
         if thinned >= zmin else None
     if extend:
-        top = assign_tiles(bb, [id_col], zmax, zmax).select(id_col, "z", "x", "y")
+        top = refine_tiles(bb, [id_col], zmax, cap, folder) if refine else \
+            assign_tiles(bb, [id_col], zmax, zmax).select(id_col, "z", "x", "y")
         kept = top if kept is None else kept.unionByName(top)
-    dec = bb.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
+    dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
     feats = dec.select(F.col(f"`{id_col}`"), json_object(df.schema, attrs).alias("feature"),
                        G.geojson(to_4326(F.col("__g"), epsg)).alias("geometry"))
     return kept.join(feats, id_col).select("z", "x", "y", "feature", "geometry")

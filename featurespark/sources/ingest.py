@@ -387,8 +387,11 @@ def _convert(s: SparkSession, opts: IngestOptions, r, folder: str) -> tuple:
         from featurespark.operators.tiles import build_tiles
 
         files["tiles"] = f"tiles/{r['layer']}"
-        build_tiles(written, epsg, geom_col=geom, **opts.tile_args) \
+        work = f"{folder}/_tiles/{r['layer']}"
+        build_tiles(written, epsg, geom_col=geom, folder=work, **{"refine": True, **opts.tile_args}) \
             .write.mode("overwrite").partitionBy("z").parquet(f"{folder}/{files['tiles']}")
+        fs, done = _fs(s, work)
+        fs.delete(done, True)
     return files, facts
 
 

@@ -274,6 +274,83 @@ def test_stacked_features_all_appear(layers):
     assert t.where("z = 24").select("feature").distinct().count() == 30
 
 
+def brute_refine(boxes, z, cap, tiles, last):
+    def span(box, z):
+        lo, hi = tiles(box[0], box[3], z), tiles(box[2], box[1], z)
+        return {(x, y) for x in range(lo[0], hi[0] + 1) for y in range(lo[1], hi[1] + 1)}
+
+    held = {}
+    for i, box in boxes.items():
+        for t in span(box, z):
+            held.setdefault(t, set()).add(i)
+    complete, crowded = set(), {}
+    while held:
+        complete |= {(z, *t, i) for t, own in held.items() if len(own) <= cap or z == last for i in own}
+        full = {t: own for t, own in held.items() if len(own) > cap and z < last}
+        crowded |= {(z, *t): own for t, own in full.items()}
+        z, held = z + 1, {}
+        for (x, y), own in full.items():
+            for i in own:
+                for t in span(boxes[i], z) if len(span(boxes[i], z)) < 50 else [(2 * x + a, 2 * y + b) for a in (0, 1) for b in (0, 1)]:
+                    if t[0] // 2 == x and t[1] // 2 == y and t in span(boxes[i], z):
+                        held.setdefault(t, set()).add(i)
+    return complete, crowded
+
+
+def test_refinement_matches_brute_force(spark, tmp_path):
+    import math
+    import random
+
+    from featurespark.operators import tiles
+
+    def at(lon, lat, z):
+        n = 2 ** z
+        clamp = lambda v: min(max(v, 0), n - 1)
+        return clamp(math.floor((lon + 180) / 360 * n)), clamp(math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n))
+
+    rng = random.Random(4)
+    boxes = {}
+    for i in range(300):
+        x, y, w = rng.gauss(145, 0.2), rng.gauss(-38, 0.2), rng.choice([0, 0, 0.001, 0.05])
+        boxes[i] = (x, y, x + w, y + w)
+    rows = [(i, b) for i, b in boxes.items()]
+    df = spark.createDataFrame(rows, "id int, __bb struct<xmin:double,ymin:double,xmax:double,ymax:double>").repartition(3)
+    for cap, z in ((6, 5), (40, 8), (500, 3)):
+        complete, crowded = brute_refine(boxes, z, cap, at, tiles.LAST_ZOOM)
+        got = [(r["z"], r["x"], r["y"], r["id"]) for r in tiles.refine_tiles(df, ["id"], z, cap, f"{tmp_path}/{cap}").collect()]
+        assert len(got) == len(set(got)) and complete <= set(got)
+        more = {}
+        for z_, x, y, i in set(got) - complete:
+            more.setdefault((z_, x, y), set()).add(i)
+        assert set(more) == set(crowded) and all(own <= crowded[t] and len(own) == cap for t, own in more.items())
+        assert {i for *_, i in complete} == set(boxes)
+    assert tiles.refine_tiles(df.limit(0), ["id"], 3, 5, f"{tmp_path}/none").count() == 0
+
+
+def test_a_crowd_does_not_divide_large_features(spark, tmp_path):
+    from featurespark.operators import tiles
+
+    rows = [(i, (144.5, -37.5, 144.5, -37.5)) for i in range(60)] + [(100, (141.0, -39.0, 150.0, -34.0))]
+    df = spark.createDataFrame(rows, "id int, __bb struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    got = tiles.refine_tiles(df, ["id"], 5, 50, str(tmp_path)).collect()
+    assert max(r["z"] for r in got) == tiles.LAST_ZOOM and {r["id"] for r in got if r["z"] == tiles.LAST_ZOOM} >= set(range(60))
+    assert 0 < sum(r["id"] == 100 for r in got) <= 4 * (tiles.LAST_ZOOM - 5 + 1)
+
+
+def test_refined_pyramid_of_a_stored_layer(layers, tmp_path):
+    from featurespark import Layers
+    from featurespark.operators import tiles
+
+    layers.read("parcels").write.parquet(str(tmp_path / "parcels.parquet"))
+    t = tiles.build_tiles(Layers(layers.base, str(tmp_path)).read("parcels"), 7844, zmin=6, zmax=8, cap=5, refine=True,
+                          folder=str(tmp_path / "work"))
+    ids = F.get_json_object("feature", "$.parcel_id")
+    assert t.select(ids).distinct().count() == layers.read("parcels").count()
+    assert t.where("z < 24").groupBy("z", "x", "y").count().agg(F.max("count")).first()[0] <= 5
+    whole = tiles.build_tiles(layers.read("parcels"), 7844, id_col="parcel_id", zmin=6, zmax=8, cap=5)
+    assert t.count() < whole.count()
+
+
 def test_thinning_reduces_before_the_shuffle(layers):
     from featurespark.operators import tiles
     boxes = layers.read("parcels").select("parcel_id", F.col("bbox").alias("__bb"))
