@@ -682,6 +682,15 @@ def q_ingest_crs_layer(spark, d):
     return frames[0].unionByName(frames[1])
 
 
+def q_scan_clustered(spark, d):
+    """A box of a layer that ingest has clustered."""
+    from featurespark.sources.samples import write_crs_tree
+
+    out = _ingest_once(spark, d, "clustered", write_crs_tree, cluster_bytes=0)
+    return Layers(spark, out).filter("degrees", "ST_Intersects(geometry, ST_MakeEnvelope(144.2, -38.4, 144.3, -38.3))") \
+        .select("site_id", "bbox.xmin", "bbox.ymin")
+
+
 def q_ingest_geometry_names(spark, d):
     from featurespark.sources.samples import write_names_tree
 
@@ -815,6 +824,7 @@ _QUERIES.update({
     "reproject_tm": q_reproject_tm,
     "reproject_lambert": q_reproject_lambert,
     "ingest_crs_layer": q_ingest_crs_layer,
+    "scan_clustered": q_scan_clustered,
     "ingest_geometry_names": q_ingest_geometry_names,
     "tile_pyramid": q_tile_pyramid,
     "tile_refine": q_tile_refine,
@@ -1213,6 +1223,8 @@ _ORACLE.update({
                              f"{_PY} + {_PS} AS ymax, 93 AS n_bytes FROM customer",
     "tile_pyramid": _PYRAMID_SQL,
     "tile_refine": _REFINE_SQL,
+    "scan_clustered": f"SELECT event_id AS site_id, {_SX} AS xmin, {_SY} AS ymin FROM events WHERE {_SX} BETWEEN 144.2e0 AND 144.3e0 "
+                      f"AND {_SY} BETWEEN -38.4e0 AND -38.3e0",
     "stream_ingest": "SELECT 'parcels_ds' AS dataset, 'parcels' AS layer, count(*) AS rows, 'ok' AS status, "
                      "CAST(0 AS BIGINT) AS epoch FROM customer UNION ALL SELECT 'sites_ds', 'sites', count(*), 'ok', 0 "
                      "FROM events UNION ALL SELECT 'parcels_ds', 'nations', 0, 'skipped: no geometry', 0",

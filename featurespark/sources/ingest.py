@@ -65,6 +65,9 @@ DELETE_BATCH = 1000
 
 LAYERS_AT_ONCE = 4       # layers whose jobs are submitted together
 KEPT_OF_RUNS = ("_summary", "_ledger", "_replaced")      # the log of a run whose layers are others' by now
+ROW_GROUP = 16 << 20     # bytes of a row group of a stored layer, the least that a scan can pass over
+FILE_ROWS = 1 << 20      # rows of a file of a stored layer, what a page in file order reads
+CURVE_BITS = 16          # of each axis
 NEW_STARTS = 5           # of a run whose uploads other runs took meanwhile
 
 REGISTRY_SCHEMA = T.StructType([T.StructField("layers", T.ArrayType(T.StructType([
@@ -84,6 +87,7 @@ class IngestOptions:
     delete_sources: bool = True
     overwrite_duplicates: bool = False
     dataset_suffix: str = DATASET_SUFFIX
+    cluster_bytes: int = 32 << 20       # layers uploaded with at least so many bytes are clustered by place
 
 
 # -- A7: listing --------------------------------------------------------------------
@@ -257,6 +261,35 @@ def with_bbox(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     return dec.select("*", G.extent(F.col("__g")).alias(name, metadata={"covering": geom_col})).drop("__g")
 
 
+def _spread(v):
+    """The low ``CURVE_BITS`` bits of a number with a zero bit after each."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def curve_key(box, x0: float, y0: float, x1: float, y1: float):
+    """The place of an extent's centre on the Z-order curve over the rectangle; null for a null extent."""
+    def step(low, high, a, b):
+        part = ((low + high) / 2 - a) / (b - a) if b > a else F.lit(0.0) * low
+        return F.least(F.greatest(F.floor(part * (1 << CURVE_BITS)), F.lit(0)), F.lit((1 << CURVE_BITS) - 1))
+
+    return _spread(step(box["xmin"], box["xmax"], x0, x1)).bitwiseOR(
+        F.shiftleft(_spread(step(box["ymin"], box["ymax"], y0, y1)), 1))
+
+
+def clustered(df: DataFrame) -> DataFrame:
+    """A stored frame dealt and sorted along the Z-order curve over its extent, so that a scan for a box passes over most files and
+    row groups, whose stored extents are then small. One aggregate over the extents runs first."""
+    from featurespark.operators.spatial import extent, extent_column
+
+    bounds = extent(df).first()
+    if bounds["xmin"] is None:
+        return df
+    key = curve_key(F.col(f"`{extent_column(df.schema)}`"), *[bounds[c] for c in ("xmin", "ymin", "xmax", "ymax")])
+    return df.withColumn("__curve", key).repartitionByRange("__curve").sortWithinPartitions("__curve").drop("__curve")
+
+
 def geo_metadata(epsg: int) -> dict:
     return {"encoding": "WKB", "crs": f"EPSG:{epsg}"}
 
@@ -273,7 +306,8 @@ def write_layer(df: DataFrame, layer: str, epsg: int, folder: str, geom_col: str
     marks = {geom_col: geo_metadata(epsg), cover: {"covering": geom_col}}
     cols = [F.col(f"`{c}`").alias(c, metadata=marks[c]) if c in marks else F.col(f"`{c}`") for c in df.columns]
     target = f"{folder}/{layer}.parquet"
-    df.select(*cols).write.mode("overwrite").parquet(target)
+    df.select(*cols).write.option("parquet.block.size", ROW_GROUP).option("maxRecordsPerFile", FILE_ROWS) \
+        .mode("overwrite").parquet(target)
     box = {k: [cover, k] for k in ("xmin", "ymin", "xmax", "ymax")}
     geo = {"version": "1.1.0", "primary_column": geom_col, "columns": {geom_col: {
         "encoding": "WKB", "geometry_types": [], "crs": {"id": {"authority": "EPSG", "code": epsg}},
@@ -370,15 +404,23 @@ SUMMARY_SCHEMA = "dataset string, layer string, rows long, outputs array<string>
 LEDGER_SCHEMA = "path string, length long, modified long, dataset string, layer string, consumed boolean, reason string"
 
 
-def _convert(s: SparkSession, opts: IngestOptions, r, folder: str) -> tuple:
-    """Write one layer of a run below ``folder``; its files relative to the run, and its statistics."""
+def _convert(s: SparkSession, opts: IngestOptions, r, folder: str, size: int) -> tuple:
+    """Write one layer of a run, uploaded with ``size`` bytes, below ``folder``; its files relative to the run, and its statistics."""
     df = read_layer(s, r["path"], r["format"])
     geom = geometry_column(df.schema)
     epsg = stated_epsg(s, df, geom, r["path"], r["format"]) or opts.source_epsg
     if epsg is None:
         raise LayerQueryError(f"{r['path']} states no CRS; give source_epsg")
     files = {"layers": f"{r['layer']}.parquet"}
-    written = s.read.parquet(literal_path(write_layer(with_bbox(df, geom), r["layer"], epsg, folder, geom)))
+    boxed, staged = with_bbox(df, geom), None
+    if size >= opts.cluster_bytes:       # decoded once, before it is dealt anew
+        staged = f"{folder}/_staged/{r['layer']}"
+        boxed.write.mode("overwrite").parquet(staged)
+        boxed = clustered(s.read.parquet(literal_path(staged)))
+    written = s.read.parquet(literal_path(write_layer(boxed, r["layer"], epsg, folder, geom)))
+    if staged:
+        fs, done = _fs(s, staged)
+        fs.delete(done, True)
     facts = write_statistics(written, f"{folder}/{STATISTICS}/{r['layer']}")
     if opts.make_geojson:
         files["geojson"] = f"geojson/{r['layer']}"
@@ -445,11 +487,12 @@ def _run(s: SparkSession, opts: IngestOptions, listing: DataFrame, base: int) ->
     if not kept:   # S29: nothing to convert -> no publish, no delete
         return s.createDataFrame(summary, SUMMARY_SCHEMA)
 
+    sizes = {e: n for e, n in files.where("format is not null").groupBy("entry").agg(F.sum("length")).collect()}
     run = uuid.uuid4().hex
     folder = f"{out}/runs/{run}"
     chosen = list(winner.values())
     with ThreadPoolExecutor(LAYERS_AT_ONCE) as pool:
-        done = list(pool.map(lambda r: _attempt(s, opts, r, folder), chosen))
+        done = list(pool.map(lambda r: _attempt(s, opts, r, folder, sizes[r["path"]]), chosen))
     failures = [f"{r['dataset']}/{r['layer']}: {d}" for r, d in zip(chosen, done) if isinstance(d, Exception)]
     if failures:             # S28: nothing published, nothing deleted
         raise RuntimeError("ingest failed, nothing was published or deleted: " + "; ".join(failures))
@@ -541,9 +584,9 @@ def finish_runs(s: SparkSession, opts: IngestOptions) -> None:
     trim_log(s, out)
 
 
-def _attempt(s, opts, r, folder):
+def _attempt(s, opts, r, folder, size):
     try:
-        return _convert(s, opts, r, folder)
+        return _convert(s, opts, r, folder, size)
     except Exception as exc:        # reported with its layer; the others of the run still show theirs
         return exc
 

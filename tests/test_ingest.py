@@ -127,6 +127,50 @@ def test_crs_of_each_layer(layers, tmp_path):
         run_ingest(layers.spark, options(tmp_path, plain))
 
 
+def test_clustered_layers_are_passed_over(layers, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(ingest, "ROW_GROUP", 1)
+    monkeypatch.setattr(ingest, "FILE_ROWS", 10)
+    up = write_crs_tree(layers, str(tmp_path))
+    share = {}
+    for cluster in (0, 1 << 40):
+        out = str(tmp_path / f"out{cluster}")
+        run_ingest(layers.spark, IngestOptions(uploads=up, output=out, make_tiles=False, make_geojson=False, delete_sources=False,
+                                               cluster_bytes=cluster))
+        got = Layers(layers.spark, out)
+        assert got.read("degrees").count() == layers.read("events").count()
+        groups = hit = 0
+        for f in glob.glob(f"{got.path('degrees')}/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            for g in range(meta.num_row_groups):
+                stats = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(meta.num_columns)}
+                groups += 1
+                hit += stats["bbox.xmin"].min <= 144.3 and stats["bbox.xmax"].max >= 144.2 and stats["bbox.ymin"].min <= -38.3 \
+                    and stats["bbox.ymax"].max >= -38.4
+        share[cluster] = hit / groups
+        box = got.filter("degrees", "ST_Intersects(geometry, ST_MakeEnvelope(144.2, -38.4, 144.3, -38.3))")
+        assert box.count() == layers.read("events").selectExpr("144e0 + (event_id * 53 % 1000) / 1000e0 + 0.0003e0 AS x",
+                                                                "-38.5e0 + (event_id * 29 % 1000) / 1000e0 + 0.0004e0 AS y") \
+            .where("x BETWEEN 144.2 AND 144.3 AND y BETWEEN -38.4 AND -38.3").count()
+    assert share[0] < 0.1 < share[1 << 40]
+
+
+def test_curve_keys(spark):
+    box = F.struct(F.col("x").alias("xmin"), F.col("x").alias("xmax"), F.col("y").alias("ymin"), F.col("y").alias("ymax"))
+    rows = [(x / 8, y / 8) for x in range(8) for y in range(8)] + [(1.0, 1.0), (None, None)]
+    got = spark.createDataFrame(rows, "x double, y double").select("x", "y", ingest.curve_key(box, 0.0, 0.0, 1.0, 1.0).alias("k")).collect()
+    for r in got:
+        if r["x"] is None:
+            assert r["k"] is None
+            continue
+        ix, iy = (min(int(v * 65536), 65535) for v in (r["x"], r["y"]))
+        assert r["k"] == sum((ix >> b & 1) << 2 * b | (iy >> b & 1) << 2 * b + 1 for b in range(16))
+    flat = spark.createDataFrame(rows, "x double, y double").select(ingest.curve_key(box, 3.0, 0.0, 3.0, 1.0).alias("k"))
+    assert flat.where("k is null").count() == 1
+
+
 def test_geometry_names(layers, tmp_path):
     up = write_names_tree(layers, str(tmp_path))
     run_ingest(layers.spark, options(tmp_path, up))
