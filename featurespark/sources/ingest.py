@@ -272,7 +272,8 @@ def curve_key(box, x0: float, y0: float, x1: float, y1: float):
     """The place of an extent's centre on the Z-order curve over the rectangle; null for a null extent."""
     def step(low, high, a, b):
         part = ((low + high) / 2 - a) / (b - a) if b > a else F.lit(0.0) * low
-        return F.least(F.greatest(F.floor(part * (1 << CURVE_BITS)), F.lit(0)), F.lit((1 << CURVE_BITS) - 1))
+        cell = F.least(F.greatest(F.floor(part * (1 << CURVE_BITS)), F.lit(0)), F.lit((1 << CURVE_BITS) - 1))
+        return F.when(part.isNotNull(), cell)
 
     return _spread(step(box["xmin"], box["xmax"], x0, x1)).bitwiseOR(
         F.shiftleft(_spread(step(box["ymin"], box["ymax"], y0, y1)), 1))
