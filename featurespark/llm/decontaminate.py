@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featurespark.llm.shared import _SPACE, gram_hashes, text_chunks, word_bounds, word_hashes
+from featurespark.llm.shared import _SPACE, fresh, gram_hashes, text_chunks, word_bounds, word_hashes
 
 GRAM, PASSAGE, MIN_SCORE = 3, 60, 0.5
 FEW, FEW_SHARE = 20, 1e-4    # few documents: so many, and this share of all
@@ -164,18 +164,18 @@ class Passages:
         return best // _POINT, best % _POINT
 
 
-def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("_decon", F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+def _prepared(text_col: str, name: str = "_decon") -> Column:
+    return F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(name)
 
 
 def passage_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, text_col: str,
                    block_words: int = BLOCK_WORDS):
     """The test items in blocks, with seeds by document frequency over all of ``docs``."""
-    items = _prepared(benchmark, item_text).select(F.col(item_col).alias("_item"), "_decon") \
+    items = benchmark.select(F.col(item_col).alias("_item"), _prepared(item_text)) \
         .withColumn("_w", F.octet_length("_decon") / 2 + 1)
     total = items.agg(F.coalesce(F.sum("_w"), F.lit(0.0))).first()[0]
     blocks = int(total // block_words) + 1
-    texts = _prepared(docs, text_col).select("_decon")
+    texts = docs.select(_prepared(text_col))
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("_item", "_decon"), F.lit(blocks)) == k) \
             .select("_item", "_decon").collect()                 # at most about block_words words
@@ -212,7 +212,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     documents or items give a row each; a pair is listed with its id even when
     that is null. A long item yields a row for each of its passages that is found, and these overlap.
     """
-    own = _prepared(docs, text_col).select(F.col(id_col).alias("id"), "_decon")
+    own = docs.select(F.col(id_col).alias("id"), _prepared(text_col))
     item = T.StructField("item", benchmark.schema[item_col].dataType)
     schema = T.StructType([own.schema["id"], item, *T.StructType.fromDDL("score double, from_word long, to_word long")])
     out = docs.sparkSession.createDataFrame([], schema)
@@ -241,10 +241,10 @@ def pa_type(field: T.StructField):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text: str = "text", min_score: float = MIN_SCORE,
                       block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the rows in which a passage of the benchmark is found; all other rows stay."""
-    out = docs
+    """``docs`` without the rows in which a passage of the benchmark is found; all other rows stay, whatever their columns' names."""
+    out, name = docs, fresh(docs, "_decon")
     for passages in passage_blocks(docs, benchmark, item_col, item_text, text_col, block_words):
-        wide = _prepared(out, text_col)
+        wide = out.select("*", _prepared(text_col, name))
 
         def run(batches, passages=passages, at=len(out.columns)):
             for b in batches:

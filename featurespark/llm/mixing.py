@@ -18,11 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurespark.llm.shared import WORD
+from featurespark.llm.shared import WORD, brought_back, set_aside
 
 WEIGHTS = (5, 2, 1)      # fixed value: weights of the sources in order, repeating
 SHARE, MOST = 1.5, 2.0   # fixed values: all targets over all sizes, largest target over its source
 MAX_BLOCKS = 1 << 19
+PLAN = ("_size", "_source_size", "_target", "_copies", "_shards")      # columns of the plan
 PART_ROWS = 5000         # rows of a shard, about, that one task shuffles
 
 
@@ -60,8 +61,8 @@ def split_quotas(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np
 def mix(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """``(plan, mixed)``: for each input row what the mix takes of it, and the mix itself; see ``deal``."""
-    plan, dealt = deal(docs, shards, seed, id_col, text_col, source_col, max_blocks)
-    return plan, dealt.select(*docs.columns)
+    plan, dealt = _dealt(docs, shards, seed, id_col, text_col, source_col, max_blocks)
+    return brought_back(plan, docs.columns, *PLAN), brought_back(dealt, docs.columns)
 
 
 def deal(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_id", text_col: str = "text",
@@ -71,18 +72,24 @@ def deal(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_i
     plan adds ``_size`` (words), ``_source_size``, ``_target``, ``_copies`` and
     ``_shards`` (an array, a shard for each copy) to the input's columns. mixed
     has the input's columns too, a row for each copy, dealt out by shard and
-    shuffled within it. Sources go by code point, null last. A null text has no
+    shuffled within it. Added columns replace those of their names; no other name is reserved. Sources go by code point, null last. A null text has no
     words; a document without words takes part like any other and takes nothing.
     Rows that repeat an id fall into one block and are drawn together. The
     result depends on the rows and ``seed`` only. Sources are expected to number
     at most ``max_blocks``.
     """
-    spark = docs.sparkSession
-    draw = F.xxhash64(F.col(id_col), F.lit(seed))
-    rows = docs.withColumns({
-        "_size": F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long"),
+    plan, dealt = _dealt(docs, shards, seed, id_col, text_col, source_col, max_blocks)
+    return brought_back(plan, docs.columns, *PLAN), brought_back(dealt, docs.columns, "_copy", "_shard")
+
+
+def _dealt(docs, shards, seed, id_col, text_col, source_col, max_blocks) -> tuple[DataFrame, DataFrame]:
+    """``deal`` with the input's columns in ``_aside``."""
+    spark, row = docs.sparkSession, F.col("_aside")
+    draw = F.xxhash64(row[id_col], F.lit(seed))
+    rows = set_aside(docs).withColumns({
+        "_size": F.regexp_count(F.coalesce(row[text_col].cast("string"), F.lit("")), F.lit(WORD)).cast("long"),
         "_draw": draw})
-    narrow = rows.select(F.col(source_col).alias("_source"), "_size", "_draw")
+    narrow = rows.select(row[source_col].alias("_source"), "_size", "_draw")
     totals = narrow.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("rows")) \
         .limit(max_blocks + 1).collect()
     if len(totals) > max_blocks:
@@ -143,18 +150,18 @@ def deal(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_i
     by_block = frame(dealt, "_i int, _block int, _below long, _extra array<int>, _always array<int>")
     taken = F.when(F.col("_below").isNull() | (F.col("_draw") <= F.col("_below")), F.col("_extra")) \
         .otherwise(F.array().cast("array<int>"))
-    plan = placed(rows.withColumn("_src", F.col(source_col))).join(by_block, ["_i", "_block"], "left") \
+    plan = placed(rows.withColumn("_src", row[source_col])).join(by_block, ["_i", "_block"], "left") \
         .withColumn("_shards", F.coalesce(F.concat(taken, F.col("_always")), F.array().cast("array<int>"))) \
         .withColumn("_copies", F.size("_shards")) \
-        .select(*[docs[c] for c in docs.columns], "_size", "_source_size", "_target", "_copies", "_shards", "_draw")
+        .select("_aside", *PLAN, "_draw")
     # a shard is dealt to as many tasks as its rows ask for, by the hash that shuffles it
     parts = max(1, int(sum(c * r["rows"] for c, r in zip((g / max(z, 1) for g, z in zip(goal, sizes)), totals)))
                 // (shards * PART_ROWS))
     order = F.xxhash64("_draw", "_copy", F.lit(seed))
-    mixed = plan.select(*docs.columns, "_draw", F.posexplode("_shards").alias("_copy", "_shard")) \
+    mixed = plan.select("_aside", "_draw", F.posexplode("_shards").alias("_copy", "_shard")) \
         .withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(parts))) \
         .repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order", "_draw", "_copy") \
-        .select(*docs.columns, "_copy", "_shard")
+        .select("_aside", "_copy", "_shard")
     return plan, mixed
 
 

@@ -15,10 +15,10 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurespark.llm.shared import materialize
+from featurespark.llm.shared import brought_back, materialize, set_aside
 
 RANGE_BYTES = 256 << 20     # intended bytes of a range, for large inputs
 PER_RANGE = 32              # expected samples for each range
@@ -98,11 +98,12 @@ def shard_by_bytes(rows: DataFrame, size, key, tie, shards: int = 16, narrow: Da
     hash that orders records of one key. ``narrow`` may hold the same three as
     ``_size, _key, _tie``, stored; else they are taken from ``rows`` and stored here.
     A shard differs from its equal part by no more than a record at either end.
+    Columns of ``rows`` called ``_size, _key, _tie, shard, slot`` are replaced or dropped.
     Rows equal in key and tie take neighbouring slots in any order; an empty
     table stays empty; with fewer records than shards some shards stay empty.
     """
     spark = rows.sparkSession
-    rows = rows.drop("_size", "shard", "slot")
+    rows = rows.drop("_size", "_key", "_tie", "shard", "slot")
     wide = rows.withColumns({"_size": size.cast("long"), "_key": key.cast("long"), "_tie": tie.cast("long")})
     if narrow is None:
         narrow = materialize(wide.select("_key", "_tie", "_size"), "sizes")
@@ -128,20 +129,21 @@ def shard_by_bytes(rows: DataFrame, size, key, tie, shards: int = 16, narrow: Da
         .select(*rows.columns, "_size", "shard", (F.col("_rank") - F.col("_rank0")).cast("long").alias("slot"))
 
 
-def _sizes(docs: DataFrame, id_col: str, text_col: str) -> dict:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return {"size": F.octet_length(text) + 1, "key": F.xxhash64(text), "tie": F.xxhash64(F.col(id_col), F.lit("tie"))}
+def _sizes(id_: Column, text: Column) -> dict:
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return {"size": F.octet_length(text) + 1, "key": F.xxhash64(text), "tie": F.xxhash64(id_, F.lit("tie"))}
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``slot``, which replace columns of those names.
+    """All columns of ``docs`` with ``shard`` and ``slot``, which replace columns of those names; no other name is reserved.
 
     A document weighs the UTF-8 bytes of its text plus 1 (null: empty). Repeated
     rows and rows without an id get a place each. The texts move once, to
     their ranges; splitters and totals come from narrow rows.
     """
-    c = _sizes(docs, id_col, text_col)
-    return shard_by_bytes(docs, c["size"], c["key"], c["tie"], shards).drop("_size")
+    own = set_aside(docs)
+    c = _sizes(F.col("_aside")[id_col], F.col("_aside")[text_col])
+    return brought_back(shard_by_bytes(own, c["size"], c["key"], c["tie"], shards), docs.columns, "shard", "slot")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

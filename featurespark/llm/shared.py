@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"       # fixed value: the word pattern of the contracts
 
@@ -43,6 +44,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def set_aside(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct ``_aside``, so that no other name can clash with them."""
+    return df.select(F.struct(*[F.col(_quoted(c)).alias(c) for c in df.columns]).alias("_aside"))
+
+
+def brought_back(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns that ``set_aside`` put into ``_aside``, and ``more``, which replace those of their names."""
+    new = {c.lower() for c in more}
+    return df.select(*[F.col("_aside")[c].alias(c) for c in columns if c.lower() not in new], *more)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, vectorised."""
     x = x.astype(np.uint64, copy=True)
