@@ -45,15 +45,18 @@ class WaveletMatrix:
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, samples = [], [], []
+        spare = [np.empty_like(values), np.empty_like(values)]
         for level in range(bits - 1, -1, -1):
-            on = (values >> values.dtype.type(level)) & values.dtype.type(1) != 0
+            on = (values & values.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(on, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % (SAMPLE // 8), np.uint8)]))
             per = np.bitwise_count(planes[-1].view(np.uint64)).reshape(-1, SAMPLE // 64).sum(axis=1, dtype=np.uint64)
             samples.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(per, dtype=np.uint64)]))
-            off = ~on
-            zeros.append(int(np.count_nonzero(off)))
-            values = np.concatenate([values[off], values[on]])
+            zeros.append(len(on) - int(np.count_nonzero(on)))
+            sorted_ = spare[level % 2]                      # the other one holds ``values``
+            np.compress(on, values, out=sorted_[zeros[-1]:])
+            np.compress(~on, values, out=sorted_[:zeros[-1]])
+            values = sorted_
         return cls(len(values), zeros, planes, samples)
 
     def values(self) -> np.ndarray:
@@ -62,8 +65,10 @@ class WaveletMatrix:
         for level, (z, plane) in enumerate(zip(self.zeros[::-1], self.planes[::-1])):
             on = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
-            back[~on] = out[:z]
-            back[on] = out[z:] | np.uint32(1 << level)
+            if z:
+                np.place(back, ~on, out[:z])
+            if z < self.n:
+                np.place(back, on, out[z:] | np.uint32(1 << level))
             out = back
         return out
 
