@@ -17,6 +17,7 @@ compressed samples (uint64). Bytes after the last part are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 
@@ -308,7 +309,11 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker and vocabulary, so remembered pieces serve all its tasks."""
+    """One encoder a worker and vocabulary, so remembered pieces serve all its tasks.
+
+    A task has one core, so the library is told not to start threads for the others.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
