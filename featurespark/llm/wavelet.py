@@ -34,6 +34,7 @@ MAGIC = b"WVMX0001"
 SAMPLE = 512                 # bits between stored ranks
 SHARD_TOKENS = 1 << 22
 PARTITION_ROWS = 8000        # documents that are dealt to one task
+ENCODED = 1 << 21            # bytes of text whose pieces are looked up together
 END = 0                      # fixed value: the id that ends a document
 
 
@@ -62,14 +63,15 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence, by undoing the sorts from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level, (z, plane) in enumerate(zip(self.zeros[::-1], self.planes[::-1])):
             on = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
             if z:
                 np.place(back, ~on, out[:z])
             if z < self.n:
-                np.place(back, on, out[z:] | np.uint32(1 << level))
+                np.place(back, on, out[z:] | kind(1 << level))
             out = back
         return out
 
@@ -202,8 +204,24 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.hash, self.start = np.zeros(0, np.uint64), np.zeros(1, np.int64)
-        self.at, self.pool = np.zeros(0, np.int64), np.zeros(0, self.kind)
+        # sorted hashes with their entries: a large table, and a small one that takes what is new
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.large, self.small = none, none
+        self.start, self.pool = np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def _entries(self, kinds: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where it is not remembered."""
+        out = np.full(len(kinds), -1)
+        for hashes, entries in (self.large, self.small):
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, kinds), len(hashes) - 1)
+                out = np.where(hashes[at] == kinds, entries[at], out)
+        return out
+
+    @staticmethod
+    def _merged(table, more):
+        place = np.searchsorted(table[0], more[0])
+        return np.insert(table[0], place, more[0]), np.insert(table[1], place, more[1])
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -218,7 +236,7 @@ class Encoder:
             else:
                 plain.append(i)
                 size += len(t)
-                if size >= 1 << 20:
+                if size >= ENCODED:
                     self._encode_plain(texts, plain, out)
                     plain, size = [], 0
         self._encode_plain(texts, plain, out)
@@ -274,8 +292,7 @@ class Encoder:
         ends = np.append(starts[1:], len(b))
         h = run_hashes(_BYTE[b], starts, ends)
         kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
-        self._learn(raw, kinds, starts[first], ends[first])
-        entry = self.at[np.searchsorted(self.hash, kinds)][back]
+        entry = self._learn(raw, kinds, starts[first], ends[first])[back]
         lo, size = self.start[entry], (self.start[entry + 1] - self.start[entry])
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(lo - upto[:-1], size) + np.arange(upto[-1])]
@@ -283,25 +300,23 @@ class Encoder:
         for k, i in enumerate(rows):
             out[i] = ids[bounds[k]:bounds[k + 1]]
 
-    def _learn(self, raw, kinds, starts, ends):
-        at = np.searchsorted(self.hash, kinds)
-        known = at < len(self.hash)
-        known[known] = self.hash[at[known]] == kinds[known]
-        if len(self.hash) > self.keep:          # forgetting costs time only
+    def _learn(self, raw, kinds, starts, ends) -> np.ndarray:
+        """The entries of all pieces, the new ones encoded and remembered."""
+        if len(self.start) > self.keep:         # forgetting costs time only
             self._forget()
-            known[:] = False
-        new = np.flatnonzero(~known)
-        if not len(new):
-            return
-        got = self._ids([raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist())])
-        sizes = np.array([len(g) for g in got], np.int64)
-        more = np.fromiter((x for g in got for x in g), self.kind, int(sizes.sum()))
-        entries = np.arange(len(new)) + len(self.start) - 1
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        self.pool = np.concatenate([self.pool, more])
-        place = np.searchsorted(self.hash, kinds[new])
-        self.hash = np.insert(self.hash, place, kinds[new])
-        self.at = np.insert(self.at, place, entries)
+        found = self._entries(kinds)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            got = self._ids([raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist())])
+            sizes = np.array([len(g) for g in got], np.int64)
+            more = np.fromiter((x for g in got for x in g), self.kind, int(sizes.sum()))
+            found[new] = np.arange(len(new)) + len(self.start) - 1
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+            self.pool = np.concatenate([self.pool, more])
+            self.small = self._merged(self.small, (kinds[new], found[new]))
+            if len(self.small[0]) > max(1 << 14, len(self.large[0]) // 4):
+                self.large, self.small = self._merged(self.large, self.small), (kinds[:0], found[:0])
+        return found
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -345,8 +360,8 @@ def write_shards(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_
 
         end = np.array([END], enc.kind)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                piece = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 1024):
+                piece = b.slice(lo, 1024)
                 texts = [t or b"" for t in piece.column(1).cast("binary").to_pylist()]
                 for i, t in zip(piece.column(0).to_pylist(), enc.encode(texts)):
                     ids.append(i)
