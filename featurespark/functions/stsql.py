@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import types as T
 
 from featurespark.functions import relate
-from featurespark.functions.wkb import TYPE_NAMES, encode_one, parse_one
+from featurespark.functions.wkb import TYPE_NAMES, Flat, encode_one, parse_one
 
 
 @lru_cache(maxsize=64)
@@ -56,10 +56,6 @@ def _positions(g) -> np.ndarray:
     return np.concatenate(rings) if rings else np.zeros((0, 2))
 
 
-def _points(g):
-    return [(float(r[0, 0]), float(r[0, 1])) for t, rs in g[2] if t == 1 for r in rs]
-
-
 def _bbox(g):
     p = _positions(g)
     return None if not len(p) else (p[:, 0].min(), p[:, 1].min(), p[:, 0].max(), p[:, 1].max())
@@ -285,18 +281,15 @@ def _values(fn, out_type, n):
     return run
 
 
-def _xy(i):
-    def f(g):
-        pts = _points(g)
-        return pts[0][i] if g[0] == 1 and pts else None
-    return f
+def _columnar(fn):
+    """A function of a batch's geometries decoded together."""
+    def run(arr: pa.Array) -> pa.Array:
+        return fn(Flat(arr))
+    return run
 
 
-def _bound(i):
-    def f(g):
-        b = _bbox(g)
-        return None if b is None else float(b[i])
-    return f
+def _counted(fn, out_type):
+    return lambda flat: pa.array(fn(flat.counts()), out_type, mask=~flat.valid)
 
 
 def register(session) -> None:
@@ -306,12 +299,6 @@ def register(session) -> None:
     d, b, y, i = pa.float64(), pa.bool_(), pa.binary(), pa.int32()
     unary = {
         "st_area": (_area, D, d), "st_length": (_length, D, d), "st_perimeter": (_perimeter, D, d),
-        "st_x": (_xy(0), D, d), "st_y": (_xy(1), D, d),
-        "st_xmin": (_bound(0), D, d), "st_ymin": (_bound(1), D, d),
-        "st_xmax": (_bound(2), D, d), "st_ymax": (_bound(3), D, d),
-        "st_numpoints": (lambda g: len(_positions(g)), I, i),
-        "st_npoints": (lambda g: len(_positions(g)), I, i),
-        "st_isempty": (lambda g: len(_positions(g)) == 0, B, b),
         "st_geometrytype": (lambda g: ["POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING",
                                        "MULTIPOLYGON", "GEOMETRYCOLLECTION"][g[0] - 1], S, pa.string()),
         "st_centroid": (lambda g: None if _centroid(g) is None else _point_wkb(*_centroid(g)), Bin, y),
@@ -321,6 +308,15 @@ def register(session) -> None:
     }
     for name, (fn, st, at) in unary.items():
         session.udf.register(name, arrow_udf(_unary(fn, at), st))
+    columnar = {
+        "st_x": (lambda f: f.point(0), D), "st_y": (lambda f: f.point(1), D),
+        "st_xmin": (lambda f: f.bounds(0), D), "st_ymin": (lambda f: f.bounds(1), D),
+        "st_xmax": (lambda f: f.bounds(2), D), "st_ymax": (lambda f: f.bounds(3), D),
+        "st_numpoints": (_counted(lambda n: n.astype(np.int32), i), I), "st_npoints": (_counted(lambda n: n.astype(np.int32), i), I),
+        "st_isempty": (_counted(lambda n: n == 0, b), B),
+    }
+    for name, (fn, st) in columnar.items():
+        session.udf.register(name, arrow_udf(_columnar(fn), st))
     binary = {
         "st_contains": (relate.contains, B, b), "st_within": (lambda a, c: relate.contains(c, a), B, b),
         "st_covers": (relate.covers, B, b), "st_coveredby": (lambda a, c: relate.covers(c, a), B, b),

@@ -273,6 +273,33 @@ class Flat:
         self.ring_row, at, self.ring_n, self.ring_dims, order = table.columns(table.rings, 5)
         self.coords = bytes_.doubles(at, self.ring_n * self.ring_dims, order)
 
+    def positions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, x and y of every position."""
+        start = np.cumsum(self.ring_n * self.ring_dims) - self.ring_n * self.ring_dims
+        n = self.ring_n
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(start, n) + step * np.repeat(self.ring_dims, n)
+        return np.repeat(self.ring_row, n), self.coords[at], self.coords[at + 1]
+
+    def counts(self) -> np.ndarray:
+        """Positions of every row."""
+        return np.bincount(np.repeat(self.ring_row, self.ring_n), minlength=len(self.valid))
+
+    def bounds(self, side: int) -> pa.Array:
+        """Least x, least y, greatest x or greatest y of every row; null where it has no position."""
+        row, *xy = self.positions()
+        out, some = np.zeros(len(self.valid)), np.zeros(len(self.valid), bool)
+        if len(row):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            out[row[first]] = (np.minimum, np.maximum)[side // 2].reduceat(xy[side % 2], first)
+            some[row[first]] = True
+        return pa.array(out, mask=~some)
+
+    def point(self, axis: int) -> pa.Array:
+        """The coordinate of points; null for other types and empty points."""
+        bound, single = self.bounds(axis), self.valid & (self.gtype == 1)
+        return pa.array(bound.to_numpy(zero_copy_only=False), mask=~single | bound.is_null().to_numpy(zero_copy_only=False))
+
     def to_arrow(self) -> pa.Array:
         def offsets(counts):
             return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))

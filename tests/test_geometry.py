@@ -134,6 +134,22 @@ def test_batches_decode_like_single_values():
         decode_array(pa.array([struct.pack("<BI", 1, 17) + bytes(16)] * 40))
 
 
+def test_measures_of_a_batch():
+    from featurespark.functions.wkb import Flat
+
+    rnd = random.Random(12)
+    rows = [None if rnd.random() < 0.1 else random_wkb(rnd) for _ in range(500)]
+    flat = Flat(pa.array([r and r[0] for r in rows], pa.binary()))
+    for r, n, x, y, *box in zip(rows, flat.counts(), flat.point(0).to_pylist(), flat.point(1).to_pylist(),
+                                *[flat.bounds(k).to_pylist() for k in range(4)]):
+        at = [p for _, rings in r[3] for ring in rings for p in ring] if r else []
+        assert n == len(at)
+        assert box == ([f(p[k] for p in at) for f in (min, max) for k in (0, 1)] if at else [None] * 4)
+        assert (x, y) == (tuple(at[0][:2]) if r and r[1] == 1 and at else (None, None))
+    none = Flat(pa.array([], pa.binary()))
+    assert none.bounds(0).to_pylist() == none.point(1).to_pylist() == [] and not len(none.counts())
+
+
 def test_packed_edges_agree_with_the_native_test(spark):
     from featurespark.functions.stsql import _from_wkt
     from featurespark.functions.wkb import edge_array, inside_array, wkb_decode
