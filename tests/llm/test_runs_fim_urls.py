@@ -3,7 +3,6 @@ import random
 import re
 import zlib
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import awkward_rows, frame, prose
