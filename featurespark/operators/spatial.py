@@ -11,11 +11,11 @@ A multi-level grid turns the spatial predicate into an equi-join:
   point emits one cell key for each of those;
 * ``(level, cx, cy)`` is an ordinary equi-join key, so Spark shuffles both
   sides by it and AQE's skew-join splits hot cells;
-* the join is of ids, coordinates and extents; candidates are pairs that pass the extent test. A (point, polygon) pair can meet
+* candidates are pairs that pass the extent test. A (point, polygon) pair can meet
   in one cell only, so no de-duplication is needed;
-* the geometry of a stored layer is fetched for candidates only, by the feature's file and row; it is
-  read once and goes through one shuffle in one copy. Polygons that are no file scan have no such place: their edges go along;
-* the exact even-odd test runs on packed edges, which are prepared once a polygon, a batch of candidates at a time.
+* a polygon's geometry is read once and goes along into its cells, as packed edges, so candidates, which may be very many where features
+  lie on each other, are tested where the join finds them and are never shuffled or sorted;
+* the exact even-odd test runs a batch of candidates at a time.
 """
 
 from __future__ import annotations
@@ -24,10 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featurespark.functions import geometry as G
-from featurespark.functions.wkb import point_inside, polygon_edges
-from featurespark.operators.features import DECODED, with_decoded
-from featurespark.operators.query import FILE, ROW, has_file_order
+from featurespark.functions.wkb import point_inside, point_topmost, polygon_edges, wkb_extent, wkb_point
 
 _BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -44,8 +41,7 @@ def bbox_of(df: DataFrame, geom_col: str = "geometry", name: str = "__bbox") ->
     stored = extent_column(df.schema)
     if stored:
         return df.withColumn(name, F.col(f"`{stored}`"))
-    dec = with_decoded(df, geom_col, "__bbox_g")
-    return dec.withColumn(name, G.extent(F.col("__bbox_g"))).drop("__bbox_g")
+    return df.withColumn(name, wkb_extent(F.col(f"`{geom_col}`")))
 
 
 def extent(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
@@ -61,8 +57,7 @@ def extent(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
 
 def geometry_extents(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     """Per-row extent from every decoded position (any nesting)."""
-    dec = with_decoded(df, geom_col)
-    return dec.withColumn("extent", G.extent(F.col(DECODED))).drop(DECODED)
+    return df.withColumn("extent", wkb_extent(F.col(f"`{geom_col}`")))
 
 
 def point_xy(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
@@ -78,9 +73,8 @@ def point_xy(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
         b = F.col(f"`{stored}`")
         is_pt = (b["xmin"] == b["xmax"]) & (b["ymin"] == b["ymax"])
         return df.withColumn("__x", F.when(is_pt, b["xmin"])).withColumn("__y", F.when(is_pt, b["ymin"]))
-    dec = with_decoded(df, geom_col, "__pt")
-    return dec.withColumn("__x", G.point_x(F.col("__pt"))) \
-              .withColumn("__y", G.point_y(F.col("__pt"))).drop("__pt")
+    dec = df.withColumn("__pt", wkb_point(F.col(f"`{geom_col}`")))
+    return dec.withColumn("__x", F.col("__pt.x")).withColumn("__y", F.col("__pt.y")).drop("__pt")
 
 
 def _level(box: Column) -> Column:
@@ -95,32 +89,13 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level))
 
 
-PLACE = ("__file", "__row")
-
-
-def with_place(df: DataFrame) -> DataFrame:
-    """Adds ``PLACE``, the file and row of each feature."""
-    return df.select("*", F.col(FILE).alias(PLACE[0]), F.col(ROW).alias(PLACE[1]))
-
-
-def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[str],
-                       polygon_cols: list[str], point_geom: str = "geometry",
-                       polygon_geom: str = "geometry") -> DataFrame:
-    """Every (point, polygon) pair with the point strictly inside the polygon.
-
-    Returns ``point_cols + polygon_cols`` (names must not clash). Building the frame runs one
-    aggregate over the polygons' extents, whose result is the list of levels.
-    """
-    if PLACE[0] not in polygons.columns and has_file_order(polygons):
-        polygons = with_place(polygons)
-    placed = PLACE[0] in polygons.columns
+def _candidates(points: DataFrame, polygons: DataFrame, polygon_cols: list[str], point_geom: str, polygon_geom: str) -> DataFrame:
+    """All columns of the points and ``polygon_cols`` of every pair whose point is in the polygon's extent, with ``__x``, ``__y`` and
+    the polygon's ``__edges``."""
     polys = bbox_of(polygons, polygon_geom).withColumn("__lvl", _level(F.col("__bbox"))).where("__lvl is not null")
     levels = sorted(polys.agg(F.collect_set("__lvl")).first()[0])
-    out = [F.col(f"`{c}`") for c in point_cols + polygon_cols]
-    edges = polygon_edges(F.col(f"`{polygon_geom}`")).alias("__edges")
-    shape = list(PLACE) if placed else ["__edges"]
-    poly = (polys if placed else polys.select("*", edges)).select(
-        *[F.col(f"`{c}`") for c in polygon_cols], *shape, "__lvl", F.col("__bbox").alias("__bb"),
+    poly = polys.select("*", polygon_edges(F.col(f"`{polygon_geom}`")).alias("__edges")).select(
+        *[F.col(f"`{c}`") for c in polygon_cols], "__edges", "__lvl", F.col("__bbox").alias("__bb"),
         F.explode(F.sequence(_cell(F.col("__bbox.xmin"), F.col("__lvl")),
                              _cell(F.col("__bbox.xmax"), F.col("__lvl")))).alias("__cx"))
     poly = poly.select("*", F.explode(F.sequence(_cell(F.col("__bb.ymin"), F.col("__lvl")),
@@ -130,17 +105,36 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[
     # explicit filter here would be pushed below the projection and make Spark
     # evaluate the decode twice.
     at = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
-    pts = point_xy(points, point_geom).select(*[F.col(f"`{c}`") for c in point_cols], "__x", "__y",
-                                              F.explode(at).alias("__lvl"))
+    pts = point_xy(points, point_geom).drop(point_geom).select("*", F.explode(at).alias("__lvl"))
     pts = pts.select("*", _cell(F.col("__x"), F.col("__lvl")).alias("__cx"),
                      _cell(F.col("__y"), F.col("__lvl")).alias("__cy"))
     in_box = (F.col("__x") > F.col("__bb.xmin")) & (F.col("__x") < F.col("__bb.xmax")) & \
              (F.col("__y") > F.col("__bb.ymin")) & (F.col("__y") < F.col("__bb.ymax"))
-    candidates = pts.join(poly, ["__lvl", "__cx", "__cy"], "inner").where(in_box)
-    if placed:
-        candidates = candidates.drop("__bb").join(polygons.select(*PLACE, edges), list(PLACE))
+    return pts.join(poly, ["__lvl", "__cx", "__cy"], "inner").where(in_box).drop("__lvl", "__cx", "__cy", "__bb")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[str],
+                       polygon_cols: list[str], point_geom: str = "geometry",
+                       polygon_geom: str = "geometry") -> DataFrame:
+    """Every (point, polygon) pair with the point strictly inside the polygon.
+
+    Returns ``point_cols + polygon_cols`` (names must not clash). Building the frame runs one
+    aggregate over the polygons' extents, whose result is the list of levels.
+    """
+    pts = _kept(points, point_cols, point_geom)
+    candidates = _candidates(pts, polygons, polygon_cols, POINT, polygon_geom)
     inside = candidates.withColumn("__in", point_inside(F.col("__x"), F.col("__y"), F.col("__edges")))
-    return inside.where("__in").select(*out)
+    return inside.where("__in").select(*[F.col(f"`{c}`") for c in point_cols + polygon_cols])
+
+
+POINT = "__point"
+
+
+def _kept(points: DataFrame, point_cols: list[str], point_geom: str) -> DataFrame:
+    """``point_cols`` with the coordinates' column: the stored extent if there is one, else the geometry as ``POINT``."""
+    stored = extent_column(points.schema)
+    where = F.col(f"`{stored}`").alias("__point", metadata={"covering": point_geom}) if stored else F.col(f"`{point_geom}`").alias(POINT)
+    return points.select(*[F.col(f"`{c}`") for c in point_cols], where)
 
 
 def identify(points: DataFrame, layers: list[tuple[str, DataFrame, str]], point_cols: list[str],
@@ -150,17 +144,19 @@ def identify(points: DataFrame, layers: list[tuple[str, DataFrame, str]], point_
     ``layers`` is ``[(layer_name, frame, id_column)]`` in registry (drawing)
     order; the last drawn layer is on top, as on the map. All layers go through one
     join, so the points are read and dealt once; the topmost hit (ties: smallest id) is a mergeable minimum,
-    taken in each task before its shuffle.
+    taken in each batch of candidates as they are tested, then in each task and after its shuffle.
     """
     every = None
-    placed = all(has_file_order(frame) for _, frame, _ in layers)
     for order, (name, frame, id_col) in enumerate(layers):
-        frame = with_place(frame) if placed else frame
         one = bbox_of(frame, polygon_geom, "bbox").select(
-            F.lit(name).alias("layer"), F.lit(order).alias("__order"), *(PLACE if placed else ()),
+            F.lit(name).alias("layer"), F.lit(-order).alias("__below"),
             F.col(f"`{id_col}`").cast("string").alias("feature_id"), "bbox", F.col(f"`{polygon_geom}`").alias("geometry"))
         every = one if every is None else every.unionByName(one)
-    hits = points_in_polygons(points, every, point_cols, ["layer", "__order", "feature_id"], point_geom=point_geom)
-    top = F.min(F.struct((-F.col("__order")).alias("below"), "feature_id", "layer")).alias("__top")
-    return hits.groupBy(*[F.col(f"`{c}`") for c in point_cols]).agg(top) \
-        .select(*[F.col(f"`{c}`") for c in point_cols], "__top.layer", "__top.feature_id")
+    cols = [F.col(f"`{c}`") for c in point_cols]
+    # numbers tell points of a batch apart; a repeated task may give others, which changes no result
+    pts = _kept(points, point_cols, point_geom).withColumn("__id", F.monotonically_increasing_id())
+    found = ["__below", "feature_id", "layer"]
+    candidates = _candidates(pts, every, found, POINT, "geometry")
+    hits = candidates.withColumn("__in", point_topmost(*[F.col(c) for c in ("__x", "__y", "__edges", "__id", "__below", "feature_id")])) \
+        .where("__in").select(*cols, F.struct(*found).alias("__hit"))
+    return hits.groupBy(*cols).agg(F.min("__hit").alias("__top")).select(*cols, "__top.layer", "__top.feature_id")
