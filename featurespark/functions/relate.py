@@ -217,11 +217,126 @@ def distance(g, h) -> float:
 
 
 def _to_segments(points: np.ndarray, segments: np.ndarray) -> float:
-    if not len(segments):
-        return np.inf
+    return float(_gaps(points, segments).min()) if len(segments) else np.inf
+
+
+def _gaps(points: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """The distance of each point and segment."""
     ax, ay, bx, by = segments.T
     dx, dy = bx - ax, by - ay
     long = dx * dx + dy * dy
     t = ((points[:, :1] - ax) * dx + (points[:, 1:2] - ay) * dy) / np.where(long == 0, 1, long)
     t = np.clip(t, 0, 1)
-    return float(np.hypot(points[:, :1] - (ax + t * dx), points[:, 1:2] - (ay + t * dy)).min())
+    return np.hypot(points[:, :1] - (ax + t * dx), points[:, 1:2] - (ay + t * dy))
+
+
+# -- a batch against one geometry -----------------------------------------------------
+_PAIRS = 1 << 20          # comparisons of a step
+
+
+class Batch:
+    """The geometries of a batch (``wkb.Flat``) as flat arrays of segments and anchors, each with its row."""
+
+    def __init__(self, flat):
+        self.n = len(flat.valid)
+        part = np.repeat(np.arange(len(flat.part_row)), flat.part_rings)
+        kind = flat.part_type[part]
+        size = flat.ring_n * flat.ring_dims
+        first = np.cumsum(size) - size
+        own = (kind != 1) & (flat.ring_n > 1)
+        n = (flat.ring_n - 1)[own]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        a = np.repeat(first[own], n) + step * np.repeat(flat.ring_dims[own], n)
+        b = a + np.repeat(flat.ring_dims[own], n)
+        c = flat.coords
+        self.segments = np.stack([c[a], c[a + 1], c[b], c[b + 1]], axis=1)
+        self.row, self.part = np.repeat(flat.ring_row[own], n), np.repeat(part[own], n)
+        self.of_polygon = np.repeat(kind[own] == 3, n)
+        some = np.flatnonzero(flat.ring_n > 0)
+        self.anchor_row, self.anchors = flat.ring_row[some], np.stack([c[first[some]], c[first[some] + 1]], axis=1)
+        self.point_row = self.anchor_row[kind[some] == 1]
+        self.points = self.anchors[kind[some] == 1]
+        self.position_row, x, y = flat.positions()
+        self.positions = np.stack([x, y], axis=1)
+        self.box = [flat.bounds(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        self.some = ~flat.bounds(0).is_null().to_numpy(zero_copy_only=False)
+
+    def _any(self, rows, hit) -> np.ndarray:
+        out = np.zeros(self.n, bool)
+        out[rows[hit]] = True
+        return out
+
+    def at_point(self, x, y) -> np.ndarray:
+        """Rows that the point lies in or on, as ``_place`` tells."""
+        ax, ay, bx, by = self.segments.T
+        on = ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & (np.minimum(ax, bx) <= x) & (x <= np.maximum(ax, bx)) \
+            & (np.minimum(ay, by) <= y) & (y <= np.maximum(ay, by))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            right = x < (bx - ax) * (y - ay) / (by - ay) + ax
+        cut = self.of_polygon & ((ay > y) != (by > y)) & right
+        odd = np.flatnonzero(np.bincount(self.part[cut]) % 2) if cut.any() else np.zeros(0, np.int64)
+        out = self._any(self.row, on | np.isin(self.part, odd) & self.of_polygon)
+        return out | self._any(self.point_row, (self.points[:, 0] == x) & (self.points[:, 1] == y))
+
+    def intersects(self, other: Shape) -> np.ndarray:
+        """``relate.intersects`` of every row and a geometry."""
+        if other.box is None:
+            return np.zeros(self.n, bool)
+        x0, y0, x1, y1 = self.box
+        bx0, by0, bx1, by1 = other.box
+        near = self.some & ~((x0 > bx1) | (bx0 > x1) | (y0 > by1) | (by0 > y1))
+        met = np.zeros(self.n, bool)
+        own = near[self.row]
+        p, row = self.segments[own], self.row[own]
+        ax, ay, bx, by = p.T
+        for qx, qy, rx, ry in other.segments:
+            b1 = np.sign((bx - ax) * (qy - ay) - (by - ay) * (qx - ax))
+            b2 = np.sign((bx - ax) * (ry - ay) - (by - ay) * (rx - ax))
+            a1 = np.sign((rx - qx) * (ay - qy) - (ry - qy) * (ax - qx))
+            a2 = np.sign((rx - qx) * (by - qy) - (ry - qy) * (bx - qx))
+            boxes = (np.minimum(ax, bx) <= max(qx, rx)) & (min(qx, rx) <= np.maximum(ax, bx)) \
+                & (np.minimum(ay, by) <= max(qy, ry)) & (min(qy, ry) <= np.maximum(ay, by))
+            met[row[boxes & (a1 * a2 <= 0) & (b1 * b2 <= 0)]] = True
+        for x, y in _anchors(other):
+            met |= near & self.at_point(x, y)
+        left = near & ~met
+        own = np.flatnonzero(left[self.anchor_row])
+        met[self.anchor_row[own[_within(other, self.anchors[own])]]] = True
+        return met
+
+    def distance(self, other: Shape) -> np.ndarray:
+        """``relate.distance`` of every row and a geometry; NaN for empty ones."""
+        out = np.full(self.n, np.inf)
+        if other.box is None:
+            return np.full(self.n, np.nan)
+        step = max(1, _PAIRS // max(1, len(other.positions), len(other.segments)))
+        for lo in range(0, len(self.positions), step):
+            p, row = self.positions[lo:lo + step], self.position_row[lo:lo + step]
+            d = np.hypot(p[:, None, 0] - other.positions[None, :, 0], p[:, None, 1] - other.positions[None, :, 1]).min(axis=1)
+            if len(other.segments):
+                d = np.minimum(d, _gaps(p, other.segments).min(axis=1))
+            np.minimum.at(out, row, d)
+        step = max(1, _PAIRS // max(1, len(other.positions)))
+        for lo in range(0, len(self.segments), step):
+            np.minimum.at(out, self.row[lo:lo + step], _gaps(other.positions, self.segments[lo:lo + step]).min(axis=0))
+        out[self.intersects(other)] = 0.0
+        return np.where(self.some, out, np.nan)
+
+
+def _within(s: Shape, points: np.ndarray) -> np.ndarray:
+    """Whether each point lies in or on a geometry, as ``_place`` tells."""
+    out = np.zeros(len(points), bool)
+    step = max(1, _PAIRS // max(1, len(s.segments), len(s.points)))
+    for lo in range(0, len(points), step):
+        x, y = points[lo:lo + step, :1], points[lo:lo + step, 1:]
+        got = out[lo:lo + step]
+        for rings in [_segments(r) for r in s.polygons] + [s.line_segments]:
+            ax, ay, bx, by = rings.T
+            got |= np.any(((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & (np.minimum(ax, bx) <= x) & (x <= np.maximum(ax, bx))
+                          & (np.minimum(ay, by) <= y) & (y <= np.maximum(ay, by)), axis=1)
+            if rings is not s.line_segments:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    right = x < (bx - ax) * (y - ay) / (by - ay) + ax
+                got |= np.count_nonzero(((ay > y) != (by > y)) & right, axis=1) % 2 == 1
+        got |= np.any((s.points[None, :, 0] == x) & (s.points[None, :, 1] == y), axis=1)
+    return out

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 from featurespark.functions import relate
@@ -85,6 +86,76 @@ def _centroid(g):
     return (float(p[:, 0].mean()), float(p[:, 1].mean())) if len(p) else None
 
 
+def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums by group, added in the order of the values."""
+    return np.bincount(groups, values, n)
+
+
+def _rings(flat: Flat):
+    """Of the rings of a batch: part, type, place in the part; and of the segments: ring, and their ends."""
+    part = np.repeat(np.arange(len(flat.part_row)), flat.part_rings)
+    nth = np.arange(len(part)) - np.repeat(np.cumsum(flat.part_rings) - flat.part_rings, flat.part_rings)
+    size = flat.ring_n * flat.ring_dims
+    first = np.cumsum(size) - size
+    n = np.maximum(flat.ring_n - 1, 0)
+    ring = np.repeat(np.arange(len(n)), n)
+    a = first[ring] + (np.arange(len(ring)) - np.repeat(np.cumsum(n) - n, n)) * flat.ring_dims[ring]
+    return part, flat.part_type[part], nth, first, ring, a, a + flat.ring_dims[ring]
+
+
+def _shoelace(flat: Flat, first, ring, a, b):
+    """Cross product of each segment's ends from the ring's first position, those ends, and the ring's signed area."""
+    c = flat.coords
+    x0, y0 = c[first[ring]], c[first[ring] + 1]
+    xa, ya, xb, yb = c[a] - x0, c[a + 1] - y0, c[b] - x0, c[b + 1] - y0
+    cross = xa * yb - xb * ya
+    area = _sums(cross, ring, len(flat.ring_n)) / 2.0
+    return cross, xa, ya, xb, yb, np.where(flat.ring_n < 3, 0.0, area)
+
+
+def _areas(flat: Flat) -> pa.Array:
+    part, kind, nth, first, ring, a, b = _rings(flat)
+    *_, area = _shoelace(flat, first, ring, a, b)
+    sign = np.where(nth == 0, 1.0, -1.0) * (kind == 3)
+    of_part = _sums(np.abs(area) * sign, part, len(flat.part_row))
+    return pa.array(_sums(of_part, flat.part_row, len(flat.valid)), mask=~flat.valid)
+
+
+def _lengths(ptype: int):
+    def run(flat: Flat) -> pa.Array:
+        part, kind, _, _, ring, a, b = _rings(flat)
+        c = flat.coords
+        long = _sums(np.hypot(c[b] - c[a], c[b + 1] - c[a + 1]), ring, len(flat.ring_n))
+        return pa.array(_sums(np.where(kind == ptype, long, 0.0), flat.ring_row, len(flat.valid)), mask=~flat.valid)
+    return run
+
+
+def _centroids(flat: Flat) -> pa.Array:
+    """Points: of the area of polygons, else the mean of the positions; null for empty geometries."""
+    n = len(flat.valid)
+    part, kind, nth, first, ring, a, b = _rings(flat)
+    cross, xa, ya, xb, yb, area = _shoelace(flat, first, ring, a, b)
+    own = (kind == 3) & (flat.ring_n >= 3)
+    sign = np.where((nth == 0) == (area >= 0), 1.0, -1.0) * own
+    whole = _sums(sign * area, flat.ring_row, n)
+    row, *xy = flat.positions()
+    count = flat.counts()
+    out = []
+    for axis, ends in ((0, xa + xb), (1, ya + yb)):
+        origin = np.zeros(len(own))
+        origin[own] = flat.coords[first[own] + axis]
+        moment = _sums(ends * cross, ring, len(flat.ring_n)) / 6.0 + area * origin
+        total = _sums(np.where(own, sign * moment, 0.0), flat.ring_row, n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.where(whole != 0, total / whole, _sums(xy[axis], row, n) / count))
+    made = np.zeros((n, 21), np.uint8)
+    made[:, :2] = 1
+    made[:, 5:] = np.stack(out, axis=1).astype("<f8").view(np.uint8).reshape(n, 16)
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * 21)
+    points = pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(made.tobytes())])
+    return pc.if_else(pa.array(flat.valid & (count > 0)), points, pa.scalar(None, pa.binary()))
+
+
 def _point_wkb(x, y):
     return encode_one({"gtype": 1, "zm": 0, "parts": [{"ptype": 1, "rings": [[[x, y]]]}]})
 
@@ -272,9 +343,36 @@ def _binary(fn, out_type):
     return run
 
 
+def _constant(a: pa.Array) -> bool:
+    return len(a) > 0 and a.null_count == 0 and len(pc.unique(a)) == 1
+
+
+@lru_cache(maxsize=64)
+def _at_most(v):
+    """The greatest double that is no more than a decimal or whole number."""
+    return None if v is None else float(v) if float(v) <= v else float(np.nextafter(float(v), -np.inf))
+
+
+def _against_one(fn, of_batch, out_type):
+    """A symmetric relation of two columns, of a whole batch at once where one of them is a single geometry."""
+    slow = _binary(fn, out_type)
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        if _constant(a) and not _constant(b):
+            a, b = b, a
+        if not _constant(b):
+            return slow(a, b)
+        flat = Flat(a)
+        return pa.array(of_batch(relate.Batch(flat), relate.Shape(_parsed(b[0].as_py()))), out_type, mask=~flat.valid)
+    return run
+
+
 def _values(fn, out_type, n):
     def run(*arrs: pa.Array) -> pa.Array:
         make = lru_cache(maxsize=64)(fn)
+        if all(_constant(a) for a in arrs):
+            one = pa.array([make(*[a[0].as_py() for a in arrs])], type=out_type)
+            return one.take(pa.array(np.zeros(len(arrs[0]), np.int64)))
         cols = [a.to_pylist() for a in arrs]
         return pa.array([None if any(v is None for v in row) else make(*row) for row in zip(*cols)],
                         type=out_type)
@@ -298,10 +396,8 @@ def register(session) -> None:
     D, B, Bin, I, S = T.DoubleType(), T.BooleanType(), T.BinaryType(), T.IntegerType(), T.StringType()
     d, b, y, i = pa.float64(), pa.bool_(), pa.binary(), pa.int32()
     unary = {
-        "st_area": (_area, D, d), "st_length": (_length, D, d), "st_perimeter": (_perimeter, D, d),
         "st_geometrytype": (lambda g: ["POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING",
                                        "MULTIPOLYGON", "GEOMETRYCOLLECTION"][g[0] - 1], S, pa.string()),
-        "st_centroid": (lambda g: None if _centroid(g) is None else _point_wkb(*_centroid(g)), Bin, y),
         "st_geomfromwkb": (lambda g: encode_one({"gtype": g[0], "zm": g[1], "parts": [
             {"ptype": t, "rings": [r.tolist() for r in rs]} for t, rs in g[2]]}), Bin, y),
         "st_asgeojson": (_as_geojson, S, pa.string()), "st_astext": (_as_text, S, pa.string()),
@@ -309,6 +405,7 @@ def register(session) -> None:
     for name, (fn, st, at) in unary.items():
         session.udf.register(name, arrow_udf(_unary(fn, at), st))
     columnar = {
+        "st_area": (_areas, D), "st_length": (_lengths(2), D), "st_perimeter": (_lengths(3), D), "st_centroid": (_centroids, Bin),
         "st_x": (lambda f: f.point(0), D), "st_y": (lambda f: f.point(1), D),
         "st_xmin": (lambda f: f.bounds(0), D), "st_ymin": (lambda f: f.bounds(1), D),
         "st_xmax": (lambda f: f.bounds(2), D), "st_ymax": (lambda f: f.bounds(3), D),
@@ -320,22 +417,26 @@ def register(session) -> None:
     binary = {
         "st_contains": (relate.contains, B, b), "st_within": (lambda a, c: relate.contains(c, a), B, b),
         "st_covers": (relate.covers, B, b), "st_coveredby": (lambda a, c: relate.covers(c, a), B, b),
-        "st_intersects": (relate.intersects, B, b),
-        "st_disjoint": (lambda a, c: not relate.intersects(a, c), B, b),
-        "st_distance": (relate.distance, D, d),
     }
     for name, (fn, st, at) in binary.items():
         session.udf.register(name, arrow_udf(_binary(fn, at), st))
+    symmetric = {
+        "st_intersects": (relate.intersects, relate.Batch.intersects, B, b),
+        "st_disjoint": (lambda a, c: not relate.intersects(a, c), lambda batch, s: ~batch.intersects(s), B, b),
+        "st_distance": (relate.distance, relate.Batch.distance, D, d),
+    }
+    for name, (fn, of_batch, st, at) in symmetric.items():
+        session.udf.register(name, arrow_udf(_against_one(fn, of_batch, at), st))
     session.udf.register("st_point", arrow_udf(_values(_point_wkb, y, 2), Bin))
     session.udf.register("st_makeenvelope", arrow_udf(_values(_envelope_wkb, y, 4), Bin))
     session.udf.register("st_geomfromgeojson", arrow_udf(_values(_from_geojson, y, 1), Bin))
     session.udf.register("st_geomfromtext", arrow_udf(_values(_from_wkt, y, 1), Bin))
 
+    gap = _against_one(relate.distance, relate.Batch.distance, d)
+
     def dwithin(a: pa.Array, c: pa.Array, r: pa.Array) -> pa.Array:
-        out = []
-        for x, z, rad in zip(a.to_pylist(), c.to_pylist(), r.to_pylist()):
-            gx, gz = _parsed(x), _parsed(z)
-            out.append(None if gx is None or gz is None or rad is None else relate.distance(gx, gz) <= rad)
-        return pa.array(out, type=b)
+        # no distance of empty geometries is within any
+        most = r.cast(d) if pa.types.is_floating(r.type) else pa.array([_at_most(v) for v in r.to_pylist()], d)
+        return pc.less_equal(gap(a, c), most)
 
     session.udf.register("st_dwithin", arrow_udf(dwithin, B))

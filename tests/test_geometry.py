@@ -397,3 +397,99 @@ def test_numeric_text():
     from featurespark.operators.predicates import _number
     assert [_number(t) for t in ("12", " -3.5 ", "1e3", ".5", "+7", "3.")] == [12, -3.5, 1000.0, 0.5, 7, 3.0]
     assert [_number(t) for t in ("", "1_000", "inf", "nan", "0x10", "1,5", "--1", "e3")] == [None] * 8
+
+
+def test_batches_encode_like_single_values():
+    from featurespark.functions.wkb import _A_GEOM, _encode_single, encode_one
+
+    rnd = random.Random(13)
+
+    def some():
+        r = random_wkb(rnd)
+        return None if rnd.random() < 0.1 else geom(r[1], r[3], rnd.choice([r[2], r[2], None]) if r[2] == 0 else r[2])
+
+    for size in (0, 1, 60, 60):
+        rows = [some() for _ in range(size)]
+        for cut in (0, 2):
+            arr = pa.array(rows, _A_GEOM).slice(min(cut, size))
+            got = encode_array(arr)
+            got.validate(full=True)
+            assert got.to_pylist() == [encode_one(g) for g in arr.to_pylist()]
+    good, out, _ = _encode_single(pa.array(CASES[:3], _A_GEOM))          # as flat arrays, not row by row
+    assert good.all() and out.tobytes() == b"".join(map(encode_one, CASES[:3]))
+
+
+def test_batches_measure_and_relate_like_single_values():
+    from featurespark.functions import stsql as S
+    from featurespark.functions.wkb import Flat
+
+    rnd = random.Random(14)
+    texts = [BOX, U, HOLED, TWO, "POINT(1 1)", "POINT(4 2)", "MULTIPOINT(2 2, 4 4)", "LINESTRING(0 0, 4 4)", "POLYGON EMPTY",
+             "POLYGON((4 4, 5 4, 5 5, 4 5, 4 4))", "GEOMETRYCOLLECTION(POINT(1 1), LINESTRING(1 1, 2 2))", "LINESTRING(0 4, 4 0)", None]
+    batches = [[t and S._from_wkt(t) for t in texts]]
+    batches += [[random_wkb(rnd)[0] for _ in range(n)] for n in (1, 50)]
+    for rows in batches:
+        arr, single = pa.array(rows, pa.binary()), [r and parse_one(r) for r in rows]
+        flat = Flat(arr)
+        for many, one in ((S._areas, S._area), (S._lengths(2), S._length), (S._lengths(3), S._perimeter)):
+            assert many(flat).to_pylist() == [None if g is None else pytest.approx(one(g)) for g in single]
+        for w, g in zip(S._centroids(flat).to_pylist(), single):
+            want = g and S._centroid(g)
+            assert (w is None) == (want is None)
+            if w is not None and not any(map(math.isnan, want)):
+                assert parse_one(w)[2][0][1][0][0].tolist() == pytest.approx(list(want))
+        batch = relate.Batch(flat)
+        for h in [*batches[0][:-1], rows[0]]:
+            own = relate.Shape(parse_one(h))
+            meet, gap = batch.intersects(own).tolist(), batch.distance(own).tolist()
+            for g, m, d in zip(single, meet, gap):
+                if g is not None:
+                    assert m == relate.intersects(g, parse_one(h))
+                    assert repr(float(d)) == repr(relate.distance(g, parse_one(h)))
+
+
+def test_a_constant_is_related_to_batches(spark, monkeypatch):
+    """A constant geometry goes against a batch, not against its rows one by one."""
+    from featurespark.functions import stsql as S
+
+    def never(*_):
+        raise AssertionError("row by row")
+
+    monkeypatch.setattr(S, "_binary", lambda *_: never)
+    rows = pa.array([S._from_wkt("POINT(1 1)"), None, S._from_wkt("POINT(7 1)")], pa.binary())
+    one = pa.array([S._from_wkt(BOX)] * 3, pa.binary())
+    near = S._against_one(relate.intersects, relate.Batch.intersects, pa.bool_())
+    assert near(rows, one).to_pylist() == near(one, rows).to_pylist() == [True, None, False]
+    assert S._at_most(__import__("decimal").Decimal("0.05")) < 0.05 <= S._at_most(0.05)
+
+
+def test_extents_and_points_of_a_batch(spark):
+    from featurespark.functions.wkb import wkb_decode, wkb_extent, wkb_point
+
+    rnd = random.Random(15)
+    df = spark.createDataFrame([(i, r and r[0]) for i, r in enumerate([None, *[random_wkb(rnd) for _ in range(80)]])], "i int, w binary")
+    nan = struct.pack("<BIIdddd", 1, 2, 2, math.nan, 1.0, 2.0, math.nan)
+    rows = df.union(spark.createDataFrame([(-1, nan)], df.schema)).withColumn("g", wkb_decode("w")).select(
+        wkb_extent(F.col("w")).alias("box"), G.extent("g").alias("want"), wkb_point(F.col("w")).alias("p"),
+        F.when(F.size("g.parts") > 0, F.struct(G.point_x("g"), G.point_y("g"))).alias("at")).collect()
+    assert [repr(r["box"]) for r in rows] == [repr(r["want"]) for r in rows]
+    assert all(tuple(r["p"]) == (tuple(r["at"]) if r["at"] else (None, None)) for r in rows if r["p"])
+
+
+def test_candidates_are_tested_where_they_are_found(layers, spark, tmp_path):
+    """Features that lie on each other make many candidates: these are not shuffled, and identify keeps few of a batch."""
+    from featurespark import Layers
+    from featurespark.functions.wkb import edge_array, topmost_array
+    from featurespark.functions.stsql import _from_wkt
+    from featurespark.operators import spatial as SP
+
+    for n in ("sites", "parcels"):
+        layers.read(n).write.parquet(str(tmp_path / f"{n}.parquet"))
+    own = Layers(layers.base, str(tmp_path))
+    join = SP.points_in_polygons(own.read("sites"), own.read("parcels"), ["site_id"], ["parcel_id"])
+    top = SP.identify(own.read("sites"), [("parcels", own.read("parcels"), "parcel_id")], ["site_id"])
+    assert [d._jdf.queryExecution().optimizedPlan().toString().count("Join") for d in (join, top)] == [1, 1]
+    e = edge_array(pa.array([_from_wkt(BOX)]))[0].as_py()
+    got = topmost_array(pa.array([1.0] * 7), pa.array([1.0] * 6 + [9.0]), pa.array([e] * 7), pa.array([1, 1, 2, 1, 2, 1, 3]),
+                        pa.array([0, -1, 0, -1, 0, -1, 0]), pa.array(["a", "c", None, "b", "a", "b", "a"]))
+    assert got.to_pylist() == [False, False, True, True, False, False, False]
