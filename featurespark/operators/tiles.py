@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from featurespark.errors import LayerQueryError
 from featurespark.functions import geometry as G
 from featurespark.functions.crs import IDENTITY_EPSG, to_4326
-from featurespark.functions.wkb import wkb_decode
+from featurespark.functions.wkb import wkb_decode, wkb_extent
 
 # --- fixed values: Web-Mercator limits and pyramid defaults ---
 MAX_LAT = 85.0511287798066
@@ -68,6 +68,8 @@ def with_bbox_4326(df: DataFrame, epsg: int, geom_col: str = "geometry") -> Data
     stored = extent_column(df.schema)
     if epsg in IDENTITY_EPSG and stored:
         return df.withColumn("__bb", F.col(f"`{stored}`"))
+    if epsg in IDENTITY_EPSG:
+        return df.withColumn("__bb", wkb_extent(F.col(f"`{geom_col}`")))
     dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
     return dec.withColumn("__bb", G.extent(to_4326(F.col("__g"), epsg))).drop("__g")
 
@@ -138,8 +140,19 @@ def thin_tiles(tiles: DataFrame, id_col: str, cap: int = DEFAULT_CAP) -> DataFra
 
 
 def _top_zoom(bb: DataFrame, id_col: str, zmax: int, cap: int) -> int:
-    """The first zoom from ``zmax`` on where no tile holds more than ``cap`` features."""
+    """The first zoom from ``zmax`` on where no tile holds more than ``cap`` features.
+
+    The tile of a feature's upper left corner is one of its tiles, so zooms where a tile holds more corners than ``cap`` are passed over
+    after a single count of a row a feature and zoom; only the others are counted in all tiles.
+    """
+    b = F.col("__bb")
+    corners = bb.where(b.isNotNull()).select(b.alias("__bb"), F.explode(F.sequence(F.lit(zmax), F.lit(LAST_ZOOM))).alias("z")) \
+        .select("z", tile_x(b["xmin"], F.col("z")).alias("x"), tile_y(b["ymax"], F.col("z")).alias("y"))
+    crowded = {r["z"] for r in tile_density(corners).where(F.col("n") > cap).select("z").distinct().collect()}
     while zmax < LAST_ZOOM:
+        if zmax in crowded:
+            zmax += 1
+            continue
         most = tile_density(assign_tiles(bb, [id_col], zmax, zmax)).agg(F.max("n")).first()[0]
         if (most or 0) <= cap:
             break
@@ -152,8 +165,8 @@ def refine_tiles(bb: DataFrame, id_cols: list[str], z: int, cap: int, folder: st
 
     At every level the tiles of the frontier with more than ``cap`` features are thinned and divided (at ``LAST_ZOOM``
     kept whole); the rest of the frontier is complete. A feature goes on only into those of the four children that its extent touches,
-    so a row becomes four at most, however large the feature. Each level is written below ``folder``,
-    so lost tasks repeat one level and nothing is decoded twice.
+    so a row becomes four at most, however large the feature. Each level that may be divided is written below ``folder``,
+    so lost tasks repeat one level and nothing is decoded twice; the rows of ``LAST_ZOOM``, the most of all, are not.
     """
     spark = bb.sparkSession
     ids = [F.col(f"`{c}`") for c in id_cols]
@@ -163,11 +176,14 @@ def refine_tiles(bb: DataFrame, id_cols: list[str], z: int, cap: int, folder: st
     frontier = assign_tiles(whole, ["__one"], z, z, bbox_col).select("__one.*", "z", "x", "y")
     levels = []
     while True:
+        if z >= LAST_ZOOM:
+            levels.append(frontier.select(*ids, "z", "x", "y"))
+            break
         path = f"{folder}/z{z}"
         frontier.write.mode("overwrite").parquet(path)
         frontier = spark.read.parquet(path)
         full = tile_density(frontier).where(F.col("n") > cap).drop("n")
-        if z >= LAST_ZOOM or full.isEmpty():
+        if full.isEmpty():
             levels.append(frontier.select(*ids, "z", "x", "y"))
             break
         crowded = frontier.join(full, ["z", "x", "y"])

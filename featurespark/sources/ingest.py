@@ -51,7 +51,7 @@ from featurespark import params
 from featurespark.errors import LayerQueryError
 from featurespark.functions import geometry as G
 from featurespark.functions.crs import to_4326
-from featurespark.functions.wkb import wkb_decode
+from featurespark.functions.wkb import wkb_decode, wkb_extent
 from featurespark.sources.manifest import (EMPTY, _fs, commit, literal_path, read_manifest, read_text, replace_file,
                                            trim_log)
 from featurespark.sources.statistics import STATISTICS, write_statistics
@@ -257,8 +257,8 @@ def with_bbox(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     if extent_column(df.schema):
         return df
     name = next(n for n in ("bbox", *(f"bbox_{i}" for i in range(1, 1000))) if n not in df.columns)
-    dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
-    return dec.select("*", G.extent(F.col("__g")).alias(name, metadata={"covering": geom_col})).drop("__g")
+    return df.withColumn(name, wkb_extent(F.col(f"`{geom_col}`"))).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.col(name).alias(name, metadata={"covering": geom_col}))
 
 
 def _spread(v):

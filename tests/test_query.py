@@ -362,3 +362,22 @@ def test_entry(spark):
     import __spark_entry__ as E
     rows = E.entry(spark).collect()
     assert len(rows) == 100 and rows[0]["pos"] == 21
+
+
+def test_stacks_are_not_spread_over_every_zoom(layers, tmp_path, monkeypatch):
+    """Zooms where the corners alone exceed the cap are not counted in all tiles, and the last zoom is not written."""
+    import os
+
+    from featurespark.operators import tiles
+
+    one = layers.read("parcels").limit(1).select("bbox", "geometry")
+    stack = layers.read("parcels").limit(9).select("parcel_id").crossJoin(one).withColumn("__bb", F.col("bbox"))
+    spread = []
+    assign = tiles.assign_tiles
+    monkeypatch.setattr(tiles, "assign_tiles", lambda df, ids, z0, z1, *a, **k: spread.append(z0) or assign(df, ids, z0, z1, *a, **k))
+    assert tiles._top_zoom(stack, "parcel_id", 20, 8) == tiles.LAST_ZOOM and spread == []
+    assert tiles._top_zoom(stack, "parcel_id", 5, 9) == 5 and spread == [5]
+    monkeypatch.setattr(tiles, "LAST_ZOOM", 14)
+    out = tiles.refine_tiles(stack.select("parcel_id", "__bb"), ["parcel_id"], 12, 3, str(tmp_path / "levels"))
+    assert sorted(os.listdir(tmp_path / "levels")) == ["z12", "z13"]
+    assert out.where("z = 14").select("parcel_id").distinct().count() == 9
