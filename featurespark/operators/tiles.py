@@ -16,20 +16,23 @@ Web-Mercator tile arithmetic in native functions, for zoom ``z`` and
   ``cap / 4``), bounded by 14.
 * ``thin_tiles``: keep at most ``cap`` features per tile, dropping features
   in the densest sub-cells (zoom + 4 grid) first, ties by feature id. Each
-  sub-cell keeps its ``cap`` best first, and every task does so before the
-  shuffle, so a tile that holds the whole layer is ranked from few rows.
+  task keeps a tile's ``cap`` best before the shuffle, so a tile that holds
+  the whole layer is ranked from few rows.
 * ``refine_tiles``: from a zoom on, a quadtree: only tiles that hold more than ``cap`` features are
   divided, and only the features in them go on. A tile with fewer is complete and
   has no children; whatever lies in a few crowded tiles, the others stay as they are.
 * ``build_tiles``: zoom guess, extension while a tile still drops features, either of
   those tiles alone (``refine``) or of the whole zoom, assignment, thinning. Every feature is somewhere in the
-  pyramid in a tile that drops nothing.
+  pyramid in a tile that drops nothing. ``write_tiles`` stores the same rows zoom by zoom.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +50,8 @@ SUBCELL_BITS = 4
 LAST_ZOOM = 24           # tiles of this zoom are a few metres wide: extension ends here
 # ----------------------------------------------------------------
 
+ZOOMS_AT_ONCE = 3        # zooms of a layer whose rows are written together
+
 
 def tile_x(lon: Column, z: Column) -> Column:
     n = F.pow(F.lit(2.0), z)
@@ -119,23 +124,26 @@ def guess_max_zoom(df: DataFrame, cap: int = DEFAULT_CAP, target: float | None =
     return ok.select(F.coalesce(F.col("z"), F.lit(ZOOM_LIMIT)).cast("int").alias("zoom"))
 
 
-def thin_tiles(tiles: DataFrame, id_col: str, cap: int = DEFAULT_CAP) -> DataFrame:
+def thin_tiles(tiles: DataFrame, id_col: str, cap: int = DEFAULT_CAP, stored: str | None = None) -> DataFrame:
     """Keep <= ``cap`` features per tile, sparsest sub-cells first, ties by id.
 
     The ranks are limits, so Spark applies them in each task before the shuffle as well
-    (the query session lifts the optimizer's threshold for that above ``cap``).
+    (the query session lifts the optimizer's threshold for that above ``cap``). With ``stored`` the densities, a row
+    a sub-cell, are written there first, so that Spark knows their size and need not deal the tiles to join them.
     """
     # density of the feature's centre sub-cell at zoom z + SUBCELL_BITS
-    # (``tiles`` carries the centre ``cx``/``cy`` from ``assign_tiles``)
+    # (``tiles`` carries the centre ``cx``/``cy`` from ``assign_tiles``, or that sub-cell itself)
     t = tiles.withColumnRenamed(id_col, "__id")
-    zs = F.col("z") + F.lit(SUBCELL_BITS)
-    t = t.withColumn("sx", tile_x(F.col("cx"), zs)).withColumn("sy", tile_y(F.col("cy"), zs))
+    if "sx" not in t.columns:
+        zs = F.col("z") + F.lit(SUBCELL_BITS)
+        t = t.withColumn("sx", tile_x(F.col("cx"), zs)).withColumn("sy", tile_y(F.col("cy"), zs))
     dens = t.groupBy("z", "sx", "sy").agg(F.count(F.lit(1)).alias("dens"))
+    if stored:
+        dens.write.mode("overwrite").parquet(stored)
+        dens = t.sparkSession.read.schema(dens.schema).parquet(stored)
     t = t.join(dens, ["z", "sx", "sy"])
-    key = [F.col("dens").asc(), F.col("__id").asc()]
-    for group in (["z", "x", "y", "sx", "sy"], ["z", "x", "y"]):
-        w = Window.partitionBy(*group).orderBy(*key)
-        t = t.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= cap).drop("__rank")
+    w = Window.partitionBy("z", "x", "y").orderBy(F.col("dens").asc(), F.col("__id").asc())
+    t = t.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= cap)
     return t.select(F.col("__id").alias(id_col), "z", "x", "y", "dens")
 
 
@@ -160,91 +168,153 @@ def _top_zoom(bb: DataFrame, id_col: str, zmax: int, cap: int) -> int:
     return zmax
 
 
-def refine_tiles(bb: DataFrame, id_cols: list[str], z: int, cap: int, folder: str, bbox_col: str = "__bb") -> DataFrame:
-    """``(id..., z, x, y)`` of the quadtree below zoom ``z``.
+def _unfolded(tiles: DataFrame) -> DataFrame:
+    """The rows of the last zoom, which come with the children of a tile in ranges; other frames as they are."""
+    if "__xs" not in tiles.columns:
+        return tiles
+    out = tiles.withColumn("x", F.explode("__xs")).drop("__xs")
+    return out.withColumn("y", F.explode("__ys")).drop("__ys")
 
-    At every level the tiles of the frontier with more than ``cap`` features are thinned and divided (at ``LAST_ZOOM``
-    kept whole); the rest of the frontier is complete. A feature goes on only into those of the four children that its extent touches,
-    so a row becomes four at most, however large the feature. Each level that may be divided is written below ``folder``,
-    so lost tasks repeat one level and nothing is decoded twice; the rows of ``LAST_ZOOM``, the most of all, are not.
+
+def _refined(bb: DataFrame, id_cols: list[str], z: int, cap: int, folder: str, bbox_col: str = "__bb") -> Iterator[tuple[int, Callable[[], DataFrame]]]:
+    """``refine_tiles`` zoom by zoom, as ``(zoom, what makes its frame)``; the last frame may have to be unfolded.
+
+    A feature's tiles are those of its range of tiles at ``LAST_ZOOM``, shifted, so its extent is turned into numbers of tiles once and
+    a tile's children are two short ranges.
     """
     spark = bb.sparkSession
     ids = [F.col(f"`{c}`") for c in id_cols]
-    b = F.col(bbox_col)
-    centre = [((b["xmin"] + b["xmax"]) / 2).alias("cx"), ((b["ymin"] + b["ymax"]) / 2).alias("cy")]
-    whole = bb.select(F.struct(*ids, bbox_col).alias("__one"), bbox_col)
-    frontier = assign_tiles(whole, ["__one"], z, z, bbox_col).select("__one.*", "z", "x", "y")
-    levels = []
-    while True:
-        if z >= LAST_ZOOM:
-            levels.append(frontier.select(*ids, "z", "x", "y"))
-            break
+    b, last, fine = F.col(bbox_col), F.lit(LAST_ZOOM), F.lit(LAST_ZOOM + SUBCELL_BITS)
+    spans = [tile_x(b["xmin"], last).alias("__x0"), tile_x(b["xmax"], last).alias("__x1"),
+             tile_y(b["ymax"], last).alias("__y0"), tile_y(b["ymin"], last).alias("__y1"),
+             tile_x((b["xmin"] + b["xmax"]) / 2, fine).alias("__sx"), tile_y((b["ymin"] + b["ymax"]) / 2, fine).alias("__sy")]
+    names = ["__x0", "__x1", "__y0", "__y1", "__sx", "__sy"]
+    whole = bb.where(b.isNotNull()).select(F.struct(*ids, *spans).alias("__one"), bbox_col)
+    frontier = assign_tiles(whole, ["__one"], z, z, bbox_col).select("__one.*", "x", "y")
+    while z < LAST_ZOOM:
         path = f"{folder}/z{z}"
-        frontier.write.mode("overwrite").parquet(path)
-        frontier = spark.read.parquet(path)
-        full = tile_density(frontier).where(F.col("n") > cap).drop("n")
+        # a tile's rows lie together, so that they are counted before the shuffle; Spark splits the parts that are too large
+        frontier.hint("rebalance", F.col("x"), F.col("y")).write.mode("overwrite").parquet(path)
+        frontier = spark.read.schema(frontier.schema).parquet(path).withColumn("__tile", F.shiftleft("x", 32).bitwiseOR(F.col("y")))
+        full = frontier.groupBy("__tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("__tile")
+        full.write.mode("overwrite").parquet(f"{path}/_crowded")
+        full = spark.read.schema(full.schema).parquet(f"{path}/_crowded")
         if full.isEmpty():
-            levels.append(frontier.select(*ids, "z", "x", "y"))
             break
-        crowded = frontier.join(full, ["z", "x", "y"])
-        levels.append(frontier.join(full, ["z", "x", "y"], "left_anti").select(*ids, "z", "x", "y"))
-        one = F.struct(*ids).alias("__one")
-        thinned = thin_tiles(crowded.select(one, "z", "x", "y", *centre), "__one", cap)
-        levels.append(thinned.select("__one.*", "z", "x", "y"))
+        crowded = frontier.join(full, "__tile")
+        yield z, partial(_level, frontier, full, crowded, id_cols, z, cap, path)
         z += 1
-        nx, ny = F.col("x") * 2, F.col("y") * 2
-        low = [tile_x(b["xmin"], F.lit(z)), tile_y(b["ymax"], F.lit(z))]
-        high = [tile_x(b["xmax"], F.lit(z)), tile_y(b["ymin"], F.lit(z))]
-        child = F.filter(F.array(*[F.struct((nx + i).alias("x"), (ny + j).alias("y")) for i in (0, 1) for j in (0, 1)]),
-                         lambda c: c["x"].between(low[0], high[0]) & c["y"].between(low[1], high[1]))
-        frontier = crowded.select(*ids, bbox_col, F.lit(z).alias("z"), F.explode(child).alias("__c")) \
-            .select(*ids, "z", "__c.x", "__c.y", bbox_col)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+        children = [F.sequence(F.greatest(F.shiftright(low, LAST_ZOOM - z), F.col(c) * 2),
+                               F.least(F.shiftright(high, LAST_ZOOM - z), F.col(c) * 2 + 1)).alias(f"__{c}s")
+                    for c, low, high in (("x", "__x0", "__x1"), ("y", "__y0", "__y1"))]
+        frontier = crowded.select(*ids, *names, *children)
+        if z < LAST_ZOOM:
+            frontier = _unfolded(frontier)
+    end = frontier.select(*ids, F.lit(z).alias("z"), *[c for c in ("x", "y", "__xs", "__ys") if c in frontier.columns])
+    yield z, lambda: end
 
 
-def build_tiles(df: DataFrame, epsg: int, id_col: str | None = None, zmin: int = 0,
-                zmax: int | None = None, cap: int = DEFAULT_CAP, extend: bool = True,
-                geom_col: str = "geometry", refine: bool = False, folder: str | None = None) -> DataFrame:
-    """``(z, x, y, feature, geometry)`` tile table of a layer.
+def _level(frontier: DataFrame, full: DataFrame, crowded: DataFrame, id_cols: list[str], z: int, cap: int, path: str) -> DataFrame:
+    """The tiles of a zoom that are complete, and the crowded ones thinned."""
+    ids, tile = [F.col(f"`{c}`") for c in id_cols], [F.lit(z).alias("z"), "x", "y"]
+    cell = [F.shiftright(c, LAST_ZOOM - z).alias(c[2:]) for c in ("__sx", "__sy")]
+    one, back = (ids[0], F.col("__one").alias(id_cols[0])) if len(ids) == 1 else (F.struct(*ids), "__one.*")
+    thinned = thin_tiles(crowded.select(one.alias("__one"), *tile, *cell), "__one", cap, f"{path}/_density").select(back, "z", "x", "y")
+    return frontier.join(full, "__tile", "left_anti").select(*ids, *tile).unionByName(thinned)
 
-    ``feature`` is the feature's JSON properties; ``geometry`` its GeoJSON in
-    EPSG:4326. Features are told apart by ``id_col`` or else by their place in the layer's
-    files. With ``extend`` the top zoom holds every feature; without, it is thinned as well. With ``refine`` only the
-    tiles of the top zoom that drop features are extended. Extents are decoded once, into ``folder``, where
-    the levels of ``refine`` are written too; the caller removes it when the frame has been used (default: a folder of its own in the
-    checkpoint folder).
+
+def refine_tiles(bb: DataFrame, id_cols: list[str], z: int, cap: int, folder: str, bbox_col: str = "__bb") -> DataFrame:
+    """``(id..., z, x, y)`` of the quadtree below zoom ``z``.
+
+    At every level the tiles of the frontier with more than ``cap`` features are thinned and divided (at ``LAST_ZOOM``
+    kept whole); the rest of the frontier is complete. A feature goes on only into those of the four children that its extent touches,
+    so a row becomes four at most, however large the feature. Each level that may be divided is written below ``folder``,
+    so lost tasks repeat one level and nothing is decoded twice; the rows of ``LAST_ZOOM``, the most of all, are not.
     """
+    return reduce(DataFrame.unionByName, [_unfolded(made()) for _, made in _refined(bb, id_cols, z, cap, folder, bbox_col)])
+
+
+def _file_ids(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the place of a row in the layer's files as one number, which orders rows as file and row do."""
+    from featurespark.operators.query import FILE, ROW
+
+    df = df.withColumns({"__file": F.col(FILE), "__row": F.col(ROW)})
+    files = df.select("__file").distinct().withColumn("__no", F.row_number().over(Window.orderBy("__file")).cast("long"))
+    return df.join(F.broadcast(files), "__file").withColumn(name, F.shiftleft("__no", 40).bitwiseOR(F.col("__row"))) \
+        .drop("__file", "__row", "__no")
+
+
+def _pyramid(df: DataFrame, epsg: int, id_col: str | None, zmin: int, zmax: int | None, cap: int, extend: bool,
+             geom_col: str, refine: bool, folder: str | None) -> Iterator[tuple[int | None, Callable[[], DataFrame]]]:
+    """``build_tiles`` in parts, as ``(zoom, what makes its frame)``; no zoom where the frame holds several."""
     from featurespark.functions.jsonfmt import json_object
-    from featurespark.operators.query import FILE, ROW, has_file_order
+    from featurespark.operators.query import has_file_order
     from featurespark.operators.spatial import extent_column
+    from featurespark.session import checkpoint_dir
 
-    attrs = [c for c in df.columns if c not in (geom_col, extent_column(df.schema))]
+    schema, attrs = df.schema, [c for c in df.columns if c not in (geom_col, extent_column(df.schema))]
     if id_col is None:
         if not has_file_order(df):
             raise LayerQueryError("tiles of a derived layer need an id column")
-        df = df.withColumn("__fid", F.struct(F.col(FILE).alias("file"), F.col(ROW).alias("row")))
         id_col = "__fid"
-    from featurespark.session import checkpoint_dir
-
-    folder = folder or f"{checkpoint_dir(df.sparkSession)}/tiles-{uuid.uuid4().hex}"
+        df = _file_ids(df, id_col)
+    spark = df.sparkSession
+    folder = folder or f"{checkpoint_dir(spark)}/tiles-{uuid.uuid4().hex}"
     with_bbox_4326(df, epsg, geom_col).select(F.col(f"`{id_col}`"), "__bb").write.mode("overwrite").parquet(f"{folder}/extents")
-    bb = df.sparkSession.read.parquet(f"{folder}/extents")
+    bb = spark.read.parquet(f"{folder}/extents")
+    dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
+    feats = dec.select(F.col(f"`{id_col}`"), json_object(schema, attrs).alias("feature"),
+                       G.geojson(to_4326(F.col("__g"), epsg)).alias("geometry"))
+    if refine and extend:    # every zoom takes its features from there
+        feats.write.mode("overwrite").parquet(f"{folder}/features")
+        feats = spark.read.parquet(f"{folder}/features")
+
+    def told(tiles: DataFrame) -> DataFrame:
+        # the children of a crowded tile are counted out after the join, which is of a row a tile and feature
+        return _unfolded(tiles.join(feats, id_col)).select("z", "x", "y", "feature", "geometry")
+
     if zmax is None:
         zmax = guess_max_zoom(bb, cap, zmin=zmin).first()["zoom"]
     zmax = max(zmax, zmin)
     if extend and not refine:
         zmax = _top_zoom(bb, id_col, zmax, cap)
     thinned = zmax - 1 if extend else zmax
-    kept = thin_tiles(assign_tiles(bb, [id_col], zmin, thinned), id_col, cap).select(id_col, "z", "x", "y") \
-        if thinned >= zmin else None
-    if extend:
-        top = refine_tiles(bb, [id_col], zmax, cap, folder) if refine else \
-            assign_tiles(bb, [id_col], zmax, zmax).select(id_col, "z", "x", "y")
-        kept = top if kept is None else kept.unionByName(top)
-    dec = df.withColumn("__g", wkb_decode(F.col(f"`{geom_col}`")))
-    feats = dec.select(F.col(f"`{id_col}`"), json_object(df.schema, attrs).alias("feature"),
-                       G.geojson(to_4326(F.col("__g"), epsg)).alias("geometry"))
-    return kept.join(feats, id_col).select("z", "x", "y", "feature", "geometry")
+    if thinned >= zmin:
+        yield None, lambda: told(thin_tiles(assign_tiles(bb, [id_col], zmin, thinned), id_col, cap))
+    if extend and refine:
+        for z, made in _refined(bb, [id_col], zmax, cap, folder):
+            yield z, lambda made=made: told(made())
+    elif extend:
+        yield zmax, lambda: told(assign_tiles(bb, [id_col], zmax, zmax))
+
+
+def build_tiles(df: DataFrame, epsg: int, id_col: str | None = None, zmin: int = 0,
+                zmax: int | None = None, cap: int = DEFAULT_CAP, extend: bool = True,
+                geom_col: str = "geometry", refine: bool = False, folder: str | None = None) -> DataFrame:
+    """``(z, x, y, feature, geometry)`` tile table of a layer.
+
+    ``feature`` is the feature's JSON properties; ``geometry`` its GeoJSON in
+    EPSG:4326. Features are told apart by ``id_col`` or else by their place in the layer's
+    files. With ``extend`` the top zoom holds every feature; without, it is thinned as well. With ``refine`` only the
+    tiles of the top zoom that drop features are extended. Extents are decoded once, into ``folder``, where
+    the levels of ``refine`` are written too; the caller removes it when the frame has been used (default: a folder of its own in the
+    checkpoint folder).
+    """
+    parts = _pyramid(df, epsg, id_col, zmin, zmax, cap, extend, geom_col, refine, folder)
+    return reduce(DataFrame.unionByName, [made() for _, made in parts])
+
+
+def write_tiles(df: DataFrame, epsg: int, target: str, id_col: str | None = None, zmin: int = 0, zmax: int | None = None,
+                cap: int = DEFAULT_CAP, extend: bool = True, geom_col: str = "geometry", refine: bool = False,
+                folder: str | None = None) -> None:
+    """The rows of ``build_tiles`` as ``<target>/z=<zoom>``, a job a zoom: rows with their texts are never sorted by zoom. A zoom is
+    written while the next ones are divided."""
+    def write(z: int | None, made: Callable[[], DataFrame]) -> None:
+        if z is None:        # appends, as do the others: they share the folder
+            made().write.mode("append").partitionBy("z").parquet(target)
+        else:
+            made().drop("z").write.mode("overwrite").parquet(f"{target}/z={z}")
+
+    with ThreadPoolExecutor(ZOOMS_AT_ONCE) as pool:
+        for job in [pool.submit(write, *part) for part in _pyramid(df, epsg, id_col, zmin, zmax, cap, extend, geom_col, refine, folder)]:
+            job.result()

@@ -427,12 +427,11 @@ def _convert(s: SparkSession, opts: IngestOptions, r, folder: str, size: int) ->
         files["geojson"] = f"geojson/{r['layer']}"
         export_geojson(written, epsg, f"{folder}/{files['geojson']}", geom)
     if opts.make_tiles:
-        from featurespark.operators.tiles import build_tiles
+        from featurespark.operators.tiles import write_tiles
 
         files["tiles"] = f"tiles/{r['layer']}"
         work = f"{folder}/_tiles/{r['layer']}"
-        build_tiles(written, epsg, geom_col=geom, folder=work, **{"refine": True, **opts.tile_args}) \
-            .write.mode("overwrite").partitionBy("z").parquet(f"{folder}/{files['tiles']}")
+        write_tiles(written, epsg, f"{folder}/{files['tiles']}", geom_col=geom, folder=work, **{"refine": True, **opts.tile_args})
         fs, done = _fs(s, work)
         fs.delete(done, True)
     return files, facts

@@ -381,3 +381,48 @@ def test_stacks_are_not_spread_over_every_zoom(layers, tmp_path, monkeypatch):
     out = tiles.refine_tiles(stack.select("parcel_id", "__bb"), ["parcel_id"], 12, 3, str(tmp_path / "levels"))
     assert sorted(os.listdir(tmp_path / "levels")) == ["z12", "z13"]
     assert out.where("z = 14").select("parcel_id").distinct().count() == 9
+
+
+def test_stored_pyramid_of_a_stack(layers, tmp_path, monkeypatch):
+    """Zooms are stored one by one; the rows are those of the frame, the last zoom whole."""
+    from featurespark import Layers
+    from featurespark.operators import tiles
+
+    monkeypatch.setattr(tiles, "LAST_ZOOM", 10)
+    p = layers.read("parcels").where("parcel_id < 25")
+    one = p.where("parcel_id = 3").select("bbox", "geometry")
+    p.unionByName(p.drop("bbox", "geometry").where("parcel_id < 7").withColumn("parcel_id", F.col("parcel_id") + 100).crossJoin(one)) \
+        .repartition(3).write.parquet(str(tmp_path / "p.parquet"))
+    df = Layers(layers.base, str(tmp_path)).read("p")
+    args = dict(zmin=7, zmax=8, cap=4, refine=True)
+    tiles.write_tiles(df, 7844, str(tmp_path / "t"), folder=str(tmp_path / "w1"), **args)
+    rows = [tuple(r) for r in df.sparkSession.read.parquet(str(tmp_path / "t")).select("z", "x", "y", "feature", "geometry").collect()]
+    built = tiles.build_tiles(df, 7844, folder=str(tmp_path / "w2"), **args)
+    assert sorted(rows) == sorted(tuple(r) for r in built.collect())
+    # the last zoom holds the stack whole, in every tile that one of it touches
+    last = df.sparkSession.createDataFrame([r for r in rows if r[0] == 10], "z int, x long, y long, feature string, geometry string")
+    got = last.select(F.get_json_object("feature", "$.parcel_id").cast("long").alias("parcel_id"), "x", "y")
+    stacked = F.expr("parcel_id = 3 or parcel_id >= 100")
+    boxes = df.where(stacked).select("parcel_id", F.col("bbox").alias("__bb"))
+    want = tiles.assign_tiles(boxes, ["parcel_id"], 10, 10).select("parcel_id", "x", "y").collect()
+    assert sorted(map(tuple, got.where(stacked).collect())) == sorted(map(tuple, want)) and len(want) == 8 * len({r[1:] for r in want})
+
+
+def test_levels_keep_the_tiles_of_a_stack_together(layers, tmp_path, monkeypatch):
+    """A level is dealt by tile when it is written, so more tasks than one divide it and each counts a tile once."""
+    from featurespark.operators import tiles
+
+    monkeypatch.setattr(tiles, "LAST_ZOOM", 20)
+    one = layers.read("parcels").where("parcel_id < 5").select("bbox")
+    stack = layers.spark.range(0, 4000, 1, 1).withColumnRenamed("id", "parcel_id").crossJoin(F.broadcast(one)) \
+        .select(F.expr("parcel_id * 10").alias("parcel_id"), F.col("bbox").alias("__bb"))
+    size = "spark.sql.adaptive.coalescePartitions.minPartitionSize"      # a test's level is small
+    layers.spark.conf.set(size, "1KB")
+    try:
+        out = tiles.refine_tiles(stack, ["parcel_id"], 18, 50, str(tmp_path / "levels"))
+    finally:
+        layers.spark.conf.unset(size)
+    at = layers.spark.read.parquet(str(tmp_path / "levels" / "z19")).select("x", "y", F.col("_metadata.file_path").alias("f"))
+    assert at.select("f").distinct().count() > 1
+    assert at.groupBy("x", "y").agg(F.countDistinct("f").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert out.where("z = 19").groupBy("x", "y").count().agg(F.max("count")).first()[0] == 50
