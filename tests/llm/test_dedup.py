@@ -242,3 +242,14 @@ def test_packed_texts_are_opened_a_part_at_a_time(monkeypatch):
     parts = [(some.tolist(), buf.tobytes().decode()) for some, buf, _ in
              substring_dedup._chunks(pa.RecordBatch.from_arrays([packed], names=["packed"]), 13)]
     assert parts == [([*range(lo, min(lo + 10, 35))], "".join(texts[lo:lo + 10])) for lo in range(0, 35, 10)]
+
+
+def test_fuzzy_lines_free_the_disk_of_each_step(spark, monkeypatch):
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    write, before = line_dedup.materialize, spark.conf.get(name)
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: seen.append((label, spark.conf.get(name))) or write(df, label))
+    line_dedup.repeated_lines(spark.createDataFrame([(1, "a line of words\nanother one"), (2, "a line of wards")], "doc_id long, text string"),
+                              distance=None)
+    # the documents' lines are not sampled twice: what the second round compares was put aside by the first
+    assert {s[1] for s in seen} == {"true"} and {"buckets", "more-candidates"} <= {s[0] for s in seen}
+    assert spark.conf.get(name) == before
