@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featurespark.functions.wkb import point_inside, point_topmost, polygon_edges, wkb_extent, wkb_point
+from featurespark.functions.wkb import point_inside, point_topmost, polygon_edges, wkb_extent, wkb_point_once
 
 _BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -73,7 +73,7 @@ def point_xy(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
         b = F.col(f"`{stored}`")
         is_pt = (b["xmin"] == b["xmax"]) & (b["ymin"] == b["ymax"])
         return df.withColumn("__x", F.when(is_pt, b["xmin"])).withColumn("__y", F.when(is_pt, b["ymin"]))
-    dec = df.withColumn("__pt", wkb_point(F.col(f"`{geom_col}`")))
+    dec = df.withColumn("__pt", wkb_point_once(F.col(f"`{geom_col}`")))
     return dec.withColumn("__x", F.col("__pt.x")).withColumn("__y", F.col("__pt.y")).drop("__pt")
 
 
@@ -101,9 +101,7 @@ def _candidates(points: DataFrame, polygons: DataFrame, polygon_cols: list[str],
     poly = poly.select("*", F.explode(F.sequence(_cell(F.col("__bb.ymin"), F.col("__lvl")),
                                                  _cell(F.col("__bb.ymax"), F.col("__lvl")))).alias("__cy"))
 
-    # NULL coordinates drop out at the equi-join (NULL keys never match); an
-    # explicit filter here would be pushed below the projection and make Spark
-    # evaluate the decode twice.
+    # NULL coordinates drop out at the equi-join (NULL keys never match)
     at = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
     pts = point_xy(points, point_geom).drop(point_geom).select("*", F.explode(at).alias("__lvl"))
     pts = pts.select("*", _cell(F.col("__x"), F.col("__lvl")).alias("__cx"),

@@ -246,6 +246,15 @@ def test_spatial_join_sizes_and_edges(layers):
     assert got == {(i, k) for i, (x, y) in pts.items() for k in range(25) if 0 < y < x < k + 4}
 
 
+def test_points_are_decoded_once_for_a_join(layers):
+    from featurespark.operators.spatial import points_in_polygons
+
+    for points in ("lattice", "crowd"):
+        df = points_in_polygons(layers.read(points), layers.read("nested"), ["site_id"], ["square_id"])
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("ArrowEvalPython" in line and "point_array" in line for line in plan.splitlines()) == 1
+
+
 def test_levels_cover_their_extent(spark):
     from featurespark.operators.spatial import _level
 
