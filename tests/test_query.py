@@ -435,3 +435,70 @@ def test_levels_keep_the_tiles_of_a_stack_together(layers, tmp_path, monkeypatch
     assert at.select("f").distinct().count() > 1
     assert at.groupBy("x", "y").agg(F.countDistinct("f").alias("n")).agg(F.max("n")).first()[0] == 1
     assert out.where("z = 19").groupBy("x", "y").count().agg(F.max("count")).first()[0] == 50
+
+
+def stack_of(spark, rows):
+    return spark.createDataFrame(rows, "id int, __bb struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+
+
+def test_large_stacks_are_divided_in_blocks(spark, tmp_path, monkeypatch):
+    """Overlapping features that cover many tiles: the rows of every tile counted alone, from a few stored rows a feature."""
+    import random
+    from collections import Counter, defaultdict
+
+    from featurespark.operators import tiles
+
+    monkeypatch.setattr(tiles, "LAST_ZOOM", 17)
+    rng = random.Random(7)
+    rows = [(i, (144.0, -38.0, 144.1, -37.95)) for i in range(30)]
+    rows += [(30 + i, (144.0 + rng.random() / 20, -38.0, 144.06 + rng.random() / 20, -37.97)) for i in range(2)]
+    df, cap = stack_of(spark, rows).repartition(3), 5
+    got = [(r["z"], r["x"], r["y"], r["id"]) for r in tiles.refine_tiles(df, ["id"], 12, cap, str(tmp_path / "levels")).collect()]
+    held = {z: tiles.assign_tiles(df, ["id"], z, z).withColumn("sx", tiles.tile_x(F.col("cx"), F.lit(z + 4)))
+            .withColumn("sy", tiles.tile_y(F.col("cy"), F.lit(z + 4))).collect() for z in range(12, 18)}
+    want, open_ = [], None
+    for z, found in held.items():
+        at = defaultdict(list)
+        for r in found:
+            if open_ is None or (r["x"] // 2, r["y"] // 2) in open_:
+                at[r["x"], r["y"]].append(r)
+        crowded = {t for t, own in at.items() if len(own) > cap and z < 17}
+        dens = Counter((r["sx"], r["sy"]) for t in crowded for r in at[t])
+        for t, own in at.items():
+            first = sorted(own, key=lambda r: (dens[r["sx"], r["sy"]], r["id"]))[:cap] if t in crowded else own
+            want += [(z, *t, r["id"]) for r in first]
+        open_ = crowded
+    assert sorted(got) == sorted(want) and len(held[17]) > 20_000
+    stored = sum(spark.read.parquet(str(tmp_path / "levels" / f"z{z}")).count() for z in range(12, 17))
+    assert 0 < stored < sum(len(held[z]) for z in range(12, 17)) / 2
+
+
+def test_pyramid_of_large_stacks_is_thinned_in_blocks(spark, tmp_path, monkeypatch):
+    """The rows of ``thin_tiles`` over every tile, without a row a tile before they are counted out."""
+    from featurespark.operators import tiles
+
+    monkeypatch.setattr(tiles, "LAST_ZOOM", 16)
+    rows = [(i, (144.0, -38.0, 144.1, -37.95)) for i in range(12)] + [(20 + i, (144.05 + i / 90, -38.01, 144.2, -37.9)) for i in range(6)]
+    rows += [(40 + i, (150.0 + i, -38.01, 150.3 + i, -37.9)) for i in range(6)]
+    df = stack_of(spark, rows).repartition(3)
+    assert tiles._wide(df, "id", 8, 15) and not tiles._wide(df, "id", 3, 5)
+    want = tiles.thin_tiles(tiles.assign_tiles(df, ["id"], 8, 15), "id", 4).drop("dens")
+    assign = tiles.assign_tiles
+    monkeypatch.setattr(tiles, "assign_tiles", None)
+    got = tiles._unfolded(tiles._thinned(df, "id", 8, 15, 4, str(tmp_path / "levels"))).select("id", "z", "x", "y")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(tiles, "assign_tiles", assign)
+    few = tiles._unfolded(tiles._thinned(df, "id", 8, 9, 100, str(tmp_path / "few"))).select("id", "z", "x", "y")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, assign(df, ["id"], 8, 9).select("id", "z", "x", "y").collect()))
+
+
+def test_what_tiles_tell_is_computed_for_each_feature(layers, tmp_path):
+    from featurespark.operators import tiles
+
+    p = layers.read("parcels").where("parcel_id < 30")
+    args = dict(id_col="parcel_id", zmin=8, zmax=14, cap=3)
+    whole = tiles.build_tiles(p, 7844, folder=str(tmp_path / "a"), **args)
+    told = tiles.build_tiles(p, 7844, folder=str(tmp_path / "b"), telling={"name": F.get_json_object("feature", "$.name")}, **args)
+    assert told.columns == ["z", "x", "y", "name"] and "get_json_object" not in plan(told)
+    want = whole.select("z", "x", "y", F.get_json_object("feature", "$.name"))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
