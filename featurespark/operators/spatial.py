@@ -15,18 +15,27 @@ A multi-level grid turns the spatial predicate into an equi-join:
   in one cell only, so no de-duplication is needed;
 * a polygon's geometry is read once and goes along into its cells, as packed edges, so candidates, which may be very many where features
   lie on each other, are tested where the join finds them and are never shuffled or sorted;
-* the exact even-odd test runs a batch of candidates at a time.
+* each task gathers the points, and the polygons, of a cell in *blocks*, rows that hold lists. Blocks are what is shuffled and joined, so
+  that where n points meet m polygons a block goes to Python once, not n * m rows; blocks are bounded and AQE splits hot cells between them;
+* the box test and the exact even-odd test run over all pairs of two blocks at a time.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featurespark.functions.wkb import point_inside, point_topmost, polygon_edges, wkb_extent, wkb_point_once
+from featurespark.functions.wkb import pairs_inside, polygon_edges, wkb_extent, wkb_point_once
 
 _BOUNDS = ("xmin", "ymin", "xmax", "ymax")
+_KEYS = ["__lvl", "__cx", "__cy"]
+_GATHERED, _BYTES = 1 << 18, 1 << 26    # rows, and bytes of them, that a task makes blocks of
+_POINTS, _POLYGONS = 1 << 11, 1 << 8    # of a block
+_EDGES = 1 << 18                        # bytes of the edges of a block, if it has more than one polygon
 
 
 def extent_column(schema: T.StructType) -> str | None:
@@ -89,26 +98,64 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level))
 
 
-def _candidates(points: DataFrame, polygons: DataFrame, polygon_cols: list[str], point_geom: str, polygon_geom: str) -> DataFrame:
-    """All columns of the points and ``polygon_cols`` of every pair whose point is in the polygon's extent, with ``__x``, ``__y`` and
-    the polygon's ``__edges``."""
+def _blocked(df: DataFrame, most: int, heavy: str | None = None) -> DataFrame:
+    """``_KEYS`` and lists of the other columns: a task's rows of a cell together, ``most`` at most, of ``heavy`` (bytes) ``_EDGES`` about."""
+    others = [f for f in df.schema if f.name not in _KEYS]
+
+    def run(batches):
+        held: list = []
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= _GATHERED or sum(h.nbytes for h in held) >= _BYTES:
+                yield made(held)
+                held = []
+        if sum(h.num_rows for h in held):
+            yield made(held)
+
+    def made(held):
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in _KEYS]))
+        new = np.zeros(len(rows), bool)
+        new[0] = True
+        for c in _KEYS:
+            own = rows[c].to_numpy()
+            new[1:] |= own[1:] != own[:-1]
+        first = np.flatnonzero(new)
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+        new |= place % most == 0
+        if heavy:
+            size = np.cumsum(pc.binary_length(rows[heavy]).fill_null(0).to_numpy().astype(np.int64)) // _EDGES
+            new[1:] |= size[1:] != size[:-1]
+        first = np.flatnonzero(new)
+        ends = pa.array(np.append(first, len(rows)).astype(np.int32))
+        keys = [rows[c].take(pa.array(first)).combine_chunks() for c in _KEYS]
+        lists = [pa.ListArray.from_arrays(ends, rows[f.name].combine_chunks()) for f in others]
+        return pa.RecordBatch.from_arrays([*keys, *lists], names=[*_KEYS, *[f.name for f in others]])
+
+    schema = [df.schema[c] for c in _KEYS] + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in others]
+    return df.mapInArrow(run, T.StructType(schema))
+
+
+def _blocks(points: DataFrame, polygons: DataFrame, point_cols: list[str], polygon_cols: list[str], point_geom: str,
+            polygon_geom: str) -> DataFrame:
+    """Blocks of points and polygons that meet in a cell: ``__p0``, ... and ``__q0``, ... hold ``point_cols`` and ``polygon_cols``."""
     polys = bbox_of(polygons, polygon_geom).withColumn("__lvl", _level(F.col("__bbox"))).where("__lvl is not null")
     levels = sorted(polys.agg(F.collect_set("__lvl")).first()[0])
     poly = polys.select("*", polygon_edges(F.col(f"`{polygon_geom}`")).alias("__edges")).select(
-        *[F.col(f"`{c}`") for c in polygon_cols], "__edges", "__lvl", F.col("__bbox").alias("__bb"),
+        *[F.col(f"`{c}`").alias(f"__q{i}") for i, c in enumerate(polygon_cols)], "__edges", "__lvl", F.col("__bbox").alias("__bb"),
         F.explode(F.sequence(_cell(F.col("__bbox.xmin"), F.col("__lvl")),
                              _cell(F.col("__bbox.xmax"), F.col("__lvl")))).alias("__cx"))
     poly = poly.select("*", F.explode(F.sequence(_cell(F.col("__bb.ymin"), F.col("__lvl")),
                                                  _cell(F.col("__bb.ymax"), F.col("__lvl")))).alias("__cy"))
+    poly = poly.select("*", *[F.col(f"__bb.{side}").alias(f"__b{i}") for i, side in enumerate(_BOUNDS)]).drop("__bb")
 
-    # NULL coordinates drop out at the equi-join (NULL keys never match)
     at = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
-    pts = point_xy(points, point_geom).drop(point_geom).select("*", F.explode(at).alias("__lvl"))
+    # NULL coordinates would drop out at the equi-join (NULL keys never match)
+    pts = point_xy(points, point_geom).where("__x is not null and __y is not null")
+    pts = pts.select(*[F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(point_cols)], "__x", "__y", F.explode(at).alias("__lvl"))
     pts = pts.select("*", _cell(F.col("__x"), F.col("__lvl")).alias("__cx"),
                      _cell(F.col("__y"), F.col("__lvl")).alias("__cy"))
-    in_box = (F.col("__x") > F.col("__bb.xmin")) & (F.col("__x") < F.col("__bb.xmax")) & \
-             (F.col("__y") > F.col("__bb.ymin")) & (F.col("__y") < F.col("__bb.ymax"))
-    return pts.join(poly, ["__lvl", "__cx", "__cy"], "inner").where(in_box).drop("__lvl", "__cx", "__cy", "__bb")
+    return _blocked(pts, _POINTS).join(_blocked(poly, _POLYGONS, "__edges"), _KEYS, "inner")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[str],
@@ -120,9 +167,18 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_cols: list[
     aggregate over the polygons' extents, whose result is the list of levels.
     """
     pts = _kept(points, point_cols, point_geom)
-    candidates = _candidates(pts, polygons, polygon_cols, POINT, polygon_geom)
-    inside = candidates.withColumn("__in", point_inside(F.col("__x"), F.col("__y"), F.col("__edges")))
-    return inside.where("__in").select(*[F.col(f"`{c}`") for c in point_cols + polygon_cols])
+    names = point_cols + polygon_cols
+
+    def run(batches):
+        for b in batches:
+            left = [b.column(f"__p{i}").flatten() for i in range(len(point_cols))]
+            right = [b.column(f"__q{i}").flatten() for i in range(len(polygon_cols))]
+            for point, polygon in pairs_inside(b):
+                i, j = pa.array(point), pa.array(polygon)
+                yield pa.RecordBatch.from_arrays([*[c.take(i) for c in left], *[c.take(j) for c in right]], names=names)
+
+    schema = T.StructType([points.schema[c] for c in point_cols] + [polygons.schema[c] for c in polygon_cols])
+    return _blocks(pts, polygons, point_cols, polygon_cols, POINT, polygon_geom).mapInArrow(run, schema)
 
 
 POINT = "__point"
@@ -142,7 +198,7 @@ def identify(points: DataFrame, layers: list[tuple[str, DataFrame, str]], point_
     ``layers`` is ``[(layer_name, frame, id_column)]`` in registry (drawing)
     order; the last drawn layer is on top, as on the map. All layers go through one
     join, so the points are read and dealt once; the topmost hit (ties: smallest id) is a mergeable minimum,
-    taken in each batch of candidates as they are tested, then in each task and after its shuffle.
+    taken of each point's pairs as they are tested, then in each task and after its shuffle.
     """
     every = None
     for order, (name, frame, id_col) in enumerate(layers):
@@ -151,10 +207,22 @@ def identify(points: DataFrame, layers: list[tuple[str, DataFrame, str]], point_
             F.col(f"`{id_col}`").cast("string").alias("feature_id"), "bbox", F.col(f"`{polygon_geom}`").alias("geometry"))
         every = one if every is None else every.unionByName(one)
     cols = [F.col(f"`{c}`") for c in point_cols]
-    # numbers tell points of a batch apart; a repeated task may give others, which changes no result
-    pts = _kept(points, point_cols, point_geom).withColumn("__id", F.monotonically_increasing_id())
     found = ["__below", "feature_id", "layer"]
-    candidates = _candidates(pts, every, found, POINT, "geometry")
-    hits = candidates.withColumn("__in", point_topmost(*[F.col(c) for c in ("__x", "__y", "__edges", "__id", "__below", "feature_id")])) \
-        .where("__in").select(*cols, F.struct(*found).alias("__hit"))
+
+    def run(batches):
+        for b in batches:
+            left = [b.column(f"__p{i}").flatten() for i in range(len(point_cols))]
+            right = [b.column(f"__q{i}").flatten() for i in range(len(found))]
+            order = pc.sort_indices(pa.table(right[:2], names=found[:2]), [(c, "ascending") for c in found[:2]], null_placement="at_start")
+            order = order.to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            for point, polygon in pairs_inside(b, rank):
+                i, j = pa.array(point), pa.array(polygon)
+                yield pa.RecordBatch.from_arrays([*[c.take(i) for c in left], *[c.take(j) for c in right]], names=[*point_cols, *found])
+
+    pts = _kept(points, point_cols, point_geom)
+    schema = T.StructType([points.schema[c] for c in point_cols] + [every.schema[c] for c in found])
+    hits = _blocks(pts, every, point_cols, found, POINT, "geometry").mapInArrow(run, schema) \
+        .select(*cols, F.struct(*found).alias("__hit"))
     return hits.groupBy(*cols).agg(F.min("__hit").alias("__top")).select(*cols, "__top.layer", "__top.feature_id")

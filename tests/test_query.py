@@ -502,3 +502,29 @@ def test_what_tiles_tell_is_computed_for_each_feature(layers, tmp_path):
     assert told.columns == ["z", "x", "y", "name"] and "get_json_object" not in plan(told)
     want = whole.select("z", "x", "y", F.get_json_object("feature", "$.name"))
     assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_points_and_polygons_meet_in_blocks(spark, monkeypatch):
+    """Stacks of points and polygons: every pair, from fewer joined rows than pairs, however blocks are cut."""
+    from featurespark.functions import geometry as G
+    from featurespark.functions.wkb import wkb_encode
+    from featurespark.operators import spatial as SP
+
+    pts = spark.range(0, 300, 1, 3).withColumn("px", F.expr("id % 3 * 10 + 0.25")).withColumn("py", F.lit(0.5).cast("double"))
+    pts = pts.select(F.concat(F.lit("p"), F.col("id")).alias("point"), wkb_encode(G.make_point(F.col("px").cast("double"), F.col("py"))).alias("geometry"))
+    at = lambda dx, dy: F.array((F.col("id") % 2 * 10 + dx).cast("double"), F.lit(dy).cast("double"))
+    ring = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))
+    half = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 0))         # its box has the points, it has not
+    polys = spark.range(0, 40, 1, 2).select(F.col("id").alias("poly"), wkb_encode(
+        G.make_polygon(F.when(F.col("id") < 4, half).otherwise(ring))).alias("geometry"))
+    want = sorted((f"p{p}", q) for p in range(300) for q in range(4, 40) if p % 3 == q % 2)
+    top = sorted((f"p{p}", "a", min(str(q) for q in range(4, 40) if p % 3 == q % 2)) for p in range(300) if p % 3 < 2)
+    for points, polygons, heavy in ((1 << 11, 1 << 8, 1 << 18), (7, 3, 1 << 18), (50, 100, 300)):
+        for name, n in (("_POINTS", points), ("_POLYGONS", polygons), ("_EDGES", heavy)):
+            monkeypatch.setattr(SP, name, n)
+        got = SP.points_in_polygons(pts, polys, ["point"], ["poly"])
+        assert sorted(map(tuple, got.collect())) == want
+        found = SP.identify(pts, [("a", polys, "poly")], ["point"])
+        assert sorted(map(tuple, found.select("point", "layer", "feature_id").collect())) == top
+    monkeypatch.undo()
+    assert SP._blocks(SP._kept(pts, ["point"], "geometry"), polys, ["point"], ["poly"], SP.POINT, "geometry").count() < len(want) / 50
